@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_BLOCK_ROWS = 20_000
 QUERY_BLOCK_ITEMS = 2_000_000
@@ -110,6 +111,24 @@ def _scan(batches: Iterator[tuple[np.ndarray, pa.Array]], index: Any, k: int, mi
     return best
 
 
+def _scan_groups(batches: Iterator[pa.RecordBatch], index: Any, k: int, min_score: float) -> dict:
+    """Best rows per value of the ``grp`` column (one entry under None without it)."""
+    best: dict = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if "grp" in b.schema.names:
+            col = b.column("grp")
+            pieces = [(g, b.filter(pc.equal(col, g))) for g in pc.unique(col).drop_null()]
+        else:
+            pieces = [(None, b)]
+        for g, piece in pieces:
+            got = _scan(iter([(np.asarray(piece.column("rid")), piece.column("item"))]), index, k, min_score)
+            key = None if g is None else g.as_py()
+            best[key] = got if key not in best else _keep_best([best[key], got], k)
+    return best
+
+
 def top_k(
     queries: DataFrame,
     rows: DataFrame,
@@ -120,17 +139,30 @@ def top_k(
     query_block_items: int = QUERY_BLOCK_ITEMS,
     bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
-    """``queries(qid, item)`` x ``rows(rid, item)`` -> ``(qid, rid, score, rank)``, rank <= k."""
-    qtype = queries.schema["qid"].dataType.simpleString()
-    rtype = rows.schema["rid"].dataType.simpleString()
-    schema = f"qid {qtype}, rid {rtype}, score {kernel.score_type}"
+    """``queries(qid, item)`` x ``rows(rid, item)`` -> ``(qid, rid, score, rank)``, rank <= k.
+
+    With a ``grp`` column on ``rows`` the k best are kept per (query, grp), still in one scan.
+    """
+    grouped = "grp" in rows.columns
+    carry = ["grp", "rid", "item"] if grouped else ["rid", "item"]
+    dtypes = {"qid": queries.schema["qid"].dataType, **{c: rows.schema[c].dataType for c in carry if c != "item"}}
+    names = ["qid", *(["grp"] if grouped else []), "rid", "score"]
+    arrow = {n: to_arrow_type(t) for n, t in dtypes.items()}
+    arrow["score"] = pa.int64() if kernel.score_type == "bigint" else pa.float64()
+    out_schema = pa.schema([(n, arrow[n]) for n in names])
+    schema = ", ".join(f"{n} {dtypes[n].simpleString() if n in dtypes else kernel.score_type}" for n in names)
     n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("item")), F.lit(0))).first()
     blocks = int(max(1, -(-n // query_block_rows), -(-width // query_block_items)))
 
-    def emit(best, index) -> pa.RecordBatch:
-        q, i, s = best
-        ids = pa.array(index.qids)
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(q)), pa.array(i), pa.array(s)], ["qid", "rid", "score"])
+    def emit(best: dict, index: Any) -> pa.Table:
+        ids = pa.array(index.qids, arrow["qid"])
+        tables = []
+        for g, (q, i, s) in best.items():
+            cols = {"qid": ids.take(pa.array(q)), "rid": pa.array(i), "score": pa.array(s)}
+            if grouped:
+                cols["grp"] = pa.array([g] * len(q), arrow["grp"])
+            tables.append(pa.table([cols[c].cast(arrow[c]) for c in names], schema=out_schema))
+        return pa.concat_tables(tables) if tables else out_schema.empty_table()
 
     if blocks == 1:
         got = queries.collect()  # at most one block, counted above
@@ -139,17 +171,14 @@ def top_k(
 
         def scan_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = shared.value
-            pairs = ((np.asarray(b.column(0)), b.column(1)) for b in batches if b.num_rows)
-            best = _scan(pairs, ix, k, min_score) if ix.qids else None
-            if best is not None and len(best[0]):
-                yield emit(best, ix)
+            if ix.qids:
+                yield from emit(_scan_groups(batches, ix, k, min_score), ix).to_batches()
 
-        partial = rows.select("rid", "item").mapInArrow(scan_partition, schema)
+        partial = rows.select(*carry).mapInArrow(scan_partition, schema)
     else:
-        n_rows = rows.count()
-        buckets = int(max(1, -(-n_rows // bucket_rows)))
+        buckets = int(max(1, -(-rows.count() // bucket_rows)))
         left = rows.select(
-            "rid", "item", F.pmod(F.xxhash64("rid"), F.lit(buckets)).alias("rb"),
+            *carry, F.pmod(F.xxhash64("rid"), F.lit(buckets)).alias("rb"),
             F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("qb"),
         )
         right = queries.select(
@@ -158,16 +187,12 @@ def top_k(
         )
 
         def meet(lt: pa.Table, rt: pa.Table) -> pa.Table:
-            out = pa.schema([rt.schema.field("qid"), lt.schema.field("rid"),
-                             pa.field("score", pa.int64() if kernel.score_type == "bigint" else pa.float64())])
             if not lt.num_rows or not rt.num_rows:
-                return out.empty_table()
+                return out_schema.empty_table()
             ix = kernel(rt["qid"].to_pylist(), rt["item"].to_pylist())
-            lt = lt.combine_chunks()
-            best = _scan(iter([(np.asarray(lt["rid"]), lt["item"].chunk(0))]), ix, k, min_score)
-            return pa.Table.from_batches([emit(best, ix)]).cast(out)
+            return emit(_scan_groups(iter(lt.to_batches()), ix, k, min_score), ix)
 
         partial = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meet, schema)
 
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "rid")
+    w = Window.partitionBy("qid", *(["grp"] if grouped else [])).orderBy(F.col("score").desc(), "rid")
     return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
