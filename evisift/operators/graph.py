@@ -181,9 +181,9 @@ def sentence_index(triples: DataFrame) -> DataFrame:
 
 def entity_index(nodes: DataFrame) -> DataFrame:
     """Name or alias key -> node; the entry written last wins, as in a map built in name order."""
-    base = nodes.select(F.col("node_id"), F.explode(F.concat(F.array("name"), "aliases")).alias("n"))
-    return base.select(index_key(F.col("n")).alias("key"), "node_id").where("key <> ''").groupBy("key").agg(
-        F.max("node_id").alias("node_id")
+    base = nodes.select("node_id", "name", F.explode(F.concat(F.array("name"), "aliases")).alias("n"))
+    return base.select(index_key(F.col("n")).alias("key"), "node_id", "name").where("key <> ''").groupBy("key").agg(
+        F.max_by("node_id", "name").alias("node_id")
     )
 
 

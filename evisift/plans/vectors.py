@@ -114,7 +114,7 @@ def weighted_rerank(spark, d):
 @query(
     "list_rerank", "W06,W04",
     rf"""with {MEANS}, {POOL}, f as (select qid, rid, score, coalesce(len(regexp_extract_all(text, ',')), 0) as n from pool left join documents on doc_id = rid),
-    r as (select qid, rid, round(greatest(0.0, least(1.0, score)) * (1.0 + 0.15 * least(n, 3) + 0.20 * least(1.0, 0.3 * n)), 6) as final_score from f where n > 0)
+    r as (select qid, rid, round(greatest(0.0, least(1.0, score)) * (1.0 + 0.15 * least(n, 3) + 0.20 * least(1.0, 0.3 * n)), 9) as final_score from f where n > 0)
     select qid, rid, final_score, rank from {_ranked('(select * from r where final_score > 0)', 10, 'final_score desc, rid')}""",
 )
 def list_rerank(spark, d):
@@ -123,7 +123,7 @@ def list_rerank(spark, d):
     s = V.list_feature_score(
         F.col("score"), n > 0, n, F.least(F.lit(1.0), n * 0.3), F.array().cast("array<string>"), True, False
     )
-    out = p.withColumn("final_score", F.round(V.length_prior_score(s, F.col("text")), 6)).where(F.col("final_score") > 0)
+    out = p.withColumn("final_score", F.round(V.length_prior_score(s, F.col("text")), 9)).where(F.col("final_score") > 0)
     return V.rerank_ranks(out, "qid", F.col("final_score").desc(), F.col("rid"), k=10).select("qid", "rid", "final_score", "rank")
 
 
@@ -132,14 +132,14 @@ def list_rerank(spark, d):
     f"""with {MEANS}, m as {_ranked('(select * from scored where label <= 5)', 12)}, t as {_ranked('(select * from scored where label >= 4)', 4)},
     u as (select qid, rid, score, 'text' as source, 0 as prio, rank as sr from m union all select qid, rid, score, 'tables', 1, rank from t),
     k as (select *, row_number() over (partition by qid, rid order by prio, sr) as n from u qualify n = 1)
-    select qid, rid, round(score, 6) as score, source, rank from {_ranked('k', 12, 'score desc, prio, sr')}""",
+    select qid, rid, round(score, 9) as score, source, rank from {_ranked('k', 12, 'score desc, prio, sr')}""",
 )
 def priority_merge(spark, d):
     b, q = bank(spark, d), class_queries(spark, d)
     main = V.search(q, b.where("label <= 5"), 12)
     tables = V.search(q, b.where("label >= 4"), 4)
     out = V.priority_merge([(main, "text", 1.0), (tables, "tables", 1.0)], 12)
-    return out.select("qid", "rid", F.round("score", 6).alias("score"), "source", "rank")
+    return out.select("qid", "rid", F.round("score", 9).alias("score"), "source", "rank")
 
 
 @query(
@@ -149,14 +149,14 @@ def priority_merge(spark, d):
     u as (select qid, rid, score, 'evidence' as source, 0 as prio, rank as sr from ev union all
       select r.qid, rid, score * 0.98, 'raw', 1, rank from raw r left join n using (qid) where coalesce(n_ev, 0) < 64 or coalesce(n_ev, 0) < 8),
     k as (select *, row_number() over (partition by qid, rid order by prio, sr) as x from u qualify x = 1)
-    select qid, rid, round(score, 6) as score, source, rank from {_ranked('k', 64, 'score desc, prio, sr')}""",
+    select qid, rid, round(score, 9) as score, source, rank from {_ranked('k', 64, 'score desc, prio, sr')}""",
 )
 def evidence_first_merge(spark, d):
     b, q = bank(spark, d), class_queries(spark, d)
     good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("rid"))
     ev = V.search(q, b.where("label in (2, 7)").join(good, "rid", "left_semi"), 64)
     out = V.evidence_first_merge(ev, V.search(q, b, 64), 64)
-    return out.select("qid", "rid", F.round("score", 6).alias("score"), "source", "rank")
+    return out.select("qid", "rid", F.round("score", 9).alias("score"), "source", "rank")
 
 
 @query(
