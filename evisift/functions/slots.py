@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .chars import WORD
-from .text import strip
+from .text import bind, strip
 
 # Question word -> slot.
 QUESTION_SLOTS = [
@@ -73,8 +73,8 @@ def infer_slots(c: Column) -> Column:
 
 def registry_slots(c: Column) -> Column:
     """Inferred slots that are registered, in registry order."""
-    found = infer_slots(c)
-    return F.filter(F.array(*[F.lit(s) for s in SLOT_REGISTRY]), lambda s: F.array_contains(found, s))
+    known = F.array(*[F.lit(s) for s in SLOT_REGISTRY])
+    return bind(infer_slots(c), lambda found: F.filter(known, lambda s: F.array_contains(found, s)))
 
 
 def fact_types(c: Column) -> Column:

@@ -19,6 +19,15 @@ def falsy_or(*cs: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
 
 
+def bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
+
+    A costly expression mentioned inside a higher-order function would otherwise be
+    evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squash(c: Column) -> Column:
     """Collapse every whitespace run to one space and strip."""
     return strip(F.regexp_replace(c, f"[{WS}]+", " "))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .chars import CJK, WORD
+from .text import bind
 
 
 def _all(c: Column, pattern: str, group: int = 0) -> Column:
@@ -18,11 +19,13 @@ def overlap_tokens(c: Column) -> Column:
     CJK characters are paired across intervening text, as the reference semantics ask:
     the bigrams run over the sequence of ideographs, not over the raw string.
     """
-    cjk = _all(c, f"[{CJK}]")
-    bigrams = F.when(
-        F.size(cjk) > 1,
-        F.zip_with(F.slice(cjk, 1, F.size(cjk) - 1), F.slice(cjk, 2, F.size(cjk) - 1), lambda a, b: F.concat(a, b)),
-    ).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def pair_up(cjk: Column) -> Column:
+        n = F.size(cjk) - 1
+        return F.when(n > 0, F.zip_with(F.slice(cjk, F.lit(1), n), F.slice(cjk, F.lit(2), n), lambda a, b: F.concat(a, b))).otherwise(none)
+
+    bigrams = F.when(c.rlike(f"[{CJK}]"), bind(_all(c, f"[{CJK}]"), pair_up)).otherwise(none)
     low = F.lower(c)
     words = _all(low, "[a-z]{2,}")
     bound_l, bound_r = f"(?<![{WORD}])", f"(?![{WORD}])"

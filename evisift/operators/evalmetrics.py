@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chars import STRIP_CHARS, WORD, WS  # noqa: F401
-from ..functions.text import squash, strip
+from ..functions.text import bind, squash, strip
 
 
 def rank_metrics(hits: DataFrame, key: str, rank: str, is_gold: Column) -> DataFrame:
@@ -136,10 +136,14 @@ def multiset_overlap(a: Column, b: Column) -> Column:
 
 def token_f1(pred: Column, gold: Column) -> Column:
     """E04."""
-    p, g = squad_tokens(pred), squad_tokens(gold)
-    o = multiset_overlap(p, g)
-    prec, rec = o / F.size(p), o / F.size(g)
-    return F.when((F.size(p) == 0) | (F.size(g) == 0), 0.0).when(o == 0, 0.0).otherwise(2 * prec * rec / (prec + rec))
+    pair = F.struct(squad_tokens(pred).alias("p"), squad_tokens(gold).alias("g"))
+
+    def score(b: Column) -> Column:
+        n, m = F.size(b["p"]), F.size(b["g"])
+        # 2PR/(P+R) with P = o/n and R = o/m
+        return bind(multiset_overlap(b["p"], b["g"]), lambda o: F.when((n == 0) | (m == 0) | (o == 0), 0.0).otherwise(2 * o / (n + m)))
+
+    return bind(pair, score)
 
 
 def veracity_label(c: Column) -> Column:

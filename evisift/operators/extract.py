@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import CJK, WORD
 from ..functions.sentences import split_units, with_offsets
-from ..functions.text import squash, strip
+from ..functions.text import bind, squash, strip
 
 BOUND_L, BOUND_R = f"(?<![{WORD}])", f"(?![{WORD}])"
 STR_ARRAY = "array<string>"
@@ -23,8 +23,10 @@ def empty(t: str = STR_ARRAY) -> Column:
 
 def distinct_by(arr: Column, key) -> Column:
     """First of every key, input order kept (for short, capped lists)."""
-    keys = F.transform(arr, key)
-    return F.filter(arr, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return bind(
+        arr,
+        lambda a: bind(F.transform(a, key), lambda ks: F.filter(a, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)),
+    )
 
 
 # Abbreviation patterns (group 1, group 2) and their confidence.
@@ -36,8 +38,10 @@ PAIR = "array<struct<abbr:string,full:string,confidence:double,source:string>>"
 
 def abbreviation_pairs(c: Column, max_pairs: int = 32) -> Column:
     """Full (ABBR) in two scripts, then ABBR (Full); capped, then de-duplicated."""
-    t = squash(c)
+    return bind(squash(c), lambda t: _pairs_of(t, max_pairs))
+
 
+def _pairs_of(t: Column, max_pairs: int) -> Column:
     def pairs(rx: str, full_group: int, conf: float, source: str) -> Column:
         abbr = all_groups(t, rx, 3 - full_group)
         full = all_groups(t, rx, full_group)
@@ -68,9 +72,12 @@ CJK_TERM = f"[{CJK}]{{2,20}}(?:综合征|病毒|感染|发热|血小板减少|
 
 def entity_candidates(c: Column, max_entities: int = 64) -> Column:
     """Title-case phrases, then CJK terms; capped, then case-insensitively distinct."""
-    t = squash(c)
+    return bind(squash(c), lambda t: _entities_of(t, max_entities))
+
+
+def _entities_of(t: Column, max_entities: int) -> Column:
     en = F.filter(all_groups(t, TITLE_PHRASE, 0), lambda s: F.length(s).between(3, 80))
-    zh = F.filter(all_groups(t, CJK_TERM, 0), lambda s: F.length(s).between(2, 40))
+    zh = F.when(t.rlike(f"[{CJK}]"), F.filter(all_groups(t, CJK_TERM, 0), lambda s: F.length(s).between(2, 40))).otherwise(empty())
     return distinct_by(F.slice(F.concat(en, zh), 1, max_entities), F.lower)
 
 
@@ -201,16 +208,12 @@ def _split_in_order(arr: Column, delimiters: list[str]) -> Column:
     """Connectors are applied one after the other, in file order."""
     import re
 
+    def cut(d: str):
+        pieces = lambda p: F.filter(F.transform(F.split(p, re.escape(d)), strip), lambda s: s != "")
+        return lambda p: F.when(F.contains(p, F.lit(d)), pieces(p)).otherwise(F.array(p))
+
     for d in delimiters:
-        rx = re.escape(d)
-        arr = F.flatten(
-            F.transform(
-                arr,
-                lambda p, rx=rx, d=d: F.when(
-                    F.contains(p, F.lit(d)), F.filter(F.transform(F.split(p, rx), strip), lambda s: s != "")
-                ).otherwise(F.array(p)),
-            )
-        )
+        arr = F.flatten(F.transform(arr, cut(d)))
     return arr
 
 
@@ -226,16 +229,30 @@ def _after_phrase(c: Column, phrase: str) -> Column:
     return out.otherwise(frag)
 
 
+def _numbered(lines: Column, rx: str) -> tuple[Column, Column]:
+    match = lambda l: l.rlike(rx)
+    return F.exists(lines, match), F.transform(F.filter(lines, match), lambda l: strip(F.regexp_replace(l, rx, "")))
+
+
 def rule_list_features(c: Column, rules: dict, semantic_type: str) -> Column:
     """X07 for one semantic type: struct(signals, items, confidence, list_type)."""
-    sig, split, conf = rules.get("signals", {}), rules.get("split", {}), rules.get("confidence", {})
     t = F.translate(F.regexp_replace(c, r"[\x{ad}\x{200b}\x{200c}\x{200d}\x{2060}]", ""), "\xa0", " ")
-    lines = lines_of(t)
+    capture = rules.get("signals", {}).get("paren_cases_capture_regex")
+    clean = lambda s: strip(F.regexp_replace(strip(s), r"(?i)^(?:and|or)\s+", ""))
+
+    def with_caps(t: Column) -> Column:
+        caps = F.transform(all_groups(t, capture, 1), clean) if capture else empty()
+        return bind(F.struct(lines_of(t).alias("lines"), caps.alias("caps")), lambda b: _rule_features(t, b["lines"], b["caps"], rules, semantic_type))
+
+    return bind(t, with_caps)
+
+
+def _rule_features(t: Column, lines: Column, caps: Column, rules: dict, semantic_type: str) -> Column:
+    sig, split, conf = rules.get("signals", {}), rules.get("split", {}), rules.get("confidence", {})
     signals, items, scores = [], [], [F.lit(0.0)]
     capture = sig.get("paren_cases_capture_regex")
     captured = F.lit(False)
     if capture:
-        caps = F.transform(all_groups(t, capture, 1), lambda s: strip(F.regexp_replace(strip(s), r"(?i)^(?:and|or)\s+", "")))
         captured = F.size(caps) > 0
         signals.append(F.when(captured, F.lit("paren_cases_capture")))
         scores.append(F.when(captured, float(conf.get("paren_cases", 0.0))).otherwise(0.0))
@@ -251,8 +268,7 @@ def rule_list_features(c: Column, rules: dict, semantic_type: str) -> Column:
     if sig.get("numbering_regex"):
         done, picked = F.lit(False), empty()
         for rx in sig["numbering_regex"]:
-            hit = F.exists(lines, lambda l, rx=rx: l.rlike(rx))
-            mine = F.transform(F.filter(lines, lambda l, rx=rx: l.rlike(rx)), lambda l, rx=rx: strip(F.regexp_replace(l, rx, "")))
+            hit, mine = _numbered(lines, rx)
             picked = F.when(done, picked).when(hit, mine).otherwise(picked)
             done = done | hit
         signals.append(F.when(done, F.lit("numbering")))
@@ -370,8 +386,11 @@ def _reasons(*rs: str) -> Column:
 
 def sentence_unit(sid: Column, s: Column) -> Column:
     """X11/X12 for one sentence: enumerative fact, mixed fragment or plain fragment."""
+    return bind(enumeration_items(s), lambda e: _sentence_unit(sid, s, e))
+
+
+def _sentence_unit(sid: Column, s: Column, e: Column) -> Column:
     low = F.lower(s)
-    e = enumeration_items(s)
     listy = ~low.rlike(DISCOURSE) & ~low.rlike(BLOCKING) & s.rlike(ENUM_SIGNAL) & (F.size(e["items"]) >= 3)
     refers = any_contains(low, ["as follows", "respectively", "listed below"])
     plain = _unit(sid, "fragment", "non_fact", s, F.lit(0.2), _reasons("non_enumerative"))
@@ -384,6 +403,10 @@ def evidence_units(block_id: Column, c: Column, section: Column, list_items: Col
     """Sentence units; only without a primary one: blocked fragment, list items or one fragment."""
     sents = F.transform(split_units(c), lambda s, i: F.struct(F.concat(block_id, F.lit("#s"), i.cast("string")).alias("sid"), s.alias("s")))
     units = F.transform(sents, lambda x: sentence_unit(x["sid"], x["s"]))
+    return bind(units, lambda us: _units_of_block(us, c, section, list_items))
+
+
+def _units_of_block(units: Column, c: Column, section: Column, list_items: Column) -> Column:
     primary = F.exists(units, lambda u: u["unit_type"] == "sentence_enumerative")
     low = F.lower(c)
     none = F.lit(None)
@@ -544,14 +567,17 @@ def symptom_filter(text: Column, items: Column, is_list: Column) -> Column:
     """struct(reason, items). The cue is sought in windows of one sentence either side."""
     from ..functions.sentences import split_ascii
 
+    kept = symptom_items(items)
+    return bind(split_ascii(text), lambda s: bind(kept, lambda k: _symptom_verdict(text, s, k, is_list)))
+
+
+def _symptom_verdict(text: Column, s: Column, kept: Column, is_list: Column) -> Column:
     low = F.lower(text)
-    s = split_ascii(text)
     n = F.size(s)
     wins = F.when(n == 0, F.array(text)).otherwise(
         F.transform(s, lambda x, i: F.array_join(F.slice(s, F.greatest(i, F.lit(1)), F.when(i == 0, 2).otherwise(3)), " "))
     )
     cue = F.exists(wins, lambda w: any_contains(F.lower(w), SYMPTOM_CUES) | F.lower(w).rlike(PATIENT_PATTERNS))
-    kept = symptom_items(items)
     why = None
     for e in EXCLUDED:
         c = F.contains(low, F.lit(e))

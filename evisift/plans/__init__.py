@@ -1,6 +1,6 @@
 """Importing this package fills the query catalogue."""
 
 from ..registry import CATALOGUE
-from . import cleaning, graph, search, vectors  # noqa: F401
+from . import cleaning, extract, graph, search, vectors  # noqa: F401
 
 __all__ = ["CATALOGUE"]
