@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def top_values(df: DataFrame, key: str, value: str, order: list[str], k: int) -> DataFrame:
     """Values per key by count, ties by first appearance, the best k."""
@@ -42,7 +44,7 @@ def text_flags(c: Column) -> dict[str, Column]:
         "has_url": c.rlike("(?i)https?://"),
         "has_image_md": c.rlike(r"!\[[^\]]*\]\([^)]*\)"),
         "has_many_exclaim": F.length(c) - F.length(F.translate(c, "!", "")) >= 3,
-        "is_too_short": F.length(F.trim(c)) < 16,
+        "is_too_short": F.length(strip(c)) < 16,
         "has_hedging": c.rlike(r"(?i)(?<![\p{L}\p{N}_])(?:generally|typically|usually|it is recommended|likely|possibly|in general)(?![\p{L}\p{N}_])"),
     }
 
@@ -66,7 +68,7 @@ def tertiles(df: DataFrame, value: str) -> DataFrame:
 
 def protocol_score(key_points: Column, claims: Column) -> Column:
     """Duplicates among key points count, claims are a set."""
-    kp = F.filter(F.transform(key_points, F.trim), lambda x: x != "")
+    kp = F.filter(F.transform(key_points, strip), lambda x: x != "")
     covered = F.size(F.filter(kp, lambda x: F.array_contains(claims, x)))
     return F.struct(
         F.size(kp).alias("key_points"), F.size(claims).alias("evidence_quotes"), covered.alias("covered"), (F.size(kp) - covered).alias("overclaim")

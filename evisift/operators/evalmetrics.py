@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import STRIP_CHARS, WORD, WS  # noqa: F401
 from ..functions.text import bind, squash, strip
+from .ranking import running_total
 
 
 def rank_metrics(hits: DataFrame, key: str, rank: str, is_gold: Column) -> DataFrame:
@@ -23,18 +24,16 @@ def rank_metrics(hits: DataFrame, key: str, rank: str, is_gold: Column) -> DataF
 def order_statistic(df: DataFrame, keys: list[str], value: str, points: dict[str, Column]) -> DataFrame:
     """Exact values at 0-based ``index`` of the sorted group, without gathering the group.
 
-    Distinct values are counted first, so a group travels as its histogram; the running
-    count then locates each wanted position. ``points`` maps a name to an index
-    expression over ``n`` (the group size).
+    Distinct values are counted first, so a group travels as its histogram, and the
+    running count is computed over range partitions (a crowded group is split).
+    ``points`` maps a name to an index expression over ``n`` (the group size).
     """
     hist = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("m"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    run = hist.withColumn("upto", F.sum("m").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = running_total(hist, keys, value, "m")
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    j = run.join(total, keys) if keys else run.crossJoin(F.broadcast(total))
-    picks = [
-        F.min(F.when(F.col("upto") > idx, F.col(value))).alias(name) for name, idx in points.items()
-    ]
+    # Without keys the totals are a single row.
+    j = run.join(total, keys) if keys else run.join(F.broadcast(total.withColumn("_k", F.lit(0))), F.lit(0) == F.col("_k"))
+    picks = [F.min(F.when(F.col("upto") > idx, F.col(value))).alias(name) for name, idx in points.items()]
     return j.groupBy(*keys).agg(F.first("n").alias("n"), *picks)
 
 

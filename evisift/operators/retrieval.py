@@ -33,3 +33,89 @@ def relevance(query: Column, evidence: Column) -> Column:
     """Q13 score: share of query tokens found in the evidence; 0 when either is empty."""
     q, e = overlap_tokens(query), overlap_tokens(evidence)
     return F.when((F.size(q) == 0) | (F.size(e) == 0), 0.0).otherwise(F.size(F.array_intersect(q, e)) / F.size(q))
+
+
+def answer_tokens(c: Column) -> Column:
+    """Lower-case alphanumeric runs of two or more."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+
+
+def weak_oracle(golds: DataFrame, sentences: DataFrame, k: int = 3, min_score: float = 0.18) -> DataFrame:
+    """Sentences sharing the largest part of a gold's tokens, best k per gold."""
+    from .topk import ShareOfRowTokens
+
+    g = golds.select("qid", answer_tokens(F.col("text")).alias("item")).where(F.size("item") > 0)
+    s = sentences.select("rid", answer_tokens(F.col("text")).alias("item"))
+    return top_k(g, s, ShareOfRowTokens, k, min_score=min_score)
+
+
+def char_shingles(c: Column, k: int = 3) -> Column:
+    """Q18: distinct character k-grams of the text without whitespace; a shorter text is its own shingle."""
+    from ..functions.chars import WS
+    from ..functions.text import bind
+
+    t = F.regexp_replace(c, f"[{WS}]+", "")
+
+    def grams(chars: Column) -> Column:
+        out = chars
+        for i in range(1, k):
+            out = F.zip_with(out, F.slice(chars, i + 1, F.size(chars)), lambda a, b: F.concat(a, b))
+        return F.array_distinct(F.slice(out, F.lit(1), F.greatest(F.size(chars) - (k - 1), F.lit(0))))
+
+    one = F.when(t == "", F.array().cast("array<string>")).otherwise(F.array(t))
+    return F.when(F.length(t) < k, one).otherwise(bind(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), grams))
+
+
+def best_shingle_match(texts: DataFrame, evidence: DataFrame, k: int = 1, **kw) -> DataFrame:
+    """Q18: for each text the evidence row with the highest overlap score."""
+    from .topk import ShingleOverlap
+
+    q = texts.select("qid", char_shingles(F.col("text")).alias("item")).where(F.size("item") > 0)
+    e = evidence.select("rid", char_shingles(F.col("text")).alias("item"))
+    return top_k(q, e, ShingleOverlap, k, min_score=1e-6, **kw)
+
+
+def ground_sentences(sentences: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """Q17: ``sentences(key, sid, text)`` against the token union of ``evidence(key, text)``.
+
+    The union is a distinct (key, token) table, built by a partial aggregate; it meets
+    the sentence tokens by equality and only counts travel on.
+    """
+    from ..functions.tokens import overlap_tokens
+
+    st = sentences.select(key, "sid", overlap_tokens(F.col("text")).alias("toks"))
+    et = evidence.select(key, F.explode(overlap_tokens(F.col("text"))).alias("tok")).distinct()
+    hit = st.select(key, "sid", F.explode("toks").alias("tok")).join(et, [key, "tok"]).groupBy("sid").agg(F.count(F.lit(1)).alias("hit"))
+    out = st.select(key, "sid", F.size("toks").cast("bigint").alias("n")).join(hit, "sid", "left")
+    hit0 = F.coalesce("hit", F.lit(0))
+    return out.select(key, "sid", "n", hit0.alias("hit"), ((F.col("n") > 0) & (hit0 * 10 >= F.col("n"))).alias("grounded"))
+
+
+def grounding_filter(overlap: Column, sentence: Column, min_overlap: float = 0.1) -> Column:
+    """Q18 verdict: keep, keep with a tag, or drop (null)."""
+    short = F.length(F.regexp_replace(sentence, r"[\d.*#\-\s]+", "")) < 4
+    return F.when(short | (overlap >= min_overlap), sentence).when(overlap > 0, F.concat(sentence, F.lit(" [ungrounded]")))
+
+
+def clause_boost(sentence_len: Column, overlap: Column, best_clause: Column) -> Column:
+    """Q18 fallback: a clause of a long, weak sentence with containment of 0.3 lifts the score."""
+    return F.when(
+        (sentence_len > 30) & (overlap < 0.15) & (best_clause >= 0.3), F.greatest(overlap, best_clause * 0.8)
+    ).otherwise(overlap)
+
+
+def answer_choice(cands: DataFrame, key: str) -> DataFrame:
+    """Q19: (overlap, shorter text, method order) decides; columns ``overlap, n_chars, prio, text``."""
+    return cands.groupBy(key).agg(
+        F.max_by(F.struct("text", "prio"), F.struct("overlap", (-F.col("n_chars")).alias("short"), (-F.col("prio")).alias("first"))).alias("b")
+    ).select(key, "b.text", "b.prio")
+
+
+def drug_id_key(pred: Column, support: Column) -> Column:
+    """Q19 for identifier answers: (overlap, -length); no ids in the answer ranks below no overlap."""
+    ids = F.transform(F.regexp_extract_all(pred, F.lit(r"(?i)DB\d+"), F.lit(0)), F.upper)
+    sup = F.transform(F.regexp_extract_all(support, F.lit(r"(?i)DB\d+"), F.lit(0)), F.upper)
+    short = -F.least(F.length(pred), F.lit(1_000_000))
+    return F.when(F.size(sup) == 0, F.struct(F.lit(0).alias("overlap"), F.lit(0).alias("short"))).when(
+        F.size(ids) == 0, F.struct(F.lit(-1).alias("overlap"), short.alias("short"))
+    ).otherwise(F.struct(F.size(F.filter(ids, lambda i: F.array_contains(sup, i))).alias("overlap"), short.alias("short")))

@@ -69,7 +69,39 @@ class TokenOverlap:
             offs = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens)
             posts = self.post[np.repeat(self.starts[tok], lens) + offs]
             grid = np.bincount(posts * len(sub) + np.repeat(rows, lens), minlength=nq * len(sub)).reshape(nq, len(sub))
-            yield _grid_best(grid, sub, k, min_score)
+            yield _grid_best(self.score(grid, piece), sub, k, min_score)
+
+    def score(self, grid: np.ndarray, piece: pa.Array) -> np.ndarray:
+        return grid
+
+
+class ShareOfRowTokens(TokenOverlap):
+    """Shared tokens over the query's own token count, rounded (answer overlap)."""
+
+    score_type = "double"
+
+    def __init__(self, qids: list, items: list[list[str]]):
+        super().__init__(qids, items)
+        self.sizes = np.array([max(1, len(set(t))) for t in items], dtype=np.float64)[:, None]
+
+    def score(self, grid: np.ndarray, piece: pa.Array) -> np.ndarray:
+        return np.round(grid / self.sizes, 6)
+
+
+class ShingleOverlap(TokenOverlap):
+    """Best of Jaccard and 0.6 x containment of the row; short queries use their own containment."""
+
+    score_type = "double"
+    short_below = 18  # shingles of a query under 20 characters
+
+    def __init__(self, qids: list, items: list[list[str]]):
+        super().__init__(qids, items)
+        self.sizes = np.array([max(1, len(t)) for t in items], dtype=np.float64)[:, None]
+
+    def score(self, grid: np.ndarray, piece: pa.Array) -> np.ndarray:
+        rows = np.maximum(np.asarray(pc.list_value_length(piece)).astype(np.float64), 1.0)[None, :]
+        long = np.maximum(grid / (self.sizes + rows - grid), grid / rows * 0.6)
+        return np.round(np.where(self.sizes < self.short_below, grid / self.sizes, long), 6)
 
 
 class InnerProduct:

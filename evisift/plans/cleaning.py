@@ -42,15 +42,10 @@ def doc_lang_detect(spark, d):
     )
 
 
-# RE2 has no backreference: a run is found by comparing neighbours, line by line.
-_RUN9 = """list_bool_or(list_transform(range(1, greatest(length(t) - 7, 1)), lambda i:
-  t[i] <> chr(10) and t[i] <> chr(133) and t[i] <> chr(8232) and t[i] <> chr(8233) and substr(t, i, 9) = repeat(t[i], 9)))"""
-
-
 @query(
     "doc_quality_score", "C11,T03",
-    f"""select doc_id, case when length(t) < 50 then 0.0 when coalesce({_RUN9}, false) then 0.2 else 1.0 end::double as quality
-    from (select doc_id, {NORM} as t from documents)""",
+    f"""select doc_id, case when length(t) < 50 then 0.0 when {S.has_run('cs', 9)} then 0.2 else 1.0 end::double as quality
+    from (select doc_id, t, string_split(t, '') as cs from (select doc_id, {NORM} as t from documents))""",
 )
 def doc_quality_score(spark, d):
     return documents(spark, d).select("doc_id", T.quality_score(F.col("text")).alias("quality"))

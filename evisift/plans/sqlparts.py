@@ -41,3 +41,12 @@ def overlap_tokens(e: str) -> str:
 
 def words(e: str) -> str:
     return f"list_filter(string_split({squash(e)}, ' '), lambda x: x <> '')"
+
+
+def has_run(chars: str, n: int) -> str:
+    """RE2 has no backreference: a run of n equal characters is found by comparing neighbours."""
+    same = " and ".join(f"{chars}[i + {k}] = {chars}[i]" for k in range(1, n))
+    return (
+        f"coalesce(list_bool_or(list_transform(range(1, greatest(len({chars}) - {n - 2}, 1)), lambda i: "
+        f"{chars}[i] not in (chr(10), chr(13), chr(133), chr(8232), chr(8233)) and {same})), false)"
+    )
