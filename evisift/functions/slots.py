@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,22 +61,44 @@ FACT_TYPES = [
 ]
 
 
+def has_any(low: Column, alternatives: str) -> Column:
+    """Does the lower-cased text match ``a|b|c``? Literals are plain substring tests; an
+    alternative with a pattern in it is tried only where its literal head occurs."""
+    out = F.lit(False)
+    for alt in alternatives.split("|"):
+        head = re.split(r"[\\\[(.*+?]", alt)[0]
+        hit = F.contains(low, F.lit(head))
+        out = out | (hit if head == alt else hit & low.rlike(alt))
+    return out
+
+
 def infer_slots(c: Column) -> Column:
     """Union of question-word, concept and fallback slots, sorted."""
-    q = strip(c)
-    cells = [F.when(q.rlike("(?id)" + rx), F.lit(slot)) for rx, slot in QUESTION_SLOTS]
+    return bind(F.lower(strip(c)), _slots_of)
+
+
+def _slots_of(low: Column) -> Column:
+    cells = []
+    for rx, slot in QUESTION_SLOTS:
+        first, second = rx[1:-1].split(").*(")
+        cells.append(F.when(has_any(low, first) & has_any(low, second) & low.rlike("(?d)" + rx), F.lit(slot)))
     for rx in CONCEPT_SLOTS:
-        m = F.regexp_extract(q, f"(?i)(?<![{WORD}])({rx})(?![{WORD}])", 1)
-        name = F.regexp_replace(F.regexp_replace(F.lower(m), r"\s+", "_"), r"[^a-z0-9_\x{4e00}-\x{9fff}]", "")
+        m = F.when(has_any(low, rx), F.regexp_extract(low, f"(?<![{WORD}])({rx})(?![{WORD}])", 1)).otherwise("")
+        name = F.regexp_replace(F.regexp_replace(m, r"\s+", "_"), r"[^a-z0-9_\x{4e00}-\x{9fff}]", "")
         cells.append(F.nullif(name, F.lit("")))
-    cells += [F.when(q.rlike("(?i)" + rx), F.lit(slot)) for slot, rx in FALLBACK_SLOTS]
+    cells += [F.when(has_any(low, rx), F.lit(slot)) for slot, rx in FALLBACK_SLOTS]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*cells))))
 
 
+def registered(found: Column) -> Column:
+    """X04 from slots already inferred."""
+    known = F.array(*[F.lit(s) for s in SLOT_REGISTRY])
+    return bind(found, lambda fs: F.filter(known, lambda s: F.array_contains(fs, s)))
+
+
 def registry_slots(c: Column) -> Column:
     """Inferred slots that are registered, in registry order."""
-    known = F.array(*[F.lit(s) for s in SLOT_REGISTRY])
-    return bind(infer_slots(c), lambda found: F.filter(known, lambda s: F.array_contains(found, s)))
+    return registered(infer_slots(c))
 
 
 def fact_types(c: Column) -> Column:

@@ -10,13 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import squash
+from ..functions.text import bind, squash
 
 
 def words(c: Column) -> Column:
     """Whitespace words of a text; empty array for a blank text."""
-    t = squash(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return F.filter(F.split(squash(c), " "), lambda w: w != "")
 
 
 def _starts(n: Column, step: int) -> Column:
@@ -30,34 +29,30 @@ def windows(tokens: Column, size: int, overlap: int) -> Column:
     step = size - overlap
     if step <= 0:
         raise ValueError("overlap must be smaller than the window")
-    n = F.size(tokens)
-    kept = F.filter(_starts(n, step), lambda s: (s == 0) | (s - step + size < n))
-    return F.transform(
-        kept,
-        lambda s: F.struct(
-            s.alias("start"),
-            F.least(n, s + size).alias("end"),
-            F.slice(tokens, s + 1, F.lit(size)).alias("tokens"),
-        ),
+    return bind(
+        tokens,
+        lambda t: _cut(t, F.filter(_starts(F.size(t), step), lambda s: (s == 0) | (s - step + size < F.size(t))), size),
     )
 
 
-def strided_blocks(tokens: Column, size: int, stride: int, drop_last_incomplete: bool = True) -> Column:
-    """No end stop, so tails inside the previous block are emitted unless dropped."""
-    n = F.size(tokens)
-    starts = _starts(n, stride)
-    if drop_last_incomplete:
-        starts = F.filter(starts, lambda s: s + size <= n)
+def _cut(t: Column, starts: Column, size: int) -> Column:
     return F.transform(
         starts,
         lambda s: F.struct(
-            s.alias("start"),
-            F.least(n, s + size).alias("end"),
-            F.slice(tokens, s + 1, F.lit(size)).alias("tokens"),
+            s.alias("start"), F.least(F.size(t), s + size).alias("end"), F.slice(t, s + 1, F.lit(size)).alias("tokens")
         ),
     )
 
 
+def strided_blocks(tokens: Column, size: int, stride: int, drop_last_incomplete: bool = True) -> Column:
+    """No end stop, so tails inside the previous block are emitted unless dropped."""
+    def starts(t: Column) -> Column:
+        every = _starts(F.size(t), stride)
+        return F.filter(every, lambda s: s + size <= F.size(t)) if drop_last_incomplete else every
+
+    return bind(tokens, lambda t: _cut(t, starts(t), size))
+
+
 def word_chunks(c: Column, target: int = 350, overlap_ratio: float = 0.15) -> Column:
     """Whitespace-word chunks; the step is max(1, int(target * (1 - ratio)))."""
     step = max(1, int(target * (1.0 - overlap_ratio)))

@@ -8,8 +8,13 @@ among *distinct* fingerprints only; exact copies never meet each other.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,40 +32,39 @@ def first_per_key(df: DataFrame, key: str, ord_col: str) -> DataFrame:
 def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, fp)`` with ``fp`` as 16 hex digits.
 
-    The 64 bit counters travel as 32 packed sums (two 32-bit lanes each), so that
-    the map-side aggregate hands one short row per document to the shuffle.
+    Tokens are cut in the JVM; each Arrow batch hashes its distinct tokens once and adds
+    up the bits of a text in one vectorized pass. Nothing is shuffled.
     """
-    toks = df.select(id_col, F.explode(hash_tokens(F.col(text_col))).alias("tok"))
-    h = F.md5(F.col("tok"))
-    toks = toks.select(
-        id_col,
-        F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint").alias("hi"),
-        F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint").alias("lo"),
-    )
-    lanes = [
-        F.sum(
-            F.shiftright("hi", b).bitwiseAND(F.lit(1))
-            + F.shiftleft(F.shiftright("lo", b).bitwiseAND(F.lit(1)), 32)
-        ).alias(f"s{b}")
-        for b in range(32)
-    ]
-    agg = toks.groupBy(id_col).agg(F.count(F.lit(1)).alias("n"), *lanes)
-    low32 = F.lit(0xFFFFFFFF)
-    zero = F.lit(0).cast("bigint")
-    hi = lo = zero
-    for b in range(32):
-        bit = F.lit(1 << b).cast("bigint")
-        hi = hi + F.when(F.col(f"s{b}").bitwiseAND(low32) * 2 > F.col("n"), bit).otherwise(zero)
-        lo = lo + F.when(F.shiftright(f"s{b}", 32) * 2 > F.col("n"), bit).otherwise(zero)
-
-    def hex8(c):
-        return F.lpad(F.lower(F.hex(c)), 8, "0")
-
-    counted = agg.select(id_col, F.concat(hex8(hi), hex8(lo)).alias("fp"))
-    blank = df.where(F.size(hash_tokens(F.col(text_col))) == 0).select(
-        id_col, F.substring(F.sha2(text_col, 256), 1, 16).alias("fp")
-    )
-    return counted.unionByName(blank)
+    rows = df.select(id_col, hash_tokens(F.col(text_col)).alias("toks"), F.substring(F.sha2(text_col, 256), 1, 16).alias("blank"))
+
+    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = simhash_batch(batch.column("toks"), batch.column("blank").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.string())], [id_col, "fp"])
+
+    return rows.mapInArrow(fingerprint, f"{id_col} {df.schema[id_col].dataType.simpleString()}, fp string")
+
+
+def simhash_batch(tokens: pa.Array, blank: list[str]) -> list[str]:
+    """Fingerprints of a batch of token lists; a text without tokens takes its ``blank`` digest.
+
+    Bit b of byte j is set iff more than half of the tokens have it set in byte j of their md5.
+    """
+    coded = pc.list_flatten(tokens).dictionary_encode()
+    vocab = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in coded.dictionary.to_pylist()), np.uint8)
+    bits = np.unpackbits(vocab.reshape(-1, 8), axis=1)
+    codes = np.asarray(coded.indices)
+    sizes = np.asarray(pc.list_value_length(tokens))
+    ends = np.cumsum(sizes)
+    ones = np.zeros((len(sizes), 64), np.int64)
+    for at in range(0, len(codes), 1 << 18):  # bounded working set, however long a text is
+        part = bits[codes[at : at + (1 << 18)]]
+        lo, hi = np.searchsorted(ends, [at, at + len(part) - 1], side="right")
+        starts = np.maximum(ends[lo : hi + 1] - sizes[lo : hi + 1], at) - at
+        full = sizes[lo : hi + 1] > 0
+        ones[lo : hi + 1][full] += np.add.reduceat(part.astype(np.int32), starts[full], axis=0)
+    packed = np.packbits(2 * ones > sizes[:, None], axis=1)
+    return [p.tobytes().hex() if n else b for p, n, b in zip(packed, sizes, blank)]
 
 
 def _blocks(n_blocks: int) -> list[tuple[int, int]]:
@@ -85,6 +89,7 @@ def near_pairs(
     billions of rows. A bucket that is still crowded is split again on the remaining
     bits by the same argument, which loses no pair.
     """
+    fps = cut_lineage(fps)  # read once per key family below
     blocks = _blocks(n_blocks or threshold + 3)
     need = len(blocks) - threshold
 

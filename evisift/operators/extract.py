@@ -108,13 +108,28 @@ LIST_CUES = [
 ]
 
 
+# Literal heads of the cues: texts without any of them skip the pattern scans.
+LIST_CUE_HEADS = ["symptoms", "clinical manifestations are", "clinical features include", "patients typically", "characterized by", "presents with", "present with", "features"]
+
+
 def list_like_features(c: Column, max_items: int = 24) -> Column:
     """X06. Enumeration needs two leading digits, as in the contract."""
-    lines = lines_of(c)
-    frags = F.concat(*[all_groups(c, rx, 2) for rx in LIST_CUES])
+    def cue(rx: str, gate: Column) -> Column:
+        return F.when(gate, all_groups(c, rx, 2)).otherwise(empty())
+
+    latin = bind(F.lower(c), lambda low: any_contains(low, LIST_CUE_HEADS))
+    cjk = any_contains(c, ["表现", "症状", "特征"])
+    frags = F.concat(*[cue(rx, latin) for rx in LIST_CUES[:3]], *[cue(rx, cjk) for rx in LIST_CUES[3:]])
+    return bind(F.struct(lines_of(c).alias("lines"), frags.alias("frags")), lambda b: _list_like(c, b["lines"], b["frags"], max_items))
+
+
+def _list_like(c: Column, lines: Column, frags: Column, max_items: int) -> Column:
     parts = F.flatten(F.transform(frags, lambda f: F.split(squash(f), rf"(?i)[，,、;；]+|{BOUND_L}and{BOUND_R}|{BOUND_L}or{BOUND_R}")))
-    items = F.filter(F.transform(parts, squash), lambda s: F.length(s).between(2, 64))
     sentences = F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"[。.!?;；]")) + 1)
+    return bind(F.filter(F.transform(parts, squash), lambda s: F.length(s).between(2, 64)), lambda items: _list_like_struct(lines, items, sentences, max_items))
+
+
+def _list_like_struct(lines: Column, items: Column, sentences: Column, max_items: int) -> Column:
     return F.struct(
         F.exists(lines, _bullet).alias("has_bullets"),
         F.exists(lines, lambda l: _two_digits(l) | _bracket_number(l)).alias("has_enumeration"),
@@ -197,6 +212,10 @@ def any_contains(c: Column, words: list[str]) -> Column:
 def infer_list_type(c: Column, slots: Column) -> Column:
     """Location / symptom / drug / generic."""
     low = F.lower(c)
+    return bind(low, lambda lo: _list_type(c, lo, slots))
+
+
+def _list_type(c: Column, low: Column, slots: Column) -> Column:
     slot_has = lambda rx: F.exists(slots, lambda s: F.lower(s).rlike(rx))
     cases = low.rlike(r"\(\s*\d+\s+cases?\s*\)")
     geo = any_contains(low, GEO_WORDS_EN) | any_contains(c, GEO_WORDS_ZH) | any_contains(low, FOUND_PHRASES)
@@ -217,16 +236,16 @@ def _split_in_order(arr: Column, delimiters: list[str]) -> Column:
     return arr
 
 
-def _after_phrase(c: Column, phrase: str) -> Column:
+def _after_phrase(c: Column, low: Column, phrase: Column) -> Column:
     """Text after the first occurrence of the phrase, up to the first separator kind that occurs past position 0."""
-    at = F.locate(phrase.lower(), F.lower(c))
-    frag = strip(F.substring(c, at + len(phrase), F.length(c)))
-    out = None
-    for sep in [".", ";", "\n", "。", "；", "!", "！", "?", "？"]:
-        j = F.instr(frag, sep)
-        cut = strip(F.substring(frag, F.lit(1), j - 1))
-        out = F.when(j > 1, cut) if out is None else out.when(j > 1, cut)
-    return out.otherwise(frag)
+    seps = F.array(*[F.lit(s) for s in [".", ";", "\n", "。", "；", "!", "！", "?", "？"]])
+    at = F.call_function("locate", F.lower(phrase), low)
+
+    def cut(frag: Column) -> Column:
+        ends = F.filter(F.transform(seps, lambda s: F.call_function("instr", frag, s)), lambda j: j > 1)
+        return F.when(F.size(ends) > 0, strip(F.substring(frag, F.lit(1), F.get(ends, 0) - 1))).otherwise(frag)
+
+    return bind(strip(F.substring(c, at + F.length(phrase), F.length(c))), cut)
 
 
 def _numbered(lines: Column, rx: str) -> tuple[Column, Column]:
@@ -242,12 +261,13 @@ def rule_list_features(c: Column, rules: dict, semantic_type: str) -> Column:
 
     def with_caps(t: Column) -> Column:
         caps = F.transform(all_groups(t, capture, 1), clean) if capture else empty()
-        return bind(F.struct(lines_of(t).alias("lines"), caps.alias("caps")), lambda b: _rule_features(t, b["lines"], b["caps"], rules, semantic_type))
+        pack = F.struct(lines_of(t).alias("lines"), caps.alias("caps"), F.lower(t).alias("low"))
+        return bind(pack, lambda b: _rule_features(t, b["low"], b["lines"], b["caps"], rules, semantic_type))
 
     return bind(t, with_caps)
 
 
-def _rule_features(t: Column, lines: Column, caps: Column, rules: dict, semantic_type: str) -> Column:
+def _rule_features(t: Column, low: Column, lines: Column, caps: Column, rules: dict, semantic_type: str) -> Column:
     sig, split, conf = rules.get("signals", {}), rules.get("split", {}), rules.get("confidence", {})
     signals, items, scores = [], [], [F.lit(0.0)]
     capture = sig.get("paren_cases_capture_regex")
@@ -274,14 +294,15 @@ def _rule_features(t: Column, lines: Column, caps: Column, rules: dict, semantic
         signals.append(F.when(done, F.lit("numbering")))
         scores.append(F.when(done, float(conf.get("numbering", 0.0))).otherwise(0.0))
         items.append(picked)
-    for phrase in sig.get("trigger_phrases", []):
-        hit = F.contains(F.lower(t), F.lit(phrase.lower()))
-        signals.append(F.when(hit, F.lit(f"trigger_phrase:{phrase}")))
-        scores.append(F.when(hit, float(conf.get("trigger_phrase", 0.0))).otherwise(0.0))
-        frag = _after_phrase(t, phrase)
-        found = F.when(frag == "", empty()).otherwise(_split_in_order(F.array(frag), split.get("delimiters", [])))
-        skip = captured if semantic_type == "location" else F.lit(False)
-        items.append(F.when(hit & ~skip, found).otherwise(empty()))
+    phrases = sig.get("trigger_phrases", [])
+    fired = None
+    if phrases:
+        # One expression over the list of phrases, not one per phrase.
+        fired = F.filter(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, F.lower(p)))
+        scores.append(F.when(F.size(fired) > 0, float(conf.get("trigger_phrase", 0.0))).otherwise(0.0))
+        frags = F.filter(F.transform(fired, lambda p: _after_phrase(t, low, p)), lambda f: f != "")
+        found = _split_in_order(frags, split.get("delimiters", []))
+        items.append(F.when(captured, empty()).otherwise(found) if semantic_type == "location" else found)
     if sig.get("paren_cases_regex") and not capture:
         rx = "(?i)" + sig["paren_cases_regex"]
         sent = strip(F.regexp_extract(t, rf"(?i)([^.;\n。；!！?？]*{sig['paren_cases_regex']}[^.;\n。；!！?？]*)", 1))
@@ -298,6 +319,8 @@ def _rule_features(t: Column, lines: Column, caps: Column, rules: dict, semantic
         return good
 
     sigs = F.array_compact(F.array(*signals)) if signals else empty()
+    if fired is not None:
+        sigs = F.concat(sigs, F.transform(fired, lambda p: F.concat(F.lit("trigger_phrase:"), p)))
     return F.struct(
         sigs.alias("signals"), F.array_distinct(F.filter(raw, keep)).alias("list_items"),
         F.greatest(*scores, F.lit(0.0)).alias("confidence"), F.lit("other" if semantic_type == "generic" else semantic_type).alias("list_type"),
@@ -307,16 +330,23 @@ def _rule_features(t: Column, lines: Column, caps: Column, rules: dict, semantic
 def list_features(df: DataFrame, text: str, slots: str, rules: dict[str, dict] | None = None) -> DataFrame:
     """X07+X08: adds ``lf``. Each row runs only the rule set of its own type."""
     rules = rules or LIST_RULES
-    typed = df.withColumn("_lt", infer_list_type(F.col(text), F.col(slots)))
-    out = None
-    for name in ("location", "symptom", "drug", "generic"):
-        feat = rule_list_features(F.col(text), merge_rules(rules.get("generic", {}), rules.get(name, {})), name)
-        out = F.when(F.col("_lt") == name, feat) if out is None else out.when(F.col("_lt") == name, feat)
-    return typed.withColumn("lf", out).drop("_lt")
+
+    def by_type(kind: Column) -> Column:
+        out = None
+        for name in ("location", "symptom", "drug", "generic"):
+            feat = rule_list_features(F.col(text), merge_rules(rules.get("generic", {}), rules.get(name, {})), name)
+            out = F.when(kind == name, feat) if out is None else out.when(kind == name, feat)
+        return out
+
+    return df.withColumn("lf", bind(infer_list_type(F.col(text), F.col(slots)), by_type))
 
 
 def list_bank_meta(lf: Column, like: Column, slots: Column) -> Column:
     """List metadata of a bank row from both feature kinds."""
+    return bind(F.struct(lf.alias("lf"), like.alias("like"), slots.alias("slots")), lambda b: _bank_meta(b["lf"], b["like"], b["slots"]))
+
+
+def _bank_meta(lf: Column, like: Column, slots: Column) -> Column:
     items = F.when(F.size(lf["list_items"]) > 0, lf["list_items"]).otherwise(like["list_like_items"])
     sig = lf["signals"]
     has = lambda w: F.exists(sig, lambda s: F.contains(s, F.lit(w)))
@@ -366,7 +396,10 @@ def enumeration_items(s: Column) -> Column:
             i == 0, strip(F.regexp_replace(strip(F.regexp_replace(p, LEAD_CLAUSE, "")), LEAD_CLAUSE_ZH, ""))
         ).otherwise(p),
     )
-    items = F.filter(raw, lambda p: F.length(p).between(2, 60))
+    return bind(F.filter(raw, lambda p: F.length(p).between(2, 60)), _enumeration)
+
+
+def _enumeration(items: Column) -> Column:
     digits = F.size(F.filter(items, lambda p: p.rlike(r"\d")))
     words = F.size(F.filter(items, lambda p: p.rlike(f"[A-Za-z{CJK}]")))
     return F.struct(items.alias("items"), ((digits >= 2) & (words >= 2)).alias("mixed"))
@@ -403,10 +436,11 @@ def evidence_units(block_id: Column, c: Column, section: Column, list_items: Col
     """Sentence units; only without a primary one: blocked fragment, list items or one fragment."""
     sents = F.transform(split_units(c), lambda s, i: F.struct(F.concat(block_id, F.lit("#s"), i.cast("string")).alias("sid"), s.alias("s")))
     units = F.transform(sents, lambda x: sentence_unit(x["sid"], x["s"]))
-    return bind(units, lambda us: _units_of_block(us, c, section, list_items))
+    listed = F.filter(F.transform(list_items, strip), lambda x: x != "")
+    return bind(F.struct(units.alias("u"), listed.alias("i"), section.alias("s")), lambda b: _units_of_block(b["u"], c, b["s"], b["i"]))
 
 
-def _units_of_block(units: Column, c: Column, section: Column, list_items: Column) -> Column:
+def _units_of_block(units: Column, c: Column, section: Column, items: Column) -> Column:
     primary = F.exists(units, lambda u: u["unit_type"] == "sentence_enumerative")
     low = F.lower(c)
     none = F.lit(None)
@@ -415,7 +449,6 @@ def _units_of_block(units: Column, c: Column, section: Column, list_items: Colum
         .when(low.rlike(DISCOURSE), _reasons("discourse_list")).when(low.rlike(BLOCKING), _reasons("procedural_or_metadata"))
     )
     blocked = F.array(_unit(none, "fragment", "non_fact", c, F.lit(0.1), blocked_by))
-    items = F.filter(F.transform(list_items, strip), lambda x: x != "")
 
     def item_unit(x: Column) -> Column:
         xl = F.lower(x)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import taxonomy as X
 from ..functions.text import squash, strip
+from ..session import cut_lineage
 from .ranking import global_position
 
 
@@ -53,8 +54,10 @@ def entities(triples: DataFrame) -> DataFrame:
     )
 
 
-def merge_aliases(triples: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``aliases(canonical, alias, ord)`` -> (entities, rewritten triples).
+def merge_aliases(triples: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``aliases(canonical, alias, ord)`` -> (entities, absorbed names, rewritten triples).
+
+    Absorbed names stay rows ``(name, alias)``: a canonical may take over any number.
 
     The name index maps a key to the name registered last (aliases come after all
     triples). A name whose key points elsewhere is rewritten, one hop only. It is
@@ -76,15 +79,11 @@ def merge_aliases(triples: DataFrame, aliases: DataFrame) -> tuple[DataFrame, Da
     moves = moves.join(known, "to", "left").select("name", "to", "entity_type", F.coalesce("canon_known", F.lit(False)).alias("absorbed"))
     gone = moves.where("absorbed")
     inherit = gone.where("entity_type <> ''").groupBy("to").agg(F.min_by("entity_type", "name").alias("inherited"))
-    folded = gone.groupBy("to").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
+    absorbed = gone.select(F.col("to").alias("name"), F.col("name").alias("alias"))
     kept = (
         ents.join(gone.select("name"), "name", "left_anti")
         .join(inherit.withColumnRenamed("to", "name"), "name", "left")
-        .join(folded.withColumnRenamed("to", "name"), "name", "left")
-        .select(
-            "name", F.coalesce(F.nullif("entity_type", F.lit("")), "inherited", F.lit("")).alias("entity_type"),
-            F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"), "first_seen",
-        )
+        .select("name", F.coalesce(F.nullif("entity_type", F.lit("")), "inherited", F.lit("")).alias("entity_type"), "first_seen")
     )
     mv = moves.select("name", F.col("to").alias("moved"))
     out = (
@@ -93,7 +92,7 @@ def merge_aliases(triples: DataFrame, aliases: DataFrame) -> tuple[DataFrame, Da
         .join(mv.withColumnRenamed("name", "object"), "object", "left")
         .withColumn("object", F.coalesce("moved", "object")).drop("moved")
     )
-    return kept, out
+    return kept, absorbed, out
 
 
 def build_nodes(ents: DataFrame) -> DataFrame:
@@ -170,18 +169,38 @@ def walk(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
     return found.select("start", "node", "relation", "triple_id", "hop", "path")
 
 
+def _with_sid(triples: DataFrame) -> DataFrame:
+    return triples.withColumn("sid", strip(F.coalesce("sentence_id", F.lit("")))).where("sid <> ''")
+
+
 def sentence_index(triples: DataFrame) -> DataFrame:
-    """Per sentence the text of its first triple and the sorted triple ids."""
-    s = triples.withColumn("sid", strip(F.coalesce("sentence_id", F.lit("")))).where("sid <> ''")
-    return s.groupBy("sid").agg(
+    """Per sentence the text of its first triple and the number of triples."""
+    return _with_sid(triples).groupBy("sid").agg(
         F.min_by("sentence_text", "ord").alias("text"), F.min_by("source_doc_id", "ord").alias("source_doc_id"),
-        F.array_sort(F.collect_set("triple_id")).alias("triple_ids"),
+        F.count_distinct("triple_id").alias("n_triples"),
     )
 
 
-def entity_index(nodes: DataFrame) -> DataFrame:
-    """Name or alias key -> node; the entry written last wins, as in a map built in name order."""
-    base = nodes.select("node_id", "name", F.explode(F.concat(F.array("name"), "aliases")).alias("n"))
+def sentence_triples(triples: DataFrame) -> DataFrame:
+    """The distinct (sentence, triple) links as rows; a sentence may carry any number."""
+    return _with_sid(triples).select("sid", "triple_id").distinct()
+
+
+def display_aliases(absorbed: DataFrame, k: int = 3) -> DataFrame:
+    """The first k aliases of a name, as shown in contexts and anchors."""
+    w = Window.partitionBy("name").orderBy("alias")
+    few = absorbed.where("alias <> name").withColumn("n", F.row_number().over(w)).where(F.col("n") <= k)
+    return few.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "alias"))), lambda s: s["alias"]).alias("aliases"))
+
+
+def entity_index(nodes: DataFrame, absorbed: DataFrame | None = None) -> DataFrame:
+    """Name or alias key -> node; the entry written last wins, as in a map built in name order.
+
+    ``absorbed(name, alias)`` holds every alias; without it the names alone are indexed.
+    """
+    base = nodes.select("node_id", "name", F.col("name").alias("n"))
+    if absorbed is not None:
+        base = base.unionByName(nodes.select("node_id", "name").join(absorbed, "name").select("node_id", "name", F.col("alias").alias("n")))
     return base.select(index_key(F.col("n")).alias("key"), "node_id", "name").where("key <> ''").groupBy("key").agg(
         F.max_by("node_id", "name").alias("node_id")
     )
@@ -265,12 +284,12 @@ def retrieve(
     """
     idx = entity_index(nodes)
     wanted = queries.select("qid", intent_relation_column(F.col("intent")).alias("rels"), F.lower("intent").alias("intent"))
-    m = recognise(queries, idx).join(wanted, "qid")
+    m = cut_lineage(recognise(queries, idx).join(wanted, "qid"))  # read by every branch below
     starts = m.select(F.struct("qid", "match_no").alias("start"), F.col("node_id").alias("node"), "rels")
-    out = walk(edges, starts, max_hops)
+    out = cut_lineage(walk(edges, starts, max_hops))
     dry = starts.join(out.select("start").distinct(), "start", "left_anti")
     back = walk(reverse_edges(edges), dry, max_hops)
-    walked = out.unionByName(back)
+    walked = cut_lineage(out.unionByName(back))
     lost = starts.where(F.size("rels") > 0).join(
         walked.select(F.col("start.qid").alias("q")).distinct(), F.col("start.qid") == F.col("q"), "left_anti"
     )

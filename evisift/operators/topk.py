@@ -211,11 +211,11 @@ def top_k(
         buckets = int(max(1, -(-rows.count() // bucket_rows)))
         left = rows.select(
             *carry, F.pmod(F.xxhash64("rid"), F.lit(buckets)).alias("rb"),
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("qb"),
+            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("qb"),
         )
         right = queries.select(
             "qid", "item", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("qb"),
-            F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).cast("bigint").alias("rb"),
+            F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)).cast("array<bigint>")).alias("rb"),
         )
 
         def meet(lt: pa.Table, rt: pa.Table) -> pa.Table:

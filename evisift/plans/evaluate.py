@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sentences as N, text as T
 from ..operators import aggregate as A, evalmetrics as E, joins as J, retrieval as R
 from ..registry import query
-from ..session import spread
+from ..session import cut_lineage, spread
 from ..sources.tables import documents, table
 from . import sqlparts as S
 from .extract import SPLIT_A, SPLIT_D
@@ -145,6 +145,7 @@ def quality_report(spark, d):
         "lang", T.approx_token_count(F.col("t")).alias("tc"), (T.nonprintable_ratio(F.col("t")) >= 0.02).cast("int").alias("np"),
         (F.length("t") - F.length(F.translate("t", "|", "")) >= 8).cast("int").alias("tab"), F.sha2("t", 256).alias("h"),
     )
+    m = cut_lineage(m)  # five narrow columns per text, read four times below
     q = E.order_statistic(m, ["lang"], "tc", {"p50": E.floor_rank(0.5), "p95": E.floor_rank(0.95)}).drop("n")
     base = m.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.min("tc").alias("min_tokens"), F.round(F.avg("tc"), 6).alias("avg_tokens"), F.max("tc").alias("max_tokens"),

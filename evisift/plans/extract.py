@@ -48,7 +48,8 @@ def sentence_counts(spark, d):
     f"""select doc_id, doc_id || '#s' || (i - 1) as sentence_id, ss[i] as text from (select doc_id, ss, unnest(range(1, len(ss) + 1)) as i from (select doc_id, {SPLIT_A} as ss from documents))""",
 )
 def sentences(spark, d):
-    return X.sentence_table(documents(spark, d), "doc_id", "text").select("doc_id", "sentence_id", "text")
+    s = documents(spark, d).select("doc_id", F.posexplode(N.split_units(F.col("text"))).alias("i", "text"))
+    return s.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#s"), F.col("i").cast("string")).alias("sentence_id"), "text")
 
 
 @query("sentence_offsets", "C27")
@@ -147,9 +148,14 @@ _QUEST_SQL = " ".join(f"case when regexp_matches(q, '(?i){rx}') then '{slot}' en
 )
 def slot_inference(spark, d):
     c = F.col("text")
-    return documents(spark, d).select(
-        "doc_id", F.array_join(L.infer_slots(c), ",").alias("slots"), L.registry_slots(c).alias("r"), L.fact_policy(c)["domain_prior"].alias("domain_prior")
-    ).select("doc_id", "slots", F.array_join("r", ",").alias("registered"), L.block_type(F.col("r"), F.lit(False)).alias("block_type"), "domain_prior")
+    both = T.bind(L.infer_slots(c), lambda s: F.struct(s.alias("s"), L.registered(s).alias("r")))
+    out = T.bind(
+        both,
+        lambda b: F.struct(
+            F.array_join(b["s"], ",").alias("slots"), F.array_join(b["r"], ",").alias("registered"), L.block_type(b["r"], F.lit(False)).alias("block_type")
+        ),
+    )
+    return documents(spark, d).select("doc_id", out.alias("o"), L.fact_policy(c)["domain_prior"].alias("domain_prior")).select("doc_id", "o.*", "domain_prior")
 
 
 @query("list_features", "X06,X07,X08,X13,X23,S18")

@@ -117,10 +117,15 @@ def q_stats(spark, d):
 
 @query(
     "kg_sentence_index", "A12",
-    f"with {TRIPLES} select 's_' || triple_id as sid, arg_min(sentence_text, ord) as text, string_agg(distinct triple_id, ',') as triple_ids from tr group by triple_id",
+    f"with {TRIPLES} select 's_' || triple_id as sid, arg_min(sentence_text, ord) as text, count(distinct triple_id) as n_triples from tr group by triple_id",
 )
 def q_sentences(spark, d):
-    return G.sentence_index(kg_triples(spark, d)).select("sid", "text", F.array_join("triple_ids", ",").alias("triple_ids"))
+    return G.sentence_index(kg_triples(spark, d)).select("sid", "text", "n_triples")
+
+
+@query("kg_sentence_triples", "A12", f"with {TRIPLES} select distinct 's_' || triple_id as sid, triple_id from tr")
+def q_sentence_triples(spark, d):
+    return G.sentence_triples(kg_triples(spark, d))
 
 
 WALK2 = """h1 as (select node_id as start, tgt as node, arg_min(rel, [rord, eord]) as relation, arg_min(triple_id, [rord, eord]) as triple_id, 1 as hop, min([rord, eord]) as path
@@ -271,7 +276,7 @@ def q_alias(spark, d):
     aliases = nat.select(
         F.concat(F.lit("NATION_"), F.col("n_regionkey").cast("string")).alias("canonical"), F.col("n_name").alias("alias"), F.col("n_nationkey").cast("bigint").alias("ord")
     )
-    _, t = G.merge_aliases(kg_triples(spark, d), aliases)
+    _, _, t = G.merge_aliases(kg_triples(spark, d), aliases)
     subj = F.when(F.col("predicate") == "part_of", F.col("subject")).otherwise("-")
     return t.groupBy(subj.alias("subject_or_nation"), "predicate", "object").agg(F.count(F.lit(1)).alias("n"))
 
@@ -279,7 +284,7 @@ def q_alias(spark, d):
 @query(
     "alias_entities", "G02,G03",
     f"""with {TRIPLES}, al as (select n_name as alias, 'NATION_' || n_regionkey as canonical from nation),
-    fold as (select canonical as name, string_agg(alias, ',' order by alias) as aliases from al where alias <> canonical group by 1)
+    fold as (select canonical as name, string_agg(alias, ',' order by alias) as aliases from (select *, row_number() over (partition by canonical order by alias) as n from al where alias <> canonical) where n <= 3 group by 1)
     select e.name, entity_type, coalesce(aliases, '') as aliases from ent e left join fold using (name) where e.name not in (select alias from al where alias <> canonical)""",
 )
 def q_alias_entities(spark, d):
@@ -287,8 +292,9 @@ def q_alias_entities(spark, d):
     aliases = nat.select(
         F.concat(F.lit("NATION_"), F.col("n_regionkey").cast("string")).alias("canonical"), F.col("n_name").alias("alias"), F.col("n_nationkey").cast("bigint").alias("ord")
     )
-    ents, _ = G.merge_aliases(kg_triples(spark, d), aliases)
-    return ents.select("name", "entity_type", F.array_join("aliases", ",").alias("aliases"))
+    ents, absorbed, _ = G.merge_aliases(kg_triples(spark, d), aliases)
+    shown = ents.join(G.display_aliases(absorbed), "name", "left")
+    return shown.select("name", "entity_type", F.coalesce(F.array_join("aliases", ","), F.lit("")).alias("aliases"))
 
 
 _HITS = {
