@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
 from ..functions.text import bind, squash
 
 
@@ -61,7 +62,7 @@ def word_chunks(c: Column, target: int = 350, overlap_ratio: float = 0.15) -> Co
 
 def explode_windows(df: DataFrame, wins: Column, keys: list[str], prefix: str) -> DataFrame:
     """One row per window with ``{prefix}_no``, ``start``, ``end`` and the joined text."""
-    out = df.select(*keys, F.posexplode(wins).alias(f"{prefix}_no", "w"))
+    out = explode_rows(df, keys, wins, f"{prefix}_no", "w")
     return out.select(
         *keys,
         f"{prefix}_no",
@@ -73,11 +74,9 @@ def explode_windows(df: DataFrame, wins: Column, keys: list[str], prefix: str) -
 
 def two_level_blocks(df: DataFrame, tokens: Column, keys: list[str], chunk: int, block: int) -> DataFrame:
     """Non-overlapping chunks cut into non-overlapping blocks; ids carry offsets."""
-    chunks = df.select(*keys, F.posexplode(windows(tokens, chunk, 0)).alias("chunk_no", "c"))
-    blocks = chunks.select(
-        *keys, "chunk_no", F.col("c.start").alias("chunk_start"),
-        F.posexplode(windows(F.col("c.tokens"), block, 0)).alias("block_no", "b"),
-    )
+    chunks = explode_rows(df, keys, windows(tokens, chunk, 0), "chunk_no", "c")
+    heads = [*keys, "chunk_no", F.col("c.start").alias("chunk_start")]
+    blocks = explode_rows(chunks, heads, windows(F.col("c.tokens"), block, 0), "block_no", "b")
     start = F.col("chunk_start") + F.col("b.start")
     return blocks.select(
         *keys, "chunk_no", "block_no", start.alias("start"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chars import CJK
+from ..functions.rows import explode_rows
 from ..functions.text import bind, strip
 from .extract import BOUND_L, BOUND_R, any_contains
 from .joins import contained_terms, token_terms
@@ -25,7 +26,7 @@ def pattern_hits(queries: DataFrame, fixed: DataFrame, abbrs: DataFrame, trigger
 
     a = hits(contained_terms(queries, fixed), F.concat(F.lit("fixed_entity:"), "canonical"), ["fixed_entity", "literal"], 0.95)
     b = hits(token_terms(queries, abbrs), F.concat(F.lit("abbr:"), "term"), ["abbreviation_expansion", "literal"], 0.95)
-    toks = queries.select("qid", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_/-]+"), F.lit(0))).alias("t"))
+    toks = explode_rows(queries, ["qid"], F.regexp_extract_all("text", F.lit("[A-Za-z0-9_/-]+"), F.lit(0)), "t")
     upper = toks.where(F.length("t").between(2, 10) & F.col("t").rlike("[A-Z]") & ~F.col("t").rlike("[a-z]"))
     c = hits(upper, F.concat(F.lit("abbr_heur:"), "t"), ["abbreviation_candidate", "literal"], 0.35)
     d = hits(contained_terms(queries, triggers, fold=True), F.concat(F.lit("schema:"), "term"), ["schema_trigger", "structure"], 0.7)
@@ -86,7 +87,7 @@ def match_contracts(queries: DataFrame, contracts: list[dict]) -> DataFrame:
             ),
         )
 
-    out = queries.select("qid", F.explode(bind(F.array(*cells), ranked)).alias("m")).select("qid", "m.*")
+    out = explode_rows(queries, ["qid"], bind(F.array(*cells), ranked), "m").select("qid", "m.*")
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), "i")  # one group = the configured contracts
     return out.withColumn("rank", F.row_number().over(w)).drop("i")
 

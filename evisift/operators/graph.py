@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as X
+from ..functions.rows import explode_rows
 from ..functions.text import squash, strip
 from ..session import cut_lineage
 from .ranking import global_position
@@ -226,7 +227,7 @@ def recognise(queries: DataFrame, index: DataFrame) -> DataFrame:
             ),
         )
     )
-    grams = low.select("qid", "text", "low", F.explode(spans).alias("g")).select(
+    grams = explode_rows(low, ["qid", "text", "low"], spans, "g").select(
         "qid", (F.col("g.p") - 1).alias("p"), F.col("g.n").alias("n"),
         F.substring(F.col("low"), F.col("g.p"), F.col("g.n")).alias("key"), F.substring(F.col("text"), F.col("g.p"), F.col("g.n")).alias("mention"),
     )

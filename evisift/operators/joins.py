@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import explode_rows
 from ..functions.text import squash, strip
 
 
@@ -34,14 +35,14 @@ def contained_terms(queries: DataFrame, terms: DataFrame, fold: bool = False) ->
     if not lengths:
         return queries.select("qid").limit(0).join(t.drop("_k"), F.lit(False))
     c = F.lower("text") if fold else F.col("text")
-    grams = queries.select("qid", F.explode(substrings_at(c, lengths)).alias("_k"))
+    grams = explode_rows(queries, ["qid"], substrings_at(c, lengths), "_k")
     return grams.join(t, "_k").drop("_k")
 
 
 def token_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """A term equals one of the text's tokens, case-insensitively."""
     toks = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_/-]+"), F.lit(0)), F.lower))
-    q = queries.select("qid", F.explode(toks).alias("_k"))
+    q = explode_rows(queries, ["qid"], toks, "_k")
     return q.join(terms.where("term <> ''").withColumn("_k", F.lower("term")), "_k").drop("_k")
 
 

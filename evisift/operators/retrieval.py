@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import overlap_tokens
+from ..functions.rows import explode_rows
 from .topk import TokenOverlap, top_k
 
 
@@ -84,7 +85,7 @@ def ground_sentences(sentences: DataFrame, evidence: DataFrame, key: str) -> Dat
     from ..functions.tokens import overlap_tokens
 
     st = sentences.select(key, "sid", overlap_tokens(F.col("text")).alias("toks"))
-    et = evidence.select(key, F.explode(overlap_tokens(F.col("text"))).alias("tok")).distinct()
+    et = explode_rows(evidence, [key], overlap_tokens(F.col("text")), "tok").distinct()
     hit = st.select(key, "sid", F.explode("toks").alias("tok")).join(et, [key, "tok"]).groupBy("sid").agg(F.count(F.lit(1)).alias("hit"))
     out = st.select(key, "sid", F.size("toks").cast("bigint").alias("n")).join(hit, "sid", "left")
     hit0 = F.coalesce("hit", F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.noise import heading_section
+from ..functions.rows import explode_rows
 from ..functions.text import paragraphs
 
 MARK = "array<struct<o:int,sec:string>>"
@@ -33,7 +34,7 @@ def paragraph_sections(df: DataFrame, key: str, text: str, initial: str = "") ->
     meet there, so no join or sort over documents is needed.
     """
     c = F.col(text)
-    rows = df.select(key, text, section_markers(c).alias("ms"), F.posexplode(paragraphs(c)).alias("para_no", "para"))
+    rows = explode_rows(df, [key, text, section_markers(c).alias("ms")], paragraphs(c), "para_no", "para")
     pos = F.call_function("locate", F.substring("para", 1, 60), c) - 1
     before = F.filter("ms", lambda m: m["o"] <= pos)
     last = lambda a: F.try_element_at(a, F.lit(-1))["sec"]

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import noise, text as T
+from ..functions import text as T
+from ..functions.rows import explode_rows
 from ..operators import chunking as K
 from ..operators import dedupe as D
 from ..registry import query
@@ -126,7 +127,7 @@ _PARAS = f"""list_filter(list_transform(string_split_regex(text, {S.sql_str(f'{c
     from (select doc_id, ps, unnest(range(1, len(ps) + 1)) as i from (select doc_id, {_PARAS} as ps from documents))""",
 )
 def paragraphs(spark, d):
-    ps = documents(spark, d).select("doc_id", F.posexplode(T.paragraphs(F.col("text"))).alias("para_no", "p"))
+    ps = explode_rows(documents(spark, d), ["doc_id"], T.paragraphs(F.col("text")), "para_no", "p")
     return ps.select("doc_id", "para_no", F.md5("p").alias("para_md5"), F.length("p").alias("para_len"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sentences as N, text as T
+from ..functions.rows import explode_rows
 from ..operators import aggregate as A, evalmetrics as E, joins as J, retrieval as R
 from ..registry import query
 from ..session import cut_lineage, spread
@@ -313,7 +314,7 @@ _SENT_D = SPLIT_D
 )
 def grounding(spark, d):
     c = spread(table(spark, d, "conversations"), "conv_id")
-    s = c.where("role = 'assistant'").select("conv_id", "turn", F.posexplode(N.split_cjk_stops(F.col("text"))).alias("i", "text"))
+    s = explode_rows(c.where("role = 'assistant'"), ["conv_id", "turn"], N.split_cjk_stops(F.col("text")), "i", "s").withColumnRenamed("s", "text")
     s = s.select("conv_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("i").cast("string")).alias("sid"), "text")
     return R.ground_sentences(s, c.where("role = 'user'").select("conv_id", "text"), "conv_id")
 

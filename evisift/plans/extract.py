@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import noise, sentences as N, slots as L, text as T
+from ..functions.rows import explode_rows
 from ..operators import extract as X
 from ..operators import values as V
 from ..registry import query
@@ -48,7 +49,7 @@ def sentence_counts(spark, d):
     f"""select doc_id, doc_id || '#s' || (i - 1) as sentence_id, ss[i] as text from (select doc_id, ss, unnest(range(1, len(ss) + 1)) as i from (select doc_id, {SPLIT_A} as ss from documents))""",
 )
 def sentences(spark, d):
-    s = documents(spark, d).select("doc_id", F.posexplode(N.split_units(F.col("text"))).alias("i", "text"))
+    s = explode_rows(documents(spark, d), ["doc_id"], N.split_units(F.col("text")), "i", "s").withColumnRenamed("s", "text")
     return s.select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#s"), F.col("i").cast("string")).alias("sentence_id"), "text")
 
 
@@ -75,7 +76,7 @@ _NOISE = rf"""(s = '' or regexp_matches(s, '{noise.REF_HEADER}') or regexp_match
     from (select doc_id, unnest({SPLIT_A}) as s from documents) group by doc_id""",
 )
 def noise_sentences(spark, d):
-    s = documents(spark, d).select("doc_id", F.explode(N.split_units(F.col("text"))).alias("s"))
+    s = explode_rows(documents(spark, d), ["doc_id"], N.split_units(F.col("text")), "s")
     one = lambda c, n: F.sum(c.cast("int")).alias(n)
     c = F.col("s")
     return s.groupBy("doc_id").agg(
@@ -111,7 +112,7 @@ def doc_meta_heuristics(spark, d):
 def entity_topk(spark, d):
     from ..operators.aggregate import top_values
 
-    e = documents(spark, d).select("doc_id", F.posexplode(X.entity_candidates(F.col("text"))).alias("pos", "entity"))
+    e = explode_rows(documents(spark, d), ["doc_id"], X.entity_candidates(F.col("text")), "pos", "entity")
     ranked = top_values(e.withColumn("grp", F.substring("entity", 1, 1)), "grp", "entity", ["doc_id", "pos"], 8)
     return ranked.select("grp", "entity", "n", "rank")
 
@@ -125,7 +126,7 @@ def abbr_topk(spark, d):
     parts = table(spark, d, "part").select(
         F.col("p_partkey").alias("id"), F.concat(F.lit("The "), "p_name", F.lit(" ("), F.upper(F.regexp_replace("p_brand", "#", "")), F.lit(")")).alias("text")
     )
-    p = docs.unionByName(parts).select("id", F.posexplode(X.abbreviation_pairs(F.col("text"))).alias("pos", "p"))
+    p = explode_rows(docs.unionByName(parts), ["id"], X.abbreviation_pairs(F.col("text")), "pos", "p")
     p = p.select("id", "pos", "p.*").where(F.col("confidence") >= 0.6)
     return top_values(p, "abbr", "full", ["id", "pos"], 8).select("abbr", "full", "n", "rank")
 
@@ -181,7 +182,7 @@ def unit_rows(spark, d):
 
 @query("evidence_units", "X09,X10,X11,X12,K09,K10")
 def evidence_units(spark, d):
-    u = unit_rows(spark, d).select("doc_id", F.posexplode("units").alias("unit_no", "u"))
+    u = explode_rows(unit_rows(spark, d), ["doc_id"], F.col("units"), "unit_no", "u")
     return u.select(
         "doc_id", "unit_no", "u.sentence_id", "u.unit_type", "u.semantic_role", "u.confidence", F.md5("u.text").alias("text_md5"),
         F.array_join("u.reasons", ",").alias("reasons"), X.injectable(F.col("u")).alias("allowed"),
@@ -201,7 +202,7 @@ def sidecar_facts(spark, d):
         F.array(F.struct(F.lit("lang").alias("slot"), F.col("lang").alias("value")), F.struct(F.lit("source").alias("slot"), F.col("source").alias("value"))).alias("fills"),
     )
     facts = X.sidecar_facts(F.col("doc_id"), F.col("pairs"), F.col("primary"), F.lit(False), c, F.col("fills"))
-    return rows.select("doc_id", F.explode(facts).alias("f")).select("doc_id", "f.*")
+    return explode_rows(rows, ["doc_id"], facts, "f").select("doc_id", "f.*")
 
 
 _NOTES = ", ".join(f"min(doc_id) filter (regexp_matches(lower(text), '{rx.replace(X.BOUND_L, '').replace(X.BOUND_R, '')}')) as n{i}" for i, (_, rx, _) in enumerate(X.SCHEMA_NOTES) if "ifn" not in rx)
@@ -250,7 +251,7 @@ def value_cleaning(spark, d):
 
 @query("quote_validation", "X22")
 def quote_validation(spark, d):
-    s = documents(spark, d).select("doc_id", "text", F.posexplode(N.split_ws(F.col("text"))).alias("i", "q"))
+    s = explode_rows(documents(spark, d), ["doc_id", "text"], N.split_ws(F.col("text")), "i", "q")
     return s.groupBy("doc_id").agg(F.sum(X.valid_quote(F.col("q"), F.col("text")).cast("int")).alias("valid"), F.count(F.lit(1)).alias("n"))
 
 

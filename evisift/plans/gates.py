@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sentences as N, slots as L, text as T
+from ..functions.rows import explode_rows
 from ..operators import aggregate as A, extract as X, folds as Fo, gating as G, hygiene as H, joins as J, values as V, vectors as Ve
 from ..registry import query
 from ..session import spread
@@ -64,7 +65,7 @@ def contract_match(spark, d):
 @query("schema_scores", "Q04")
 def schema_scores(spark, d):
     s = G.schema_scores(F.col("text"), ["schema:treatment", "schema:epidemiology", "abbr:SFTS", "entity:x"])
-    rows = documents(spark, d).select("doc_id", F.posexplode(s).alias("rank", "s"))
+    rows = explode_rows(documents(spark, d), ["doc_id"], s, "rank", "s")
     return rows.groupBy("rank", "s.schema_id", "s.score").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -75,7 +76,7 @@ def signal_rows(spark, d):
         L.registry_slots(c).alias("slots"), T.is_table_text(c).alias("tab"),
     )
     sig = G.block_signals(F.col("pairs"), F.col("ents"), F.col("slots"), L.block_type(F.col("slots"), F.col("tab")), F.col("tab"))
-    return rows.select("qid", "block_id", F.explode(sig).alias("s")).select("qid", "block_id", "s.signal", "s.info")
+    return explode_rows(rows, ["qid", "block_id"], sig, "s").select("qid", "block_id", "s.signal", "s.info")
 
 
 @query("contract_validation", "A15,A16,Q06,Q07")
@@ -277,7 +278,7 @@ def relation_claims(spark, d):
 def detail_lines(spark, d):
     docs = documents(spark, d, "text", "lang", "source")
     lines = G.detail_lines(F.substring(T.strip(F.col("text")), 1, 80), F.array("lang", "source"), F.array().cast("array<string>"))
-    return docs.select("doc_id", F.posexplode(lines).alias("line_no", "line"))
+    return explode_rows(docs, ["doc_id"], lines, "line_no", "line")
 
 
 @query("triple_parse", "X17,C33,G15")
