@@ -102,7 +102,20 @@ def abstract_seeds(spark, d):
     )
 
 
-@query("doc_meta_heuristics", "C28")
+_W = f"[^{S.WORD}]"
+_TITLE_NOISE = (
+    f"(?i)^(\\s*\\d+\\s*$|(.*{_W})?(vol\\.?|issue|pages?|proceedings)({_W}.*)?$|(.*{_W})?(received|accepted|published|copyright)({_W}.*)?$"
+    "|.*@.*\\.(com|edu|org|cn)|\\s*https?://\\S+\\s*$)"
+)
+
+
+@query(
+    "doc_meta_heuristics", "C28",
+    f"""with l as (select doc_id, source, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: {S.strip('x')}),
+      lambda x: length(x) between 10 and 300 and not regexp_matches(x, '(^|{_W})10\\.\\d{{4,9}}/') and not regexp_matches(x, '{_TITLE_NOISE}')) as ts from documents)
+    select doc_id, coalesce(ts[1], 'doc') as title, nullif(regexp_extract(text, '(?:^|{_W})(10\\.\\d{{4,9}}/[-._;()/:A-Za-z0-9]*[A-Za-z0-9_])', 1), '') as doi,
+     nullif(regexp_extract(substr(text, 1, 4000), '(?:^|{_W})(19\\d{{2}}|20\\d{{2}})(?:{_W}|$)', 1), '')::int as publication_year from l""".replace("\\\\", "\\"),
+)
 def doc_meta_heuristics(spark, d):
     m = noise.doc_meta(F.col("text"), F.concat(F.col("source"), F.lit("/doc.pdf")), F.col("doc_id"))
     return documents(spark, d, "text", "source").select("doc_id", m.alias("m")).select("doc_id", "m.*")
@@ -228,7 +241,16 @@ def schema_blocks(spark, d):
     return s.select("source", *[F.array_join(f, "; ").alias(f) for f in X.SCHEMA_FIELDS])
 
 
-@query("schema_texts", "X16")
+def _shown_sql(field: str) -> str:
+    cells = _field_sql(field).removeprefix("array_to_string(").removesuffix(", '; ')")
+    return f"'- {field}: ' || coalesce(nullif(array_to_string(({cells})[1:3], '; '), ''), 'N/A') || chr(10)"
+
+
+@query(
+    "schema_texts", "X16",
+    f"""select source, 'Confirmed evidence slots (do NOT treat as a full answer; do NOT invent new facts):' || chr(10) || {" || ".join(_shown_sql(f) for f in X.SCHEMA_FIELDS)} as text
+    from (select source, {_NOTES}, {_IFN} from documents group by source)""",
+)
 def schema_texts(spark, d):
     s = X.schema_blocks(documents(spark, d, "text", "source"), "source", "text", "doc_id")
     return s.select("source", X.schema_text().alias("text"))

@@ -26,6 +26,14 @@ def first_words(spark, d):
     return documents(spark, d).select(w.alias("term")).where("term <> ''").distinct()
 
 
+HITS = rf"""t as (select distinct {FIRST} as term from documents where {FIRST} <> ''),
+    tok as (select item_id as qid, unnest(regexp_extract_all(text, '[A-Za-z0-9_/-]+')) as w from benchmark),
+    h as (select item_id as qid, 'fixed_entity:' || term as block_id, unnest(['fixed_entity', 'literal']) as kind, 0.95 as confidence from benchmark join t on contains(text, term)
+      union all select qid, 'abbr:' || term, unnest(['abbreviation_expansion', 'literal']), 0.95 from tok join t on lower(w) = lower(term)
+      union all select qid, 'abbr_heur:' || w, unnest(['abbreviation_candidate', 'literal']), 0.35 from tok where length(w) between 2 and 10 and regexp_matches(w, '[A-Z]') and not regexp_matches(w, '[a-z]')
+      union all select item_id, 'schema:' || term, unnest(['schema_trigger', 'structure']), 0.7 from benchmark join t on contains(lower(text), lower(term)))"""
+
+
 @query(
     "pattern_hits", "Q01,Q02,U04,J04,J05,T21,S19",
     rf"""with t as (select distinct {FIRST} as term from documents where {FIRST} <> ''),
@@ -42,7 +50,14 @@ def pattern_hits(spark, d):
     return out.select("qid", "block_id", F.array_join("hit_types", ",").alias("hit_types"), "confidence")
 
 
-@query("contract_levels", "Q05")
+@query(
+    "contract_levels", "Q05",
+    f"""with {HITS}, d as (select qid, block_id, max(confidence) as c from h group by all),
+    k as (select case when block_id like 'abbr%' then 'abbr' when block_id like 'schema:%' then 'schema' when block_id like 'fixed_entity:%' then 'entity' else 'other' end as kind,
+      regexp_replace(block_id, '^[a-z_]+:', '') as name, c from d)
+    select kind, case when kind = 'abbr' and length(name) >= 4 and c >= 0.9 then 'hard' else 'soft' end as level,
+     case kind when 'abbr' then 0.3 when 'schema' then 0.45 when 'entity' then 0.35 else 0.2 end::double as min_density, count(*) as n from k group by all""",
+)
 def contract_levels(spark, d):
     t = first_words(spark, d)
     hits = G.pattern_hits(bench(spark, d), t.withColumn("canonical", F.col("term")), t, t)
@@ -281,7 +296,10 @@ def detail_lines(spark, d):
     return explode_rows(docs, ["doc_id"], lines, "line_no", "line")
 
 
-@query("triple_parse", "X17,C33,G15")
+@query(
+    "triple_parse", "X17,C33,G15,T04,T08",
+    """select case o_orderstatus when 'F' then 'located_in' when 'O' then 'treats' else 'unheard of' end as predicate, o_orderpriority as object, 0.9::double as confidence, count(*) as n from orders group by 1, 2""",
+)
 def triple_parse(spark, d):
     """Orders rendered as a model's JSON answer, parsed back with vocabulary repair."""
     from ..functions.taxonomy import RELATIONS

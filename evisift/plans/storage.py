@@ -12,7 +12,7 @@ from ..sources import bank as B, jsonl as J, pages as P
 from ..sources.tables import table
 from ..streaming import logs as L
 from . import sqlparts as S
-from .graph import kg_tables
+from .graph import TRIPLES, kg_tables
 
 
 def pages(spark, d):
@@ -112,7 +112,11 @@ def chunk_store(spark, d):
     return r.select("doc_id", "lang", F.md5("text").alias("text_md5"), F.col("extra")["origin"].alias("extra_origin"))
 
 
-@query("graph_store", "S15,S16")
+@query(
+    "graph_store", "S15,S16",
+    f"""with {TRIPLES} select 'nodes' as part, count(*) as n from nodes union all select 'edges', count(*) from edges
+    union all select 'entity_index', count(distinct lower(name)) from nodes union all select 'sentence_index', count(distinct triple_id) from tr""",
+)
 def graph_store(spark, d):
     t, nodes, edges = kg_tables(spark, d)
     path = B.scratch_path(spark, "graph")
