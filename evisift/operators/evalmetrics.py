@@ -186,16 +186,16 @@ def softmax_mass(logprobs: Column, labels: Column) -> Column:
 
 
 def pick_prediction(method: Column, raw: Column, grounded: Column, base: Column, injected: Column) -> Column:
-    """Which text of a run is scored for each method."""
+    """Which text of a run is scored: graph runs by their raw decode, grounded graph runs by the filtered text."""
     def first(*cs: Column) -> Column:
         return F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
 
     return (
-        F.when(method == "llm", first(base))
-        .when(method == "graphrag", first(raw, grounded))
-        .when(method == "kvi", first(grounded, raw))
-        .when(method == "rag", first(grounded, base))
-        .when(method == "kv_prefix", first(injected))
+        F.when(method == "base", first(base))
+        .when(method == "graph", first(raw, grounded))
+        .when(method == "graph_grounded", first(grounded, raw))
+        .when(method == "text", first(grounded, base))
+        .when(method == "prefix", first(injected))
         .otherwise("")
     )
 

@@ -98,7 +98,7 @@ def option_likelihood(spark, d):
 )
 def prediction_choice(spark, d):
     c = table(spark, d, "conversations")
-    method = F.when(F.col("role") == "assistant", "kvi").otherwise("graphrag")
+    method = F.when(F.col("role") == "assistant", "graph_grounded").otherwise("graph")
     p = E.pick_prediction(method, F.col("text"), F.substring("text", 1, 20), F.lit(""), F.lit(""))
     return c.select("conv_id", "turn", p.alias("prediction"))
 

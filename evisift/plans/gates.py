@@ -135,23 +135,23 @@ def slot_coverage(spark, d):
 
 @query(
     "gate_decisions", "Q09,U07,Q10",
-    """with o as (select l_orderkey, max(l_linenumber) as n, sum((l_returnflag = 'R')::int) as mh, sum((l_returnflag = 'A')::int) as ms, bool_and(l_linestatus = 'O') as allm, sum((l_linenumber > 4)::int) as ss,
+    """with o as (select l_orderkey, max(l_linenumber) as n, sum((l_returnflag = 'R')::int) as mh, sum((l_returnflag = 'A')::int) as ms, bool_and(l_linestatus = 'O') as bare, sum((l_linenumber > 4)::int) as ss,
        sum((l_linenumber > 5)::int) as rs, sum((l_quantity > 45)::int) as rf, sum((l_quantity < 3)::int) as rh from lineitem group by 1),
-    a as (select *, rs = 0 and ss = 0 and not (ss > 0 and ms = 0) and not allm as fact, rf = 0 and rh = 0 as lst, rh = 0 as expl, ss > 0 and ms = 0 as sat from o),
+    a as (select *, rs = 0 and ss = 0 and not (ss > 0 and ms = 0) and not bare as fact, rf = 0 and rh = 0 as lst, rh = 0 as expl, ss > 0 and ms = 0 as sat from o),
     b as (select *, case when sat and lst then 'LIST_ONLY' when sat and expl then 'EXPLANATION' else 'FACTUAL_ASSERTION' end as w from a),
-    r as (select *, case when allm and expl then 'required slots missing; downgrade to explanation' when allm then 'required slots missing; no safe answer capability' when mh > 0 then 'hard-slot-missing'
+    r as (select *, case when bare and expl then 'required slots missing; downgrade to explanation' when bare then 'required slots missing; no safe answer capability' when mh > 0 then 'hard-slot-missing'
       when sat and (fact or lst or expl) then 'schema-slot-satisfied; limit-style' when not (fact or lst or expl) then 'no-allowed-capability'
       when not case w when 'FACTUAL_ASSERTION' then fact when 'LIST_ONLY' then lst else expl end then 'schema-level-slot-limits-answer' when ms > 0 then 'schema-level-slot-limits-answer' else 'capability-allowed' end as reason from b)
-    select reason, case when reason in ('required slots missing; downgrade to explanation', 'schema-slot-satisfied; limit-style', 'capability-allowed') then case when allm then 'EXPLANATION' else w end end as final_style, count(*) as n from r group by all""",
+    select reason, case when reason in ('required slots missing; downgrade to explanation', 'schema-slot-satisfied; limit-style', 'capability-allowed') then case when bare then 'EXPLANATION' else w end end as final_style, count(*) as n from r group by all""",
 )
 def gate_decisions(spark, d):
     li = table(spark, d, "lineitem")
     cnt = lambda c: F.sum(c.cast("int"))
     o = li.groupBy("l_orderkey").agg(
-        cnt(F.col("l_returnflag") == "R").alias("mh"), cnt(F.col("l_returnflag") == "A").alias("ms"), F.bool_and(F.col("l_linestatus") == "O").alias("allm"),
+        cnt(F.col("l_returnflag") == "R").alias("mh"), cnt(F.col("l_returnflag") == "A").alias("ms"), F.bool_and(F.col("l_linestatus") == "O").alias("bare"),
         cnt(F.col("l_linenumber") > 4).alias("ss"), cnt(F.col("l_linenumber") > 5).alias("rs"), cnt(F.col("l_quantity") > 45).alias("rf"), cnt(F.col("l_quantity") < 3).alias("rh"),
     )
-    g = G.gate_decision(F.lit("factual"), *[F.col(c) for c in ("mh", "ms", "allm", "ss", "rs", "rf", "rh")])
+    g = G.gate_decision(F.lit("factual"), *[F.col(c) for c in ("mh", "ms", "bare", "ss", "rs", "rf", "rh")])
     return o.select(g.alias("g")).groupBy("g.reason", "g.final_style").agg(F.count(F.lit(1)).alias("n"))
 
 
