@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chars import STRIP_CHARS, WORD, WS  # noqa: F401
+from ..functions.chars import WORD
 from ..functions.text import bind, squash, strip
 from .ranking import running_total
 

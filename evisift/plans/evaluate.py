@@ -11,7 +11,7 @@ from ..registry import query
 from ..session import cut_lineage, spread
 from ..sources.tables import documents, table
 from . import sqlparts as S
-from .extract import SPLIT_A, SPLIT_D
+from .extract import SPLIT_D
 
 PUNCT_SQL = S.sql_str(E.PUNCTUATION)
 SQUAD = lambda e: S.squash(f"translate(lower({e}), {PUNCT_SQL}, '')")
@@ -94,12 +94,12 @@ def option_likelihood(spark, d):
 
 @query(
     "prediction_choice", "E08",
-    """select conv_id, turn, case role when 'assistant' then coalesce(nullif(substr(text, 1, 20), ''), text) else text end as prediction from conversations""",
+    """select conv_id, turn, case role when 'assistant' then coalesce(nullif(lower(text), ''), text) else text end as prediction from conversations""",
 )
 def prediction_choice(spark, d):
     c = table(spark, d, "conversations")
     method = F.when(F.col("role") == "assistant", "graph_grounded").otherwise("graph")
-    p = E.pick_prediction(method, F.col("text"), F.substring("text", 1, 20), F.lit(""), F.lit(""))
+    p = E.pick_prediction(method, F.col("text"), F.lower("text"), F.lit(""), F.lit(""))
     return c.select("conv_id", "turn", p.alias("prediction"))
 
 
@@ -117,7 +117,7 @@ def answer_quality(spark, d):
 @query("best_candidate", "E09")
 def best_candidate(spark, d):
     c = F.col("text")
-    cands = F.array(F.substring(c, 1, 300), F.get(N.split_claims(c), 0), F.get(T.paragraphs(c), 0))
+    cands = F.array(c, F.get(N.split_claims(c), 0), F.get(T.paragraphs(c), 0))
     return documents(spark, d).select("doc_id", F.md5(E.best_candidate(cands)).alias("best_md5"))
 
 
@@ -259,12 +259,12 @@ def audit_report(spark, d):
 
 @query(
     "protocol_score", "A28",
-    f"""with k as (select doc_id, list_filter(list_transform(string_split(substr(text, 1, 400), ','), lambda x: {S.strip('x')}), lambda x: x <> '') as kp,
-      list_distinct(list_filter(list_transform(string_split(substr(text, 1, 400), '.'), lambda x: {S.strip('x')}), lambda x: x <> '')) as cl from documents)
+    f"""with k as (select doc_id, list_filter(list_transform(string_split(text, ','), lambda x: {S.strip('x')}), lambda x: x <> '') as kp,
+      list_distinct(list_filter(list_transform(string_split(text, '.'), lambda x: {S.strip('x')}), lambda x: x <> '')) as cl from documents)
     select doc_id, len(kp)::int as key_points, len(list_filter(kp, lambda x: list_contains(cl, x)))::int as covered, (len(kp) - len(list_filter(kp, lambda x: list_contains(cl, x))))::int as overclaim from k""",
 )
 def protocol_score(spark, d):
-    head = F.substring("text", 1, 400)
+    head = F.col("text")
     claims = F.array_distinct(F.filter(F.transform(F.split(head, r"\."), T.strip), lambda x: x != ""))
     p = A.protocol_score(F.split(head, ","), F.col("claims"))
     return documents(spark, d).withColumn("claims", claims).select("doc_id", p.alias("p")).select("doc_id", "p.key_points", "p.covered", "p.overclaim")
@@ -331,11 +331,11 @@ def retrieval_audit(spark, d):
 
 @query(
     "answer_choice", "Q19",
-    f"""with c as (select conv_id, turn, text, len(list_intersect({S.overlap_tokens('text')}, ['the', 'que', 'de', 'la', 'and', 'of'])) as o, case role when 'assistant' then 0 else 1 end as prio from conversations where turn < 2)
+    f"""with c as (select conv_id, turn, text, len(list_intersect({S.overlap_tokens('text')}, ['the', 'que', 'de', 'la', 'and', 'of'])) as o, case role when 'assistant' then 0 else 1 end as prio from conversations)
     select conv_id, md5(arg_max(text, [o, -length(text), -prio])) as text_md5 from c group by conv_id""",
 )
 def answer_choice(spark, d):
-    c = table(spark, d, "conversations").where("turn < 2")
+    c = table(spark, d, "conversations")
     from ..functions.tokens import overlap_tokens
 
     support = F.array(*[F.lit(x) for x in ("the", "que", "de", "la", "and", "of")])

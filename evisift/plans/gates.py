@@ -87,7 +87,7 @@ def schema_scores(spark, d):
 def signal_rows(spark, d):
     c = F.col("text")
     rows = documents(spark, d, "text", "source").select(
-        F.col("source").alias("qid"), F.col("doc_id").alias("block_id"), X.abbreviation_pairs(c).alias("pairs"), X.entity_candidates(c, 8).alias("ents"),
+        F.col("source").alias("qid"), F.col("doc_id").alias("block_id"), X.abbreviation_pairs(c).alias("pairs"), X.entity_candidates(c).alias("ents"),
         L.registry_slots(c).alias("slots"), T.is_table_text(c).alias("tab"),
     )
     sig = G.block_signals(F.col("pairs"), F.col("ents"), F.col("slots"), L.block_type(F.col("slots"), F.col("tab")), F.col("tab"))
@@ -200,10 +200,10 @@ def schema_choice(spark, d):
 @query(
     "table_routing", "U10",
     f"""select doc_id, (regexp_matches(q, '{"|".join(k.replace("%", "%") for k in G.TABLE_KEYWORDS)}') or (regexp_matches(q, '(^|[^{S.WORD}])\\d+(\\.\\d+)?($|[^{S.WORD}])') and regexp_matches(q, '%|95|p<|p =|p='))) as tables
-    from (select doc_id, lower(text) as q from documents where length(text) < 400)""",
+    from (select doc_id, lower(text) as q from documents)""",
 )
 def table_routing(spark, d):
-    return documents(spark, d).where(F.length("text") < 400).select("doc_id", G.routes_to_tables(F.col("text")).alias("tables"))
+    return documents(spark, d).select("doc_id", G.routes_to_tables(F.col("text")).alias("tables"))
 
 
 @query(
@@ -231,7 +231,7 @@ def low_quality(spark, d):
 @query("keyword_display", "Q30")
 def keyword_display(spark, d):
     c = table(spark, d, "conversations")
-    kw = F.slice(G.display_keywords(F.col("text")), 1, 5)
+    kw = G.display_keywords(F.col("text"))
     shown = c.select("conv_id", "turn", "text", kw.alias("kw")).select("conv_id", "turn", "kw", F.explode(G.keyword_sentences(F.col("text"), F.col("kw"))).alias("s"))
     return shown.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(G.highlight(F.col("s"), F.col("kw")))).alias("chars"))
 
@@ -287,12 +287,12 @@ def relation_claims(spark, d):
 
 @query(
     "detail_lines", "Q32",
-    f"""with x as (select doc_id, [{S.strip('substr(' + S.strip('text') + ', 1, 80)')}, '1. ' || lang, '2. ' || source] as ls from documents)
+    f"""with x as (select doc_id, [{S.strip('text')}, '1. ' || lang, '2. ' || source] as ls from documents)
     select doc_id, i::int - 1 as line_no, ls[i] as line from (select doc_id, list_filter(ls, lambda v: v <> '') as ls, unnest(range(1, len(list_filter(ls, lambda v: v <> '')) + 1)) as i from x)""",
 )
 def detail_lines(spark, d):
     docs = documents(spark, d, "text", "lang", "source")
-    lines = G.detail_lines(F.substring(T.strip(F.col("text")), 1, 80), F.array("lang", "source"), F.array().cast("array<string>"))
+    lines = G.detail_lines(F.col("text"), F.array("lang", "source"), F.array().cast("array<string>"))
     return explode_rows(docs, ["doc_id"], lines, "line_no", "line")
 
 
@@ -359,7 +359,7 @@ def budget_selection(spark, d):
 @query("list_projection", "W07,T15")
 def list_projection(spark, d):
     q = Ve.search(class_queries(spark, d), bank(spark, d), 12)
-    docs = documents(spark, d).select(F.col("doc_id").alias("rid"), F.slice(N.split_claims(F.col("text")), 1, 8).alias("items"))
+    docs = documents(spark, d).select(F.col("doc_id").alias("rid"), N.split_claims(F.col("text")).alias("items"))
     return Fo.list_projection(q.join(docs, "rid"), "qid", "rank", "rid", "items").select("qid", "pos", "block", F.md5("item").alias("item_md5"))
 
 
@@ -476,11 +476,11 @@ def step_deltas(spark, d):
 
 @query(
     "contract_autogen", "A06,U11",
-    """with t as (select doc_id, trim(w) as w from (select doc_id, unnest(string_split(substr(lower(text), 1, 60), ' ')) as w from documents) where trim(w) <> '')
-    select 'schema:' || w as pattern_id, count(*) as n from t group by w having count(*) >= 3 order by n desc, min([doc_id]), w limit 20""",
+    """with t as (select doc_id, {strip} as w from (select doc_id, unnest(string_split(lower(text), ' ')) as w from documents) where {strip} <> '')
+    select 'schema:' || w as pattern_id, count(*) as n from t group by w having count(*) >= 3 order by n desc, min(doc_id), w limit 20""".replace("{strip}", S.strip("w")),
 )
 def contract_autogen(spark, d):
-    w = documents(spark, d).select("doc_id", F.explode(F.split(F.substring(F.lower("text"), 1, 60), " ")).alias("w"))
+    w = documents(spark, d).select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w"))
     w = w.select("doc_id", T.strip(F.col("w")).alias("w")).where("w <> ''")
     return A.contract_candidates(w.select("doc_id", "w"), "w", 3, ["doc_id", "w"], 20, "schema:")
 
@@ -488,7 +488,7 @@ def contract_autogen(spark, d):
 @query("value_slots", "X18,A17,Q08")
 def value_slots(spark, d):
     """Cleaned values per document source decide the location slot."""
-    rows = documents(spark, d, "text", "source").select(F.col("source").alias("qid"), V.clean_values(X.entity_candidates(F.col("text"), 16), "location").alias("r"))
+    rows = documents(spark, d, "text", "source").select(F.col("source").alias("qid"), V.clean_values(X.entity_candidates(F.col("text")), "location").alias("r"))
     items = rows.select(
         "qid", F.lit("geographic_distribution").alias("slot"), F.lit("schema").alias("level"), F.lit(1).alias("min_evidence"), F.size("r.cleaned_values").alias("n_cleaned"),
         F.size("r.removed_values").alias("n_removed"),

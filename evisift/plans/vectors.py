@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import vectors as V
-from ..operators.filters import metadata_match  # noqa: F401
 from ..registry import query
 from ..session import spread
 from ..sources.tables import table
