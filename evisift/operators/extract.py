@@ -23,11 +23,15 @@ def empty(t: str = STR_ARRAY) -> Column:
 
 
 def distinct_by(arr: Column, key) -> Column:
-    """First of every key, input order kept (for short, capped lists)."""
-    return bind(
-        arr,
-        lambda a: bind(F.transform(a, key), lambda ks: F.filter(a, lambda x, i: F.array_position(ks, F.get(ks, i)) == i + 1)),
-    )
+    """First of every key, input order kept. Two sorts inside the row, so long lists cost n log n."""
+    keyed = F.array_sort(F.transform(arr, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = bind(keyed, lambda a: F.filter(a, lambda s, i: (i == 0) | ~s["k"].eqNullSafe(F.get(a, i - 1)["k"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"], s["x"]))), lambda s: s["x"])
+
+
+def first_n(arr: Column, n: int | None) -> Column:
+    """The first ``n`` elements; all of them without a limit."""
+    return arr if n is None else F.slice(arr, 1, n)
 
 
 # Abbreviation patterns (group 1, group 2) and their confidence.
@@ -37,12 +41,12 @@ ABBR_REV = r"([A-Z][A-Z0-9\-]{1,12})\s*[(\x{ff08}]\s*([^)\x{ff09}]{2,60})\s*[)\x
 PAIR = "array<struct<abbr:string,full:string,confidence:double,source:string>>"
 
 
-def abbreviation_pairs(c: Column, max_pairs: int = 32) -> Column:
-    """Full (ABBR) in two scripts, then ABBR (Full); capped, then de-duplicated."""
+def abbreviation_pairs(c: Column, max_pairs: int | None = None) -> Column:
+    """Full (ABBR) in two scripts, then ABBR (Full); cut to ``max_pairs`` where given (a limit for blocks), then de-duplicated."""
     return bind(squash(c), lambda t: _pairs_of(t, max_pairs))
 
 
-def _pairs_of(t: Column, max_pairs: int) -> Column:
+def _pairs_of(t: Column, max_pairs: int | None) -> Column:
     def pairs(rx: str, full_group: int, conf: float, source: str) -> Column:
         abbr = all_groups(t, rx, 3 - full_group)
         full = all_groups(t, rx, full_group)
@@ -61,7 +65,7 @@ def _pairs_of(t: Column, max_pairs: int) -> Column:
         lambda p: (F.length(p["full"]) <= 60) & p["full"].rlike(f"[A-Za-z{CJK}]"),
     )
     every = F.concat(pairs(ABBR_EN, 1, 0.95, "full(abbr):en"), pairs(ABBR_ZH, 1, 0.90, "full(abbr):zh"), rev)
-    capped = F.slice(F.filter(every, ok), 1, max_pairs)
+    capped = first_n(F.filter(every, ok), max_pairs)
     out = distinct_by(capped, lambda p: F.struct(p["abbr"], p["full"]))
     # Without a parenthesis nothing can match: skip the scans.
     return F.when(t.rlike(r"[(\x{ff08}]"), out).otherwise(F.array().cast(PAIR))
@@ -71,15 +75,15 @@ TITLE_PHRASE = f"{BOUND_L}[A-Z][a-z]{{2,}}(?:[ \\-][A-Z][a-z]{{2,}}){{0,5}}{BOUN
 CJK_TERM = f"[{CJK}]{{2,20}}(?:综合征|病毒|感染|发热|血小板减少|抗体|疫苗|治疗)"
 
 
-def entity_candidates(c: Column, max_entities: int = 64) -> Column:
-    """Title-case phrases, then CJK terms; capped, then case-insensitively distinct."""
+def entity_candidates(c: Column, max_entities: int | None = None) -> Column:
+    """Title-case phrases, then CJK terms; cut to ``max_entities`` where given (a limit for blocks), then case-insensitively distinct."""
     return bind(squash(c), lambda t: _entities_of(t, max_entities))
 
 
-def _entities_of(t: Column, max_entities: int) -> Column:
+def _entities_of(t: Column, max_entities: int | None) -> Column:
     en = F.filter(all_groups(t, TITLE_PHRASE, 0), lambda s: F.length(s).between(3, 80))
     zh = F.when(t.rlike(f"[{CJK}]"), F.filter(all_groups(t, CJK_TERM, 0), lambda s: F.length(s).between(2, 40))).otherwise(empty())
-    return distinct_by(F.slice(F.concat(en, zh), 1, max_entities), F.lower)
+    return distinct_by(first_n(F.concat(en, zh), max_entities), F.lower)
 
 
 def lines_of(c: Column) -> Column:
@@ -113,7 +117,7 @@ LIST_CUES = [
 LIST_CUE_HEADS = ["symptoms", "clinical manifestations are", "clinical features include", "patients typically", "characterized by", "presents with", "present with", "features"]
 
 
-def list_like_features(c: Column, max_items: int = 24) -> Column:
+def list_like_features(c: Column, max_items: int | None = None) -> Column:
     """X06. Enumeration needs two leading digits, as in the contract."""
     def cue(rx: str, gate: Column) -> Column:
         return F.when(gate, all_groups(c, rx, 2)).otherwise(empty())
@@ -124,18 +128,18 @@ def list_like_features(c: Column, max_items: int = 24) -> Column:
     return bind(F.struct(lines_of(c).alias("lines"), frags.alias("frags")), lambda b: _list_like(c, b["lines"], b["frags"], max_items))
 
 
-def _list_like(c: Column, lines: Column, frags: Column, max_items: int) -> Column:
+def _list_like(c: Column, lines: Column, frags: Column, max_items: int | None) -> Column:
     parts = F.flatten(F.transform(frags, lambda f: F.split(squash(f), rf"(?i)[，,、;；]+|{BOUND_L}and{BOUND_R}|{BOUND_L}or{BOUND_R}")))
     sentences = F.greatest(F.lit(1), F.regexp_count(c, F.lit(r"[。.!?;；]")) + 1)
     return bind(F.filter(F.transform(parts, squash), lambda s: F.length(s).between(2, 64)), lambda items: _list_like_struct(lines, items, sentences, max_items))
 
 
-def _list_like_struct(lines: Column, items: Column, sentences: Column, max_items: int) -> Column:
+def _list_like_struct(lines: Column, items: Column, sentences: Column, max_items: int | None) -> Column:
     return F.struct(
         F.exists(lines, _bullet).alias("has_bullets"),
         F.exists(lines, lambda l: _two_digits(l) | _bracket_number(l)).alias("has_enumeration"),
         F.least(F.lit(1.0), F.size(items) / sentences).alias("list_density"),
-        F.slice(F.array_distinct(items), 1, max_items).alias("list_like_items"),
+        first_n(F.array_distinct(items), max_items).alias("list_like_items"),
     )
 
 

@@ -12,8 +12,8 @@ from ..functions.sentences import split_claims
 from ..functions.text import strip, token_len_fallback
 
 
-def split_claim_to_budget(c: Column, max_tokens: int, max_chunks: int = 4) -> Column:
-    """struct(chunks, was_split, was_truncated)."""
+def split_claim_to_budget(c: Column, max_tokens: int, max_chunks: int | None = None) -> Column:
+    """struct(chunks, was_split, was_truncated); all chunks unless ``max_chunks`` is given."""
     t = strip(c)
     parts = split_claims(t)
     parts = F.when(F.size(parts) <= 1, F.array(t)).otherwise(parts)
@@ -39,8 +39,9 @@ def split_claim_to_budget(c: Column, max_tokens: int, max_chunks: int = 4) -> Co
     short = token_len_fallback(t) <= max_tokens
 
     def result(ch: Column) -> Column:
-        over = (F.size(ch) > max_chunks) | ((F.size(ch) == 1) & (token_len_fallback(F.get(ch, 0)) > max_tokens))
-        return F.struct(F.slice(ch, 1, max_chunks).alias("chunks"), F.lit(True).alias("was_split"), over.alias("was_truncated"))
+        cut = F.lit(False) if max_chunks is None else F.size(ch) > max_chunks
+        over = cut | ((F.size(ch) == 1) & (token_len_fallback(F.get(ch, 0)) > max_tokens))
+        return F.struct((ch if max_chunks is None else F.slice(ch, 1, max_chunks)).alias("chunks"), F.lit(True).alias("was_split"), over.alias("was_truncated"))
 
     one = F.struct(F.array(t).alias("chunks"), F.lit(False).alias("was_split"), F.lit(False).alias("was_truncated"))
     none = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit(False).alias("was_split"), F.lit(False).alias("was_truncated"))

@@ -306,7 +306,7 @@ STOPWORDS = [
 ]
 
 
-def query_terms(c: Column, max_terms: int = 32) -> Column:
+def query_terms(c: Column, max_terms: int | None = None) -> Column:
     """CJK bigrams when the query has CJK, else words without stop words; duplicates stay."""
     low = F.lower(strip(c))
     words = F.filter(F.regexp_extract_all(low, F.lit(r"[a-z0-9][a-z0-9\-_]{1,30}"), F.lit(0)), lambda t: ~t.isin(STOPWORDS))
@@ -316,7 +316,8 @@ def query_terms(c: Column, max_terms: int = 32) -> Column:
             F.array().cast("array<string>")
         ),
     )
-    return F.slice(F.when(low.rlike(f"[{CJK}]"), pairs).otherwise(words), 1, max_terms)
+    terms = F.when(low.rlike(f"[{CJK}]"), pairs).otherwise(words)
+    return terms if max_terms is None else F.slice(terms, 1, max_terms)
 
 
 def _bare(c: Column) -> Column:

@@ -118,9 +118,11 @@ class InnerProduct:
         for at in range(0, len(ids), step):
             piece = col.slice(at, step)
             sub = ids[at : at + step]
+            lens = np.asarray(pc.fill_null(pc.list_value_length(piece), -1))
+            wrong = lens[lens != self.mat.shape[1]]
+            if len(wrong):
+                raise ValueError(f"dimension mismatch: {wrong[0]} vs {self.mat.shape[1]} (-1: null)")
             vecs = np.asarray(pc.list_flatten(piece)).astype(np.float64).reshape(len(sub), -1)
-            if vecs.shape[1] != self.mat.shape[1]:
-                raise ValueError(f"dimension mismatch: {vecs.shape[1]} vs {self.mat.shape[1]}")
             grid = np.round(self.mat @ vecs.T, 6) + 0.0
             yield _grid_best(grid, sub, k, min_score)
 

@@ -9,7 +9,7 @@ from ..operators import graph as G
 from ..registry import query
 from ..session import spread
 from ..sources import bank as B, jsonl as J, pages as P
-from ..sources.tables import table
+from ..sources.tables import table, table_path
 from ..streaming import logs as L
 from . import sqlparts as S
 from .graph import TRIPLES, kg_tables
@@ -136,7 +136,7 @@ def graph_store(spark, d):
 def append_stream(spark, d):
     schema = table(spark, d, "events").schema
     out, ck = L.run_paths(spark, "log")
-    L.append_log(L.file_stream(spark, d, schema, "events.parquet"), out, ck)
+    L.append_log(L.file_stream(spark, table_path(d, "events"), schema), out, ck)
     back = spark.read.schema(schema).json(out)
     return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
@@ -148,7 +148,7 @@ def append_stream(spark, d):
 def import_stream(spark, d):
     schema = table(spark, d, "events").schema
     out, ck = L.run_paths(spark, "import")
-    s = L.file_stream(spark, d, schema, "events.parquet").select("user_id", "event_type")
+    s = L.file_stream(spark, table_path(d, "events"), schema).select("user_id", "event_type")
     L.import_once(s, ["user_id", "event_type"], out, ck)
     return spark.read.schema("user_id bigint, event_type string").parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("users"))
 

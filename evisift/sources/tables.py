@@ -7,8 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import spread
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.parquet(table_path(sf_dir, name))
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from ..sources.bank import scratch_path
 
 
-def file_stream(spark: SparkSession, folder: str, schema, pattern: str, fmt: str = "parquet") -> DataFrame:
-    """A folder of log files as a stream; new files arrive as new micro-batches."""
-    return spark.readStream.format(fmt).schema(schema).option("pathGlobFilter", pattern).load(folder)
+def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
+    """A table path, one file or a folder of part files, as a stream; new part files arrive as new micro-batches.
+
+    The last character is written as a pattern: streams take a single file only from a pattern, and this one matches
+    the path alone.
+    """
+    path = path.rstrip("/")
+    return spark.readStream.format(fmt).schema(schema).load(f"{path[:-1]}[{path[-1]}]")
 
 
 def append_log(stream: DataFrame, path: str, checkpoint: str) -> None:

@@ -22,12 +22,12 @@ def test_abbreviations(one):
     assert {p["source"] for p in got} >= {"full(abbr):en", "abbr(full):rev"}
 
 
-def entities_py(t):
+def entities_py(t, limit=None):
     t = re.sub(r"\s+", " ", t.strip())
     ents = []
     for m in re.finditer(r"\b[A-Z][a-z]{2,}(?:[ \-][A-Z][a-z]{2,}){0,5}\b", t):
         ents.append(m.group(0))
-        if len(ents) >= 64:
+        if len(ents) == limit:
             break
     seen, out = set(), []
     for e in ents:
@@ -42,6 +42,15 @@ def test_entities_match_restatement(one, t):
     assert one(X.entity_candidates(C), c=t) == entities_py(t)
 
 
+def test_no_entity_is_lost_without_a_limit(one):
+    t = ". ".join("Name" + "abcdefghij"[i // 10] + "abcdefghij"[i % 10] for i in range(100)) + ". Namejj"
+    assert one(X.entity_candidates(C), c=t) == entities_py(t) and len(entities_py(t)) == 100
+    assert one(X.entity_candidates(C, 64), c=t) == entities_py(t, 64) and len(entities_py(t, 64)) == 64
+    pairs = " ".join(f"Some Long Name {'ABCDEFGHIJ'[i // 10]}{'ABCDEFGHIJ'[i % 10]} (N{'ABCDEFGHIJ'[i // 10]}{'ABCDEFGHIJ'[i % 10]})." for i in range(80))
+    names = lambda limit: one(F.array_distinct(F.transform(X.abbreviation_pairs(C, limit), lambda p: p["abbr"])), c=pairs)
+    assert len(names(None)) >= 80 and len(names(32)) <= 32
+
+
 def test_entities_on_given_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
     for r in df.select("text", X.entity_candidates(F.col("text")).alias("e")).collect():

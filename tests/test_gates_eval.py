@@ -2,7 +2,6 @@
 
 import re
 from collections import Counter
-from difflib import SequenceMatcher
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -152,11 +151,23 @@ def test_instruction_lines(one):
     assert not one(H.is_instruction_line(C), c="1. Fever is common")
 
 
-def test_near_identical_needs_48_characters():
+def test_near_repeat_needs_48_characters(one):
     a = "x" * 46
-    assert not H.near_identical(a + "a", a + "b") and H.near_identical(a + "yya", a + "yyb")
-    r = SequenceMatcher(a=a + "yya", b=a + "yyb").ratio()
-    assert r >= 0.97
+    near = H.near_repeat(F.col("a"), F.col("b"))
+    assert not one(near, a=a + "a", b=a + "b"), "under 48 characters only equal keys count"
+    assert one(near, a=a + "yya", b=a + "yyb") and one(near, a="q", b="q")
+    assert not one(near, a="x" * 60, b="x" * 57 + "abc") and one(near, a="x" * 100, b="x" * 98)
+
+
+def test_repeats_in_long_texts(spark):
+    """Exact repeats go however far back; near ones only within the last five paragraphs or twelve sentences."""
+    own = [f"Paragraph number {w} speaks of something else entirely, and of {w * 6}." for w in ("alpha", "beta", "gamma", "delta", "zeta", "kappa", "sigma")]
+    near = own[0][:-1] + "!"
+    get = lambda ps: spark.createDataFrame([(ps,)], "ps array<string>").select(H.dedupe_paragraphs("ps").alias("v")).first()["v"]
+    assert get([*own, own[0].upper()]) == own and get([own[0], near]) == [own[0]] and get([*own, near]) == [*own, near]
+    assert get(None) == [] and get([]) == []
+    many = " ".join(f"Sentence {i} has its own words about item {i * 7919}." for i in range(600))
+    assert get([many + " Sentence 3 has its own words about item 23757."])[0].count("item 23757.") == 1
 
 
 def test_paragraph_and_sentence_repeats(spark):

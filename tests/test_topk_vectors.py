@@ -1,6 +1,7 @@
 """Top-k kernels: both pairing ways against numpy, post-filter rules, merges."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,14 @@ def test_dimension_mismatch_raises(spark):
         df.select(V.dot(F.col("a"), F.col("b"))).collect()
 
 
+def test_ragged_and_null_vectors_raise_in_search(spark):
+    kernel = InnerProduct(["q"], [[1.0, 0.0, 0.0, 0.0]])
+    for rows in ([[1.0] * 2, [1.0] * 6], [[1.0] * 4, None], [[1.0] * 3, [1.0] * 3]):
+        with pytest.raises(ValueError, match="dimension mismatch"):
+            list(kernel.parts(np.arange(2), pa.array(rows, pa.list_(pa.float64())), 1, 0.0))
+    assert list(kernel.parts(np.arange(1), pa.array([[1.0] * 4], pa.list_(pa.float64())), 1, 0.0))
+
+
 def test_shingles(one):
     assert one(R.char_shingles(F.col("c")), c="a b\ncd") == ["abc", "bcd"]
     assert one(R.char_shingles(F.col("c")), c="ab") == ["ab"]
