@@ -15,6 +15,7 @@ from ..functions import taxonomy as X
 from ..functions.rows import explode_rows
 from ..functions.text import squash, strip
 from ..session import cut_lineage
+from .joins import HEAD, head_lengths
 from .ranking import global_position
 
 
@@ -164,6 +165,8 @@ def walk(edges: DataFrame, starts: DataFrame, max_hops: int) -> DataFrame:
             .agg(F.min(F.struct("path", "rel", "triple_id", "rels")).alias("c"))
             .select("start", "node", "c.path", F.col("c.rel").alias("relation"), "c.triple_id", "c.rels", F.lit(hop).alias("hop"))
         )
+        if hop < max_hops:
+            step = cut_lineage(step)  # read by the result, the next hop and the seen nodes
         found = step if found is None else found.unionByName(step)
         frontier = step.select("start", "node", "rels", "path")
         seen = seen.unionByName(step.select("start", "node"))
@@ -210,28 +213,25 @@ def entity_index(nodes: DataFrame, absorbed: DataFrame | None = None) -> DataFra
 def recognise(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Longest non-overlapping mentions of index keys in ``queries(qid, text)``.
 
-    Containment becomes an equi-join: a query offers its substrings at exactly the key
-    lengths that occur in the index (a short list), so the cost follows the queries and
-    not queries x keys. Overlaps are settled per query by one fold, longest first.
+    Containment becomes an equi-join on the head of a key (its first characters): a query offers its substrings at the few
+    head lengths, whatever lengths the keys have, and longer keys are verified at that place. Overlaps are settled per
+    query by one fold, longest first.
     """
-    lengths = [r[0] for r in index.select(F.length("key").alias("n")).distinct().orderBy("n").limit(2049).collect()]
-    if len(lengths) > 2048:
-        raise ValueError("entity names of more than 2048 different lengths")
+    heads = index.where("key <> ''").withColumn("_h", F.substring("key", 1, HEAD))
+    lengths = head_lengths(heads, "key")
     low = queries.select("qid", "text", F.lower("text").alias("low"))
     spans = F.flatten(
         F.transform(
-            F.array(*[F.lit(n) for n in lengths]),
+            F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
             lambda n: F.transform(
                 F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda p: F.struct(p.alias("p"), n.alias("n")),
+                lambda p: F.struct((p - 1).alias("p"), F.substring(F.col("low"), p, n).alias("_h")),
             ),
         )
     )
-    grams = explode_rows(low, ["qid", "text", "low"], spans, "g").select(
-        "qid", (F.col("g.p") - 1).alias("p"), F.col("g.n").alias("n"),
-        F.substring(F.col("low"), F.col("g.p"), F.col("g.n")).alias("key"), F.substring(F.col("text"), F.col("g.p"), F.col("g.n")).alias("mention"),
-    )
-    hits = grams.join(index, "key")
+    met = explode_rows(low, ["qid"], spans, "g").select("qid", "g.p", "g._h").join(heads, "_h").drop("_h").withColumn("n", F.length("key"))
+    place = lambda c: F.substring(F.col(c), F.col("p") + 1, F.col("n"))
+    hits = met.join(low, "qid").where(place("low") == F.col("key")).withColumn("mention", place("text")).drop("low", "text")
     ordered = F.array_sort(
         F.collect_list(F.struct((-F.col("n")).alias("neg"), "key", "p", "n", "node_id", "mention"))
     )
@@ -305,17 +305,18 @@ def retrieve(
     if fix_empty_id:
         info = info.withColumn("sid", F.when(F.col("sid") == "", F.col("triple_id")).otherwise(F.col("sid")))
     served = relation_table(triples.sparkSession).select(F.col("rel").alias("predicate"), F.explode(F.split("intents", ",")).alias("intent")).where("intent <> ''")
-    scan = info.join(F.broadcast(served), "predicate").groupBy("intent", "sid").agg(F.min(F.struct("ord", "triple_id", "predicate")).alias("f"))
+    scan = info.join(F.broadcast(served), "predicate").groupBy("intent", "sid").agg(F.min(F.struct("ord", "triple_id", "predicate", "subject", "object", "text")).alias("f"))
     scan = (
         scan.withColumn("n", F.row_number().over(Window.partitionBy("intent").orderBy("f.ord")))
         .where(F.col("n") <= 2 * max_evidence)
-        .select("intent", F.array(F.col("f.ord")).alias("path"), F.col("f.predicate").alias("relation"), F.col("f.triple_id").alias("triple_id"))
+        .select("intent", F.array(F.col("f.ord")).alias("path"), F.col("f.predicate").alias("relation"), "f.triple_id", "f.subject", "f.object", "sid", "f.text")
     )
     matched = m.select("qid", "intent").distinct()
     scanned = matched.join(scan, "intent").select(
-        "qid", F.lit(1).alias("branch"), F.lit(0).alias("match_no"), "path", "relation", "triple_id", F.lit(0).alias("hop")
+        "qid", F.lit(1).alias("branch"), F.lit(0).alias("match_no"), "path", "relation", "triple_id", F.lit(0).alias("hop"), "subject", "object", "sid", "text"
     )
-    rows = hits.unionByName(scanned).join(info.drop("ord", "predicate"), "triple_id")
+    # The scan's few triples serve every query: they bring their payload along instead of joining on hot ids.
+    rows = hits.join(info.drop("ord", "predicate"), "triple_id").unionByName(scanned)
     first = rows.groupBy("qid", "sid").agg(
         F.min(F.struct("branch", "match_no", "path", "hop", "relation", "triple_id", "text", "subject", "object")).alias("f")
     )

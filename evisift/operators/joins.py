@@ -13,6 +13,15 @@ from ..functions.rows import explode_rows
 from ..functions.text import squash, strip
 
 
+#: Characters of a term that a text is searched by; the rest is verified.
+HEAD = 8
+
+
+def head_lengths(terms: DataFrame, key: str) -> list[int]:
+    """Lengths of the heads that occur (HEAD values at most)."""
+    return sorted(r[0] for r in terms.select(F.least(F.length(key), F.lit(HEAD)).alias("n")).where("n > 0").distinct().collect())
+
+
 def substrings_at(c: Column, lengths: list[int]) -> Column:
     """All substrings of ``c`` with one of the given lengths (code points), as an array."""
     chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
@@ -26,17 +35,23 @@ def substrings_at(c: Column, lengths: list[int]) -> Column:
 
 
 def contained_terms(queries: DataFrame, terms: DataFrame, fold: bool = False) -> DataFrame:
-    """``queries(qid, text)`` x ``terms(term, ...)`` where the text contains the term."""
+    """``queries(qid, text)`` (qid unique) x ``terms(term, ...)`` where the text contains the term.
+
+    A term's head, its first HEAD characters, meets the text's substrings of that length by equality, so the offers
+    of a text are bounded by HEAD times its length however many term lengths there are. Longer terms are then verified
+    on the text.
+    """
     key = F.lower("term") if fold else F.col("term")
-    t = terms.where("term <> ''").withColumn("_k", key)
-    lengths = [r[0] for r in t.select(F.length("_k").alias("n")).distinct().orderBy("n").limit(2049).collect()]
-    if len(lengths) > 2048:
-        raise ValueError("terms of more than 2048 different lengths")
+    t = terms.where("term <> ''").withColumn("_k", key).withColumn("_h", F.substring("_k", 1, HEAD))
+    lengths = head_lengths(t, "_k")
     if not lengths:
-        return queries.select("qid").limit(0).join(t.drop("_k"), F.lit(False))
+        return queries.select("qid").limit(0).join(t.drop("_k", "_h"), F.lit(False))
     c = F.lower("text") if fold else F.col("text")
-    grams = explode_rows(queries, ["qid"], substrings_at(c, lengths), "_k")
-    return grams.join(t, "_k").drop("_k")
+    met = explode_rows(queries, ["qid"], substrings_at(c, lengths), "_h").join(t, "_h")
+    whole = met.where(F.length("_k") <= HEAD)
+    texts = queries.select("qid", c.alias("_t"))
+    longer = met.where(F.length("_k") > HEAD).join(texts, "qid").where(F.contains("_t", F.col("_k"))).drop("_t")
+    return whole.unionByName(longer).drop("_k", "_h")
 
 
 def token_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:

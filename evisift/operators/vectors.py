@@ -76,7 +76,10 @@ def search_sharded(
 
     One scan serves all shards: the kernel keeps its best rows per (query, shard).
     """
-    rows = bank.select("rid", "item").join(meta.select("rid", F.col(shard).alias("grp")), "rid")
+    if shard in bank.columns:  # the label stands in the vector's own row: no vector is shuffled for it
+        rows = bank.select("rid", "item", F.col(shard).alias("grp"))
+    else:
+        rows = bank.select("rid", "item").join(meta.select("rid", F.col(shard).alias("grp")), "rid")
     pool = top_k(queries, rows, InnerProduct, max(k, k * oversample), **kw).drop("rank")
     kept = pool.join(meta, "rid").where(metadata_match(filters))
     w = Window.partitionBy("qid", "grp").orderBy(F.col("score").desc(), "rid")

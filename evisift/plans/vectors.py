@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import vectors as V
 from ..registry import query
-from ..session import spread
+from ..session import broadcast_if_small, cut_lineage, spread
 from ..sources.tables import table
 
 MEANS = """means as (select label as qid, list(m order by i) as c from (
@@ -70,12 +70,12 @@ def vector_topk_sharded(spark, d):
 )
 def cosine_to_centroid(spark, d):
     e = table(spark, d, "embeddings")
-    c = V.group_centroids(e, "label", "embedding")
-    lab = table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), "toxic")
-    x = e.join(c, "label").join(lab, "vec_id", "left").select(
-        "vec_id", V.cosine_distance(F.col("centroid"), F.col("embedding")).alias("dist"),
-        V.dot(F.col("centroid"), F.col("embedding")).alias("delta"), (F.col("toxic") == 1).alias("bad"),
-    )
+    # Centroids are written first, so their size is known; vectors stay where they are read.
+    c = broadcast_if_small(cut_lineage(V.group_centroids(e, "label", "embedding")))
+    lab = table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), (F.col("toxic") == 1).alias("bad"))
+    x = e.join(c, "label").select(
+        "vec_id", V.cosine_distance(F.col("centroid"), F.col("embedding")).alias("dist"), V.dot(F.col("centroid"), F.col("embedding")).alias("delta")
+    ).join(lab, "vec_id", "left")
     g = V.drift_gate(F.col("dist"), F.col("delta"), F.col("bad"))
     return x.select("vec_id", F.round("dist", 6).alias("cos_dist"), g.alias("g"), V.constant_gate().alias("gamma")).select(
         "vec_id", "cos_dist", "g.*", "gamma"
@@ -88,9 +88,12 @@ BONUS = """case when text is null or text = '' then 0.0 when regexp_matches(text
 
 def pool_with_docs(spark, d):
     b = bank(spark, d)
-    pool = V.search(class_queries(spark, d), b, 50).withColumnRenamed("rank", "pool_rank")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rid"), "text")
-    return pool.join(b.select("rid", "label"), "rid").join(docs, "rid", "left")
+    pool = cut_lineage(V.search(class_queries(spark, d), b, 50).withColumnRenamed("rank", "pool_rank"))
+    # Only the few rows of the pool leave the two large tables.
+    ids = broadcast_if_small(pool.select("rid").distinct())
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("rid"), "text").join(ids, "rid", "left_semi")
+    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), "label").join(ids, "rid", "left_semi")
+    return pool.join(labels, "rid").join(docs, "rid", "left")
 
 
 @query(
@@ -208,7 +211,7 @@ def mrr_report(spark, d):
 )
 def reconstruction_error(spark, d):
     e = table(spark, d, "embeddings")
-    c = V.masked_mean(e, "label", "embedding", F.lit(True))
+    c = broadcast_if_small(cut_lineage(V.masked_mean(e, "label", "embedding", F.lit(True))))
     ones = F.transform("centroid", lambda x: F.lit(1))
     mse = V.masked_mse(F.col("centroid"), F.col("embedding").cast("array<double>"), ones)
     return e.join(c, "label").groupBy("label").agg(F.round(F.avg(mse), 6).alias("mse"))
