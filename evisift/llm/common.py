@@ -16,6 +16,17 @@ from ..session import ensure_checkpoint_dir
 SLICE_BYTES = 2 << 20
 
 
+#: Rows of an Arrow batch (JVM and Python each hold one for a task); Spark's own default is for narrow rows.
+BATCH_ROWS, SPARK_BATCH_ROWS = 1000, 10_000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for rows with whole texts, unless the session has a setting of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == SPARK_BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -28,6 +39,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: cuts lineage, survives lost executors."""
+    modest_batches(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -74,6 +86,8 @@ def appended(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
 def map_rows(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], make: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``df`` with the columns ``make(slice)`` returns, over slices of bounded text size."""
 
+    modest_batches(df.sparkSession)
+
     def run(batches):
         for batch in batches:
             for piece in slices(batch, column):

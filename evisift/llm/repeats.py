@@ -9,11 +9,14 @@ instead of places in a global sort, so they are the same in every task and no ro
    same place, the anchor. Equal strings have equal anchors, so a repeated string always lies in zones of equal anchor rank.
    Spark counts anchor ranks; a zone whose rank is unique is settled: nothing in it repeats.
 3. Zones that are left get the 128-bit rank of all bytes they cover. Equal zones repeat as a whole and are settled.
-4. Where one anchor rank has different zones, one zone of each kind is reranked position by position at the full length
-   (128 bits), and strings that occur twice are repeats.
-
-Every step works on what the one before could not settle. Ranks at 64 bytes only select candidates; what is removed was
-equal in 128-bit ranks of its bytes.
+4. Where one anchor rank has different zones, one zone of each kind is cut into steps of STEP positions counted from the
+   anchor. All strings of a step share a core of length - STEP + 1 bytes; a step with a unique core rank is settled, and so are
+   equal steps (128-bit rank of all their bytes).
+5. Where one core rank has different steps, one of each kind is reranked position by position at the full length (128 bits);
+   strings that occur twice are repeats.
+
+Every round works on what the one before could not settle. 64-bit ranks only select candidates; what is removed was equal
+in 128-bit ranks of its bytes.
 """
 
 from __future__ import annotations
@@ -28,17 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plus, slices, stored, table, text_key
+from .bits import Bits
+from .common import discard, plus, raw_texts, slices, stored, table, text_key
 from .registry import query
 
 LENGTH = 200
 #: Bytes of an anchor's rank, a power of two.
 GRAM = 64
+#: Positions of a step.
+STEP = 16
 #: Bytes ranked together (bounds a task's arrays); longer texts go piece by piece.
 PIECE = 1 << 18
-#: Bits of the filter that spares rows a shuffle: a fixed 16 MB; more keys only make it let more pass.
-FILTER_BITS = 1 << 27
-CHUNK_BITS = 1 << 20
 _ONE = np.array([xxhash.xxh64_intdigest(bytes([i]), 11) for i in range(256)], np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -65,8 +68,8 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def zones(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int):
-    """Zones of the positions [starts, ends) (starts of whole strings): first position, number of positions, anchor rank."""
-    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    """Zones of the positions [starts, ends) (starts of whole strings): first position, number of positions, way to the anchor, its rank."""
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if len(raw) < length:
         return empty
     low = np.uint64((1 << 20) - 1)
@@ -82,7 +85,7 @@ def zones(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gr
     a = anchor[valid]
     new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(valid) != 1)])
     first = np.flatnonzero(new)
-    return valid[first], np.diff(np.append(first, len(valid))), h[a[first]]
+    return valid[first], np.diff(np.append(first, len(valid))), a[first] - valid[first], h[a[first]]
 
 
 def pieces(batch: pa.RecordBatch, length: int):
@@ -100,46 +103,32 @@ def pieces(batch: pa.RecordBatch, length: int):
                 yield keys, np.array([-a]), raw, np.array([0]), np.array([len(raw) - length + 1])
 
 
-class Bits:
-    """A fixed-size filter over 64-bit keys, broadcast; lets every key of the set pass, and few others while it is sparse."""
-
-    def __init__(self, keys: DataFrame, key: str):
-        def parts(batches):
-            words = None
-            for b in batches:
-                if words is None:
-                    words = np.zeros(FILTER_BITS // 8, np.uint8)
-                slot = place(b.column(0).to_numpy().view(np.uint64))
-                np.bitwise_or.at(words, slot >> np.uint64(3), np.left_shift(np.uint8(1), (slot & np.uint64(7)).astype(np.uint8)))
-            if words is not None:
-                for i, chunk in enumerate(words.reshape(-1, CHUNK_BITS // 8)):
-                    if chunk.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([chunk.tobytes()], pa.binary())], names=["i", "bits"])
+def longs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    x = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))
 
-        def merge(key_, group):
-            total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.bits])
-            return group.iloc[:1][["i"]].assign(bits=[total.tobytes()])
 
-        spread = keys.select(key).mapInArrow(parts, "i int, bits binary")
-        rows = spread.groupBy("i").applyInPandas(merge, "i int, bits binary").collect()  # FILTER_BITS in all
-        words = np.zeros((FILTER_BITS // CHUNK_BITS, CHUNK_BITS // 8), np.uint8)
-        for r in rows:
-            words[r["i"]] = np.frombuffer(r["bits"], np.uint8)
-        self.sent = keys.sparkSession.sparkContext.broadcast(words.reshape(-1))
+def with_texts(places: DataFrame, columns: tuple[str, ...], texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k1, k2, todo, text): the places of each distinct text (rows with k1, k2) beside its bytes; other texts do not travel.
 
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        slot = place(keys)
-        return (self.sent.value[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    Second: the written table behind it, to discard when the first has been read.
+    """
+    todo = stored(places.groupBy("k1", "k2").agg(F.collect_list(F.struct(*columns)).alias("todo")), "todo")
+    wanted = Bits(todo, "k1")
 
+    def needed(batches):
+        for b in batches:
+            yield b.filter(pa.array(wanted.has(b.column("k1").to_numpy().view(np.uint64))))
 
-def place(keys: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (keys * _A) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)
+    # Copies of a text collapse in the tasks that read them.
+    return todo.join(texts.mapInArrow(needed, texts.schema).groupBy("k1", "k2").agg(F.first("text").alias("text")), ["k1", "k2"]), todo
 
 
-def longs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
-    x = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    return pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))
+def rows_of(batches):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            row = batch.slice(r, 1)
+            yield row.column("text").cast(pa.binary())[0].as_py() or b"", row.column("k1")[0].as_py(), row.column("k2")[0].as_py(), row.column("todo").to_pylist()[0]
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -153,61 +142,74 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     def anchors(batches):
         for b in batches:
             for _, _, raw, starts, ends in pieces(b, length):
-                x = zones(np.frombuffer(raw, np.uint8), starts, ends, length, gram)[2]
+                x = zones(np.frombuffer(raw, np.uint8), starts, ends, length, gram)[3]
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64))], names=["a"])
 
     counted = texts.mapInArrow(anchors, "a long").groupBy("a").count().where("count > 1").select("a")
     again = stored(counted, "anchors")
     bits = Bits(again, "a")
+    discard(again)
 
     def candidates(batches):
         for b in batches:
             for keys, at, raw, starts, ends in pieces(b, length):
-                p, n, a = zones(np.frombuffer(raw, np.uint8), starts, ends, length, gram)
+                p, n, d, a = zones(np.frombuffer(raw, np.uint8), starts, ends, length, gram)
                 on = bits.has(a)
-                p, n, a = p[on], n[on], a[on]
+                p, n, d, a = p[on], n[on], d[on], a[on]
                 if not len(p):
                     continue
                 row = np.searchsorted(at, p, "right") - 1 if len(at) > 1 else np.zeros(len(p), int)
                 c1, c2 = longs([xxhash.xxh3_128_digest(raw[x : x + m + length - 1]) for x, m in zip(p.tolist(), n.tolist(), strict=True)])
                 k = np.array(keys, np.int64)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), c1, c2, pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(p - at[row]), pa.array(n.astype(np.int32))], names=["a", "c1", "c2", "k1", "k2", "p", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), c1, c2, pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(p - at[row]), pa.array(n.astype(np.int32)), pa.array(d.astype(np.int32))], names=["a", "c1", "c2", "k1", "k2", "p", "n", "d"])
 
-    found = texts.mapInArrow(candidates, "a long, c1 long, c2 long, k1 long, k2 long, p long, n int")
+    found = texts.mapInArrow(candidates, "a long, c1 long, c2 long, k1 long, k2 long, p long, n int, d int")
     # Copies of a text collapse before anything is joined.
-    zone = stored(found.groupBy("a", "c1", "c2", "k1", "k2", "p", "n").agg(F.count("*").alias("w")), "zones")
-    kinds = stored(zone.groupBy("a", "c1", "c2").agg(F.sum("w").alias("w"), F.min(F.struct("k1", "k2", "p", "n")).alias("z")), "kinds")
+    zone = stored(found.groupBy("a", "c1", "c2", "k1", "k2", "p", "n", "d").agg(F.count("*").alias("w")), "zones")
+    kinds = stored(zone.groupBy("a", "c1", "c2").agg(F.sum("w").alias("w"), F.min(F.struct("k1", "k2", "p", "n", "d")).alias("z")), "kinds")
     whole = zone.join(kinds.where("w > 1").select("a", "c1", "c2"), ["a", "c1", "c2"]).select("k1", "k2", F.col("p").alias("s"), (F.col("p") + F.col("n") + length - 1).alias("e"))
 
     mixed = kinds.groupBy("a").agg(F.count("*").alias("kinds")).where("kinds > 1").select("a")
-    open_ = kinds.join(mixed, "a").select("z.*", "w").groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "n", "w")).alias("zones"))
-    open_ = stored(open_, "open")
-    wanted = Bits(open_, "k1")
-
-    def needed(batches):
-        for b in batches:
-            yield b.filter(pa.array(wanted.has(b.column("k1").to_numpy().view(np.uint64))))
-
-    bytes_of = texts.mapInArrow(needed, texts.schema).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    open_, behind = with_texts(kinds.join(mixed, "a").select("z.*", "w"), ("p", "n", "d", "w"), texts)
+
+    def cores(batches):
+        for raw, k1, k2, todo in rows_of(batches):
+            made, whole_ranks = [], []
+            for z in todo:
+                anchor = z["p"] + z["d"]
+                for j in range((z["d"] - z["n"] + 1) // STEP, z["d"] // STEP + 1):
+                    end = anchor - j * STEP
+                    low, high = max(z["p"], end - STEP + 1), min(z["p"] + z["n"] - 1, end)
+                    made.append((xxhash.xxh3_64_intdigest(raw[end : end + length - STEP + 1], j), low, high - low + 1, min(z["w"], 2)))
+                    whole_ranks.append(xxhash.xxh3_128_digest(raw[low : high + length], end - low))
+            r, p, n, w = (np.array(x, t) for x, t in zip(zip(*made, strict=True), (np.uint64, np.int64, np.int32, np.int32), strict=True))
+            k = (pa.array(np.full(len(p), x, np.int64)) for x in (k1, k2))
+            yield pa.RecordBatch.from_arrays([pa.array(r.view(np.int64)), *longs(whole_ranks), *k, pa.array(p), pa.array(n), pa.array(w)], names=["r", "c1", "c2", "k1", "k2", "p", "n", "w"])
+
+    if length > STEP:
+        steps = stored(open_.mapInArrow(cores, "r long, c1 long, c2 long, k1 long, k2 long, p long, n int, w int"), "steps")
+        discard(behind)
+        kinds = stored(steps.groupBy("r", "c1", "c2").agg(F.sum("w").alias("w"), F.min(F.struct("k1", "k2", "p", "n")).alias("z")), "kinds")
+        # Zones with w > 1 are settled; they are here to be met by others.
+        again = steps.where("w = 1").join(kinds.where("w > 1").select("r", "c1", "c2"), ["r", "c1", "c2"])
+        whole = whole.unionByName(again.select("k1", "k2", F.col("p").alias("s"), (F.col("p") + F.col("n") + length - 1).alias("e")))
+        mixed = kinds.groupBy("r").agg(F.count("*").alias("kinds")).where("kinds > 1").select("r")
+        open_, behind = with_texts(kinds.join(mixed, "r").select("z.*", "w"), ("p", "n", "w"), texts)
 
     def positions(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                raw = row.column("text").cast(pa.binary())[0].as_py() or b""
-                k1, k2 = row.column("k1")[0].as_py(), row.column("k2")[0].as_py()
-                todo = row.column("zones").to_pylist()[0]
-                for i in range(0, len(todo), 512):
-                    z = todo[i : i + 512]
-                    at = np.concatenate([np.arange(x["p"], x["p"] + x["n"]) for x in z])
-                    w = np.repeat([min(x["w"], 2) for x in z], [x["n"] for x in z])
-                    s1, s2 = longs([xxhash.xxh3_128_digest(raw[p : p + length]) for p in at.tolist()])
-                    k = (pa.array(np.full(len(at), x, np.int64)) for x in (k1, k2))
-                    yield pa.RecordBatch.from_arrays([s1, s2, *k, pa.array(at), pa.array(w.astype(np.int32))], names=["s1", "s2", "k1", "k2", "p", "w"])
-
-    single = stored(open_.join(bytes_of, ["k1", "k2"]).mapInArrow(positions, "s1 long, s2 long, k1 long, k2 long, p long, w int"), "positions")
+        for raw, k1, k2, todo in rows_of(batches):
+            for i in range(0, len(todo), 4096):
+                z = todo[i : i + 4096]
+                at = np.concatenate([np.arange(x["p"], x["p"] + x["n"]) for x in z])
+                w = np.repeat([min(x["w"], 2) for x in z], [x["n"] for x in z])
+                s1, s2 = longs([xxhash.xxh3_128_digest(raw[p : p + length]) for p in at.tolist()])
+                k = (pa.array(np.full(len(at), x, np.int64)) for x in (k1, k2))
+                yield pa.RecordBatch.from_arrays([s1, s2, *k, pa.array(at), pa.array(w.astype(np.int32))], names=["s1", "s2", "k1", "k2", "p", "w"])
+
+    single = stored(open_.mapInArrow(positions, "s1 long, s2 long, k1 long, k2 long, p long, w int"), "positions")
+    discard(behind)
     twice = single.groupBy("s1", "s2").agg(F.sum("w").alias("n")).where("n > 1").select("s1", "s2")
-    # Zones that occur as a whole more than once (w > 1) are settled above; they were here to be met by others.
+    # What occurs as a whole more than once (w > 1) is settled above; it was here to be met by others.
     parts = single.where("w = 1").join(twice, ["s1", "s2"]).select("k1", "k2", F.col("p").alias("s"), (F.col("p") + length).alias("e"))
     return whole.unionByName(parts).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
@@ -237,28 +239,29 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, gram
     spans_name = f"{k1}_spans"
     fields = (("n_bytes", T.LongType()), ("spans", T.ArrayType(T.ArrayType(T.LongType()))), ("kept", T.BinaryType()))
 
-    def pick(side: bool):
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array(bits.has(b.column(k1).to_numpy().view(np.uint64)) == side))
-
-        return run
-
     def cut(batches):
         for batch in batches:
-            for b in slices(batch, text):
-                raws = [x or b"" for x in b.column(text).cast(pa.binary()).to_pylist()]
-                lists = b.column(spans_name).to_pylist() if spans_name in b.schema.names else [None] * len(raws)
-                runs = [merged([(x["s"], x["e"]) for x in s or ()]) for s in lists]
+            joined = spans_name in batch.schema.names
+            for b in slices(batch if joined else sided(batch, False), text):
+                raws = raw_texts(b, text)
+                lists = b.column(spans_name) if joined else None
+                runs = [merged([(x["s"], x["e"]) for x in lists[i].as_py() or ()]) if joined else [] for i in range(len(raws))]
                 kept = [b"".join([raw[a:z] for a, z in zip([0, *(e for _, e in r)], [*(s for s, _ in r), len(raw)], strict=True)]) for raw, r in zip(raws, runs, strict=True)]
                 made = {"n_bytes": pa.array([len(r) for r in raws], pa.int64()), "spans": pa.array([[list(x) for x in r] for r in runs], pa.list_(pa.list_(pa.int64()))), "kept": pa.array(kept, pa.binary())}
                 own = [n for n in b.schema.names if n not in made and n not in (k1, k2, spans_name)]
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in own), *made.values()], names=[*own, *made])
 
+    def sided(b: pa.RecordBatch, touched: bool) -> pa.RecordBatch:
+        return b.filter(pa.array(bits.has(b.column(k1).to_numpy().view(np.uint64)) == touched))
+
+    def pick(batches):
+        for b in batches:
+            yield sided(b, True)
+
     out = plus(df.schema, *fields)
-    clean = keyed.mapInArrow(pick(False), keyed.schema).mapInArrow(cut, out)
+    clean = keyed.mapInArrow(cut, out)
     named = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(spans_name))
-    touched = keyed.mapInArrow(pick(True), keyed.schema).join(named, [k1, k2], "left").mapInArrow(cut, out)
+    touched = keyed.mapInArrow(pick, keyed.schema).join(named, [k1, k2], "left").mapInArrow(cut, out)
     return clean.unionByName(touched)
 
 
