@@ -112,12 +112,19 @@ def calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     pos, neg = float((y > 0).sum()), float((y <= 0).sum())
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     a, b = 1.0, 0.0
+
+    def loss(a: float, b: float) -> float:
+        z = a * margin + b
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * (a - 1) ** 2)
+
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
         g = np.array([(margin * (p - target)).sum() + 1e-3 * (a - 1), (p - target).sum()])
         v = p * (1 - p) + 1e-9
         h = np.array([[(margin * margin * v).sum() + 1e-3, (margin * v).sum()], [(margin * v).sum(), v.sum() + 1e-6]])
-        step = np.clip(np.linalg.solve(h, g), -2, 2)
+        step, now = np.linalg.solve(h, g), loss(a, b)
+        while loss(a - step[0], b - step[1]) > now and np.abs(step).max() > 1e-9:
+            step /= 2
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-9:
             break
@@ -131,6 +138,8 @@ class CoTrained:
     prior: float
 
     def odds(self, view: int, x: np.ndarray) -> np.ndarray:
+        if not len(self.views[view].weights):
+            return np.zeros(len(x))
         a, b = self.curves[view]
         return np.clip(a * self.views[view].margin(x) + b, -20, 20)
 
@@ -140,9 +149,12 @@ class CoTrained:
 
 
 def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
-    """Models from two views (rows in the same order) of labelled and unlabelled documents; the last CALIBRATE of the labelled ones calibrate."""
+    """Models from two views (rows in the same order) of labelled and unlabelled documents; the last CALIBRATE of the labelled ones calibrate.
+
+    Without labels there is nothing to reject by: every document scores 0.5.
+    """
     if not len(y):
-        raise ValueError("no labelled documents")
+        return CoTrained([Logistic(), Logistic()], [(0.0, 0.0)] * 2, 0.0)
     held = int(len(y) * CALIBRATE)
     fit = len(y) - held
     sets = [(labelled[v][:fit], y[:fit]) for v in (0, 1)]
