@@ -17,7 +17,7 @@ from evisift.llm.decontaminate import decontaminate
 from evisift.llm.pieces import encode
 from evisift.llm.pii import DEMO_KEY, feistel_pseudonyms
 from evisift.llm.quality import fit, score
-from evisift.llm.simhash import simhash_groups
+from evisift.llm.simhash import near_duplicate_groups
 from evisift.llm.vocab import TOKENIZERS, model_pieces
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,10 +42,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each SimHash component: the smallest doc_id (a null id only if there is no other), one of equal rows."""
+    """One row of each group of near-duplicates (five words, 0.8): the smallest doc_id (a null id only if there is no other), one of equal rows."""
     k1, k2 = text_key("text")
     plain = _plain(docs).withColumns({"_key1": k1, "_key2": k2})
-    groups = simhash_groups(plain, carry=("_key1", "_key2"))
+    groups = near_duplicate_groups(plain, carry=("_key1", "_key2"))
     first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "_key1", "_key2")).alias("r")).select("r.doc_id", "r._key1", "r._key2")
     same = groups.groupBy("doc_id", "_key1", "_key2").count()
     on = ["doc_id", "_key1", "_key2"]
