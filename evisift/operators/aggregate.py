@@ -73,3 +73,31 @@ def protocol_score(key_points: Column, claims: Column) -> Column:
     return F.struct(
         F.size(kp).alias("key_points"), F.size(claims).alias("evidence_quotes"), covered.alias("covered"), (F.size(kp) - covered).alias("overclaim")
     )
+
+
+def claim_set_stats(df: DataFrame, group: str, claim: str, source_id: str) -> DataFrame:
+    """Claims of each set in all, distinct ones, and distinct (claim, source) links.
+
+    Aggregated by (set, claim, source) and then (set, claim), so a set that owns most rows spreads over its claims.
+    """
+    links = df.groupBy(group, claim, source_id).agg(F.count(F.lit(1)).alias("_n"))
+    claims = links.groupBy(group, claim).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_links"))
+    return claims.groupBy(group).agg(F.sum("_n").alias("claims"), F.count(F.lit(1)).alias("distinct_claims"), F.sum("_links").alias("links"))
+
+
+def alignment_report(blocks: DataFrame, features: str) -> DataFrame:
+    """Enriched blocks in one row; list-like items stand in where there are no list items."""
+    f = F.col(features)
+    items = F.when(F.size(f["list_items"]) > 0, f["list_items"]).otherwise(f["list_like_items"])
+    n = F.when(f.isNotNull() & (F.size(items) > 0), F.size(items))
+    return blocks.agg(
+        F.count(F.lit(1)).alias("total_blocks"), F.count(n).alias("list_like_blocks"), F.round(F.coalesce(F.avg(n), F.lit(0.0)), 6).alias("avg_list_feature_count"),
+        F.count(F.when(f.isNull(), 1)).alias("blocks_missing_enriched"),
+    )
+
+
+def verdict_stats(df: DataFrame, group: str, verdict: str, strict: bool = False) -> DataFrame:
+    """KEEP, DROP and UNCERTAIN rows of each group; strict mode counts the uncertain as dropped as well."""
+    of = lambda *names: F.count(F.when(F.col(verdict).isin(*names), 1))
+    dropped = of("DROP", "UNCERTAIN") if strict else of("DROP")
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias("total"), of("KEEP").alias("kept"), dropped.alias("dropped"), of("UNCERTAIN").alias("uncertain"))

@@ -287,3 +287,18 @@ def paired_permutation(df: DataFrame, key: str, diff: str, n_perm: int = 2000, s
     return base.select(key, "n", "h", F.col("obs").cast("double").alias("obs")).mapInPandas(
         draw, f"{key} {kt}, n bigint, p_value double"
     )
+
+
+def accuracy_panel(df: DataFrame, keys: list[str], outcome: str, z: float = 1.96) -> DataFrame:
+    """Accuracy of 0/1 outcomes with a normal interval, one partial aggregate for each group."""
+    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(outcome).alias("_p"))
+    half = F.sqrt(F.col("_p") * (1 - F.col("_p")) / F.col("n")) * z
+    return g.select(
+        *keys, "n", F.round("_p", 6).alias("accuracy"), F.round(F.greatest(F.lit(0.0), F.col("_p") - half), 6).alias("lo"), F.round(F.least(F.lit(1.0), F.col("_p") + half), 6).alias("hi")
+    )
+
+
+def candidate_trace(pool: DataFrame, key: str, rank: str, is_target: Column, final: int) -> DataFrame:
+    """Q24: whether a target is in the pool and among its first ``final``, its first rank, and the pool's size."""
+    at = F.min(F.when(is_target, F.col(rank)))
+    return pool.groupBy(key).agg(at.isNotNull().alias("in_pool"), F.coalesce(at <= final, F.lit(False)).alias("in_final"), at.alias("first_rank"), F.count(F.lit(1)).alias("pool_size"))

@@ -685,3 +685,10 @@ def nested_answers(short: Column, long: Column) -> Column:
     """Short answers first, then long ones; blank-free, ordered, distinct."""
     flat = F.concat(F.flatten(short), long)
     return F.array_distinct(F.filter(F.transform(flat, strip), lambda x: x.isNotNull() & (x != "")))
+
+
+def evidence_rows(blocks: DataFrame, block_id: str, sentences: Column) -> DataFrame:
+    """One row for every evidence sentence of a block, numbered from 1 in its id; blank ones take a number but no row."""
+    rows = explode_rows(blocks, [block_id], sentences, "_i", "text")
+    named = rows.select(F.concat(F.col(block_id), F.lit("::ev"), (F.col("_i") + 1).cast("string")).alias("evidence_id"), block_id, strip(F.col("text")).alias("text"))
+    return named.where("text <> ''")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import falsy_or
+
 
 def filter_chunks(
     df: DataFrame,
@@ -43,3 +45,8 @@ def allow_list(df: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
     if allowed.isEmpty():
         return df
     return df.join(allowed.select(F.col(allowed.columns[0]).alias(key)).distinct(), key, "left_semi")
+
+
+def single_document(df: DataFrame, ids: list[str], doc: str) -> DataFrame:
+    """Rows of one document, by the first of its id columns that is filled."""
+    return df.where(falsy_or(*[F.col(c) for c in ids]) == doc)

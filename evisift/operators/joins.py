@@ -147,3 +147,21 @@ def merge_evidence(graph: DataFrame, text: DataFrame) -> DataFrame:
 def has_url(c: Column) -> Column:
     """U08 predicate."""
     return c.rlike(r"(?i)https?://\S+")
+
+
+def seen_aliases(aliases: DataFrame, triples: DataFrame) -> DataFrame:
+    """Alias records ``(name, alias)`` of names that are subject or object of some triple."""
+    seen = triples.select(F.explode(F.array("subject", "object")).alias("name")).distinct()
+    return aliases.join(seen, "name", "left_semi")
+
+
+def answer_anchors(titles: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every supporting title ``(qid, pos, title)`` points at its question's answer ``(qid, answer)``."""
+    name = F.concat_ws("_", F.lit("tri_answer"), F.col("qid").cast("string"), F.col("pos").cast("string"))
+    return titles.join(answers, "qid").select(name.alias("triple_id"), F.col("title").alias("subject"), F.lit("answer_anchor").alias("predicate"), F.col("answer").alias("object"))
+
+
+def win_cases(predictions: DataFrame, support: DataFrame) -> DataFrame:
+    """Won predictions ``(id, win)`` beside the filled supporting sentences of ``(id, sentences)``."""
+    kept = F.filter(F.transform("sentences", strip), lambda x: x != "")
+    return predictions.where("win").join(support.select("id", kept.alias("support")), "id").select("id", "support")

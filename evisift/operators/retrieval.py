@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import overlap_tokens
@@ -120,3 +120,16 @@ def drug_id_key(pred: Column, support: Column) -> Column:
     return F.when(F.size(sup) == 0, F.struct(F.lit(0).alias("overlap"), F.lit(0).alias("short"))).when(
         F.size(ids) == 0, F.struct(F.lit(-1).alias("overlap"), short.alias("short"))
     ).otherwise(F.struct(F.size(F.filter(ids, lambda i: F.array_contains(sup, i))).alias("overlap"), short.alias("short")))
+
+
+def evidence_chain(pairs: DataFrame, threshold: float, budget: int, limit: int, max_cost: int = 64) -> DataFrame:
+    """Q15/Q16: ``pairs(qid, question, doc_id, text)`` -> score, threshold, running budget, rank and limit.
+
+    Costs are characters in hundreds, between 1 and ``max_cost``. The pool of a question comes from a top-k, so its window is small.
+    """
+    scored = pairs.select("qid", "doc_id", relevance(F.col("question"), F.col("text")).alias("score"), F.least(F.lit(max_cost), F.greatest(F.lit(1), F.expr("length(text) div 100"))).alias("cost"))
+    order = Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id")
+    used = F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = scored.where(F.col("score") >= threshold).withColumn("used", used).where(F.col("used") <= budget)
+    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked.select("qid", "doc_id", F.round("score", 6).alias("score"), "rank")

@@ -149,7 +149,7 @@ def _hashed(df):
     return df.select("doc_id", "chunk_no", "start", "end", F.md5("text").alias("chunk_md5"))
 
 
-@query("word_chunks", "K03,K06", _windows_sql(350, 53, "(s = 0 or s - 297 + 350 < n)"))
+@query("word_chunks", "K03", _windows_sql(350, 53, "(s = 0 or s - 297 + 350 < n)"))
 def word_chunks(spark, d):
     return _hashed(K.explode_windows(documents(spark, d), K.word_chunks(F.col("text")), ["doc_id"], "chunk"))
 

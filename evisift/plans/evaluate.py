@@ -133,7 +133,7 @@ def latency_summary(spark, d):
 
 
 @query(
-    "quality_report", "A08,A21,C15,C16",
+    "quality_report", "A08,C15,C16",
     f"""with t as (select {S.normalize('text')} as t, lang from documents),
     m as (select lang, len(regexp_extract_all(t, '[A-Za-z0-9]+|[{S.CJK}]'))::int as tc, (length(regexp_replace(t, '[\\x20-\\x7e{S.CJK}\\n\\r\\t]', '', 'g')) / greatest(1, length(t)) >= 0.02)::int as np,
       (length(t) - length(replace(t, '|', '')) >= 8)::int as tab, sha256(t) as h from t where t <> '')
@@ -190,7 +190,7 @@ def paired_permutation(spark, d):
 
 
 @query(
-    "method_panel", "A25,A31,A32",
+    "method_panel", "A31,A32",
     """with m as (select doc_id, source, 'quality' as method, quality as em from documents join labels using (doc_id) union all select doc_id, source, 'toxic', toxic from documents join labels using (doc_id))
     select source, round(100.0 * avg(em) filter (method = 'quality'), 6) as quality, round(100.0 * avg(em) filter (method = 'toxic'), 6) as toxic, round(100.0 - 100.0 * avg(em) filter (method = 'quality'), 6) as error_rate from m group by source""",
 )
@@ -209,7 +209,7 @@ def keyword_counts(spark, d):
     return A.keyword_counts(documents(spark, d), "text", {"the": "the", "und": "und", "phone": r"\+1 \([0-9]+\)"})
 
 
-@query("keyword_sample", "A29,W16,T20,S03")
+@query("keyword_sample", "A29,W16,T20")
 def keyword_sample(spark, d):
     docs = table(spark, d, "documents").where(F.col("text").rlike("(?i)und")).select("doc_id", "lang")
     return A.hash_sample(docs, "doc_id", 20, seed=7)
@@ -320,7 +320,7 @@ def grounding(spark, d):
 
 
 @query(
-    "retrieval_audit", "J16,Q24,Q25",
+    "retrieval_audit", "J16,Q25",
     f"""with {TURNS}, g as (select conv_id || '-' || turn as qid, regexp_replace({S.strip('lower(gold)')}, '[{S.WS}]+', ' ', 'g') as g, regexp_replace({S.strip('lower(pred)')}, '[{S.WS}]+', ' ', 'g') as p from turns)
     select qid, 1::bigint as golds, (p <> '' and (contains(p, g) or contains(g, p)))::bigint as hits from g where g <> ''""",
 )

@@ -193,7 +193,7 @@ def unit_rows(spark, d):
     return rows.select("doc_id", X.evidence_units(F.col("doc_id").cast("string"), c, sec, F.col("items")).alias("units"))
 
 
-@query("evidence_units", "X09,X10,X11,X12,K09,K10")
+@query("evidence_units", "X09,X10,X11,X12,K10")
 def evidence_units(spark, d):
     u = explode_rows(unit_rows(spark, d), ["doc_id"], F.col("units"), "unit_no", "u")
     return u.select(

@@ -122,7 +122,7 @@ def slot_status(spark, d):
 
 
 @query(
-    "slot_coverage", "A18,Q10",
+    "slot_coverage", "A18",
     """with w as (select distinct user_id as qid, event_type as slot from events), f as (select user_id as qid, event_type as slot, count(distinct event_id) as n from events where value > 25 group by all)
     select qid, slot, coalesce(n, 0) as evidence_count, n is not null as covered from w left join f using (qid, slot)""",
 )
@@ -134,7 +134,7 @@ def slot_coverage(spark, d):
 
 
 @query(
-    "gate_decisions", "Q09,U07,Q10",
+    "gate_decisions", "Q09,U07",
     """with o as (select l_orderkey, max(l_linenumber) as n, sum((l_returnflag = 'R')::int) as mh, sum((l_returnflag = 'A')::int) as ms, bool_and(l_linestatus = 'O') as bare, sum((l_linenumber > 4)::int) as ss,
        sum((l_linenumber > 5)::int) as rs, sum((l_quantity > 45)::int) as rf, sum((l_quantity < 3)::int) as rh from lineitem group by 1),
     a as (select *, rs = 0 and ss = 0 and not (ss > 0 and ms = 0) and not bare as fact, rf = 0 and rh = 0 as lst, rh = 0 as expl, ss > 0 and ms = 0 as sat from o),
@@ -170,7 +170,7 @@ def injection_check(spark, d):
 
 
 @query(
-    "approved_runtime", "K12,A20",
+    "approved_runtime", "K12",
     """with u as (select doc_id, trim(source) as src, text, case when quality = 1 then 'approved' else 'draft' end as status from documents join labels using (doc_id))
     select doc_id as evidence_id, md5({}) as text_md5, src as provenance from u where status = 'approved' and {} <> ''""".format(S.strip("text"), S.strip("text")),
 )
@@ -236,7 +236,7 @@ def keyword_display(spark, d):
     return shown.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(G.highlight(F.col("s"), F.col("kw")))).alias("chars"))
 
 
-@query("violations", "Q20,Q31,Q23")
+@query("violations", "Q20,Q31")
 def violations(spark, d):
     docs = documents(spark, d, "text", "source")
     v = G.unapproved_expansions(F.col("text"), F.col("source"))
@@ -374,7 +374,7 @@ def unused_retrieval(spark, d):
 
 
 @query(
-    "request_order_lookup", "J09,J10",
+    "request_order_lookup", "J09",
     """select c_custkey as qid, pos::int as pos, x as n_nationkey, n_name from (select c_custkey, unnest([c_nationkey, (c_nationkey + 7) % 30, 3]) as x, unnest([0, 1, 2]) as pos from customer) join nation on n_nationkey = x""",
 )
 def request_order_lookup(spark, d):
@@ -405,7 +405,7 @@ def incremental_import(spark, d):
 
 
 @query(
-    "slot_evidence", "J14,J15,Q08",
+    "slot_evidence", "J14",
     """with ev as (select event_id as evidence_id, [event_type, case when value > 15 then 'High' else 'low' end] as types from events), s as (select * from (values ('a', ['CLICK ']), ('b', ['high', 'view']), ('c', [])) t(slot, wanted))
     select slot, count(*) as n from ev join s on len(wanted) = 0 or list_has_any(list_transform(types, lambda x: lower(x)), list_transform(wanted, lambda x: lower(trim(x)))) group by slot""",
 )
@@ -416,7 +416,7 @@ def slot_evidence(spark, d):
 
 
 @query(
-    "doc_listing", "J20,J21,W08",
+    "doc_listing", "J21,W08",
     """select source, count(*) as n_docs, sum(coalesce(quality, 0))::bigint as approved, arg_min(doc_id, doc_id) as first_doc from documents left join labels using (doc_id) group by source""",
 )
 def doc_listing(spark, d):
@@ -427,7 +427,7 @@ def doc_listing(spark, d):
 
 
 @query(
-    "supporting_sentences", "J22,X26",
+    "supporting_sentences", "J22",
     f"""select conv_id, turn, md5(ss[1]) as s_md5 from (select conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda p: {S.strip('p')}), lambda p: true) as ss from conversations) where ss[1] <> ''""",
 )
 def supporting_sentences(spark, d):
@@ -475,7 +475,7 @@ def step_deltas(spark, d):
 
 
 @query(
-    "contract_autogen", "A06,U11",
+    "contract_autogen", "A06",
     """with t as (select doc_id, {strip} as w from (select doc_id, unnest(string_split(lower(text), ' ')) as w from documents) where {strip} <> '')
     select 'schema:' || w as pattern_id, count(*) as n from t group by w having count(*) >= 3 order by n desc, min(doc_id), w limit 20""".replace("{strip}", S.strip("w")),
 )

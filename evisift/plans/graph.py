@@ -85,7 +85,7 @@ def kg_tables(spark, d):
     return t, nodes, cut_lineage(G.build_edges(t, nodes))
 
 
-@query("kg_triples", "C31,S16,G05", f"with {TRIPLES} select ord, triple_id, subject, predicate, object from tr")
+@query("kg_triples", "C31", f"with {TRIPLES} select ord, triple_id, subject, predicate, object from tr")
 def q_triples(spark, d):
     return G.last_triples(kg_triples(spark, d)).select("ord", "triple_id", "subject", "predicate", "object")
 

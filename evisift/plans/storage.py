@@ -35,7 +35,7 @@ def html_text(spark, d):
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
-@query("html_tables", "S09,S10,K07,K08")
+@query("html_tables", "S09,S10,K07")
 def html_tables(spark, d):
     """Navigation lists are read as two-column tables next to real ones."""
     nav = F.regexp_replace(F.regexp_replace("html", "(?i)<ul>", "<table><tr><th>entry</th><th>link</th></tr>"), "(?i)</ul>", "</table>")
@@ -49,7 +49,7 @@ def html_tables(spark, d):
 
 
 @query(
-    "scanned_documents", "S06,S08",
+    "scanned_documents", "S08",
     f"""select regexp_extract(url, '//([^/]+)/', 1) as host, round(avg(length(t)), 6) as avg_chars, sum(length(t))::bigint as total_chars, (avg(length(t)) < 50 or sum(length(t)) < 500) as needs_ocr
     from (select url, {HTML_TEXT} as t from pages) group by 1""",
 )
@@ -71,7 +71,7 @@ def bank_roundtrip(spark, d):
 
 
 @query(
-    "jsonl_roundtrip", "S01,S02,S22",
+    "jsonl_roundtrip", "S02,S22",
     "select event_type, count(*) as n, count(distinct user_id) as users from events where user_id <> 0 group by 1",
 )
 def jsonl_roundtrip(spark, d):
@@ -113,7 +113,7 @@ def chunk_store(spark, d):
 
 
 @query(
-    "graph_store", "S15,S16",
+    "graph_store", "S15",
     f"""with {TRIPLES} select 'nodes' as part, count(*) as n from nodes union all select 'edges', count(*) from edges
     union all select 'entity_index', count(distinct lower(name)) from nodes union all select 'sentence_index', count(distinct triple_id) from tr""",
 )
@@ -142,7 +142,7 @@ def append_stream(spark, d):
 
 
 @query(
-    "import_stream", "ST2,ST4,J11",
+    "import_stream", "ST2,J11",
     "select event_type, count(distinct user_id) as users from events group by 1",
 )
 def import_stream(spark, d):

@@ -16,24 +16,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def save_bank(df: DataFrame, path: str, shard_size: int = 1024) -> None:
-    """Prose and tables in separate partitions, files of at most ``shard_size`` rows."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", shard_size).partitionBy("is_table").parquet(path)
+def save_bank(df: DataFrame, path: str, shard_size: int | None = None) -> None:
+    """Prose and tables, and each dimension, in separate partitions; files of at most ``shard_size`` rows if given."""
+    out = df.withColumn("dim", F.size("item")).write.mode("overwrite")
+    out = out if shard_size is None else out.option("maxRecordsPerFile", shard_size)
+    out.partitionBy("is_table", "dim").parquet(path)
 
 
 def load_bank(spark: SparkSession, path: str, tables: bool | None = None) -> DataFrame:
-    """Partition pruning picks prose or tables; all vectors must have one dimension."""
+    """Partition pruning picks prose or tables; all vectors must have one dimension, which the partitions tell without a scan."""
     df = spark.read.parquet(path)
-    missing = {"rid", "item"} - set(df.columns)
+    missing = {"rid", "item", "dim"} - set(df.columns)
     if missing:
         raise ValueError(f"not a bank: {path} lacks {sorted(missing)}; did you mean its parent folder?")
     df = df.withColumn("is_table", F.col("is_table").cast("boolean"))  # partition values are read as text
     if tables is not None:
         df = df.where(F.col("is_table") == tables)
-    dims = df.select(F.size("item").alias("d")).distinct().limit(2).collect()
-    if len(dims) > 1:
+    if len(df.select("dim").distinct().limit(2).collect()) > 1:
         raise ValueError(f"dimension mismatch in {path}")
-    return df
+    return df.drop("dim")
 
 
 def manifest(df: DataFrame) -> DataFrame:
