@@ -10,8 +10,8 @@ piece), so a chunk is an L x L max-plus transfer matrix from the nodes before it
 Matrices are combined associatively, in blocks over several levels, into the exact scores at every cut; with them each
 chunk gives its exit-to-entry map, the maps are composed from the end, and every chunk is backtraced by itself.
 
-Within a chunk, no piece joins a blank to text in front of it, so every path passes the node before a run of blanks.
-From such a node the best path to the next one depends on the run alone and is remembered.
+Within a chunk, no piece joins a blank to text in front of it and none has a line feed, so every path passes the node
+before a run of blanks and those around a line feed. From such a node the best path to the next one depends on the run alone and is remembered.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from array import array
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,16 +35,17 @@ from .vocab import TOKENIZERS, model_pieces
 BLANK = "▁"
 NONE = -(1 << 60)
 #: Texts of more characters than this are cut into chunks of this many characters.
-CHUNK = 32_768
+CHUNK = 65_536
 #: Chunks whose matrices one task combines.
 BLOCK = 64
 #: Runs up to this many characters are remembered, at most CACHED of them for each Python worker.
 CACHED_CHARS, CACHED = 48, 400_000
+CUT = re.compile(f"(?<=\n)|(?=\n)|(?<!{BLANK})(?={BLANK})")
 UNIT = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
 
 
 class Model:
-    """Piece ids and scores by text, byte ids, and the text of every id."""
+    """Piece ids and scores by text, byte ids, and what has been encoded before."""
 
     def __init__(self, pieces: list[tuple[str, int]]):
         self.ids = {p: i for i, (p, kind) in enumerate(pieces) if kind in (1, 4, 5) and p}
@@ -56,67 +59,144 @@ class Model:
         #: A character without a piece: below every piece, as in the library.
         self.unknown = min(self.score.values(), default=0) - 2560
         self.longest = max(map(len, self.ids), default=1)
-        self.starts = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
-        self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.encode() if kind in (1, 4, 5) else b"" for p, kind in pieces]
-        self.remembered: dict[str, tuple[bytes, int]] = {}
-
-    def steps(self, s: str, at: int, end: int):
-        """(next node, score) of the pieces that start at ``at`` and end by ``end``; one character without a piece is a step too."""
-        starts, score, one = self.starts, self.score, False
-        for e in range(at + 1, min(end, at + self.longest) + 1):
-            p = s[at:e]
-            if p not in starts:
-                break
-            if p in score:
-                one |= e == at + 1
-                yield e, score[p]
-        if not one and at < end:
-            yield at + 1, self.unknown
+        #: Trie of dictionaries by character; the empty key holds (score, id) of a piece that ends there.
+        self.trie: dict = {}
+        for p, i in self.ids.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = self.score[p], i
+        #: All pieces in a string, by end and then longest first.
+        self.matcher = ahocorasick.Automaton()
+        for p, i in self.ids.items():
+            self.matcher.add_word(p, (len(p), self.score[p], i))
+        self.matcher.make_automaton()
+        self.single = frozenset(p for p in self.ids if len(p) == 1)
+        self.newline = np.array([self.byte[10]], np.int32).tobytes()
+        if any("\n" in p for p in self.ids):
+            raise ValueError("a piece has a line feed")
+        self.remembered: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.scores: dict[str, int] = {}
 
     def best(self, s: str, first: list[int], at: int, end: int):
-        """Scores and predecessors of the nodes at .. end, given scores of the nodes up to ``at`` (negative nodes: none).
+        """Scores, predecessors and pieces of the nodes up to ``end``, given scores of the nodes up to ``at`` (negative nodes: none).
 
-        ``first[i]`` is the score of node ``at - len(first) + 1 + i``.
+        ``first[i]`` is the score of node ``lo + i``; lo, the first returned value, is ``at - len(first) + 1``. A piece of
+        None is a character without one.
         """
         lo = at - len(first) + 1
-        value, back = first + [NONE] * (end - at), [-1] * (end - lo + 1)
+        size = end - lo + 1
+        value, back, piece = first + [NONE] * (size - len(first)), [-1] * size, [None] * size
+        trie, unknown = self.trie, self.unknown
         for u in range(max(lo, 0), end):
-            if value[u - lo] > NONE:
-                for e, w in self.steps(s, u, end):
-                    if e > at and value[u - lo] + w > value[e - lo]:
-                        value[e - lo], back[e - lo] = value[u - lo] + w, u
-        return lo, value, back
-
-    def walk(self, s: str, lo: int, back: list[int], start: int, end: int) -> tuple[list[int], int]:
-        """Ids on the best path from the first node <= start to ``end``, and that node."""
+            v = value[u - lo]
+            if v == NONE:
+                continue
+            node, one = trie, False
+            for e in range(u, end):
+                node = node.get(s[e])
+                if node is None:
+                    break
+                leaf = node.get("")
+                if leaf is not None:
+                    k = e + 1 - lo
+                    if e == u:
+                        one = True
+                    if e >= at and v + leaf[0] > value[k]:
+                        value[k], back[k], piece[k] = v + leaf[0], u, leaf[1]
+            if not one and u >= at:
+                k = u + 1 - lo
+                if v + unknown > value[k]:
+                    value[k], back[k], piece[k] = v + unknown, u, None
+        return lo, value, back, piece
+
+    def walk(self, s: str, lo: int, back: list[int], piece: list, start: int, end: int) -> tuple[bytes, int]:
+        """Ids (as int32 bytes) on the best path from the first node <= start to ``end``, and that node."""
         out: list[int] = []
         while end > start:
-            at = back[end - lo]
-            p = s[at:end]
-            if p in self.ids:
-                out.append(self.ids[p])
+            at, i = back[end - lo], piece[end - lo]
+            if i is None:
+                out.extend(self.byte[b] for b in reversed(s[at:end].encode()))
             else:
-                out.extend(self.byte[b] for b in reversed(p.encode()))
+                out.append(i)
             end = at
-        return out[::-1], end
-
-    def unit(self, u: str) -> tuple[bytes, int]:
-        """Ids (as int32 bytes) and score of a run of blanks with the text up to the next blank."""
+        out.reverse()
+        return array("i", out).tobytes(), end
+
+    def solve(self, u: str) -> tuple[bytes, int]:
+        """Ids and score of the best path over a whole string."""
+        if self.single.issuperset(u):  # every node can be reached by pieces
+            n = len(u)
+            value, back, piece = [0] + [NONE] * n, [0] * (n + 1), [0] * (n + 1)
+            for e, (size, w, i) in self.matcher.iter(u):
+                e += 1
+                v = value[e - size] + w
+                if v > value[e]:
+                    value[e], back[e], piece[e] = v, e - size, i
+            out, e = [], n
+            while e:
+                out.append(piece[e])
+                e = back[e]
+            out.reverse()
+            return array("i", out).tobytes(), value[n]
+        lo, value, back, piece = self.best(u, [0], 0, len(u))
+        return self.walk(u, lo, back, piece, 0, len(u))[0], value[-1]
+
+    def unit(self, u: str) -> bytes:
+        """Ids of a run of blanks with the text up to the next blank."""
         got = self.remembered.get(u)
         if got is None:
-            lo, value, back = self.best(u, [0], 0, len(u))
-            got = np.array(self.walk(u, lo, back, 0, len(u))[0], np.int32).tobytes(), value[-1]
+            got = self.solve(u)[0]
             if len(u) <= CACHED_CHARS:
                 if len(self.remembered) >= CACHED:
                     self.remembered.clear()
                 self.remembered[u] = got
         return got
 
+    def worth(self, u: str) -> int:
+        """Score of the best path over a run."""
+        got = self.scores.get(u)
+        if got is None:
+            got = self.solve(u)[1]
+            if len(u) <= CACHED_CHARS:
+                if len(self.scores) >= CACHED:
+                    self.scores.clear()
+                self.scores[u] = got
+        return got
+
+    def _word(self, w: str) -> bytes:
+        got = self.solve(BLANK + w)[0]
+        if len(w) <= CACHED_CHARS:
+            if len(self.words) >= CACHED:
+                self.words.clear()
+            self.words[w] = got
+        return got
+
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text in one go, as int32 bytes."""
+        """Ids of a whole text in one go, as int32 bytes.
+
+        Every path passes the nodes around a line feed (no piece has one) and before a run of blanks.
+        """
         if not text:
             return b""
-        return b"".join([self.unit(u)[0] for u in UNIT.findall(normal(text))])
+        get, word, out = self.words.get, self._word, []
+        plain = BLANK not in text
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                out.append(self.newline)
+            parts = line.split(" ")
+            if plain and "" not in parts:
+                out.append(self.unit(parts[0] if i else BLANK + parts[0]))
+                out += [get(w) or word(w) for w in parts[1:]]
+            else:
+                out += [self.unit(u) for u in UNIT.findall(line.replace(" ", BLANK) if i else normal(line))]
+        return b"".join(out)
+
+
+class Decoder:
+    def __init__(self, pieces: list[tuple[str, int]]):
+        self.raw = [bytes([int(p[3:5], 16)]) if kind == 6 else p.encode() if kind in (1, 4, 5) else b"" for p, kind in pieces]
 
     def decode(self, ids) -> str:
         """Text of ids; one leading blank is dropped; ids out of range are an error."""
@@ -135,9 +215,8 @@ class Chunk:
     def __init__(self, model: Model, s: str, at: int):
         self.m, self.s, self.at, self.end = model, s, at, len(s)
         self.width = model.longest
-        #: Nodes that every path passes: where a run of blanks starts after other text.
-        cuts = [x.start() + 1 for x in re.finditer(f"[^{BLANK}]{BLANK}", s)]
-        self.cuts = [c for c in cuts if at <= c <= self.end]
+        #: Nodes that every path passes: where a run of blanks starts after other text, and around line feeds.
+        self.cuts = [c for c in (x.start() for x in CUT.finditer(s)) if max(at, 1) <= c <= self.end]
 
     def matrix(self) -> np.ndarray:
         """Transfer matrix: [i, j] is the best score from entry node i to exit node j (window positions)."""
@@ -149,7 +228,7 @@ class Chunk:
                 continue
             entry = [NONE] * L
             entry[i] = 0
-            lo, value, _ = self.m.best(self.s, entry, self.at, stop)
+            lo, value, _, _ = self.m.best(self.s, entry, self.at, stop)
             if self.cuts:
                 to = value[stop - lo]
                 if to > NONE:
@@ -177,10 +256,10 @@ class Chunk:
         for c, run in zip(self.cuts, [*self.middle(), None], strict=True):
             nxt = self.end if run is None else c + len(run)
             if nxt > self.end - L:
-                lo, value, _ = self.m.best(self.s, [0], c, nxt)
+                lo, value, _, _ = self.m.best(self.s, [0], c, nxt)
                 scores.update({n: total + value[n - lo] for n in range(max(c, self.end - L + 1), nxt + 1) if value[n - lo] > NONE})
             if run is not None:
-                total += self.m.unit(run)[1]
+                total += self.m.worth(run)
         return [(n - self.end + L - 1, w) for n, w in scores.items()]
 
     def back(self, entry: list[int], exit_at: int, ids: bool = True) -> tuple[bytes, int]:
@@ -191,16 +270,16 @@ class Chunk:
         out = []
         if cuts:
             if cuts[-1] < end:
-                lo, _, back = self.m.best(self.s, [0], cuts[-1], end)
-                out.append(np.array(self.m.walk(self.s, lo, back, cuts[-1], end)[0], np.int32).tobytes())
+                lo, _, back, piece = self.m.best(self.s, [0], cuts[-1], end)
+                out.append(self.m.walk(self.s, lo, back, piece, cuts[-1], end)[0])
             if ids:
-                out += [self.m.unit(self.s[a:b])[0] for a, b in reversed(list(zip(cuts, cuts[1:], strict=False)))]
+                out += [self.m.unit(self.s[a:b]) for a, b in reversed(list(zip(cuts, cuts[1:], strict=False)))]
             end = cuts[0]
         node = end
         if end > self.at:
-            lo, _, back = self.m.best(self.s, entry, self.at, end)
-            found, node = self.m.walk(self.s, lo, back, self.at, end)
-            out.append(np.array(found, np.int32).tobytes())
+            lo, _, back, piece = self.m.best(self.s, entry, self.at, end)
+            found, node = self.m.walk(self.s, lo, back, piece, self.at, end)
+            out.append(found)
         return b"".join(reversed(out)), node - self.at + L - 1
 
 
@@ -213,7 +292,7 @@ def advance(vector: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum((vector[:, None] + m).max(0), NONE)
 
 
-_READY: dict[str, Model] = {}
+_READY: dict[tuple[str, type], Model | Decoder] = {}
 
 
 class Sent:
@@ -223,11 +302,21 @@ class Sent:
         self.id, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(pieces)
         self.longest = Model(pieces).longest
 
+    def get(self, kind: type):
+        if (self.id, kind) not in _READY:
+            for k in [k for k in _READY if k[0] != self.id]:
+                del _READY[k]
+            _READY[(self.id, kind)] = kind(self.broadcast.value)
+        return _READY[(self.id, kind)]
+
     def model(self) -> Model:
-        if self.id not in _READY:
-            _READY.clear()
-            _READY[self.id] = Model(self.broadcast.value)
-        return _READY[self.id]
+        return self.get(Model)
+
+
+def each(batch: pa.RecordBatch, *columns: str):
+    """Rows one at a time, so that a batch of texts is not held twice."""
+    for r in range(batch.num_rows):
+        yield tuple(batch.column(c)[r].as_py() for c in columns)
 
 
 def id_lists(rows: list[bytes | None]) -> pa.Array:
@@ -240,8 +329,8 @@ def id_lists(rows: list[bytes | None]) -> pa.Array:
 IDS = T.ArrayType(T.IntegerType())
 
 
-def encode(df: DataFrame, pieces: list[tuple[str, int]], text: str = "text", out: str = "ids", chunk: int = CHUNK) -> DataFrame:
-    """``df`` with the piece ids of the whole text.
+def encode(df: DataFrame, pieces: list[tuple[str, int]], text: str = "text", out: str = "ids", chunk: int = CHUNK, back: str | None = None) -> DataFrame:
+    """``df`` with the piece ids of the whole text; ``back`` names a column for the text decoded from them again.
 
     Null stays null, an empty text has no ids. Texts of up to ``chunk`` characters are encoded where they are read. Longer
     ones go through the scan once for each distinct text and are joined back, with equal ids; repeated rows are repeated.
@@ -250,15 +339,21 @@ def encode(df: DataFrame, pieces: list[tuple[str, int]], text: str = "text", out
 
     def make(batch: pa.RecordBatch) -> dict:
         m = sent.model()
-        return {out: id_lists([None if t is None else m.encode(t) for t in batch.column(text).to_pylist()])}
+        made = [None if t is None else m.encode(t) for t in batch.column(text).to_pylist()]
+        again = {} if back is None else {back: pa.array([None if r is None else sent.get(Decoder).decode(array("i", r)) for r in made], pa.string())}
+        return {out: id_lists(made), **again}
 
     long_text = F.coalesce(F.length(text) > chunk, F.lit(False))
-    short = map_rows(df.where(~long_text), text, [(out, IDS)], make)
+    fields = [(out, IDS)] if back is None else [(out, IDS), (back, T.StringType())]
+    short = map_rows(df.where(~long_text), text, fields, make)
     k1, k2 = text_key(text)
     giant = df.where(long_text)
+    wanted = [c for c in df.columns if c not in (out, back)]
     found = scan_encode(giant.select(k1, k2, F.col(text).alias("s")), sent, chunk)
-    keyed = giant.withColumns({"__text_key_1": k1, "__text_key_2": k2}).join(found.select(F.col("k1").alias("__text_key_1"), F.col("k2").alias("__text_key_2"), F.col("ids").alias(out)), ["__text_key_1", "__text_key_2"], "left")
-    return short.unionByName(keyed.drop("__text_key_1", "__text_key_2"))
+    row, key1, key2, made = (f"_{uuid.uuid4().hex[:8]}" for _ in range(4))
+    rows = giant.select(F.struct(*wanted).alias(row), k1.alias(key1), k2.alias(key2))
+    keyed = rows.join(found.toDF(key1, key2, made), [key1, key2], "left").select(*(F.col(row)[c].alias(c) for c in wanted), F.col(made).alias(out))
+    return short.unionByName(keyed if back is None else decode(keyed, pieces, out, back, sent))
 
 
 def scan_encode(texts: DataFrame, sent: Sent, chunk: int) -> DataFrame:
@@ -271,7 +366,7 @@ def scan_encode(texts: DataFrame, sent: Sent, chunk: int) -> DataFrame:
     def cut(batches):
         for batch in batches:
             for part in slices(batch, "s"):
-                for k1, k2, s in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "s")), strict=True):
+                for k1, k2, s in each(part, "k1", "k2", "s"):
                     s = normal(s)
                     rows = [(k1, k2, c, len(s) <= a + chunk, min(a, L), s[max(0, a - L) : a + chunk]) for c, a in enumerate(range(0, len(s), chunk))]
                     for i in range(0, len(rows), 32):
@@ -282,7 +377,7 @@ def scan_encode(texts: DataFrame, sent: Sent, chunk: int) -> DataFrame:
     def matrices(batches):
         for batch in batches:
             m = sent.model()
-            got = [Chunk(m, s, at).matrix().tobytes() for s, at in zip(batch.column("s").to_pylist(), batch.column("at").to_pylist(), strict=True)]
+            got = [Chunk(m, s, at).matrix().tobytes() for s, at in each(batch, "s", "at")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "c")), pa.array(got, pa.binary())], names=["k1", "k2", "c", "m"])
 
     levels = [stored(chunks.select("k1", "k2", "c", "at", "s").mapInArrow(matrices, "k1 long, k2 long, c long, m binary"), "matrices")]
@@ -322,10 +417,11 @@ def scan_encode(texts: DataFrame, sent: Sent, chunk: int) -> DataFrame:
     def maps(batches):
         for batch in batches:
             m, made = sent.model(), []
-            for s, at, v in zip(*(batch.column(c).to_pylist() for c in ("s", "at", "v")), strict=True):
-                part, entry = Chunk(m, s, at), np.frombuffer(v, np.int64)
-                live = advance(entry, part.matrix()) > NONE
-                made.append([part.back(entry.tolist(), j, ids=False)[1] if live[j] else -1 for j in range(L)])
+            for s, at, v in each(batch, "s", "at", "v"):
+                part, entry = Chunk(m, s, at), np.frombuffer(v, np.int64).tolist()
+                # Every node from the first of the entry window on can be reached.
+                first = max(0, at - L + 1)
+                made.append([part.back(entry, j, ids=False)[1] if part.end - L + 1 + j >= first else -1 for j in range(L)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "c")), pa.array(made, pa.list_(pa.int32()))], names=["k1", "k2", "c", "f"])
 
     # Exit positions: the maps composed from the end, by the same blocks as the matrices.
@@ -360,7 +456,7 @@ def scan_encode(texts: DataFrame, sent: Sent, chunk: int) -> DataFrame:
     def trace(batches):
         for batch in batches:
             m = sent.model()
-            got = [Chunk(m, s, at).back(np.frombuffer(v, np.int64).tolist(), x)[0] for s, at, v, x in zip(*(batch.column(c).to_pylist() for c in ("s", "at", "v", "x")), strict=True)]
+            got = [Chunk(m, s, at).back(np.frombuffer(v, np.int64).tolist(), x)[0] for s, at, v, x in each(batch, "s", "at", "v", "x")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "c")), id_lists(got)], names=["k1", "k2", "c", "ids"])
 
     traced = ready.join(leaving, ["k1", "k2", "c"]).select("k1", "k2", "c", "at", "s", "v", "x").mapInArrow(trace, "k1 long, k2 long, c long, ids array<int>")
@@ -368,15 +464,15 @@ def scan_encode(texts: DataFrame, sent: Sent, chunk: int) -> DataFrame:
     return traced.groupBy("k1", "k2").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("c", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
-def decode(df: DataFrame, pieces: list[tuple[str, int]], ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, pieces: list[tuple[str, int]], ids: str = "ids", out: str = "decoded", sent: Sent | None = None) -> DataFrame:
     """``df`` with the text of its ids (null stays null). U+2581 in a text comes back as a blank, all else as it was."""
-    sent = Sent(df.sparkSession, pieces)
+    sent = sent or Sent(df.sparkSession, pieces)
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                lists, m = part.column(ids), sent.model()
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
+                lists, m = part.column(ids), sent.get(Decoder)
                 made = [m.decode(x.values.to_numpy().tolist()) if x.is_valid else None for x in lists]
                 yield appended(part, **{out: pa.array(made, pa.string())})
 
@@ -388,5 +484,4 @@ def op3_sentencepiece(spark, sf_dir, folder: str = TOKENIZERS):
     """Piece ids of every document, their number, and whether decoding gives the text back."""
     pieces = model_pieces(f"{folder}/piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs, pieces), pieces)
-    return back.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.expr(f"decoded <=> replace(text, '{BLANK}', ' ')").alias("round_trip"))
+    return encode(docs, pieces, back="decoded").select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.expr(f"decoded <=> replace(text, '{BLANK}', ' ')").alias("round_trip"))
