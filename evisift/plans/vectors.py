@@ -215,3 +215,14 @@ def reconstruction_error(spark, d):
     ones = F.transform("centroid", lambda x: F.lit(1))
     mse = V.masked_mse(F.col("centroid"), F.col("embedding").cast("array<double>"), ones)
     return e.join(c, "label").groupBy("label").agg(F.round(F.avg(mse), 6).alias("mse"))
+
+
+@query("ann_recall", "V03")
+def ann_recall(spark, d):
+    """Recall at 10 of the cell index (32 cells, 16 probed) against the exact search."""
+    from ..operators import cells as C
+
+    b, q = bank(spark, d), cut_lineage(class_queries(spark, d))
+    centres = C.fit_cells(b)
+    found = C.search_cells(q, C.index_cells(b, centres), centres, 10, 16)
+    return C.recall(found, V.search(q, b, 10))
