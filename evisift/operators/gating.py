@@ -527,3 +527,45 @@ def parse_triples(raw: Column) -> Column:
     return F.coalesce(full, F.array().cast(schema))
 
 
+
+
+# Cues of a question's target type, as written and in lower case; the order is that of the types.
+TARGET_CUES = {
+    "symptom": (["临床表现", "症状", "表现"], ["manifestation", "symptom"]),
+    "drug": (["治疗", "药物", "用药", "批准", "获批"], ["fda", "drug", "treat"]),
+    "location": (["地区", "哪里", "哪些地方", "分布", "省", "市"], ["where", "distribution", "reported in"]),
+    "mechanism": (["机制", "作用机制", "发病机制", "致病机制"], ["pathogenesis", "mechanism"]),
+}
+
+
+def target_types(question: Column, contract_types: Column | None = None) -> Column:
+    """Q23: struct(target, types). One type given by a contract decides; else the cues do: one, several ("multi") or none ("unknown").
+
+    Types of a contract that say nothing (generic, other, blank) do not count.
+    """
+    q = strip(F.coalesce(question, F.lit("")))
+    low = F.lower(q)
+    active = F.array_compact(F.array(*[F.when(any_contains(q, seen) | any_contains(low, lower), F.lit(t)) for t, (seen, lower) in TARGET_CUES.items()]))
+    by_cue = F.struct(F.when(F.size(active) == 1, F.get(active, 0)).when(F.size(active) > 1, "multi").otherwise("unknown").alias("target"), active.alias("types"))
+    if contract_types is None:
+        return by_cue
+    named = F.array_distinct(F.filter(F.transform(contract_types, lambda t: F.lower(strip(t))), lambda t: ~t.isin("", "generic", "other")))
+    return F.when(F.coalesce(F.size(named) == 1, F.lit(False)), F.struct(F.get(named, 0).alias("target"), named.alias("types"))).otherwise(by_cue)
+
+
+def denied_terms(answer: Column, question: Column, terms: Column) -> Column:
+    """Q20: denied terms that the answer has and the question did not ask about, in the given order."""
+    clean = F.filter(F.transform(terms, strip), lambda t: t != "")
+    return F.filter(clean, lambda t: ~F.contains(question, t) & F.contains(answer, t))
+
+
+def items_not_in_evidence(items: Column, evidence: Column) -> Column:
+    """Q20: enumerated items that the joined evidence does not contain; nothing to say without evidence."""
+    return F.when(strip(F.coalesce(evidence, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.filter(F.array_distinct(items), lambda x: ~F.contains(evidence, x)))
+
+
+def slot_rejection(pattern_id: Column, schema_id: Column, slot_type: Column, evidence_type: Column) -> Column:
+    """Q08: why a schema slot refuses an evidence, else null; blanks on either side match anything."""
+    clean = lambda c: strip(F.coalesce(c, F.lit("")))
+    p, s, a, b = clean(pattern_id), clean(schema_id), F.lower(clean(slot_type)), F.lower(clean(evidence_type))
+    return F.when((p != "") & (s != "") & (p != s), "SCHEMA_MISMATCH").when((a != "") & (b != "") & (a != b), "SEMANTIC_TYPE_MISMATCH")

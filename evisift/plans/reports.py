@@ -291,3 +291,98 @@ def grounding_verdicts(spark, d):
     t = turns(spark, d).withColumn("o", R.relevance(F.col("pred"), F.col("gold")))
     v = R.grounding_filter(F.col("o"), F.col("pred"))
     return t.select("conv_id", "turn", F.when(v.isNull(), "drop").when(v == F.col("pred"), "keep").otherwise("tag").alias("verdict"))
+
+
+_QUESTION = "case o_orderstatus when 'F' then 'Which symptoms has ' when 'O' then 'Where is it treated, ' else 'What about ' end || case when o_orderkey % 5 = 0 then '发病机制 ' else '' end || o_orderpriority"
+
+
+@query(
+    "target_types", "Q23",
+    f"""with q as (select o_orderkey, {_QUESTION} as q from orders), f as (select o_orderkey, list_filter([case when contains(lower(q), 'symptom') then 'symptom' end, case when contains(lower(q), 'treat') then 'drug' end,
+    case when contains(lower(q), 'where') then 'location' end, case when contains(q, '机制') then 'mechanism' end], lambda x: x is not null) as t from q)
+    select case when len(t) = 1 then t[1] when len(t) > 1 then 'multi' else 'unknown' end as target, array_to_string(t, ',') as types, count(*) as n from f group by 1, 2""",
+)
+def target_types(spark, d):
+    """Orders worded as questions after status and key."""
+    q = F.concat(
+        F.when(F.col("o_orderstatus") == "F", "Which symptoms has ").when(F.col("o_orderstatus") == "O", "Where is it treated, ").otherwise("What about "),
+        F.when(F.col("o_orderkey") % 5 == 0, "发病机制 ").otherwise(""), "o_orderpriority",
+    )
+    t = table(spark, d, "orders").select(G.target_types(q).alias("t"))
+    return t.groupBy("t.target", F.array_join("t.types", ",").alias("types")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "denied_terms", "Q20",
+    f"""with {TURNS} select conv_id, turn, array_to_string(list_filter(['the', 'und', 'que', 'zzz'], lambda t: not contains(gold, t) and contains(pred, t)), ',') as leaked from turns""",
+)
+def denied_terms(spark, d):
+    terms = F.array(*[F.lit(x) for x in ("the", "und", " ", "que", "zzz")])
+    return turns(spark, d).select("conv_id", "turn", F.array_join(G.denied_terms(F.col("pred"), F.col("gold"), terms), ",").alias("leaked"))
+
+
+@query(
+    "items_in_evidence", "Q20",
+    f"""with {TURNS}, w as (select conv_id, turn, gold, list_distinct(list_filter({S.words('pred')}, lambda x: length(x) > 6)) as items from turns)
+    select conv_id, turn, len(items)::int as n_items, (case when {S.strip('gold')} = '' then 0 else len(list_filter(items, lambda x: not contains(gold, x))) end)::int as n_missing from w""",
+)
+def items_in_evidence(spark, d):
+    """Long words of an answer as its items, the question's text as evidence."""
+    items = F.array_distinct(F.filter(F.split(T.squash(F.col("pred")), " "), lambda x: F.length(x) > 6))
+    return turns(spark, d).select("conv_id", "turn", F.size(items).alias("n_items"), F.size(G.items_not_in_evidence(items, F.col("gold"))).alias("n_missing"))
+
+
+@query(
+    "sidecar_guard", "Q10",
+    """select case when value > 5 and event_type = 'click' and user_id % 3 > 0 and user_id % 2 = 0 then 'EXPLANATION' when event_type = 'click' then 'FACTUAL_ASSERTION' else 'LIST_ONLY' end as style,
+    case when value > 5 and event_type = 'click' and user_id % 3 > 0 and user_id % 2 = 0 then 'slot-uncovered' end as guard, count(*) as n from events group by 1, 2""",
+)
+def sidecar_guard(spark, d):
+    e = table(spark, d, "events")
+    g = G.sidecar_guard(F.when(F.col("value") > 5, "ALLOW").otherwise("BLOCK"), F.when(F.col("event_type") == "click", "FACTUAL_ASSERTION").otherwise("LIST_ONLY"), F.col("user_id") % 3, F.col("user_id") % 2)
+    return e.select(g.alias("g")).groupBy("g.style", "g.guard").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "drug_id_choice", "Q19",
+    """with c as (select o_custkey, o_orderkey, case when o_orderstatus = 'P' then 'no id' else 'db' || (o_orderkey % 7) || ' or DB' || (o_orderkey % 3) end as pred, 'DB1, DB' || (o_custkey % 7) as support from orders),
+    i as (select *, list_transform(regexp_extract_all(pred, '(?i)DB[0-9]+'), lambda x: upper(x)) as p, list_transform(regexp_extract_all(support, '(?i)DB[0-9]+'), lambda x: upper(x)) as s from c),
+    k as (select *, case when len(p) = 0 then -1 else len(list_filter(p, lambda x: list_contains(s, x))) end as o from i)
+    select o_custkey, arg_max(pred, [o, -length(pred), -o_orderkey]) as pred, max(o)::int as overlap from k group by 1""",
+)
+def drug_id_choice(spark, d):
+    """Identifiers of a customer's orders against the customer's own: most hits, then the shortest, then the first."""
+    o = table(spark, d, "orders")
+    pred = F.when(F.col("o_orderstatus") == "P", "no id").otherwise(F.concat(F.lit("db"), (F.col("o_orderkey") % 7).cast("string"), F.lit(" or DB"), (F.col("o_orderkey") % 3).cast("string")))
+    c = o.select("o_custkey", "o_orderkey", pred.alias("pred"), F.concat(F.lit("DB1, DB"), (F.col("o_custkey") % 7).cast("string")).alias("support"))
+    k = c.withColumn("k", R.drug_id_key(F.col("pred"), F.col("support")))
+    best = k.groupBy("o_custkey").agg(F.max(F.struct("k.overlap", "k.short", (-F.col("o_orderkey")).alias("first"), "pred")).alias("b"))
+    return best.select("o_custkey", "b.pred", "b.overlap")
+
+
+@query(
+    "expansion_lookup", "X24",
+    """with p as (select p_partkey, p_brand, p_type, p_name from part) select p_partkey, case when p_partkey % 3 = 0 then regexp_replace(p_type, '[0-9]', '', 'g') || ' of parts' else '' end as in_text,
+    case when p_partkey % 2 = 0 then p_type || ' long form' else '' end as in_pairs from p""",
+)
+def expansion_lookup(spark, d):
+    """Part types written out before an abbreviation, in a text for every third part and in metadata for every second."""
+    p = table(spark, d, "part")
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.regexp_replace("p_type", "[0-9]", ""), F.lit(" of parts (PTX). More."))).otherwise("Nothing (ABC) here.")
+    pair = lambda full, conf: F.struct(F.lit("PTX").alias("abbr"), full.alias("full"), F.lit(conf).alias("confidence"))
+    pairs = F.when(F.col("p_partkey") % 2 == 0, F.array(pair(F.col("p_type"), 0.5), pair(F.concat("p_type", F.lit(" long form")), 0.9))).otherwise(F.array(pair(F.concat("p_type", F.lit(" long form")), 0.5)))
+    return p.select("p_partkey", X.expansion_in_text(text, "PTX").alias("in_text"), X.best_expansion(pairs, F.lit("ptx")).alias("in_pairs"))
+
+
+@query(
+    "slot_rejections", "Q08",
+    """with e as (select case when user_id % 2 = 0 then 'schema:a' else '' end as schema_id, upper(event_type) as sem, case when value > 10 then 'schema:a' else 'schema:b' end as pattern_id from events)
+    select case when schema_id <> '' and schema_id <> pattern_id then 'SCHEMA_MISMATCH' when lower(sem) <> 'click' then 'SEMANTIC_TYPE_MISMATCH' end as reason, count(*) as n from e group by 1""",
+)
+def slot_rejections(spark, d):
+    """Why events are refused by a slot for clicks."""
+    e = table(spark, d, "events")
+    why = G.slot_rejection(
+        F.when(F.col("value") > 10, "schema:a").otherwise("schema:b"), F.when(F.col("user_id") % 2 == 0, "schema:a").otherwise(""), F.lit("Click"), F.upper("event_type")
+    )
+    return e.groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -219,3 +219,25 @@ def test_low_quality_and_critique(one):
     assert one(G.is_low_quality(C), c="aaaaaaaaaaaaaaaa") and not one(G.is_low_quality(C), c="A normal readable sentence.")
     r = one(G.self_critique(F.lit("which drug"), C), c="It is unclear and unknown.")
     assert r["is_medical"] and abs(r["confidence"] - 0.2) < 1e-9
+
+
+def test_target_types_contract_first_then_cues(spark):
+    df = spark.createDataFrame([("哪些地区？症状？", ["generic", " Drug "]), ("哪些地区？症状？", ["drug", "symptom"]), ("FDA approval", None), ("nothing", []), (None, None)], "q string, ts array<string>")
+    got = [(r.t.target, r.t["types"]) for r in df.select(G.target_types(F.col("q"), F.col("ts")).alias("t")).collect()]
+    assert got == [("drug", ["drug"]), ("multi", ["symptom", "location"]), ("drug", ["drug"]), ("unknown", []), ("unknown", [])]
+
+
+def test_rejections_and_denied_terms(spark):
+    df = spark.createDataFrame([("a", "b", "x", "x"), ("a", "", "x", "Y "), ("a", "a", " X", "x"), ("a", None, "", "y")], "p string, s string, a string, b string")
+    assert [r.v for r in df.select(G.slot_rejection(F.col("p"), F.col("s"), F.col("a"), F.col("b")).alias("v")).collect()] == ["SCHEMA_MISMATCH", "SEMANTIC_TYPE_MISMATCH", None, None]
+    one = spark.createDataFrame([("has fever and rash", "what of rash")], "a string, q string")
+    assert one.select(G.denied_terms(F.col("a"), F.col("q"), F.array(F.lit(" rash"), F.lit("fever"), F.lit(""))).alias("v")).first().v == ["fever"]
+    assert one.select(G.items_not_in_evidence(F.array(F.lit("fever"), F.lit("rash")), F.lit(" ")).alias("v")).first().v == []
+
+
+def test_lists_of_any_length_are_distinct_in_order(one):
+    from evisift.operators.extract import distinct_by
+
+    text = " ".join(str(i % 700) for i in range(5000))
+    assert one(distinct_by(F.split("c", " "), lambda x: x), c=text) == [str(i) for i in range(700)]
+    assert one(distinct_by(F.split("c", " "), F.lower), c="b A a B c") == ["b", "A", "c"]
