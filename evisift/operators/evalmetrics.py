@@ -253,40 +253,34 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 1000, alpha:
 def paired_permutation(df: DataFrame, key: str, diff: str, n_perm: int = 2000, seed: int = 42) -> DataFrame:
     """Two-sided p-value with add-one smoothing, per ``key``.
 
-    Flipping signs only needs how many pairs differ by each amount: the number of
-    flips among m equal differences is Binomial(m, 1/2). The group is reduced to its
-    histogram of absolute differences before anything is drawn.
+    Flipping signs only needs how many pairs differ by each amount: the number of flips among m equal differences is
+    Binomial(m, 1/2). Every cell (key, amount) draws for itself, seeded by its amount; tasks add up their cells' totals,
+    one row of ``n_perm`` numbers for each key, and those are summed. No task holds a whole group, real-valued or not.
     """
-    hist = df.where(F.col(diff) != 0).groupBy(key, F.abs(diff).alias("size")).agg(
-        F.count(F.lit(1)).alias("m"), F.sum(diff).alias("sum")
-    )
-    per = hist.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("size").cast("double").alias("size"), "m"))).alias("h"), F.sum("sum").alias("obs")
-    )
-    base = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(per, key, "left")
+    kt = df.schema[key].dataType.simpleString()
+    cells = df.where(F.col(diff) != 0).groupBy(key, F.abs(diff).cast("double").alias("size")).agg(F.count(F.lit(1)).alias("m"), F.sum(diff).alias("sum"))
 
     def draw(batches):
+        import struct
+
         import numpy as np
         import pandas as pd
 
+        totals = {}
         for pdf in batches:
-            rows = []
             for r in pdf.itertuples(index=False):
-                hist_ = [] if r.h is None else list(r.h)
-                rng = np.random.default_rng([seed, int(r.n)])
-                tot = np.zeros(n_perm)
-                for cell in hist_:
-                    m, size = int(cell["m"]), float(cell["size"])
-                    tot += size * (2 * rng.binomial(m, 0.5, size=n_perm) - m)
-                obs = abs(0.0 if r.obs is None or r.obs != r.obs else float(r.obs))
-                ge = 1 + int((np.abs(tot) >= obs - 1e-9).sum())
-                rows.append((r[0], int(r.n), ge / (n_perm + 1)))
-            yield pd.DataFrame(rows, columns=[key, "n", "p_value"])
-
-    kt = df.schema[key].dataType.simpleString()
-    return base.select(key, "n", "h", F.col("obs").cast("double").alias("obs")).mapInPandas(
-        draw, f"{key} {kt}, n bigint, p_value double"
-    )
+                rng = np.random.default_rng([seed, int.from_bytes(struct.pack(">d", r.size), "big"), int(r.m)])
+                totals[r[0]] = totals.get(r[0], 0) + r.size * (2 * rng.binomial(int(r.m), 0.5, size=n_perm) - int(r.m))
+        if totals:
+            yield pd.DataFrame({key: list(totals), "t": list(totals.values())})
+
+    drawn = cells.select(key, "size", "m").mapInPandas(draw, f"{key} {kt}, t array<double>")
+    total = drawn.select(key, F.posexplode("t").alias("i", "x")).groupBy(key, "i").agg(F.sum("x").alias("x"))
+    seen = cells.groupBy(key).agg(F.abs(F.sum("sum").cast("double")).alias("obs"))
+    extreme = total.join(seen, key).where(F.abs("x") >= F.col("obs") - 1e-9).groupBy(key).agg(F.count(F.lit(1)).alias("ge"))
+    base = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).join(seen, key, "left").join(extreme, key, "left")
+    ge = F.when(F.col("obs").isNull(), F.lit(n_perm)).otherwise(F.coalesce("ge", F.lit(0)))
+    return base.select(key, "n", ((ge + 1) / F.lit(n_perm + 1)).alias("p_value"))
 
 
 def accuracy_panel(df: DataFrame, keys: list[str], outcome: str, z: float = 1.96) -> DataFrame:

@@ -5,7 +5,7 @@ Each fold runs over one query's ranked candidates, which an earlier top-k has bo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sentences import split_claims
@@ -87,11 +87,16 @@ def budgeted_selection(
 ) -> DataFrame:
     """Q28: take candidates in order while they fit; one that does not fit is skipped, not a stop.
 
-    ``order`` columns sort ascending; costs are clamped to [0, max_cost], null counts as max_cost.
+    ``order`` columns sort ascending; costs are clamped to [0, max_cost], null counts as max_cost. Of candidates of equal
+    cost only the first ``max_items`` can ever be taken (what does not fit once never fits later), so each key folds over at
+    most (max_cost + 1) x max_items rows, cut before the shuffle, however many candidates it has.
     """
     clamped = F.greatest(F.lit(0), F.least(F.lit(max_cost), F.coalesce(F.col(cost).cast("int"), F.lit(max_cost))))
     it = cands.schema[item].dataType.simpleString()
-    per = cands.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_item"), clamped.alias("_cost")))).alias("cs"))
+    rows = cands.select(key, *dict.fromkeys([*order, item]), clamped.alias("_cost"))
+    first = Window.partitionBy(key, "_cost").orderBy(*order, item)
+    rows = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_items)
+    per = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_item"), "_cost"))).alias("cs"))
     zero = F.struct(F.lit(0).alias("used"), F.array().cast(f"array<struct<item:{it},cost:int>>").alias("out"))
 
     def step(acc: Column, c: Column) -> Column:
