@@ -269,7 +269,20 @@ def sha256(raw: bytes) -> str:
     return hashlib.sha256(raw).hexdigest()
 
 
-@query("op7_prefix_doubling")
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS g FROM (SELECT r, h, unnest(range(n - 199)) AS i FROM d WHERE n >= 200)),
+f AS (SELECT r, i FROM p SEMI JOIN (SELECT g FROM p GROUP BY g HAVING count(*) > 1) USING (g)),
+m AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS run FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM f)),
+s AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM m GROUP BY r, run),
+k AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS c FROM s),
+x AS (SELECT d.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM k JOIN d USING (r) GROUP BY d.r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN x USING (r)
+"""
+
+
+@query("op7_prefix_doubling", OP7_SQL)
 def op7_prefix_doubling(spark, sf_dir):
     """Removed bytes and the hash of what stays, of every document."""
     out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

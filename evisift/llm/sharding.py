@@ -56,7 +56,20 @@ def byte_shards(df: DataFrame, size: str, order: list[str], shards: int = SHARDS
     return out.select(*df.columns, "shard", "slot")
 
 
-@query("op4_byte_shards")
+OP4_SQL = """
+WITH t AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, hex(coalesce(text, '')) AS h FROM documents),
+b AS (SELECT r, doc_id, strlen(text) + 8 AS size, list_transform(range(strlen(text)), lambda i: (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', h[2 * i + 2]) - 1) AS bytes FROM d),
+c AS (SELECT r, doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM b, t),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size, r ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, CAST(least(23, ((2 * before + size) * 24) // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+       CAST(row_number() OVER (PARTITION BY shard ORDER BY before) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
+
+
+@query("op4_byte_shards", OP4_SQL)
 def op4_byte_shards(spark, sf_dir):
     """All documents in 24 shards of near equal bytes, contiguous by doc_id (then by checksum and size)."""
     text = F.coalesce(F.col("text"), F.lit(""))
