@@ -226,3 +226,20 @@ def ann_recall(spark, d):
     centres = C.fit_cells(b)
     found = C.search_cells(q, C.index_cells(b, centres), centres, 10, 16)
     return C.recall(found, V.search(q, b, 10))
+
+
+@query(
+    "bounded_rounds", "Q27,ST4",
+    f"""with {MEANS}, t as {_ranked('scored', 24)}, e as (select qid, rid, score, row_number() over (partition by qid order by rank) as n from t where label % 2 = qid % 2 or label = 3),
+    s as (select *, (n - 1) // 3 as step from e), b as (select qid, step, max(score) as best from s group by 1, 2), stop as (select qid, min(step) as st from b where best < 0.2 group by qid)
+    select qid, rid, step::int as step from s left join stop using (qid) where step < 4 and step < coalesce(st, 99)""",
+)
+def bounded_rounds(spark, d):
+    """At most four steps of three hits; only hits of eligible labels, which may enter by two rules, and never twice."""
+    from ..operators.rounds import select_in_steps
+
+    t = cut_lineage(V.search(class_queries(spark, d), bank(spark, d), 24))
+    ids = broadcast_if_small(t.select("rid").distinct())
+    pool = t.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("rid"), "label").join(ids, "rid", "left_semi"), "rid")
+    both = pool.where(F.col("label") % 2 == F.col("qid") % 2).unionByName(pool.where("label = 3"))
+    return select_in_steps(both, 3, 4, 0.2)

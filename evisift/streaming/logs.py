@@ -28,11 +28,18 @@ def import_once(stream: DataFrame, keys: list[str], path: str, checkpoint: str)
     """ST2/ST4: each key is stored once, ever.
 
     The key set is streaming state, partitioned by the full key: a query or user that
-    owns most rows still spreads over all tasks. A replayed batch changes nothing.
+    owns most rows still spreads over all tasks. It grows with all keys ever seen, so it is kept in RocksDB, on
+    disk, and not in the executors' heap. A replayed batch changes nothing.
     """
-    fresh = stream.dropDuplicates(keys)
-    q = fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(name)
+    conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        fresh = stream.dropDuplicates(keys)
+        q = fresh.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        conf.set(name, before)
 
 
 def merge_batch(target: str, keys: list[str]):

@@ -25,3 +25,15 @@ def test_all_cells_probed_is_the_exact_search(spark):
 def test_recall_on_given_vectors(spark):
     got = CATALOGUE["ann_recall"].fn(spark, "/root/testdata/sf0.1").collect()
     assert len(got) == 10 and sum(r.recall for r in got) / len(got) >= 0.9
+
+
+def test_rounds_stop_by_score_by_pool_and_by_number(spark):
+    from evisift.operators.rounds import select_in_steps
+
+    rows = [("long", i, 1.0, i) for i in range(20)] + [("drop", i, 0.9 if i < 2 else 0.1, i) for i in range(9)] + [("short", 0, 0.5, 0), ("short", 0, 0.5, 3), ("poor", 1, 0.0, 0)]
+    pool = spark.createDataFrame(rows, "qid string, rid int, score double, rank int")
+    got = {}
+    for r in select_in_steps(pool, 2, 3, 0.3).collect():
+        got.setdefault(r.qid, []).append((r.rid, r.step))
+    assert {q: sorted(x) for q, x in got.items()} == {"long": [(i, i // 2) for i in range(6)], "drop": [(0, 0), (1, 0)], "short": [(0, 0)]}
+    assert select_in_steps(pool.limit(0), 2, 3, 0.3).count() == 0
