@@ -85,11 +85,25 @@ def noise_sentences(spark, d):
     )
 
 
-@query("section_of_paragraphs", "C23,C24,J19,W10")
+_HEADS = ["Abstract", "Methods", "Results", "Discussion", "No heading at all"]
+_LINES = "list_filter(string_split(text, chr(10)), lambda l: {strip} <> '')".replace("{strip}", S.strip("l"))
+
+
+@query(
+    "section_of_paragraphs", "C23,C24,J19,W10",
+    f"""with l as (select doc_id, ls, unnest(range(1, len(ls) + 1)) as i from (select doc_id, {_LINES} as ls from documents)),
+    p as (select doc_id, {S.strip('ls[i]')} as p, (i - 1) // 3 as g from l), h as (select *, case when g % 5 = 4 then g - 1 else g end as hg from p)
+    select lower((['Abstract', 'Methods', 'Results', 'Discussion'])[hg % 5 + 1]) as section, count(*) as n from h where length(p) >= 30 and hg >= 0 group by 1""",
+)
 def section_of_paragraphs(spark, d):
+    """Lines of documents as paragraphs; every third gets the next of five heading lines in front, one of which is none."""
     from ..operators.sections import paragraph_sections
 
-    out = paragraph_sections(documents(spark, d), "doc_id", "text")
+    heads = F.array(*[F.lit(h) for h in _HEADS])
+    lines = F.filter(F.split("text", "\n"), lambda l: T.strip(l) != "")
+    marked = F.transform(lines, lambda l, i: F.concat(F.when(i % 3 == 0, F.concat(F.lit("\n\n"), F.get(heads, (F.floor(i / 3) % 5).cast("int")))).otherwise(""), F.lit("\n\n"), l))
+    docs = documents(spark, d).select("doc_id", F.array_join(marked, "").alias("text"))
+    out = paragraph_sections(docs, "doc_id", "text")
     return out.groupBy("section").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -300,13 +300,17 @@ def q_alias_entities(spark, d):
 _HITS = {
     i: " + ".join(f"contains(lower(text), {S.sql_str(w.lower())})::int" for w in ws) for i, ws in INTENT_KEYWORDS.items()
 }
+_WORDS = [*(w for ws in INTENT_KEYWORDS.values() for w in ws), ""]
 _BEST = ", ".join(f"[{h}, {-n}]" for n, h in enumerate(_HITS.values()))
 
 
 @query(
     "intent_classify", "G09",
     f"""select intent, count(*) as n from (select case when b[1] = 0 then '' else list_extract([{", ".join(f"'{i}'" for i in INTENT_KEYWORDS)}], (1 - b[2])::int) end as intent
-    from (select greatest({_BEST}) as b from documents)) group by intent""",
+    from (select greatest({_BEST}) as b from (select ([{", ".join(S.sql_str(w) for w in _WORDS)}])[doc_id % {len(_WORDS)} + 1] || ' ' || text as text from documents))) group by intent""",
 )
 def q_intent(spark, d):
-    return documents(spark, d).groupBy(G.classify_intent(F.col("text")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
+    """Documents with one of the keywords (the last: none) in front, by id."""
+    word = F.get(F.array(*[F.lit(w) for w in _WORDS]), (F.col("doc_id") % len(_WORDS)).cast("int"))
+    text = F.concat(word, F.lit(" "), "text")
+    return documents(spark, d).groupBy(G.classify_intent(text).alias("intent")).agg(F.count(F.lit(1)).alias("n"))

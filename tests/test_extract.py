@@ -164,3 +164,10 @@ def test_quotes_and_expansions(one):
     assert one(X.valid_quote(F.lit("The patients recovered fully within ten days."), C), c=src)
     assert not one(X.valid_quote(F.lit("Invented words that are nowhere to be seen."), C), c=src)
     assert one(X.expansion_in_text(C, "SFTS"), c="the severe fever syndrome (SFTS)") == "the severe fever syndrome"
+
+
+def test_sections_of_equal_paragraphs(spark):
+    p = "The same forty letters open this paragraph too, always."
+    text = f"{p}\n\nMethods\n\n{p}\n\nResults\nof all\n\n{p}\n \n{p} And more."
+    rows = Se.paragraph_sections(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), "doc_id", "text", initial="intro").orderBy("para_no").collect()
+    assert [r.section for r in rows] == ["intro", "methods", "results", "results"] and {r.doc_id for r in rows} == {1}
