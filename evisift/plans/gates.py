@@ -316,7 +316,42 @@ def triple_parse(spark, d):
     return t.groupBy(pred.alias("predicate"), F.col("t.object").alias("object"), conf.alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("chat_strip", "P01,P02,P03,P04")
+_CHAT_ROLE = r"(?i)^\s*(Human|User|Assistant|System)\s*:\s*(.*)$"
+
+
+def _sql_lf(e: str) -> str:
+    return f"replace(replace({e}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+def _sql_chat(e: str) -> str:
+    """P01 in SQL: a later user turn cuts the text, user lines go, role prefixes go."""
+    turn, role = S.sql_str(r"(?i)(Human|User)\s*:\s*"), S.sql_str(_CHAT_ROLE)
+    s = S.strip(_sql_lf(e))
+    head = f"string_split_regex({s}, {turn})[1]"
+    cut = f"case when regexp_matches({s}, {turn}) and length({head}) > 0 then rtrim({head}) else {s} end"
+    line = f"case when lower(regexp_extract(l, {role}, 1)) in ('human', 'user') then null when regexp_extract(l, {role}, 1) <> '' then nullif({S.strip(f'regexp_extract(l, {role}, 2)')}, '') else rtrim(l) end"
+    return S.strip(f"array_to_string(list_filter(list_transform(string_split({cut}, chr(10)), lambda l: {line}), lambda x: x is not null), chr(10))")
+
+
+def _sql_collapse(e: str) -> str:
+    tails = f"regexp_replace({_sql_lf(e)}, '[ \\t\\f\\v\\x{{a0}}\\x{{3000}}]+(\\n|$)', '\\1', 'g')"
+    return S.strip(f"regexp_replace({tails}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+_PUNCT = f"(t = '' or (not regexp_matches(t, '[A-Za-z0-9{S.CJK}]') and length(t) >= 6 and not regexp_matches(t, '[\\p{{L}}\\p{{N}}]')))"
+_INSTRUCT = (
+    f"(t <> '' and ({_PUNCT} or regexp_matches(t, '^[【\\[][^】\\]]{{1,24}}[】\\]]$') or (regexp_matches(t, {S.sql_str(H.INSTRUCTION)}) and length(t) <= 200)"
+    f" or (length(t) <= 220 and regexp_matches(t, {S.sql_str(H.RULE_LINE)}) and regexp_matches(t, {S.sql_str(H.RULE_WORDS)}))))"
+)
+
+
+@query(
+    "chat_strip", "P01,P02,P03,P04",
+    f"""with c as (select conv_id, turn, {_sql_chat("upper(role[1]) || lower(role[2:]) || ': ' || text")} as stripped, regexp_replace({_sql_chat('text')}, '(?s)```.*?```', '', 'g') as s from conversations),
+    l as (select conv_id, turn, stripped, array_to_string(list_filter(list_transform(string_split({_sql_lf('s')}, chr(10)), lambda x: {S.strip('x')}), lambda t: t = '' or not ({_INSTRUCT} or {_PUNCT})), chr(10)) as t from c),
+    p as (select conv_id, turn, stripped, list_filter(list_transform(string_split_regex({_sql_collapse('t')}, '\\n\\s*\\n+'), lambda x: {S.strip('x')}), lambda x: x <> '') as ps from l)
+    select conv_id, turn, md5(stripped) as stripped_md5, len(list_filter(ps, lambda x: not (regexp_matches(x, {S.sql_str(H.BOILERPLATE)}) and length(x) <= 240)))::int as n_paragraphs from p""",
+)
 def chat_strip(spark, d):
     c = spread(table(spark, d, "conversations"), "conv_id")
     marked = F.concat(F.initcap("role"), F.lit(": "), "text")
@@ -335,7 +370,15 @@ def answer_hygiene(spark, d):
     )
 
 
-@query("section_format", "P08")
+_HEAD_LINE = r"^\s*Assistant\s*(?:[:：]\s*(.*))?\s*$"
+
+
+@query(
+    "section_format", "P08",
+    f"""with c as (select conv_id, turn, role, {S.strip("upper(role[1]) || lower(role[2:]) || ': ' || text")} as s from conversations), l as (select *, string_split({_sql_lf('s')}, chr(10)) as ls from c),
+    b as (select *, {S.strip(f"regexp_extract(ls[1], {S.sql_str(_HEAD_LINE)}, 1)")} as inl from l), d as (select *, {_sql_collapse("array_to_string(case when inl <> '' then list_concat([inl], ls[2:]) else ls[2:] end, chr(10))")} as body from b)
+    select conv_id, turn, md5(case when role = 'assistant' and body <> '' then 'Assistant：' || chr(10) || body else s end) as section_md5 from d""",
+)
 def section_format(spark, d):
     c = table(spark, d, "conversations")
     text = F.concat(F.initcap("role"), F.lit(": "), "text")
