@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -39,19 +40,27 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application.
 
-    Workers on other machines, or started from another folder, cannot import it otherwise. The archive is
-    read by the driver alone; Spark's file server hands it to the executors.
+    Workers on other machines, or started from another folder, cannot import it otherwise. The archive is written to the
+    shared checkpoint folder, from where Spark hands it to the executors; without such a folder the package has to
+    be given with ``--py-files``.
     """
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    if not (sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.master.startswith("local")):
         return
-    top = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    ensure_checkpoint_dir(spark)
+    top, data = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _SHIPPED.add(app)
+    path = f"{sc.getCheckpointDir()}/{top.name}-{uuid.uuid4().hex}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -57,3 +57,19 @@ def test_short_and_long_terms_and_hot_heads(spark):
             text = dict(rows)[r.qid]
             assert r.ts == sorted(x for x in terms if x and (x.lower() if fold else x) in text)
         assert len(got) == 400
+
+
+def test_workers_get_the_package_from_any_folder(tmp_path):
+    """A query with Python code, started from a folder that does not hold the package."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = (
+        f"import sys; sys.path.insert(0, {str(root)!r})\n"
+        "import __spark_entry__ as e\nfrom evisift.session import local_session\n"
+        "s = local_session(2, 2)\nassert e.entry(s).count() > 0\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=300, capture_output=True, text=True, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    assert done.returncode == 0, done.stderr[-2000:]
