@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +31,12 @@ def byte_shards(df: DataFrame, size: str, order: list[str], shards: int = SHARDS
     if shards < 1:
         raise ValueError("at least one shard")
     df = df.drop("shard", "slot")
+    tag = uuid.uuid4().hex[:8]
+    tie, part, start, row = (f"_{n}_{tag}" for n in ("tie", "part", "from", "row"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = ranged.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").withColumn("_part", F.spark_partition_id())
-    schema = T.StructType([*ranged.schema.fields, T.StructField("_from", T.LongType()), T.StructField("_row", T.LongType())])
+    ranged = df.withColumn(tie, F.monotonically_increasing_id())
+    ranged = ranged.repartitionByRange(parts, *order, tie).sortWithinPartitions(*order, tie).withColumn(part, F.spark_partition_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField(start, T.LongType()), T.StructField(row, T.LongType())])
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = rows = 0
@@ -44,15 +47,15 @@ def byte_shards(df: DataFrame, size: str, order: list[str], shards: int = SHARDS
             held, rows = int(ends[-1]) if len(n) else held, rows + len(n)
 
     local = stored(ranged.mapInArrow(running, schema), "sizes")
-    totals = local.groupBy("_part").agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+    totals = local.groupBy(part).agg(F.sum(size).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
     all_bytes = totals.agg(F.sum("_bytes")).first()[0] or 1
     # One row for each partition: bounded by the number of tasks.
-    placed = local.join(F.broadcast(offsets(totals, "_part", "_bytes", "_rows")), "_part")
-    placed = placed.withColumn("_row", F.col("_row") + F.col("_rows_before")).withColumn("_from", F.col("_from") + F.col("_bytes_before"))
-    middle = (F.col("_from") * 2 + F.col(size)).cast("decimal(38,0)") * shards
+    before = offsets(totals, part, "_bytes", "_rows").toDF(part, f"_bytes_{tag}", f"_rows_{tag}")
+    placed = local.join(F.broadcast(before), part).withColumn(row, F.col(row) + F.col(f"_rows_{tag}")).withColumn(start, F.col(start) + F.col(f"_bytes_{tag}"))
+    middle = (F.col(start) * 2 + F.col(size)).cast("decimal(38,0)") * shards
     placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle / F.lit(2 * all_bytes).cast("decimal(38,0)")).cast("int")))
-    starts = placed.groupBy("shard").agg(F.min("_row").alias("_start"))
-    out = placed.join(F.broadcast(starts), "shard").withColumn("slot", F.col("_row") - F.col("_start"))
+    starts = placed.groupBy("shard").agg(F.min(row).alias(tie))
+    out = placed.drop(tie).join(F.broadcast(starts), "shard").withColumn("slot", F.col(row) - F.col(tie))
     return out.select(*df.columns, "shard", "slot")
 
 
