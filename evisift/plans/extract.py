@@ -135,7 +135,21 @@ def doc_meta_heuristics(spark, d):
     return documents(spark, d, "text", "source").select("doc_id", m.alias("m")).select("doc_id", "m.*")
 
 
-@query("entity_topk", "X02,A05")
+_TOKENS = f"regexp_extract_all({S.squash('text')}, '[{S.WORD}]+|[^{S.WORD}]+')"
+
+
+@query(
+    "entity_topk", "X02,A05",
+    f"""with t as (select doc_id, unnest(toks) as tok, generate_subscripts(toks, 1) as i from (select doc_id, {_TOKENS} as toks from documents)),
+    l as (select *, lag(tok) over w as sep, regexp_full_match(tok, '[A-Z][a-z]{{2,}}') as title, coalesce(regexp_full_match(lag(tok, 2) over w, '[A-Z][a-z]{{2,}}'), false) as before from t window w as (partition by doc_id order by i)),
+    c as (select *, sum((not (before and sep in (' ', '-')))::int) over (partition by doc_id order by i) as chain from l where title),
+    n as (select *, row_number() over (partition by doc_id, chain order by i) as k from c),
+    p as (select doc_id, min(i) as i, string_agg(case when (k - 1) % 6 = 0 then tok else sep || tok end, '' order by i) as entity from n group by doc_id, chain, (k - 1) // 6),
+    f as (select doc_id, entity, i from p where length(entity) between 3 and 80 qualify row_number() over (partition by doc_id, lower(entity) order by i) = 1),
+    e as (select *, row_number() over (partition by doc_id order by i) - 1 as pos from f),
+    g as (select substring(entity, 1, 1) as grp, entity, count(*) as n, min([doc_id, pos]) as first from e group by 1, 2)
+    select grp, entity, n, row_number() over (partition by grp order by n desc, first, entity)::int as rank from g qualify rank <= 8""",
+)
 def entity_topk(spark, d):
     from ..operators.aggregate import top_values
 
@@ -299,7 +313,19 @@ def symptom_lists(spark, d):
     return r.groupBy("r.reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tail")).alias("tail_items"))
 
 
-@query("claim_chunks", "C29,C30,W07")
+_CLAIMS = split_sql("t", r"([.!?\x{3002}\x{ff01}\x{ff1f}])\s+|\n+")
+
+
+@query(
+    "claim_chunks", "C29,C30,W07",
+    f"""with recursive d as (select doc_id, {S.strip('text')} as t from documents), p as (select doc_id, t, {_CLAIMS} as ps from d),
+    f as (select doc_id, t, flatten(list_transform(case when len(ps) <= 1 then [t] else ps end, lambda x: case when length(x) // 2 <= 64 then [x] else case when len({split_sql("x", "([,，;；、])\\s*")}) > 0 then {split_sql("x", "([,，;；、])\\s*")} else [x] end end)) as segs from p),
+    r as (select doc_id, t, segs, 0::bigint as i, '' as buf, []::varchar[] as o from f where length(t) // 2 > 64
+      union all select doc_id, t, segs, i + 1, case when buf = '' then segs[i + 1] when length({S.strip("buf || ' ' || segs[i + 1]")}) // 2 <= 64 then {S.strip("buf || ' ' || segs[i + 1]")} else segs[i + 1] end,
+        case when buf = '' or length({S.strip("buf || ' ' || segs[i + 1]")}) // 2 <= 64 then o else list_append(o, buf) end from r where i < len(segs)),
+    e as (select doc_id, case when buf <> '' then list_append(o, buf) else o end as c, true as s from r where i = len(segs) union all select doc_id, case when t = '' then [] else [t] end, false from d where length(t) // 2 <= 64)
+    select doc_id, len(c)::int as n_chunks, s as was_split, s and len(c) = 1 and length(c[1]) // 2 > 64 as was_truncated, md5(array_to_string(c, '|')) as chunks_md5 from e""",
+)
 def claim_chunks(spark, d):
     from ..operators.folds import split_claim_to_budget
 
