@@ -158,7 +158,22 @@ def entity_topk(spark, d):
     return ranked.select("grp", "entity", "n", "rank")
 
 
-@query("abbr_topk", "X01,A05")
+def _pairs_sql(rx: str, full: int, conf: float) -> str:
+    abbr, long = (f"regexp_extract_all(t, {S.sql_str(rx)}, {g})" for g in (3 - full, full))
+    return f"list_transform(list_zip({abbr}, {long}), lambda z: {{'a': upper({S.squash('z[1]')}), 'f': {S.squash('z[2]')}, 'c': {conf}}})"
+
+
+@query(
+    "abbr_topk", "X01,A05",
+    f"""with x as (select doc_id as id, {S.squash('text')} as t from documents union all select p_partkey, {S.squash("'The ' || p_name || ' (' || upper(replace(p_brand, '#', '')) || ')'")} from part),
+    p as (select id, list_filter(list_concat({_pairs_sql(X.ABBR_EN, 1, 0.95)}, {_pairs_sql(X.ABBR_ZH, 1, 0.9)}, list_filter({_pairs_sql(X.ABBR_REV, 2, 0.55)}, lambda y: length(y.f) <= 60 and regexp_matches(y.f, '[A-Za-z{S.CJK}]'))),
+      lambda y: length(y.a) between 2 and 12 and length(y.f) between 2 and 120 and upper(y.f) <> y.a) as ps from x),
+    u as (select id, row_number() over () as r, ps from p), e as (select id, r, unnest(ps) as y, generate_subscripts(ps, 1) as i from u),
+    f as (select id, r, y.a as abbr, y.f as "full", y.c as c, i from e qualify row_number() over (partition by r, y.a, y.f order by i) = 1),
+    q as (select *, row_number() over (partition by r order by i) - 1 as pos from f),
+    g as (select abbr, "full", count(*) as n, min([id, pos]) as first from q where c >= 0.6 group by 1, 2)
+    select abbr, "full", n, row_number() over (partition by abbr order by n desc, first, "full")::int as rank from g qualify rank <= 8""",
+)
 def abbr_topk(spark, d):
     from ..operators.aggregate import top_values
 
