@@ -633,13 +633,16 @@ def enumeration_tail(c: Column) -> Column:
 
 
 # --- Quotes, abbreviations in answers, nested annotations (X22, X24, X26) -------------------
-def valid_quote(quote: Column, source: Column) -> Column:
-    """Sentence-like, 20-800 characters, present verbatim or up to whitespace."""
+def valid_quote(quote: Column, source: Column, squashed: Column | None = None) -> Column:
+    """Sentence-like, 20-800 characters, present verbatim or up to whitespace.
+
+    ``squashed`` is the source with its white space collapsed, where a caller has it for many quotes of one source.
+    """
     from ..functions.noise import is_low_value_sentence
 
     q = strip(quote)
     shape = F.length(q).between(20, 800) & (q.rlike(r"[.!?。！？]$") | (F.length(q) >= 80))
-    return (q != "") & ~is_low_value_sentence(q) & shape & (F.contains(source, q) | F.contains(squash(source), squash(q)))
+    return (q != "") & ~is_low_value_sentence(q) & shape & (F.contains(source, q) | F.contains(squash(source) if squashed is None else squashed, squash(q)))
 
 
 def plausible_expansion(full: Column, abbr: Column) -> Column:
@@ -692,3 +695,12 @@ def evidence_rows(blocks: DataFrame, block_id: str, sentences: Column) -> DataFr
     rows = explode_rows(blocks, [block_id], sentences, "_i", "text")
     named = rows.select(F.concat(F.col(block_id), F.lit("::ev"), (F.col("_i") + 1).cast("string")).alias("evidence_id"), block_id, strip(F.col("text")).alias("text"))
     return named.where("text <> ''")
+
+
+def quote_counts(source: Column, quotes: Column) -> Column:
+    """X22 for all quotes of a source: struct(valid, n), decided inside the row with the source squashed once."""
+
+    def count(q: Column, flat: Column) -> Column:
+        return F.struct(F.size(F.filter(q, lambda x: valid_quote(x, source, flat))).cast("bigint").alias("valid"), F.size(q).cast("bigint").alias("n"))
+
+    return bind(squash(source), lambda flat: bind(quotes, lambda q: count(q, flat)))

@@ -316,8 +316,8 @@ def value_cleaning(spark, d):
 
 @query("quote_validation", "X22")
 def quote_validation(spark, d):
-    s = explode_rows(documents(spark, d), ["doc_id", "text"], N.split_ws(F.col("text")), "i", "q")
-    return s.groupBy("doc_id").agg(F.sum(X.valid_quote(F.col("q"), F.col("text")).cast("int")).alias("valid"), F.count(F.lit(1)).alias("n"))
+    r = documents(spark, d).select("doc_id", X.quote_counts(F.col("text"), N.split_ws(F.col("text"))).alias("r"))
+    return r.select("doc_id", "r.valid", "r.n").where("n > 0")
 
 
 @query("symptom_lists", "X20,X21,W09")
