@@ -71,6 +71,7 @@ def _pairs_of(t: Column, max_pairs: int | None) -> Column:
     return F.when(t.rlike(r"[(\x{ff08}]"), out).otherwise(F.array().cast(PAIR))
 
 
+# Title-case phrases and terms with a medical ending.
 TITLE_PHRASE = f"{BOUND_L}[A-Z][a-z]{{2,}}(?:[ \\-][A-Z][a-z]{{2,}}){{0,5}}{BOUND_R}"
 CJK_TERM = f"[{CJK}]{{2,20}}(?:综合征|病毒|感染|发热|血小板减少|抗体|疫苗|治疗)"
 
@@ -201,6 +202,7 @@ def merge_rules(generic: dict, specific: dict, concat_top_lists: bool = False) -
     return out
 
 
+# Phrases that report or find something somewhere, and words for places.
 REPORT_PHRASES = [" were reported in ", " was reported in ", "reported in ", " distributed in ", "occurred in "]
 FOUND_PHRASES = REPORT_PHRASES + [" were found in ", " was found in ", "found in ", "occur in ", "distribution in "]
 GEO_WORDS_EN = ["province", "city", "county", "counties", "prefecture", "district", "region", "areas", "cities", "town", "village"]
@@ -369,6 +371,7 @@ def _bank_meta(lf: Column, like: Column, slots: Column) -> Column:
 
 
 # --- Evidence units (X09-X12, X25) ---------------------------------------------------------
+# Signs of an enumeration, of running prose, of sections that inject nothing, and clauses that lead into a list.
 ENUM_SIGNAL = rf"(?i)[,;，；、和或及]|{BOUND_L}(?:and|or){BOUND_R}"
 DISCOURSE = rf"(?i){BOUND_L}(in addition|furthermore|see also){BOUND_R}"
 BLOCKING = rf"(?i){BOUND_L}(statistical analysis|methods|materials and methods|copyright|license|p value|confidence interval){BOUND_R}"

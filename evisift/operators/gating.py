@@ -40,6 +40,7 @@ def merge_hits(hits: DataFrame) -> DataFrame:
 
 
 # --- Q03, Q04 --------------------------------------------------------------------------------
+# Question words of an intent.
 INTENT_WORDS = ["什么", "哪些", "如何", "哪里", "why", "what", "how", "where"]
 
 
@@ -94,6 +95,7 @@ def match_contracts(queries: DataFrame, contracts: list[dict]) -> DataFrame:
 
 def schema_scores(text: Column, pattern_ids: list[str], slot_names: dict[str, list[str]] | None = None) -> Column:
     """Q04: struct(schema_id, score) per candidate from question-structure signals."""
+    # The cues of time, space, enumeration, definition and drugs, and the weights below.
     low = F.lower(text)
     has_time = text.rlike(f"{BOUND_L}(19|20)\\d{{2}}{BOUND_R}") & (text.rlike("[-–~—到至]") | low.rlike(f"{BOUND_L}to{BOUND_R}") | F.contains(low, F.lit("from")))
     has_space = text.rlike("地区|区域|地域|省|市|我国|中国|国内|分布|流行") | low.rlike(f"{BOUND_L}(geographic|distribution|region|where){BOUND_R}")
@@ -300,6 +302,7 @@ def approved_records(units: DataFrame) -> DataFrame:
 
 
 # --- Q11 -------------------------------------------------------------------------------------
+# Words that do not count in a query.
 STOPWORDS = [
     "the", "a", "an", "and", "or", "of", "to", "in", "on", "for", "with", "by", "is", "are", "was", "were", "be", "as", "that",
     "this", "these", "those", "it", "its",
@@ -346,6 +349,7 @@ def choose_schema(cands: DataFrame, max_selected: int = 1, min_overlap: int = 2)
 
 
 # --- Q20, Q21, Q22, Q23, Q26, Q29, Q30, Q31 --------------------------------------------------
+# An abbreviation with its expansion in parentheses.
 PAREN_EXPANSION = r"\b([A-Za-z][A-Za-z0-9_-]{1,})[（(]([^）)]{1,64})[）)]"
 
 
@@ -391,6 +395,7 @@ def evidence_projection(evidence: DataFrame, axis: str, min_quality: float = 0.0
     return evidence.where(ok).select("qid", "evidence_id", "text", "source_name", F.lit(kind).alias("projection_type"), F.lit(statement).alias("statement"))
 
 
+# Intents that entity priming may serve.
 PRIMING_INTENTS = ["definition", "abbreviation", "identity", "名称", "定义", "缩写"]
 
 
@@ -455,6 +460,7 @@ def highlight(sentence: Column, keywords: Column) -> Column:
     return F.aggregate(keywords, sentence, lambda acc, w: F.replace(acc, w, F.concat(F.lit("[["), w, F.lit("]]"))))
 
 
+# Violations that call for another answer.
 REGENERATE_ON = ["abbr_expansion_not_in_evidence", "intent_drift_deny_terms", "answer_items_not_in_injected_evidence"]
 
 

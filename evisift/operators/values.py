@@ -58,65 +58,86 @@ NOT_DRUG = [
     "specimens", "oral", "sera",
 ]
 KNOWN_DRUGS = ["ribavirin", "favipiravir", "remdesivir", "oseltamivir", "baloxavir", "acyclovir"]
-PLACE_WORDS = "province|city|county|district|state|region|prefecture"
+PLACES = "province|city|county|district|state|region|prefecture"
+MORE_PLACES = "municipality|island|islands|mountain|mountains"
 
 
 def _word(rx: str) -> str:
     return f"{BOUND_L}({rx}){BOUND_R}"
 
 
-def is_location(v: Column) -> Column:
-    low = F.lower(v)
-    bad = (
-        (v == "") | (F.length(v) > 64) | low.isin(NOT_LOCATION) | v.rlike(r"[.:;?!\x{ff0f}/\\]|http|www") | v.rlike(r"\d")
-        | low.rlike(f"^(and|or|but|while|with|without|including|such as){BOUND_R}") | any_contains(low, CLAUSE_WORDS)
-    )
-    cjk = v.rlike(f"[{CJK}]")
-    return (
-        F.when(bad, False)
-        .when(cjk, v.rlike("(省|市|县|区|州|盟|旗|镇|乡|村|岛|山|湖|河)$") | (F.length(v) <= 12))
-        .when(~v.rlike("[A-Z]"), False)
-        .otherwise(
-            low.rlike(_word(PLACE_WORDS + "|municipality|island|islands|mountain|mountains"))
-            | v.rlike(r"^[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){0,3}$")
-        )
-    )
+# What each type refuses and takes, the first rule that holds decides, none of them refuses. A rule is
+# (test, argument, verdict); tests: longer (characters), is and has (words, lower case), low and raw (pattern in lower case
+# or as written), lacks (no such pattern as written).
+GUARD_RULES: dict[str, list[tuple[str, object, bool]]] = {
+    "location": [
+        ("longer", 64, False),
+        ("is", NOT_LOCATION, False),
+        ("raw", r"[.:;?!\x{ff0f}/\\]|http|www", False),
+        ("raw", r"\d", False),
+        ("low", f"^(and|or|but|while|with|without|including|such as){BOUND_R}", False),
+        ("has", CLAUSE_WORDS, False),
+        ("raw", f"(?s)^(?=.*[{CJK}]).*(省|市|县|区|州|盟|旗|镇|乡|村|岛|山|湖|河)$", True),
+        ("raw", f"(?s)^(?=.*[{CJK}]).{{1,12}}$", True),
+        ("raw", f"[{CJK}]", False),
+        ("lacks", "[A-Z]", False),
+        ("low", _word(f"{PLACES}|{MORE_PLACES}"), True),
+        ("raw", r"^[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){0,3}$", True),
+    ],
+    "symptom": [
+        ("longer", 80, False),
+        ("has", ["http", "www", "doi", "figure", "table", "supplementary", "copyright"], False),
+        ("low", r"(?s)^(?!.*covid).*\d", False),
+        ("raw", "[:;]", False),
+        ("low", rf"{BOUND_L}p\s*[<=](?=[\p{{L}}\p{{N}}_])|{BOUND_L}ci{BOUND_R}|{BOUND_L}confidence interval{BOUND_R}", False),
+        ("low", f"(reported in|distributed in|found in|occurred in){BOUND_R}", False),
+        ("raw", "地区|区域|地域|省|市|我国|中国|国内|分布|流行", False),
+        ("low", _word(PLACES), False),
+        ("low", _word("genotype|lineage|clade|family|phenuiviridae|bunyaviridae|nairoviridae"), False),
+        ("low", _word("pcr|elisa|assay|kit|diagnos|specimen|samples?"), False),
+        ("has", SYMPTOM_WORDS, True),
+        ("low", "(itis|emia|osis|algia|uria|pathy|pnea|rrhea)$", True),
+        ("low", _word("is|are|was|were|be|been|being|have|has|had"), False),
+        ("raw", r"^\S*(?:\s+\S*){0,3}$", True),
+    ],
+    "drug": [
+        ("longer", 64, False),
+        ("has", ["http", "www", "doi", "figure", "table", "supplementary"], False),
+        ("raw", "[:;。，]", False),
+        ("low", _word("reported in|distributed in|province|city|county|region"), False),
+        ("raw", "地区|省|市|我国|中国|分布", False),
+        ("has", ["fever", "symptom", "thrombocytopenia", "bleeding", "diarrhea", "vomit"], False),
+        ("low", _word("treatment|therapy|therapeutic|approved|approval|fda"), False),
+        ("is", NOT_DRUG, False),
+        ("raw", " ", False),
+        ("low", "penia$", False),
+        ("low", r"^(ifn|interferon)[\-\s]?(alpha|beta|gamma|λ|lambda)?$", True),
+        ("low", r"^ifn[\-\s]?(α|β|γ|lambda|λ)$", True),
+        ("lacks", r"^[A-Za-z][A-Za-z0-9\-+/]*$", False),
+        ("low", "(vir|mab|nib|ciclovir|statin|mycin|pril|sartan|azole|caine|prazole|dine|dronate)$", True),
+        ("is", KNOWN_DRUGS, True),
+    ],
+}
 
 
-def is_symptom(v: Column) -> Column:
-    low = F.lower(v)
-    bad = (
-        (v == "") | (F.length(v) > 80) | any_contains(low, ["http", "www", "doi", "figure", "table", "supplementary", "copyright"])
-        | (v.rlike(r"\d") & ~F.contains(low, F.lit("covid"))) | v.rlike("[:;]")
-        | low.rlike(rf"{BOUND_L}p\s*[<=](?=[\p{{L}}\p{{N}}_])|{BOUND_L}ci{BOUND_R}|{BOUND_L}confidence interval{BOUND_R}")
-        | low.rlike(f"(reported in|distributed in|found in|occurred in){BOUND_R}") | v.rlike("地区|区域|地域|省|市|我国|中国|国内|分布|流行")
-        | low.rlike(_word(PLACE_WORDS)) | low.rlike(_word("genotype|lineage|clade|family|phenuiviridae|bunyaviridae|nairoviridae"))
-        | low.rlike(_word("pcr|elisa|assay|kit|diagnos|specimen|samples?"))
-    )
-    short = (F.size(F.split(v, r"\s+")) <= 4) & ~low.rlike(_word("is|are|was|were|be|been|being|have|has|had"))
-    return F.when(bad, False).otherwise(
-        any_contains(low, SYMPTOM_WORDS) | low.rlike("(itis|emia|osis|algia|uria|pathy|pnea|rrhea)$") | short
-    )
+def guard(kind: str):
+    """The rules of a type as a test of a value; blank values are refused."""
 
+    def accepts(v: Column) -> Column:
+        low = F.lower(v)
+        tests = {
+            "longer": lambda n: F.length(v) > n, "is": lambda ws: low.isin(ws), "has": lambda ws: any_contains(low, ws), "low": low.rlike, "raw": v.rlike,
+            "lacks": lambda rx: ~v.rlike(rx),
+        }
+        out = F.when(v == "", False)
+        for test, argument, verdict in GUARD_RULES[kind]:
+            out = out.when(tests[test](argument), verdict)
+        return out.otherwise(False)
 
-def is_drug(v: Column) -> Column:
-    low = F.lower(v)
-    bad = (
-        (v == "") | (F.length(v) > 64) | any_contains(low, ["http", "www", "doi", "figure", "table", "supplementary"])
-        | v.rlike("[:;。，]") | low.rlike(_word("reported in|distributed in|province|city|county|region"))
-        | v.rlike("地区|省|市|我国|中国|分布") | any_contains(low, ["fever", "symptom", "thrombocytopenia", "bleeding", "diarrhea", "vomit"])
-        | low.rlike(_word("treatment|therapy|therapeutic|approved|approval|fda")) | low.isin(NOT_DRUG) | F.contains(v, F.lit(" "))
-        | low.rlike("penia$")
-    )
-    return F.when(bad, False).otherwise(
-        low.rlike(r"^(ifn|interferon)[\-\s]?(alpha|beta|gamma|λ|lambda)?$") | low.rlike(r"^ifn[\-\s]?(α|β|γ|lambda|λ)$")
-        | (
-            v.rlike(r"^[A-Za-z][A-Za-z0-9\-+/]*$")
-            & (low.rlike("(vir|mab|nib|ciclovir|statin|mycin|pril|sartan|azole|caine|prazole|dine|dronate)$") | low.isin(KNOWN_DRUGS))
-        )
-    )
+    return accepts
 
 
+is_location, is_symptom, is_drug = (guard(kind) for kind in ("location", "symptom", "drug"))
 GUARDS = {"location": is_location, "symptom": is_symptom, "drug": is_drug}
 
 

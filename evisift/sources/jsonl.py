@@ -46,8 +46,8 @@ def first_rows(df: DataFrame, ord_col: str, n: int) -> DataFrame:
 
 # Core fields of a chunk record and those that must be filled.
 CHUNK_FIELDS = [
-    "doc_id", "chunk_id", "source_uri", "source_type", "text", "dataset_version", "lang", "page_range", "section_path", "quality_score",
-    "ocr_used", "ocr_confidence", "dedupe_hash", "created_at",
+    "doc_id", "chunk_id", "source_uri", "source_type", "page_range", "section_path", "text", "lang", "quality_score", "ocr_used",
+    "ocr_confidence", "dedupe_hash", "created_at", "dataset_version",
 ]
 REQUIRED = ["doc_id", "chunk_id", "source_uri", "source_type", "text", "dataset_version"]
 
