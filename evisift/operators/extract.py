@@ -204,7 +204,10 @@ def merge_rules(generic: dict, specific: dict, concat_top_lists: bool = False) -
 
 # Phrases that report or find something somewhere, and words for places.
 REPORT_PHRASES = [" were reported in ", " was reported in ", "reported in ", " distributed in ", "occurred in "]
-FOUND_PHRASES = REPORT_PHRASES + [" were found in ", " was found in ", "found in ", "occur in ", "distribution in "]
+FOUND_PHRASES = [
+    " were reported in ", " was reported in ", "reported in ", " were found in ", " was found in ", "found in ", "occurred in ", "occur in ",
+    " distributed in ", "distribution in ",
+]
 GEO_WORDS_EN = ["province", "city", "county", "counties", "prefecture", "district", "region", "areas", "cities", "town", "village"]
 GEO_WORDS_ZH = ["省", "市", "县", "区", "州", "地区"]
 
