@@ -320,12 +320,30 @@ def quote_validation(spark, d):
     return r.select("doc_id", "r.valid", "r.n").where("n > 0")
 
 
-@query("symptom_lists", "X20,X21,W09")
+# Given columns stand in for prose about patients: one wording for each verdict, chosen by id, the source behind it.
+_SYMPTOM_TEXTS = [
+    "Symptoms include fever, rash and bleeding.", "See table 3. Symptoms include fever, rash.", "Nothing listed.", "The drug presents with alpha, beta.",
+    "Symptoms include alpha, beta.", "Patients present with fatigue; vomiting.",
+]
+
+
+@query(
+    "symptom_lists", "X20,X21,W09",
+    """with r as (select ['ok', 'excluded:table', 'missing_structure', 'missing_symptom_cue', 'list_items_not_symptom', 'ok'][doc_id % 6 + 1] as reason,
+      [['fever', 'bleeding'], [], [], [], [], ['fatigue']][doc_id % 6 + 1] as items, [2, 1, 0, 0, 0, 2][doc_id % 6 + 1] as tail from documents)
+    select reason, count(*) as n, sum(len(items))::bigint as n_items, array_to_string(list_sort(list_distinct(flatten(list(items)))), ',') as items, sum(tail)::bigint as tail_items from r group by reason""",
+)
 def symptom_lists(spark, d):
+    texts = F.array(*[F.lit(t) for t in _SYMPTOM_TEXTS])
+    docs = documents(spark, d, "source").select("doc_id", F.concat_ws(" ", F.get(texts, (F.col("doc_id") % 6).cast("int")), "source").alias("text"))
     c = F.col("text")
     like = X.list_like_features(c)["list_like_items"]
-    r = documents(spark, d).select("doc_id", X.symptom_filter(c, like, F.size(like) > 0).alias("r"), X.enumeration_tail(c).alias("tail"))
-    return r.groupBy("r.reason").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tail")).alias("tail_items"))
+    r = docs.select("doc_id", X.symptom_filter(c, like, F.size(like) > 0).alias("r"), F.size(X.enumeration_tail(c)).alias("tail"))
+    # One partial count for each reason and item, not a list of a whole reason's items.
+    items = r.select("r.reason", F.explode("r.items").alias("item")).groupBy("reason", "item").agg(F.count(F.lit(1)).alias("k"))
+    shown = items.groupBy("reason").agg(F.sum("k").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
+    counts = r.groupBy("r.reason").agg(F.count(F.lit(1)).alias("n"), F.sum("tail").alias("tail_items"))
+    return counts.join(shown, "reason", "left").select("reason", "n", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), "tail_items")
 
 
 _CLAIMS = split_sql("t", r"([.!?\x{3002}\x{ff01}\x{ff1f}])\s+|\n+")
