@@ -32,6 +32,10 @@ TABLE = 12
 #: Fingerprints of a tile of a cell, home and probing.
 HOME, PROBE = 4096, 32_768
 MOST_PIVOTS = 1 << 16
+#: Counters of the sketch that puts rare shingles first, and the members of a bucket that meet all others in one task.
+COUNTERS, BLOCK = 1 << 18, 256
+#: Rounds that offer a bucket's members to its head before all of them are offered to each other.
+STARS = 2
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -187,6 +191,49 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(t)) for t in zip(*(words[i:] for i in range(width)), strict=False)], np.uint32))
 
 
+def rarity(sets: DataFrame) -> np.ndarray:
+    """How often shingles of the sets ``s`` fall on each of COUNTERS counters."""
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for x in b.column(0):
+                total += np.bincount(np.frombuffer(x.as_py(), np.uint32) % COUNTERS, minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    for r in sets.select("s").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows at most
+        out[r["at"]] = r["n"]
+    return out
+
+
+def rare_shingles(open_: DataFrame, similarity: float) -> DataFrame:
+    """(crowd, sh, node, n, at): the prefix of each set, rarest shingle first, in which two sets at ``similarity`` share one.
+
+    n is the size of the set, at the place of the shingle. An empty set has the single shingle -1.
+    """
+    sent = open_.sparkSession.sparkContext.broadcast(rarity(open_))
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                x = np.frombuffer(b.column("s")[r].as_py(), np.uint32)
+                keep = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
+                first = x[np.lexsort((x, sent.value[x % COUNTERS]))][:keep].astype(np.int64) if len(x) else np.array([-1])
+                k = len(first)
+                columns = [np.full(k, b.column("crowd")[r].as_py()), first, np.full(k, b.column("node")[r].as_py()), np.full(k, len(x), np.int32), np.arange(k, dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["crowd", "sh", "node", "n", "at"])
+
+    return open_.select("crowd", "node", "s").mapInArrow(run, "crowd long, sh long, node long, n int, at int")
+
+
+def _reach(x: str, y: str, similarity: float):
+    """Whether two sets can reach ``similarity`` given their sizes and the places of their first common shingle."""
+    most = F.expr(f"1 + least({x}n - 1 - {x}at, {y}n - 1 - {y}at)")
+    return (most >= F.lit(similarity / (1 + similarity)) * F.expr(f"{x}n + {y}n") - 1e-9) | F.expr(f"{x}n = 0 and {y}n = 0")
+
+
 def near_duplicate_groups(
     df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, views: int = VIEWS, radius: int = VIEW_RADIUS, carry: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -197,8 +244,10 @@ def near_duplicate_groups(
     sets reaches ``similarity``. Texts without words are alike. Fingerprints of words, not of shingles, because a changed word
     moves few of them: at similarity 0.8 about six in ten pairs meet in one view, 98 of 100 in four.
 
-    Equal texts are one node, whatever their number. A dense tile proposes a spanning forest, not all its pairs. Null
-    counts as empty; repeated rows stay; an empty input gives an empty result.
+    Equal texts are one node, whatever their number. A dense tile proposes a spanning forest, not all its pairs. All
+    texts that candidates connect are a crowd; where the forest's links that hold leave a crowd apart, its members meet by an exact
+    shingle join (prefixes of the rarest shingles), so every pair at ``similarity`` in a crowd is looked at or joined
+    already. Null counts as empty; repeated rows stay; an empty input gives an empty result.
     """
     k1, k2 = text_key("_text")
     rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *carry).withColumns({"k1": k1, "k2": k2})
@@ -241,14 +290,57 @@ def near_duplicate_groups(
                 keep.append(total == 0 or common >= similarity * total)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    roots = components(met.mapInArrow(verify, "a long, b long"))
+    def similar(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+        return met.mapInArrow(verify, "a long, b long")
+
+    sure = stored(similar(pairs), "similar")
+    roots = stored(components(sure), "roots")
+    crowds = components(pairs).withColumnRenamed("root", "crowd").join(roots, "node", "left").select("node", "crowd", F.coalesce("root", "node").alias("root"))
+    crowds = stored(crowds, "crowds")
+    # The only pair of a crowd of two has been looked at.
+    apart = crowds.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("crowd")
+    open_ = stored(crowds.join(apart, "crowd").join(sets, "node").select("node", "crowd", "s"), "open")
+    if not open_.isEmpty():
+        sure = stored(sure.unionByName(_within_crowds(open_, roots, pairs, similar, similarity)), "similar")
+        roots = components(sure)
     placed = nodes.drop("fps").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     out = docs.drop("fps").join(placed, ["k1", "k2"])
     least = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return out.join(least, "root").select("doc_id", *carry, "root", "component_id")
 
 
+def _within_crowds(open_: DataFrame, roots: DataFrame, seen: DataFrame, similar, similarity: float) -> DataFrame:
+    """Similar pairs (a, b) of the same crowd that connect all of them, besides those ``roots`` has joined.
+
+    A bucket is a crowd's members that share a rare shingle. Its members first meet its head, so a group of near copies
+    becomes one root in few pairs; then all members that still have different roots meet.
+    """
+    members = stored(rare_shingles(open_, similarity), "members")
+    bucket = ["crowd", "sh"]
+    links_ = None
+    for step in range(STARS + 1):
+        now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        heads = now.groupBy(*bucket).agg(F.min(F.struct("root", "node", "n", "at")).alias("h"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("h.root <> high")
+        now = now.join(heads, bucket)
+        if step < STARS:
+            met = now.where("root <> h.root").where(_reach("", "h.", similarity)).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
+        else:
+            now = stored(now.drop("h", "high"), "members")
+            x = now.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).alias("x")
+            y = now.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("y")
+            on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*bucket, "block")]
+            met = x.join(y, [*on, F.expr("x.node < y.node and x.root <> y.root"), _reach("x.", "y.", similarity)]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+        new = stored(met.distinct().join(seen, ["a", "b"], "left_anti"), "candidates")
+        seen = seen.unionByName(new)
+        found = stored(similar(new), "similar")
+        links_ = found if links_ is None else links_.unionByName(found)
+        if step < STARS:
+            named = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = stored(components(named.unionByName(links_)), "roots")
+    return links_
+
+
 @query("op10_simhash_groups")
 def op10_simhash_groups(spark, sf_dir):
     """Fingerprint and component of every document."""

@@ -147,6 +147,45 @@ def test_near_duplicate_groups_against_brute_force(spark):
     assert near_duplicate_groups(df.limit(0)).count() == 0
 
 
+def crowd_reordered(r):
+    """Tables of the same lines in other orders (one word set), a near copy of each elsewhere in the crowd."""
+    lines = [" ".join(f"w{r.integers(0, 400)}" for _ in range(8)) for _ in range(40)]
+    texts = []
+    for _ in range(30):
+        own = [lines[i] for i in r.permutation(len(lines))]
+        texts += [" ".join(own), " ".join([*own[2:], *own[:2]])]
+    return texts
+
+
+def crowd_forms(r):
+    """Forms: long common words, own fields; each filled form has a copy with one field changed."""
+    common = [f"form{i}" for i in range(240)]
+    texts = []
+    for _ in range(30):
+        own = list(common)
+        at = r.choice(len(common), 14, replace=False)
+        for i in at:
+            own[i] = f"x{r.integers(0, 10**9)}"
+        texts.append(" ".join(own))
+        own[at[0]] = f"x{r.integers(0, 10**9)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("block", [256, 3])
+@pytest.mark.parametrize("make", [crowd_reordered, crowd_forms])
+def test_near_copies_in_a_crowd_of_like_texts_meet(spark, monkeypatch, make, block):
+    """The forest's links fail inside the crowd; the pairs behind them are still looked at."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    texts = make(np.random.default_rng(5))
+    sure = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    want = roots(len(texts), sure)
+    assert 20 < len(set(want)) < 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_duplicate_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_simhash_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     out = simhash.op10_simhash_groups(spark, "/root/testdata/sf0.001").collect()
