@@ -118,6 +118,24 @@ def _card(s: str, key: bytes, undo: bool) -> str | None:
     return _refill(s, str.isdigit, new + luhn_digit(new))
 
 
+#: Characters of an IBAN by country (IBAN registry).
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 33: "RU", 32: "LC",
+}.items() for c in countries.split()}
+
+
+def iban_end(s: str) -> int | None:
+    """Where the country's length ends an IBAN that ``s`` begins with; None if it ends inside a word or not in ``s``."""
+    left = IBAN_LENGTHS.get(s[:2].upper(), 0)
+    for i, c in enumerate(s):
+        left -= c != " "
+        if not left:
+            return i + 1 if i + 1 == len(s) or s[i + 1] == " " else None
+    return None
+
+
 def _iban_rest(country: str, body: str) -> int:
     return int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
 
@@ -161,20 +179,33 @@ def _phone(s: str, key: bytes, undo: bool) -> str | None:
 
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Dates that only day first can be meant when the year is last.
+LATE_DAYS = [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
 
 
 def _date(s: str, key: bytes, undo: bool) -> str | None:
-    """Years first, or day first with dots, or month first with slashes or hyphens."""
+    """Years first, or day first with dots, or month first with slashes or hyphens, and day first where that is no date.
+
+    Dates of the last kind are permuted among themselves, so that their pseudonyms are read day first again.
+    """
     parts = re.split(r"[-/.]", s)
     order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0) if "." in s else (2, 0, 1)
+    swapped = order == (2, 0, 1) and int(parts[0]) > 12
+    if swapped:
+        order = (2, 1, 0)
     try:
         day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
     except ValueError:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    net = Feistel(LAST_DAY - FIRST_DAY + 1, key, "date")
-    day = FIRST_DAY + (net.undo(day - FIRST_DAY) if undo else net.apply(day - FIRST_DAY))
+    if swapped:
+        net = Feistel(len(LATE_DAYS), key, "late date")
+        at = bisect_left(LATE_DAYS, day)
+        day = LATE_DAYS[net.undo(at) if undo else net.apply(at)]
+    else:
+        net = Feistel(LAST_DAY - FIRST_DAY + 1, key, "date")
+        day = FIRST_DAY + (net.undo(day - FIRST_DAY) if undo else net.apply(day - FIRST_DAY))
     new = datetime.date.fromordinal(day)
     fields = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
     return re.sub(r"\d+", lambda m, it=iter(range(3)): fields[next(it)], s)
@@ -215,12 +246,22 @@ def find_values(text: str) -> list[tuple[int, int, str]]:
         return []
     taken: list[tuple[int, int, str]] = []
     for kind, pattern, change in PATTERNS:
-        new = []
-        for m in pattern.finditer(text):
-            i = bisect_left(taken, (m.start(),))
-            free = (i == 0 or taken[i - 1][1] <= m.start()) and (i == len(taken) or taken[i][0] >= m.end())
-            if free and change(m[0], b"probe", False) is not None:
-                new.append((m.start(), m.end(), kind))
+        new, at = [], 0
+        while m := pattern.search(text, at):
+            start, at = m.span()
+            ends = [at]
+            if kind == "iban":
+                # The pattern runs on into words that follow; what is behind the value, or begins in a failed match, is searched as well.
+                if cut := iban_end(m[0]):
+                    ends = [start + cut] if start + cut == at else [start + cut, at]
+                at = start + 1
+            for end in ends:
+                i = bisect_left(taken, (start,))
+                free = (i == 0 or taken[i - 1][1] <= start) and (i == len(taken) or taken[i][0] >= end)
+                if free and change(text[start:end], b"probe", False) is not None:
+                    new.append((start, end, kind))
+                    at = end
+                    break
         taken = sorted(taken + new)
     return taken
 

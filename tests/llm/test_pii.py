@@ -66,6 +66,39 @@ def test_values_that_fail_validation_stay(text):
     assert pseudonymise(text, KEY) == (text, [])
 
 
+FOLLOWED = {
+    "card": ["4111111111111111"], "ssn": ["123-45-6789"], "ipv4": ["97.51.17.173"], "phone": ["(212) 555-0199", "+49 30 901820"], "email": ["A_b+c@x-y.org"],
+    "iban": ["ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "PL61109010140000071219812874", "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19"],
+    "date": ["31/12/1999", "31-12-1999", "12/31/1999", "13/01/2000"],
+}
+
+
+@pytest.mark.parametrize("word", ["a", "is", "and", "then", "them all", "BE68 5390 0754 7034", "mail@x-y.org", "to12 3456"])
+@pytest.mark.parametrize("kind", FOLLOWED)
+def test_each_kind_is_found_before_a_short_word(kind, word):
+    for value in FOLLOWED[kind]:
+        if kind == "phone" and word[0].isdigit():
+            continue
+        text = f"to {value} {word}"
+        new, spans = pseudonymise(text, KEY)
+        assert spans[0] == (3, 3 + len(value), kind) and value not in new
+        assert len(spans) == 1 + word.startswith(("BE", "mail"))
+        assert pseudonymise(new, KEY, undo=True)[0] == text
+
+
+def test_an_iban_behind_what_only_looks_like_one():
+    assert [k for _, _, k in find_values("AB12 then this ES91 2100 0418 4502 0005 1332 and")] == ["iban"]
+
+
+def test_day_first_dates_stay_day_first():
+    for day in range(13, 32):
+        for text in (f"{day}/01/1990", f"{day}-12-2050"):
+            new = pseudonymise(text, KEY)[0]
+            assert new != text and 12 < int(new[:2]) and int(new[3:5]) <= 12
+            assert pseudonymise(new, KEY, undo=True)[0] == text
+    assert pseudonymise("31/31/1999 and 31/02/1999", KEY)[1] == []
+
+
 def test_frame_nulls_empty_long_repeats_and_clashes(spark):
     long_text = "word " * 30_000 + "97.51.17.173"
     rows = [(1, None, "x"), (2, "", "y"), (3, "ip 97.51.17.173", "z"), (3, "ip 97.51.17.173", "z"), (4, long_text, "w"), (None, "4111111111111111", None)]
