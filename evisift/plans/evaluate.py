@@ -117,7 +117,7 @@ def answer_quality(spark, d):
 @query("best_candidate", "E09")
 def best_candidate(spark, d):
     c = F.col("text")
-    cands = F.array(c, F.get(N.split_claims(c), 0), F.get(T.paragraphs(c), 0))
+    cands = F.concat(F.array(c), N.split_claims(c), T.paragraphs(c))
     return documents(spark, d).select("doc_id", F.md5(E.best_candidate(cands)).alias("best_md5"))
 
 

@@ -241,3 +241,15 @@ def test_lists_of_any_length_are_distinct_in_order(one):
     text = " ".join(str(i % 700) for i in range(5000))
     assert one(distinct_by(F.split("c", " "), lambda x: x), c=text) == [str(i) for i in range(700)]
     assert one(distinct_by(F.split("c", " "), F.lower), c="b A a B c") == ["b", "A", "c"]
+
+
+def test_best_candidate_offers_every_claim_and_paragraph(spark, tmp_path):
+    import hashlib
+
+    from evisift.plans.evaluate import best_candidate
+
+    late = "The vaccine was given to nine hundred children in the northern district last year."
+    texts = [f"No. See https://a.example/b now. {late} Why.", f"Go https://a.example/b here to find some more words.\n\n{late}\n\nhttps://a.example/c is the last line of all."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.best_md5 for r in best_candidate(spark, str(tmp_path)).collect()}
+    assert got == dict.fromkeys(range(len(texts)), hashlib.md5(late.encode()).hexdigest())
