@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,3 +134,33 @@ def offsets(local: DataFrame, part: str, *totals: str) -> DataFrame:
     """Exclusive prefix sums of per-partition totals: one row for each partition, so the single window is small."""
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return local.select(part, *(F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"{t}_before") for t in totals))
+
+
+def running(df: DataFrame, order: list[str | Column], sums: dict[str, str], at: str = "at", name: str = "running") -> DataFrame:
+    """``df`` with ``at`` (row number from 0 in ``order``) and, for each (out, column) of ``sums``, the sum of the column up to and including the row.
+
+    Range-partitioned and sorted on ``order``, which must be unique or end in rows that may swap; each task keeps its own sums,
+    and one total for each partition becomes an offset. A hot value is split by the keys after it. The columns must be long or double, without nulls.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    kinds = {out: df.schema[column].dataType for out, column in sums.items()}
+    schema = T.StructType([*ranged.schema.fields, T.StructField(at, T.LongType()), *(T.StructField(o, k) for o, k in kinds.items())])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = 0, dict.fromkeys(sums, 0)
+        for b in batches:
+            made = [pa.array(rows + np.arange(b.num_rows, dtype=np.int64))]
+            rows += b.num_rows
+            for out, column in sums.items():
+                total = held[out] + np.cumsum(b.column(column).to_numpy(zero_copy_only=False))
+                held[out] = total[-1] if len(total) else held[out]
+                made.append(pa.array(total))
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], names=schema.names)
+
+    own = stored(ranged.mapInArrow(local, schema), name)
+    totals = own.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_s{i}") for i, c in enumerate(sums.values())))
+    # One row for each partition: bounded by the number of tasks.
+    before = F.broadcast(offsets(totals, "_part", "_n", *(f"_s{i}" for i in range(len(sums)))))
+    moved = {at: F.col(at) + F.col("_n_before")} | {o: F.col(o) + F.col(f"_s{i}_before") for i, o in enumerate(sums)}
+    return own.join(before, "_part").withColumns(moved).select(*df.columns, at, *sums)
