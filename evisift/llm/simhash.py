@@ -19,23 +19,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bits import Bits
-from .common import components, map_rows, raw_texts, slices, stored, table, text_key
+from .common import components, discard, map_rows, raw_texts, stored, table, text_key
 from .forest import Forest
 from .registry import query
 
 WIDTH, RADIUS, SEED = 3, 3, 42
-#: Seeds and radius of the word fingerprints that propose near-duplicates by shingles.
-VIEWS, VIEW_RADIUS = 4, 5
+#: Radius of the word fingerprints that propose near-duplicates by shingles.
+VIEW_RADIUS = 5
 #: Pivots of the table that pairs are held against, besides the cell's own.
 TABLE = 12
 #: Fingerprints of a tile of a cell, home and probing.
 HOME, PROBE = 4096, 32_768
 MOST_PIVOTS = 1 << 16
-#: Counters of the sketch that puts rare shingles first, and the members of a bucket that meet all others in one task.
+#: Counters of the sketch that puts common shingles last, and the members of a bucket, all of different roots, that may meet each other at once.
 COUNTERS, BLOCK = 1 << 18, 256
-#: Rounds that offer a bucket's members to its head before all of them are offered to each other.
-STARS = 2
+#: Rounds in which larger buckets offer their members to a head before all are offered to each other.
+STARS = 3
 
 
 def majority(hashes: np.ndarray) -> int:
@@ -174,10 +173,10 @@ def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     return docs.join(named, "fp").select("doc_id", *carry, "fp", "root", "component_id")
 
 
-def word_fingerprints(text: bytes, views: int = VIEWS) -> list[int]:
-    """SimHashes of the set of words under ``views`` seeds; 0 without words."""
+def word_fingerprint(text: bytes) -> int:
+    """SimHash of the set of words; 0 without words."""
     words = list(set(text.lower().split()))
-    return [majority(np.array([xxhash.xxh64_intdigest(w, SEED + v) for w in words], np.uint64)) if words else 0 for v in range(views)]
+    return majority(np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)) if words else 0
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -191,41 +190,66 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(t)) for t in zip(*(words[i:] for i in range(width)), strict=False)], np.uint32))
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
-    """How often shingles of the sets ``s`` fall on each of COUNTERS counters."""
+def heat(sets: DataFrame) -> np.ndarray:
+    """How often shingles of the sets ``s`` fall on each of COUNTERS counters; 0 where no task found a counter far above its others.
+
+    It only orders shingles, so that common passages come last; any order gives the same result.
+    """
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
         for b in batches:
             for x in b.column(0):
                 total += np.bincount(np.frombuffer(x.as_py(), np.uint32) % COUNTERS, minlength=COUNTERS)
-        at = np.flatnonzero(total)
+        at = np.flatnonzero(total > 8 + 4 * total.mean())
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
 
+    found = sets.select("s").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
     out = np.zeros(COUNTERS, np.int64)
-    for r in sets.select("s").mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows at most
-        out[r["at"]] = r["n"]
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
     return out
 
 
-def rare_shingles(open_: DataFrame, similarity: float) -> DataFrame:
-    """(crowd, sh, node, n, at): the prefix of each set, rarest shingle first, in which two sets at ``similarity`` share one.
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(sh, node, n, at): the prefix of each set, common shingles last, in which two sets at ``similarity`` share one.
 
     n is the size of the set, at the place of the shingle. An empty set has the single shingle -1.
     """
-    sent = open_.sparkSession.sparkContext.broadcast(rarity(open_))
+    sent = sets.sparkSession.sparkContext.broadcast(heat(sets))
 
     def run(batches):
         for b in batches:
-            for r in range(b.num_rows):
-                x = np.frombuffer(b.column("s")[r].as_py(), np.uint32)
+            nodes, columns = b.column("node").to_numpy(), []
+            for node, s in zip(nodes.tolist(), b.column("s"), strict=True):
+                x = np.frombuffer(s.as_py(), np.uint32)
                 keep = len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1
                 first = x[np.lexsort((x, sent.value[x % COUNTERS]))][:keep].astype(np.int64) if len(x) else np.array([-1])
                 k = len(first)
-                columns = [np.full(k, b.column("crowd")[r].as_py()), first, np.full(k, b.column("node")[r].as_py()), np.full(k, len(x), np.int32), np.arange(k, dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["crowd", "sh", "node", "n", "at"])
+                columns.append((first, np.full(k, node), np.full(k, len(x), np.int32), np.arange(k, dtype=np.int32)))
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], names=["sh", "node", "n", "at"])
+
+    return sets.select("node", "s").mapInArrow(run, "sh long, node long, n int, at int")
+
+
+def shared(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` whose shingle another row has too: dealt and sorted by shingle, then told by their neighbours."""
+
+    def run(batches):
+        held, met = None, False  # the last row so far, and whether the row before has its shingle
+        for b in batches:
+            if not b.num_rows:
+                continue
+            whole = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+            sh = whole.column("sh").to_numpy()
+            same = sh[1:] == sh[:-1]
+            before = np.concatenate([[met], same])
+            yield whole.slice(0, len(sh) - 1).filter(pa.array((before[:-1] | same)))
+            held, met = whole.slice(len(sh) - 1), bool(before[-1])
+        if held is not None and met:
+            yield held
 
-    return open_.select("crowd", "node", "s").mapInArrow(run, "crowd long, sh long, node long, n int, at int")
+    return members.repartition("sh").sortWithinPartitions("sh").mapInArrow(run, members.schema)
 
 
 def _reach(x: str, y: str, similarity: float):
@@ -234,51 +258,10 @@ def _reach(x: str, y: str, similarity: float):
     return (most >= F.lit(similarity / (1 + similarity)) * F.expr(f"{x}n + {y}n") - 1e-9) | F.expr(f"{x}n = 0 and {y}n = 0")
 
 
-def near_duplicate_groups(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, views: int = VIEWS, radius: int = VIEW_RADIUS, carry: tuple[str, ...] = ()
-) -> DataFrame:
-    """(doc_id, carry, root, component_id) for every row: near-duplicates by Jaccard similarity of ``width``-word shingles.
-
-    SimHash proposes, shingles decide: texts are candidates when their word fingerprints under any of ``views`` seeds are
-    at most ``radius`` bits apart (found by the pivot tables), and linked when the similarity of their whole shingle
-    sets reaches ``similarity``. Texts without words are alike. Fingerprints of words, not of shingles, because a changed word
-    moves few of them: at similarity 0.8 about six in ten pairs meet in one view, 98 of 100 in four.
-
-    Equal texts are one node, whatever their number. A dense tile proposes a spanning forest, not all its pairs. All
-    texts that candidates connect are a crowd; where the forest's links that hold leave a crowd apart, its members meet by an exact
-    shingle join (prefixes of the rarest shingles), so every pair at ``similarity`` in a crowd is looked at or joined
-    already. Null counts as empty; repeated rows stay; an empty input gives an empty result.
-    """
-    k1, k2 = text_key("_text")
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *carry).withColumns({"k1": k1, "k2": k2})
-
-    def look(batch: pa.RecordBatch) -> dict:
-        fps = [np.array(word_fingerprints(t, views), np.uint64).view(np.int64) for t in raw_texts(batch, "_text")]
-        return {"fps": pa.array(fps, pa.list_(pa.int64()))}
-
-    docs = stored(map_rows(rows, "_text", [("fps", T.ArrayType(T.LongType()))], look).drop("_text"), "views")
-    nodes = stored(docs.groupBy("k1", "k2").agg(F.first("fps").alias("fps")).withColumn("node", F.monotonically_increasing_id()), "texts")
-    found = None
-    for v in range(views):
-        of = nodes.select("node", F.col("fps")[v].alias("fp"))
-        least = stored(of.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
-        same = of.join(least, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-        near = links(least, radius).join(least.toDF("a", "ra"), "a").join(least.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-        both = same.unionByName(near)
-        found = both if found is None else found.unionByName(both)
-    pairs = stored(found.distinct(), "candidates")
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.drop("fps"), "node"), "asked")
-    wanted = Bits(asked, "k1")
-
-    def shingles(batches):
-        for batch in batches:
-            for b in slices(batch, "_text"):
-                b = b.filter(pa.array(wanted.has(b.column("k1").to_numpy().view(np.uint64))))
-                sets = [shingle_set(t, width).tobytes() for t in raw_texts(b, "_text")]
-                yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(sets, pa.binary())], names=["k1", "k2", "s"])
-
-    sets = rows.select("k1", "k2", "_text").mapInArrow(shingles, "k1 long, k2 long, s binary").groupBy("k1", "k2").agg(F.first("s").alias("s"))
-    sets = stored(asked.join(sets, ["k1", "k2"]).select("node", "s"), "shingles")
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets ``sets(node, s)`` reach ``similarity``, stored; only sets asked for travel."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    need = stored(sets.join(asked, "node", "left_semi").select("node", "s"), "asked")
 
     def verify(batches):
         for b in batches:
@@ -290,55 +273,74 @@ def near_duplicate_groups(
                 keep.append(total == 0 or common >= similarity * total)
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        return met.mapInArrow(verify, "a long, b long")
+    met = pairs.join(need.toDF("a", "sa"), "a").join(need.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    out = stored(met.mapInArrow(verify, "a long, b long"), "similar")
+    discard(need)
+    return out
+
 
-    sure = stored(similar(pairs), "similar")
-    roots = stored(components(sure), "roots")
-    crowds = components(pairs).withColumnRenamed("root", "crowd").join(roots, "node", "left").select("node", "crowd", F.coalesce("root", "node").alias("root"))
-    crowds = stored(crowds, "crowds")
-    # The only pair of a crowd of two has been looked at.
-    apart = crowds.groupBy("crowd").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("crowd")
-    open_ = stored(crowds.join(apart, "crowd").join(sets, "node").select("node", "crowd", "s"), "open")
-    if not open_.isEmpty():
-        sure = stored(sure.unionByName(_within_crowds(open_, roots, pairs, similar, similarity)), "similar")
-        roots = components(sure)
-    placed = nodes.drop("fps").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    out = docs.drop("fps").join(placed, ["k1", "k2"])
-    least = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return out.join(least, "root").select("doc_id", *carry, "root", "component_id")
-
-
-def _within_crowds(open_: DataFrame, roots: DataFrame, seen: DataFrame, similar, similarity: float) -> DataFrame:
-    """Similar pairs (a, b) of the same crowd that connect all of them, besides those ``roots`` has joined.
-
-    A bucket is a crowd's members that share a rare shingle. Its members first meet its head, so a group of near copies
-    becomes one root in few pairs; then all members that still have different roots meet.
+def near_duplicate_groups(
+    df: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8, radius: int = VIEW_RADIUS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, carry, root, component_id) for every row: near-duplicates by Jaccard similarity of ``width``-word shingles.
+
+    SimHash proposes, shingles decide. Texts whose word fingerprints are at most ``radius`` bits apart (found by the pivot
+    tables) are linked when the similarity of their whole shingle sets reaches ``similarity``: most groups become one root.
+    Fingerprints of words, not of shingles, because a changed word moves few of them; nine in ten pairs at 0.8 meet this way. The
+    others, whatever their fingerprints, meet by a shared shingle of their prefixes (see ``prefixes``): members of a bucket that have
+    different roots are compared, so every pair at ``similarity`` is looked at or joined already. In a bucket with many
+    such pairs all members first meet its head, which makes one root of a group of near copies in few pairs.
+
+    Equal texts are one node, whatever their number; a dense tile proposes a spanning forest, not all its pairs. Texts without words
+    are alike. Null counts as empty; repeated rows stay; an empty input gives an empty result.
     """
-    members = stored(rare_shingles(open_, similarity), "members")
-    bucket = ["crowd", "sh"]
-    links_ = None
+    k1, k2 = text_key("_text")
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"), *carry).withColumns({"k1": k1, "k2": k2})
+
+    def look(batch: pa.RecordBatch) -> dict:
+        texts = raw_texts(batch, "_text")
+        fps = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        return {"fp": pa.array(fps), "s": pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())}
+
+    looked = map_rows(rows.select("k1", "k2", "_text"), "_text", [("fp", T.LongType()), ("s", T.BinaryType())], look).drop("_text")
+    nodes = stored(looked.groupBy("k1", "k2").agg(F.first(F.struct("fp", "s")).alias("x")).select("k1", "k2", "x.fp", "x.s", F.monotonically_increasing_id().alias("node")), "texts")
+    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
+    same = nodes.select("node", "fp").join(least, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = links(least, radius).join(least.toDF("a", "ra"), "a").join(least.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+    seen = stored(same.unionByName(near).distinct(), "candidates")
+    sure = similar(seen, nodes, similarity)
+    members = stored(shared(prefixes(nodes, similarity)), "members")
+    roots = stored(components(sure), "roots")
     for step in range(STARS + 1):
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        heads = now.groupBy(*bucket).agg(F.min(F.struct("root", "node", "n", "at")).alias("h"), F.max("root").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("h.root <> high")
-        now = now.join(heads, bucket)
-        if step < STARS:
-            met = now.where("root <> h.root").where(_reach("", "h.", similarity)).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
+        kinds = now.groupBy("sh", "root").agg(F.count("*").alias("c"), F.min(F.struct("node", "n", "at")).alias("h"))
+        open_ = kinds.groupBy("sh").agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.min(F.struct("root", "h")).alias("first")).where("cross > 0")
+        open_ = stored(open_.select("sh", "cross", "first.root", "first.h"), "open")
+        most = open_.agg(F.max("cross")).first()[0]
+        if most is None:
+            break
+        star = step < STARS and most > BLOCK * BLOCK / 2
+        if star:
+            head = open_.select("sh", F.col("root").alias("head"), "h")
+            met = now.join(head, "sh").where("root <> head").where(_reach("", "h.", similarity)).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
         else:
-            now = stored(now.drop("h", "high"), "members")
-            x = now.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).alias("x")
-            y = now.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).alias("y")
-            on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (*bucket, "block")]
-            met = x.join(y, [*on, F.expr("x.node < y.node and x.root <> y.root"), _reach("x.", "y.", similarity)]).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            # Pairs of roots first, so that members of one root do not meet.
+            few = stored(now.join(open_.select("sh"), "sh", "left_semi"), "now")
+            kinds = few.select("sh", "root").distinct()
+            two = kinds.toDF("sh", "x").join(kinds.toDF("sh", "y"), "sh").where("x < y")
+            x, y = (few.select("sh", F.col("root").alias(c), F.struct("node", "n", "at").alias(f"m{c}")) for c in ("x", "y"))
+            met = two.join(x, ["sh", "x"]).join(y, ["sh", "y"]).where(_reach("mx.", "my.", similarity)).select(F.least("mx.node", "my.node").alias("a"), F.greatest("mx.node", "my.node").alias("b"))
         new = stored(met.distinct().join(seen, ["a", "b"], "left_anti"), "candidates")
+        sure = sure.unionByName(similar(new, nodes, similarity))
+        named = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = stored(components(named.unionByName(sure)), "roots")
+        if not star:
+            break
         seen = seen.unionByName(new)
-        found = stored(similar(new), "similar")
-        links_ = found if links_ is None else links_.unionByName(found)
-        if step < STARS:
-            named = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = stored(components(named.unionByName(links_)), "roots")
-    return links_
+    placed = nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+    out = rows.drop("_text").join(placed, ["k1", "k2"])
+    first = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return out.join(first, "root").select("doc_id", *carry, "root", "component_id")
 
 
 @query("op10_simhash_groups")
