@@ -16,24 +16,23 @@ class Bits:
     """A fixed-size filter over 64-bit keys, broadcast; lets every key of the set pass, and few others while it is sparse."""
 
     def __init__(self, keys: DataFrame, key: str):
+        def slots(batches):
+            for b in batches:
+                slot = place(b.column(0).to_numpy().view(np.uint64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((slot // CHUNK_BITS).astype(np.int32)), pa.array((slot % CHUNK_BITS).astype(np.int32))], names=["i", "at"])
+
         def parts(batches):
-            words = None
+            held: dict[int, np.ndarray] = {}
             for b in batches:
-                if words is None:
-                    words = np.zeros(FILTER_BITS // 8, np.uint8)
-                slot = place(b.column(0).to_numpy().view(np.uint64))
-                np.bitwise_or.at(words, slot >> np.uint64(3), np.left_shift(np.uint8(1), (slot & np.uint64(7)).astype(np.uint8)))
-            if words is not None:
-                for i, chunk in enumerate(words.reshape(-1, CHUNK_BITS // 8)):
-                    if chunk.any():
-                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([chunk.tobytes()], pa.binary())], names=["i", "bits"])
-
-        def merge(key_, group):
-            total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in group.bits])
-            return group.iloc[:1][["i"]].assign(bits=[total.tobytes()])
-
-        spread = keys.select(key).mapInArrow(parts, "i int, bits binary")
-        rows = spread.groupBy("i").applyInPandas(merge, "i int, bits binary").collect()  # FILTER_BITS in all
+                chunk, at = b.column("i").to_numpy(), b.column("at").to_numpy()
+                for i in np.unique(chunk).tolist():
+                    held.setdefault(i, np.zeros(CHUNK_BITS, bool))[at[chunk == i]] = True
+            for i, on in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(on, bitorder="little").tobytes()], pa.binary())], names=["i", "bits"])
+
+        # Keys are dealt by chunk, so a chunk is made in one task from its keys, whatever the number of tasks before.
+        spread = keys.select(key).mapInArrow(slots, "i int, at int").repartition(FILTER_BITS // CHUNK_BITS, "i")
+        rows = spread.mapInArrow(parts, "i int, bits binary").collect()  # FILTER_BITS in all
         words = np.zeros((FILTER_BITS // CHUNK_BITS, CHUNK_BITS // 8), np.uint8)
         for r in rows:
             words[r["i"]] = np.frombuffer(r["bits"], np.uint8)

@@ -21,6 +21,8 @@ from .registry import query
 
 #: Documented bounds of the fit: so many rows of each language, so many characters from the middle of each, so many bytes of dictionary.
 FIT_ROWS, FIT_CHARS, DICT_BYTES = 256, 1024, 120 << 10
+#: Parts in which the rows of a language are ranked first.
+BUCKETS = 64
 #: Characters compressed together.
 PIECE = 1024
 LEVEL = 9
@@ -36,15 +38,18 @@ def letters(text: str) -> str:
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> dict[str, bytes]:
-    """Dictionary by language from at most ``rows`` distinct texts of each (least hash first), cut to DICT_BYTES.
+    """Dictionary by language from at most ``rows`` distinct texts of each (least hash first), the middle FIT_CHARS characters of each, cut to DICT_BYTES in all.
 
     Rows with null text or language are left out. The driver gets at most rows x FIT_CHARS characters for each language.
     """
     known = df.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    # A rank filter on the window keeps the best rows of each task before the shuffle (narrow rows, copies collapsed).
-    chosen = known.groupBy("lang", "h").count().drop("count").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows)
+    # Copies collapse; the least hashes of each bucket of a language come first, then the least of those, so a common language is no hot key.
+    few = known.select("lang", "h").distinct().withColumn("b", F.pmod("h", F.lit(BUCKETS)))
+    for by in (["lang", "b"], ["lang"]):
+        few = few.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).where(F.col("r") <= rows)
+    chosen = few.select("lang", "h")
     start = F.greatest(F.lit(1), ((F.length("text") - FIT_CHARS) / 2).cast("int") + 1)
-    got = known.join(F.broadcast(chosen.drop("r")), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(FIT_CHARS))).alias("part")).orderBy("lang", "h").collect()
+    got = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(FIT_CHARS))).alias("part")).orderBy("lang", "h").collect()
     parts: dict[str, list[bytes]] = {}
     for r in got:
         parts.setdefault(r["lang"], []).append(letters(r["part"]).encode())

@@ -11,21 +11,23 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows, slices, stored, table
+from .common import discard, map_rows, modest_batches, slices, stored, table
 from .registry import query
 
-#: Documented bounds of the fit: labelled and unlabelled documents used (least hash of doc_id first).
-FIT_LABELLED, FIT_UNLABELLED = 5000, 5000
-#: Rounds, and the share of the unlabelled documents that each view labels in a round.
-ROUNDS, SHARE = 3, 0.05
+#: Documented bounds of the fit: labelled documents used (least hash of doc_id first), documents that a view labels in a round (the surest of all).
+FIT_LABELLED, GIVEN = 6000, 300
+#: Rounds, and the margin from which on a view is sure.
+ROUNDS, SURE = 3, 1.0
 #: Share of labelled documents kept for calibration.
 CALIBRATE = 0.2
 TEXT_BITS, HASHED_META, SMOOTH = 9, 32, 150
@@ -155,34 +157,26 @@ class CoTrained:
         return 1 / (1 + np.exp(-(self.odds(0, xs[0]) + self.odds(1, xs[1]) - self.prior)))
 
 
-def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> CoTrained:
-    """Models from two views (rows in the same order) of labelled and unlabelled documents; the last CALIBRATE of the labelled ones calibrate.
+#: ``choose(models, share of good)``: what each of the two models labels next, as both views of the documents and their labels.
+Choose = Callable[[list[Logistic], float], list[tuple[list[np.ndarray], np.ndarray]]]
 
-    Without labels there is nothing to reject by: every document scores 0.5.
+
+def co_train_with(labelled: list[np.ndarray], y: np.ndarray, choose: Choose, rounds: int = ROUNDS) -> CoTrained:
+    """Models from two views (rows in the same order) of labelled documents, and of those that ``choose`` finds in each round.
+
+    The last CALIBRATE of the labelled ones calibrate. Without labels there is nothing to reject by: every document scores 0.5.
     """
     if not len(y):
         return CoTrained([Logistic(), Logistic()], [(0.0, 0.0)] * 2, 0.0)
     held = int(len(y) * CALIBRATE)
     fit = len(y) - held
     sets = [(labelled[v][:fit], y[:fit]) for v in (0, 1)]
-    free = np.ones(len(pool[0]), bool)
     views = [Logistic().fit(*sets[v]) for v in (0, 1)]
     for _ in range(rounds):
-        given = []
-        rate = float(np.mean(sets[0][1] > 0))
+        given = choose(views, float(np.mean(sets[0][1] > 0)))
         for v in (0, 1):
-            m = views[v].margin(pool[v])
-            rank = [i for i in np.argsort(-m, kind="stable") if free[i]]
-            n = int(len(m) * share)
-            up, down = round(n * rate), n - round(n * rate)
-            # Only what a view is sure of, best first.
-            top = [i for i in rank[:up] if m[i] > 1]
-            low = [i for i in rank[::-1][:down] if m[i] < -1]
-            given.append((np.array(top + low, int), np.array([1.0] * len(top) + [0.0] * len(low))))
-        for v in (0, 1):
-            rows, labels = given[1 - v]
-            sets[v] = np.concatenate([sets[v][0], pool[v][rows]]), np.concatenate([sets[v][1], labels])
-            free[rows] = False
+            xs, labels = given[1 - v]
+            sets[v] = np.concatenate([sets[v][0], xs[v]]), np.concatenate([sets[v][1], labels])
         views = [Logistic().fit(*sets[v]) for v in (0, 1)]
     own = slice(fit, None) if held else slice(None)
     curves = [calibrate(views[v].margin(labelled[v][own]), y[own]) for v in (0, 1)]
@@ -190,6 +184,28 @@ def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray],
     return CoTrained(views, curves, float(np.log(share_good / (1 - share_good))))
 
 
+def co_train(labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS, share: float = 0.05) -> CoTrained:
+    """Co-training with the unlabelled documents in memory: each view labels ``share`` of ``pool`` in a round."""
+    free = np.ones(len(pool[0]), bool)
+
+    def choose(views: list[Logistic], rate: float) -> list[tuple[list[np.ndarray], np.ndarray]]:
+        out, used = [], []
+        n = int(len(pool[0]) * share)
+        up, down = round(n * rate), n - round(n * rate)
+        for v in (0, 1):
+            m = views[v].margin(pool[v])
+            rank = [i for i in np.argsort(-m, kind="stable") if free[i]]
+            top = [i for i in rank[:up] if m[i] > SURE]
+            low = [i for i in rank[::-1][:down] if m[i] < -SURE]
+            rows = np.array(top + low, int)
+            out.append(([x[rows] for x in pool], np.array([1.0] * len(top) + [0.0] * len(low))))
+            used.append(rows)
+        free[np.concatenate(used)] = False
+        return out
+
+    return co_train_with(labelled, y, choose, rounds)
+
+
 def _views(batch: pa.RecordBatch, text: str, source: str, lang: str, n_chars: str) -> list[np.ndarray]:
     raws = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
     meta = zip(raws, *(batch.column(c).to_pylist() for c in (source, lang, n_chars)), strict=True)
@@ -199,40 +215,88 @@ def _views(batch: pa.RecordBatch, text: str, source: str, lang: str, n_chars: st
 COLUMNS = ("text", "source", "lang", "n_chars")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = FIT_LABELLED, unlabelled: int = FIT_UNLABELLED) -> CoTrained:
-    """Models from bounded samples: at most ``labelled`` and ``unlabelled`` documents, by hash of doc_id.
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, a, b), stored: both views of the whole text of every row with a doc_id, about 1 KB each before compression."""
+
+    def run(batches):
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                a, b = _views(piece, *COLUMNS)
+                views = (pa.array([r.tobytes() for r in x], pa.binary()) for x in (a.astype(np.float16), b.astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *views], names=["doc_id", "a", "b"])
+
+    rows = docs.where("doc_id is not null").select("doc_id", *COLUMNS)
+    modest_batches(docs.sparkSession)
+    return stored(rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("a binary, b binary")])), "features")
+
+
+def _arrays(table: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """The two views of the rows of ``table``."""
+    out = []
+    for c, kind, width in (("a", np.float16, (1 << TEXT_BITS) + 2), ("b", np.float32, HASHED_META + 16)):
+        out.append(np.frombuffer(b"".join(x.as_py() for x in table.column(c)), kind).reshape(-1, width).astype(np.float32))
+    return out
 
-    Labels that are null, other than 0 or 1, or contradict each other for one doc_id are left out. The driver gets the
-    two views of the samples (about 1 KB a document). Only ids are sorted and joined before the sample is known.
+
+def surest(made: DataFrame, skipped: DataFrame, views: list[Logistic], rate: float, given: int) -> DataFrame:
+    """(doc_id, view, y): what each view is surest of among all rows of ``made`` whose doc_id is not in ``skipped``.
+
+    Every row is scored in place, and only ids and two rounded margins travel. Rows alike in both margins, such as copies of a
+    text, count once (least hash of doc_id). A view labels at most ``given`` documents, good ones by their share ``rate``,
+    with a margin beyond SURE; ties go to the least hash.
+    """
+    sent = made.sparkSession.sparkContext.broadcast(views)  # a few KB
+
+    def margins(batches):
+        for b in batches:
+            ms = [np.round(m.margin(x).astype(np.float64), 4) for m, x in zip(sent.value, _arrays(b), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, ms)], names=["doc_id", "m0", "m1"])
+
+    scored = made.mapInArrow(margins, T.StructType([made.schema["doc_id"], *T.StructType.fromDDL("m0 double, m1 double")]))
+    sure = scored.where(f"abs(m0) > {SURE} or abs(m1) > {SURE}").join(skipped, "doc_id", "left_anti")
+    one = stored(sure.groupBy("m0", "m1").agg(F.min(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("r")).select("m0", "m1", "r.h", "r.doc_id"), "margins")
+    up = round(given * rate)
+    out = None
+    for v in (0, 1):
+        for label, n, order in ((1, up, F.desc(f"m{v}")), (0, given - up, F.asc(f"m{v}"))):
+            side = one.where(f"m{v} > {SURE}" if label else f"m{v} < -{SURE}").orderBy(order, "h").limit(n)
+            side = side.select("doc_id", F.lit(v).alias("view"), F.lit(label).alias("y"))
+            out = side if out is None else out.unionByName(side)
+    return stored(out, "surest")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: int = FIT_LABELLED, unlabelled: int = GIVEN, rounds: int = ROUNDS) -> CoTrained:
+    """Models from at most ``labelled`` labelled documents (least hash of doc_id) and, in each round, the ``unlabelled`` ones that each view is surest of.
+
+    The unlabelled documents are all others: Spark scores every one of them in each round. Labels that are null, other than 0 or
+    1, or contradict each other for one doc_id are left out. The driver gets the two views of the documents chosen (about 1 KB each).
     """
-    mix = F.xxhash64("doc_id")
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("_y")).where("y = _y").drop("_y")
-    # Ids whose hash is least, of each kind; a doc_id of many rows counts once.
-    sure = known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(mix).limit(labelled)
-    free = docs.where("doc_id is not null").select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(mix).limit(unlabelled).withColumn("y", F.lit(None).cast(known.schema["y"].dataType))
-    chosen = stored(sure.unionByName(free), "sample")
-    picked = docs.select("doc_id", *COLUMNS).join(F.broadcast(chosen), "doc_id")  # labelled + unlabelled rows at most
+    chosen = stored(known.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id")).limit(labelled), "sample")
+    made = features(docs)
+
+    def views_of(ids: DataFrame) -> pa.Table:
+        """Rows (doc_id, a, b) and the columns of ``ids``, a bounded table; one for each id, so that a repeated doc_id does not pass the bound."""
+        rest = [c for c in ids.columns if c != "doc_id"]
+        rows = made.join(F.broadcast(ids), "doc_id").groupBy("doc_id", *rest).agg(F.min(F.struct("a", "b")).alias("r"))
+        return rows.select("doc_id", *rest, "r.*").orderBy(F.xxhash64("doc_id"), "doc_id", *rest).toArrow()
+
+    rows = views_of(chosen)
+    y = rows.column("y").to_numpy().astype(float)
+    skipped = [labels.select("doc_id")]
+
+    def choose(views: list[Logistic], rate: float) -> list[tuple[list[np.ndarray], np.ndarray]]:
+        ids = surest(made, skipped[-1], views, rate, unlabelled)
+        skipped.append(skipped[-1].unionByName(ids.select("doc_id")))
+        got, out = views_of(ids), []
+        for v in (0, 1):
+            own = got.filter(pc.equal(got.column("view"), v))
+            out.append((_arrays(own), own.column("y").to_numpy().astype(float)))
+        return out
 
-    def features(batches):
-        for batch in batches:
-            for b in slices(batch, "text"):
-                xs = _views(b, *COLUMNS)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), b.column("y").cast(pa.int32()), *(pa.array([r.tobytes() for r in x.astype(np.float16 if i == 0 else np.float32)], pa.binary()) for i, x in enumerate(xs))],
-                    names=["doc_id", "y", "a", "b"],
-                )
-
-    made = picked.mapInArrow(features, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("y int, a binary, b binary")]))
-    # One row for each id, so that a repeated doc_id does not pass the bound.
-    rows = made.groupBy("doc_id").agg(F.min(F.struct("y", "a", "b")).alias("r")).select("doc_id", "r.*").orderBy(F.xxhash64("doc_id")).toArrow()
-    y = np.array([np.nan if v is None else v for v in rows.column("y").to_pylist()], float)
-    has = ~np.isnan(y)
-    views = []
-    for c, kind in (("a", np.float16), ("b", np.float32)):
-        raw = b"".join(x.as_py() for x in rows.column(c))
-        views.append(np.frombuffer(raw, kind).reshape(len(y), -1).astype(np.float32) if len(y) else np.zeros((0, 1), np.float32))
-    del rows
-    return co_train([v[has] for v in views], y[has], [v[~has] for v in views])
+    model = co_train_with(_arrays(rows), y, choose, rounds)
+    discard(made)
+    return model
 
 
 _READY: dict[str, CoTrained] = {}

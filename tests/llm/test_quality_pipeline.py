@@ -165,3 +165,28 @@ def test_nothing_else_imports_this_package():
         if "llm" not in f.relative_to(ROOT / "evisift").parts:
             assert ".llm" not in f.read_text() and "corpus_pipeline" not in f.read_text(), f
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_pseudo_labels_come_from_all_unlabelled_documents(spark):
+    """The surest of all rows are chosen, copies once, whatever their hash."""
+    r = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in r.integers(0, 50, 1 + i % 40)) + "!#$" * (i % 9), "en", f"s{i % 3}", i) for i in range(400)]
+    rows += [(1000 + i, *rows[7][1:]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    made = quality.features(docs)
+    a = {r.doc_id: (text_view(r.text.encode()), meta_view(r.text.encode(), r.source, r.lang, r.n_chars)) for r in docs.collect()}
+    views = []
+    for v in (0, 1):
+        x = np.stack([a[i][v] for i in range(400)])
+        views.append(Logistic().fit(x.astype(np.float32), (np.arange(400) % 9 < 3 + v).astype(float)))
+    skipped = spark.createDataFrame([(i,) for i in range(0, 400, 5)], "doc_id long")
+    got = {(r.doc_id, r.view, r.y) for r in quality.surest(made, skipped, views, 0.4, 20).collect()}
+    for v in (0, 1):
+        m = {i: float(views[v].margin(np.float32(np.float16(a[i][v]) if v == 0 else a[i][v])[None])[0]) for i in a if i % 5 or i >= 400}
+        for y, n in ((1, 8), (0, 12)):
+            mine = sorted((m[i] if y else -m[i] for i, w, l in got if (w, l) == (v, y)), reverse=True)
+            alike = {}
+            for i, x in m.items():
+                alike.setdefault(rows[i][1:] if i < 400 else rows[7][1:], x if y else -x)
+            want = sorted((x for x in alike.values() if x > 1), reverse=True)[:n]
+            assert mine == pytest.approx(want, abs=2e-3) and want
