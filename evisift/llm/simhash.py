@@ -260,7 +260,8 @@ def _reach(x: str, y: str, similarity: float):
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets ``sets(node, s)`` reach ``similarity``, stored; only sets asked for travel."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Stored, so that Spark knows its size and leaves the sets in place where it is small.
+    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
     need = stored(sets.join(asked, "node", "left_semi").select("node", "s"), "asked")
 
     def verify(batches):
@@ -302,8 +303,10 @@ def near_duplicate_groups(
         fps = np.array([word_fingerprint(t) for t in texts], np.uint64).view(np.int64)
         return {"fp": pa.array(fps), "s": pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())}
 
-    looked = map_rows(rows.select("k1", "k2", "_text"), "_text", [("fp", T.LongType()), ("s", T.BinaryType())], look).drop("_text")
-    nodes = stored(looked.groupBy("k1", "k2").agg(F.first(F.struct("fp", "s")).alias("x")).select("k1", "k2", "x.fp", "x.s", F.monotonically_increasing_id().alias("node")), "texts")
+    # Copies collapse before anything is computed from a text; texts shrink more in a shuffle than the hashes of their shingles.
+    texts = rows.groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
+    looked = map_rows(texts, "_text", [("fp", T.LongType()), ("s", T.BinaryType())], look).drop("_text")
+    nodes = stored(looked.withColumn("node", F.monotonically_increasing_id()), "texts")
     least = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
     same = nodes.select("node", "fp").join(least, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     near = links(least, radius).join(least.toDF("a", "ra"), "a").join(least.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
