@@ -12,10 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import taxonomy as X
-from ..functions.rows import explode_rows
 from ..functions.text import squash, strip
 from ..session import cut_lineage
-from .joins import HEAD, head_lengths
+from .joins import term_places
 from .ranking import global_position
 
 
@@ -213,44 +212,30 @@ def entity_index(nodes: DataFrame, absorbed: DataFrame | None = None) -> DataFra
 def recognise(queries: DataFrame, index: DataFrame) -> DataFrame:
     """Longest non-overlapping mentions of index keys in ``queries(qid, text)``.
 
-    Containment becomes an equi-join on the head of a key (its first characters): a query offers its substrings at the few
-    head lengths, whatever lengths the keys have, and longer keys are verified at that place. Overlaps are settled per
+    Containment is an equi-join on each key's rarest gram, verified at its place (``term_places``). Overlaps are settled per
     query by one fold, longest first.
     """
-    heads = index.where("key <> ''").withColumn("_h", F.substring("key", 1, HEAD))
-    lengths = head_lengths(heads, "key")
-    low = queries.select("qid", "text", F.lower("text").alias("low"))
-    spans = F.flatten(
-        F.transform(
-            F.array(*[F.lit(n) for n in lengths]).cast("array<int>"),
-            lambda n: F.transform(
-                F.when(F.length("low") >= n, F.sequence(F.lit(1), F.length("low") - n + 1)).otherwise(F.array().cast("array<int>")),
-                lambda p: F.struct((p - 1).alias("p"), F.substring(F.col("low"), p, n).alias("_h")),
-            ),
-        )
-    )
-    met = explode_rows(low, ["qid"], spans, "g").select("qid", "g.p", "g._h").join(heads, "_h").drop("_h").withColumn("n", F.length("key"))
-    place = lambda c: F.substring(F.col(c), F.col("p") + 1, F.col("n"))
-    hits = met.join(low, "qid").where(place("low") == F.col("key")).withColumn("mention", place("text")).drop("low", "text")
-    ordered = F.array_sort(
-        F.collect_list(F.struct((-F.col("n")).alias("neg"), "key", "p", "n", "node_id", "mention"))
-    )
+    keys = index.where("key <> ''")
+    places = term_places(queries.select("qid", F.lower("text").alias("t")), keys.select("key").distinct())
+    hits = places.join(keys, "key").withColumn("n", F.length("key"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "key", "p", "n", "node_id")))
     zero = F.struct(
-        F.array().cast("array<struct<p:int,e:int,node_id:string,mention:string>>").alias("kept"), F.lit("").alias("key"), F.lit(0).alias("upto")
+        F.array().cast("array<struct<p:int,e:int,node_id:string>>").alias("kept"), F.lit("").alias("key"), F.lit(0).alias("upto")
     )
 
     def take(acc: Column, m: Column) -> Column:
         end = m["p"] + m["n"]
         again = (acc["key"] == m["key"]) & (m["p"] < acc["upto"])  # inside this key's previous find
         clash = F.exists(acc["kept"], lambda s: ~((end <= s["p"]) | (m["p"] >= s["e"])))
-        item = F.struct(m["p"].alias("p"), end.alias("e"), m["node_id"].alias("node_id"), m["mention"].alias("mention"))
+        item = F.struct(m["p"].alias("p"), end.alias("e"), m["node_id"].alias("node_id"))
         return F.struct(
             F.when(again | clash, acc["kept"]).otherwise(F.array_append(acc["kept"], item)).alias("kept"),
             m["key"].alias("key"), F.when(again, acc["upto"]).otherwise(end).alias("upto"),
         )
 
-    per = hits.groupBy("qid").agg(ordered.alias("ms"))
-    kept = per.select("qid", F.posexplode(F.aggregate("ms", zero, take, lambda a: a["kept"])).alias("match_no", "m"))
+    per = hits.groupBy("qid").agg(ordered.alias("ms")).select("qid", F.aggregate("ms", zero, take, lambda a: a["kept"]).alias("kept"))
+    named = F.transform("kept", lambda k: F.struct(k["p"].alias("p"), k["e"].alias("e"), k["node_id"].alias("node_id"), F.substring(F.col("text"), k["p"] + 1, k["e"] - k["p"]).alias("mention")))
+    kept = per.join(queries.select("qid", "text"), "qid").select("qid", F.posexplode(named).alias("match_no", "m"))
     return kept.select("qid", "match_no", F.col("m.mention").alias("mention"), F.col("m.node_id").alias("node_id"), F.col("m.p").alias("start_at"), F.col("m.e").alias("end_at"))
 
 

@@ -1,7 +1,7 @@
-"""Lookups that are joins (J04-J23, U03, U08) with the reference's first-wins rules.
+"""Lookups that are joins (J04-J23, U03, U08); where keys repeat, the first or the last row wins, as each function says.
 
-Containment is never a nested loop: a text offers its substrings at the lengths the
-dictionary has, or its tokens, and meets the dictionary by equality.
+Containment is never a nested loop: a text offers its runs of a few characters, or its tokens, and meets the
+dictionary by equality.
 """
 
 from __future__ import annotations
@@ -10,48 +10,97 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rows import explode_rows
-from ..functions.text import squash, strip
+from ..functions.text import bind, squash, strip
+from ..session import cut_lineage
 
 
-#: Characters of a term that a text is searched by; the rest is verified.
-HEAD = 8
+#: Characters of the grams that anchor a term, and the terms of one anchor from which on a second gram tells them apart.
+GRAM, SPLIT = 8, 16
 
 
-def head_lengths(terms: DataFrame, key: str) -> list[int]:
-    """Lengths of the heads that occur (HEAD values at most)."""
-    return sorted(r[0] for r in terms.select(F.least(F.length(key), F.lit(HEAD)).alias("n")).where("n > 0").distinct().collect())
+def _places(c: Column, lengths: list[int]) -> Column:
+    """(p, gram) of every run of each length in ``lengths``, p from 0 in code points; linear in the text."""
 
+    def of(chars: Column) -> Column:
+        n = F.size(chars)
 
-def substrings_at(c: Column, lengths: list[int]) -> Column:
-    """All substrings of ``c`` with one of the given lengths (code points), as an array."""
-    chars = F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0))
-    n = F.size(chars)
+        def longer(grams: Column, k: int, made: list[Column]) -> Column:
+            if k in lengths:
+                whole = F.slice(grams, F.lit(1), F.greatest(n - (k - 1), F.lit(0)))
+                made = [*made, F.transform(whole, lambda g, i: F.struct(i.alias("p"), g.alias("gram")))]
+            if k == lengths[-1]:
+                return F.flatten(F.array(*made))
+            return bind(F.zip_with(grams, F.slice(chars, F.lit(k + 1), n), lambda a, b: F.concat(a, b)), lambda g: longer(g, k + 1, made))
 
-    def of(k: int) -> Column:
-        starts = F.when(n >= k, F.sequence(F.lit(1), n - k + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda p: F.substring(c, p, F.lit(k)))
+        return longer(chars, 1, [])
 
-    return F.array_distinct(F.flatten(F.array(*[of(k) for k in lengths])))
+    return bind(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), of)
 
 
-def contained_terms(queries: DataFrame, terms: DataFrame, fold: bool = False) -> DataFrame:
-    """``queries(qid, text)`` (qid unique) x ``terms(term, ...)`` where the text contains the term.
+def _key_places(keys: DataFrame, *carry: str) -> DataFrame:
+    """(key, off, gram, carry) of every gram of GRAM characters of a key; a shorter key is its own gram."""
+    own = F.array(F.struct(F.lit(0).alias("p"), F.col("key").alias("gram")))
+    at = F.when(F.length("key") < GRAM, own).otherwise(_places(F.col("key"), [GRAM]))
+    return explode_rows(keys, ["key", *carry], at, "g").select("key", *carry, F.col("g.p").alias("off2"), F.col("g.gram").alias("gram2"))
+
 
-    A term's head, its first HEAD characters, meets the text's substrings of that length by equality, so the offers
-    of a text are bounded by HEAD times its length however many term lengths there are. Longer terms are then verified
-    on the text.
+def anchors(keys: DataFrame) -> DataFrame:
+    """(key, gram, off, gap, gram2) of distinct ``keys(key)``: each at the gram that fewest keys have, the last such one.
+
+    Names of a family share their head; what tells them apart is rare, so it anchors them. Where more than SPLIT keys
+    are left at one gram, each gets the gram (and its distance) that is rarest among those keys as well; it is null for the others.
     """
-    key = F.lower("term") if fold else F.col("term")
-    t = terms.where("term <> ''").withColumn("_k", key).withColumn("_h", F.substring("_k", 1, HEAD))
-    lengths = head_lengths(t, "_k")
+    places = _key_places(keys)
+    rare = places.groupBy("gram2").agg(F.count("*").alias("n"))
+    best = lambda: F.min(F.struct("n", (-F.col("off2")).alias("back"), "gram2")).alias("b")
+    first = places.join(rare, "gram2").groupBy("key").agg(best()).select("key", F.col("b.gram2").alias("gram"), (-F.col("b.back")).alias("off"))
+    first = cut_lineage(first)
+    hot = first.groupBy("gram").count().where(F.col("count") > SPLIT).select("gram")
+    if hot.isEmpty():
+        return first.select("key", "gram", "off", F.lit(None).cast("int").alias("gap"), F.lit(None).cast("string").alias("gram2"))
+    crowded = first.join(hot, "gram", "left_semi")
+    others = _key_places(crowded, "gram", "off").where("off2 <> off").withColumn("gap", F.col("off2") - F.col("off"))
+    kinds = others.groupBy("gram", "gap", "gram2").agg(F.count("*").alias("n"))
+    second = others.join(kinds, ["gram", "gap", "gram2"]).groupBy("key").agg(F.min(F.struct("n", (-F.col("off2")).alias("back"), "gram2", "gap")).alias("b"))
+    return cut_lineage(first.join(second.select("key", "b.gap", "b.gram2"), "key", "left").select("key", "gram", "off", "gap", "gram2"))
+
+
+def anchored(texts: DataFrame, at: DataFrame) -> DataFrame:
+    """(qid, p, key): places of ``texts(qid, t)`` where a key of ``anchors`` may start, because its anchor is there."""
+    lengths = sorted(r[0] for r in at.select(F.length("gram").alias("n")).distinct().collect())  # GRAM values at most
     if not lengths:
-        return queries.select("qid").limit(0).join(t.drop("_k", "_h"), F.lit(False))
-    c = F.lower("text") if fold else F.col("text")
-    met = explode_rows(queries, ["qid"], substrings_at(c, lengths), "_h").join(t, "_h")
-    whole = met.where(F.length("_k") <= HEAD)
-    texts = queries.select("qid", c.alias("_t"))
-    longer = met.where(F.length("_k") > HEAD).join(texts, "qid").where(F.contains("_t", F.col("_k"))).drop("_t")
-    return whole.unionByName(longer).drop("_k", "_h")
+        return texts.select("qid", F.lit(0).alias("p"), F.lit("").alias("key")).limit(0)
+    grams = explode_rows(texts, ["qid"], _places(F.col("t"), lengths), "g").select("qid", "g.p", "g.gram")
+    met = grams.join(at.where("gap is null").select("key", "gram", "off"), "gram").select("qid", (F.col("p") - F.col("off")).alias("p"), "key")
+    crowded = at.where("gap is not null")
+    if crowded.isEmpty():
+        return met.where("p >= 0")
+    # The distances of a crowded anchor's second grams: as many as a key has places.
+    gaps = crowded.groupBy("gram").agg(F.collect_set("gap").alias("gaps"))
+    spots = grams.join(gaps, "gram").groupBy("qid").agg(F.collect_list(F.struct("p", "gram", "gaps")).alias("spots")).join(texts, "qid")
+    pairs = F.flatten(F.transform("spots", lambda s: F.transform(s["gaps"], lambda g: F.struct(s["p"].alias("p"), s["gram"].alias("gram"), g.alias("gap"), F.substring(F.col("t"), s["p"] + g + 1, F.lit(GRAM)).alias("gram2")))))
+    told = explode_rows(spots, ["qid"], pairs, "g").where("g.p + g.gap >= 0").select("qid", "g.p", "g.gram", "g.gap", "g.gram2")
+    split = told.join(crowded, ["gram", "gap", "gram2"]).select("qid", (F.col("p") - F.col("off")).alias("p"), "key")
+    return met.unionByName(split).where("p >= 0")
+
+
+def term_places(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(qid, p, key) for every place p (code points, from 0) where a text of ``texts(qid, t)`` holds one of ``keys(key)``.
+
+    qid is unique, keys are distinct and not empty. A text offers its runs of GRAM characters (and of the lengths of shorter keys), which
+    meet the keys' anchors by equality; what is left of each text, a few places, is verified on it.
+    """
+    found = anchored(texts, anchors(keys)).groupBy("qid").agg(F.collect_set(F.struct("p", "key")).alias("c"))
+    sure = F.filter("c", lambda x: F.substring(F.col("t"), x["p"] + 1, F.length(x["key"])) == x["key"])
+    return explode_rows(found.join(texts, "qid"), ["qid"], sure, "h").select("qid", "h.p", "h.key")
+
+
+def contained_terms(queries: DataFrame, terms: DataFrame, fold: bool = False) -> DataFrame:
+    """``queries(qid, text)`` (qid unique) x ``terms(term, ...)`` where the text contains the term."""
+    t = terms.where("term <> ''").withColumn("_k", F.lower("term") if fold else F.col("term"))
+    texts = queries.select("qid", (F.lower("text") if fold else F.col("text")).alias("t"))
+    found = term_places(texts, t.select(F.col("_k").alias("key")).distinct()).select("qid", F.col("key").alias("_k")).distinct()
+    return found.join(t, "_k").drop("_k")
 
 
 def token_terms(queries: DataFrame, terms: DataFrame) -> DataFrame:

@@ -73,3 +73,30 @@ def test_workers_get_the_package_from_any_folder(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, timeout=300, capture_output=True, text=True, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_names_of_one_family_meet_few_texts(spark):
+    """Texts meet the rarest gram of a name, not the head that all names share."""
+    names = [f"Supplier#{i:09d}" for i in range(20_000)]
+    texts = [(i, f"who is {names[(i * 7919) % 20_000].lower()} and supplier#x?") for i in range(20_000)]
+    keys = spark.createDataFrame([(n.lower(),) for n in names], "key string")
+    t = spark.createDataFrame(texts, "qid int, t string")
+    met = J.anchored(t, J.anchors(keys)).groupBy("qid").count()
+    assert met.agg(F.max("count")).first()[0] < 5
+    found = J.term_places(t, keys).collect()
+    assert len(found) == 20_000 and all(texts[r.qid][1][r.p : r.p + 18] == r.key for r in found)
+
+
+def test_crowded_anchors_are_told_apart_by_a_second_gram(spark):
+    import random
+
+    rng = random.Random(3)
+    # Every gram of a name is shared by many: names are pairs of a few long words.
+    words = ["".join(rng.choice("ab") for _ in range(9)) for _ in range(40)]
+    names = sorted({f"{a}{b}" for a in words for b in words} | {"aaaaaaaa", "ab", "é漢字"})
+    at = J.anchors(spark.createDataFrame([(n,) for n in names], "key string")).collect()
+    assert len(at) == len(names) and sum(r.gap is not None for r in at) > 200
+    texts = [(i, "".join(rng.choice(words) for _ in range(6)) + rng.choice(["", "é漢字", " aaaaaaaaa"])) for i in range(60)] + [(99, ""), (98, None)]
+    got = {(r.qid, r.p, r.key) for r in J.term_places(spark.createDataFrame(texts, "qid int, t string"), spark.createDataFrame([(n,) for n in names], "key string")).collect()}
+    want = {(q, p, n) for q, t in texts if t for n in names for p in range(len(t)) if t.startswith(n, p)}
+    assert got == want and len(want) > 200
