@@ -33,6 +33,8 @@ HOME, PROBE = 4096, 32_768
 MOST_PIVOTS = 1 << 16
 #: Counters of the sketch that puts common shingles last, and the members of a bucket, all of different roots, that may meet each other at once.
 COUNTERS, BLOCK = 1 << 18, 256
+#: Pairs that are verified together.
+PAIRS = 20_000
 #: Rounds in which larger buckets offer their members to a head before all are offered to each other.
 STARS = 3
 
@@ -259,24 +261,31 @@ def _reach(x: str, y: str, similarity: float):
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets ``sets(node, s)`` reach ``similarity``, stored; only sets asked for travel."""
-    # Stored, so that Spark knows its size and leaves the sets in place where it is small.
-    asked = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-    need = stored(sets.join(asked, "node", "left_semi").select("node", "s"), "asked")
+    """The pairs (a, b) of ``pairs(a, b, by)`` whose shingle sets ``sets(node, s)`` reach ``similarity``, stored.
 
-    def verify(batches):
-        for b in batches:
-            keep = []
-            for r in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(c)[r].as_py(), np.uint32) for c in ("sa", "sb"))
-                common = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-                total = len(x) + len(y) - common
-                keep.append(total == 0 or common >= similarity * total)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    met = pairs.join(need.toDF("a", "sa"), "a").join(need.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    out = stored(met.mapInArrow(verify, "a long, b long"), "similar")
-    discard(need)
+    Pairs alike in ``by`` meet in one group, and a set travels once to each group that asks for it, not once for each pair. Groups
+    hold about PAIRS pairs; a value of ``by`` with more is split.
+    """
+    groups = max(1, -(-pairs.count() // PAIRS))
+    hot = pairs.groupBy("by").agg(F.ceil(F.count("*") / PAIRS).alias("parts")).where("parts > 1")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))))
+    dealt = stored(pairs.join(hot, "by", "left").select("a", "b", F.pmod(F.xxhash64("by", part), F.lit(groups)).alias("g")), "pairs")
+    # Stored, so that Spark knows its size and leaves the sets in place where it is small.
+    asked = stored(dealt.select("g", F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    need = asked.join(sets.select("node", "s"), "node").select("g", "node", "s")
+
+    def verify(met: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        of = {n: np.frombuffer(s, np.uint32) for n, s in zip(held.node, held.s, strict=True)}
+        keep = []
+        for x, y in ((of[a], of[b]) for a, b in zip(met.a, met.b, strict=True)):
+            common = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+            total = len(x) + len(y) - common
+            keep.append(total == 0 or common >= similarity * total)
+        return met[["a", "b"]][np.array(keep, bool)]
+
+    out = stored(dealt.groupBy("g").cogroup(need.groupBy("g")).applyInPandas(verify, "a long, b long"), "similar")
+    discard(dealt)
+    discard(asked)
     return out
 
 
@@ -310,7 +319,7 @@ def near_duplicate_groups(
     least = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
     same = nodes.select("node", "fp").join(least, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     near = links(least, radius).join(least.toDF("a", "ra"), "a").join(least.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-    seen = stored(same.unionByName(near).distinct(), "candidates")
+    seen = stored(same.unionByName(near).distinct().withColumn("by", F.col("a")), "candidates")
     sure = similar(seen, nodes, similarity)
     members = stored(shared(prefixes(nodes, similarity)), "members")
     roots = stored(components(sure), "roots")
@@ -325,15 +334,16 @@ def near_duplicate_groups(
         star = step < STARS and most > BLOCK * BLOCK / 2
         if star:
             head = open_.select("sh", F.col("root").alias("head"), "h")
-            met = now.join(head, "sh").where("root <> head").where(_reach("", "h.", similarity)).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"))
+            met = now.join(head, "sh").where("root <> head").where(_reach("", "h.", similarity)).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"), F.col("h.node").alias("by"))
         else:
             # Pairs of roots first, so that members of one root do not meet.
             few = stored(now.join(open_.select("sh"), "sh", "left_semi"), "now")
             kinds = few.select("sh", "root").distinct()
             two = kinds.toDF("sh", "x").join(kinds.toDF("sh", "y"), "sh").where("x < y")
             x, y = (few.select("sh", F.col("root").alias(c), F.struct("node", "n", "at").alias(f"m{c}")) for c in ("x", "y"))
-            met = two.join(x, ["sh", "x"]).join(y, ["sh", "y"]).where(_reach("mx.", "my.", similarity)).select(F.least("mx.node", "my.node").alias("a"), F.greatest("mx.node", "my.node").alias("b"))
-        new = stored(met.distinct().join(seen, ["a", "b"], "left_anti"), "candidates")
+            met = two.join(x, ["sh", "x"]).join(y, ["sh", "y"]).where(_reach("mx.", "my.", similarity)).select(F.least("mx.node", "my.node").alias("a"), F.greatest("mx.node", "my.node").alias("b"), F.col("sh").alias("by"))
+        # A pair belongs to the least of its shared shingles: copies of one text have that in common.
+        new = stored(met.groupBy("a", "b").agg(F.min("by").alias("by")).join(seen.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
         sure = sure.unionByName(similar(new, nodes, similarity))
         named = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stored(components(named.unionByName(sure)), "roots")
