@@ -248,6 +248,7 @@ def _split_in_order(arr: Column, delimiters: list[str]) -> Column:
 
 def _after_phrase(c: Column, low: Column, phrase: Column) -> Column:
     """Text after the first occurrence of the phrase, up to the first separator kind that occurs past position 0."""
+    # Separators, in the order in which they are tried.
     seps = F.array(*[F.lit(s) for s in [".", ";", "\n", "。", "；", "!", "！", "?", "？"]])
     at = F.call_function("locate", F.lower(phrase), low)
 

@@ -58,8 +58,9 @@ NOT_DRUG = [
     "specimens", "oral", "sera",
 ]
 KNOWN_DRUGS = ["ribavirin", "favipiravir", "remdesivir", "oseltamivir", "baloxavir", "acyclovir"]
-PLACES = "province|city|county|district|state|region|prefecture"
-MORE_PLACES = "municipality|island|islands|mountain|mountains"
+# What names a place, in a location and (fewer) in a symptom.
+LOCATION_PLACES = "province|city|county|district|state|region|prefecture|municipality|island|islands|mountain|mountains"
+SYMPTOM_PLACES = "province|city|county|district|state|region|prefecture"
 
 
 def _word(rx: str) -> str:
@@ -81,7 +82,7 @@ GUARD_RULES: dict[str, list[tuple[str, object, bool]]] = {
         ("raw", f"(?s)^(?=.*[{CJK}]).{{1,12}}$", True),
         ("raw", f"[{CJK}]", False),
         ("lacks", "[A-Z]", False),
-        ("low", _word(f"{PLACES}|{MORE_PLACES}"), True),
+        ("low", _word(LOCATION_PLACES), True),
         ("raw", r"^[A-Z][A-Za-z'\-]+(?:\s+[A-Z][A-Za-z'\-]+){0,3}$", True),
     ],
     "symptom": [
@@ -92,7 +93,7 @@ GUARD_RULES: dict[str, list[tuple[str, object, bool]]] = {
         ("low", rf"{BOUND_L}p\s*[<=](?=[\p{{L}}\p{{N}}_])|{BOUND_L}ci{BOUND_R}|{BOUND_L}confidence interval{BOUND_R}", False),
         ("low", f"(reported in|distributed in|found in|occurred in){BOUND_R}", False),
         ("raw", "地区|区域|地域|省|市|我国|中国|国内|分布|流行", False),
-        ("low", _word(PLACES), False),
+        ("low", _word(SYMPTOM_PLACES), False),
         ("low", _word("genotype|lineage|clade|family|phenuiviridae|bunyaviridae|nairoviridae"), False),
         ("low", _word("pcr|elisa|assay|kit|diagnos|specimen|samples?"), False),
         ("has", SYMPTOM_WORDS, True),
