@@ -19,7 +19,7 @@ def text_search(queries: DataFrame, docs: DataFrame, k: int = 10, min_pct: int =
     """
     q = queries.select("qid", overlap_tokens(F.col("text")).alias("item")).where(F.size("item") > 0)
     d = docs.select(F.col("doc_id").alias("rid"), overlap_tokens(F.col("text")).alias("item"))
-    hits = top_k(q, d, TokenOverlap, k, min_score=1, **kw)
+    hits = top_k(q, d, TokenOverlap, k, min_score=1, options={"min_pct": min_pct}, **kw)
     sizes = q.select("qid", F.size("item").cast("bigint").alias("n_query_tokens"))
     return (
         hits.join(sizes, "qid")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evisift.operators import retrieval as R, vectors as V
-from evisift.operators.topk import InnerProduct, TokenOverlap, top_k
+from evisift.operators.topk import InnerProduct, ShareOfRowTokens, ShingleOverlap, TokenOverlap, _scan, top_k
 
 
 @pytest.fixture(scope="module")
@@ -47,6 +47,58 @@ def test_token_overlap_both_ways(spark, kw):
     assert got == exp
 
 
+def _brute(kernel, qs, docs, k, least):
+    out = []
+    for i, q in enumerate(qs):
+        rows = []
+        for r, d in enumerate(docs):
+            o, n, m = len(set(q) & set(d)), len(set(q)), max(1, len(set(d)))
+            if not o:
+                continue
+            if kernel is TokenOverlap:
+                s = o
+            elif kernel is ShareOfRowTokens or n < ShingleOverlap.short_below:
+                s = round(o / n, 6)
+            else:
+                s = round(max(o / (n + m - o), o / m * 0.6), 6)
+            if s >= least:
+                rows.append((-s, r))
+        out += [(i, r, -s) for s, r in sorted(rows)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("kernel, least", [(TokenOverlap, 1), (TokenOverlap, 3), (ShareOfRowTokens, 0.18), (ShingleOverlap, 1e-6), (ShingleOverlap, 0.3)])
+@pytest.mark.parametrize("k", [1, 4, 1000])
+def test_prefix_filter_is_exact(kernel, least, k):
+    """Any split into batches gives the rows of a full comparison: ties, empty rows, hot words, texts of very unlike length."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(60)]
+    docs = [["the", *rng.choice(words, rng.integers(0, 50), replace=False)] for _ in range(300)] + [[]] * 5 + [["the"]] * 20
+    qs = [["the", *rng.choice(words, rng.integers(1, 40), replace=False)] for _ in range(12)] + [docs[3], ["absent"], docs[7][:4]]
+    ix = kernel(list(range(len(qs))), qs)
+    best = None
+    for at in (0, 1, 90, 200):
+        to = {0: 1, 1: 90, 90: 200, 200: len(docs)}[at]
+        best = _scan(np.arange(at, to), pa.array(docs[at:to], pa.list_(pa.string())), ix, k, least, best)
+    got = [(int(q), int(r), float(s)) for q, r, s in zip(*best)]
+    assert sorted(got) == sorted(_brute(kernel, qs, docs, k, least))
+
+
+def test_search_work_follows_rare_words():
+    """Rows that share only the words of every row are not counted out once the k best are known."""
+    rng = np.random.default_rng(2)
+    hot = [f"hot{i}" for i in range(20)]
+    docs = [[*hot, f"own{i}", f"too{i}"] for i in range(20_000)]
+    qs = [[*hot, f"own{i}", f"too{i}"] for i in rng.choice(20_000, 50, replace=False)]
+    ix = TokenOverlap(list(range(50)), qs)
+    mine = {int(q[-1][3:]) for q in qs}
+    order = np.array(sorted(mine) + [i for i in range(20_000) if i not in mine])
+    best = _scan(order, pa.array([docs[i] for i in order], pa.list_(pa.string())), ix, 1, 1)
+    assert [(int(q), int(r)) for q, r, _ in zip(*best)] == [(i, int(q[-1][3:])) for i, q in enumerate(qs)]
+    postings = 20_000 * 50 * len(hot)
+    assert ix.work < postings / 100
+
+
 def test_post_filter_may_return_fewer(spark):
     bank = spark.createDataFrame([(i, [1.0 - i / 100], "x" if i >= 15 else "y") for i in range(40)], "rid bigint, item array<double>, tag string")
     q = spark.createDataFrame([(0, [1.0])], "qid int, item array<double>")
