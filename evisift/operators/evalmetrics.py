@@ -250,6 +250,88 @@ def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 1000, alpha:
     return stats.select(key, "n", "s").mapInPandas(draw, f"{key} {kt}, n bigint, mean double, lo double, hi double")
 
 
+def poisson_cuts(top: int = 12) -> list[int]:
+    """Bounds of a 32-bit number above which a Poisson(1) weight is at least 1, 2, ... ``top``."""
+    import math
+
+    below = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(j + 1)) for j in range(top)]
+    return [math.floor(p * 2**32) for p in below]
+
+
+def poisson_weights(high, low, rounds, seed: int):
+    """Weight of each row (64 bits of a key as two 32-bit arrays) in each round: a matrix of rows and rounds."""
+    import numpy as np
+
+    mask = np.uint64(0xFFFFFFFF)
+    x = high[:, None] ^ ((rounds[None, :] * np.uint64(2654435769) + np.uint64(seed)) & mask)
+    for word in (low[:, None], np.uint64(0)):
+        x = (x ^ (x >> np.uint64(16))) * np.uint64(2146121005) & mask
+        x = (x ^ (x >> np.uint64(15))) * np.uint64(2221713035) & mask
+        x = x ^ (x >> np.uint64(16)) ^ word
+    return np.searchsorted(np.array(poisson_cuts(), dtype=np.uint64), x, side="right")
+
+
+def poisson_intervals(df: DataFrame, key: str, row_id: Column, values: list[str], n_boot: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """Mean and percentile interval of real-valued scores per ``key``, by a Poisson bootstrap.
+
+    In round b a row weighs Poisson(1), drawn from a hash of (row, round): a rerun or a lost task draws the same. Rows of one
+    ``row_id`` weigh alike under every key, so methods are resampled in pairs. Every task adds up all rounds of its rows
+    (round 0: the plain sums) and only those sums are shuffled; no row is replicated. A null value has no part in its own mean;
+    a round that draws no row of a key is left out.
+    Columns: ``key, n``, and for each value ``v``: ``v_mean, v_lo, v_hi``. Null keys form a group.
+    """
+    kt = df.schema[key].dataType.simpleString()
+    digest = F.md5(row_id.cast("string"))
+    words = [F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint").alias(n) for n, at in (("_a", 1), ("_c", 9))]
+    data = df.select(F.col(key).alias("_k"), *words, F.array(*[F.col(v).cast("double") for v in values]).alias("_x"))
+
+    def add_up(batches):
+        import numpy as np
+        import pandas as pd
+
+        rounds = np.arange(1, n_boot + 1, dtype=np.uint64)
+        sums: dict = {}
+
+        def flush():
+            out = pd.DataFrame([(k, s[0].tolist(), s[1].tolist()) for k, s in sums.items()], columns=["k", "w", "s"])
+            sums.clear()
+            return out
+
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                w = poisson_weights(part["_a"].to_numpy(np.uint64), part["_c"].to_numpy(np.uint64), rounds, seed)
+                w = np.concatenate([np.ones((len(part), 1)), w], axis=1)
+                x = np.array([list(r) for r in part["_x"]], dtype=np.float64)
+                there = ~np.isnan(x)
+                codes, keys = pd.factorize(part["_k"], use_na_sentinel=False)
+                for c, k in enumerate(keys):
+                    at_k = codes == c
+                    k = None if pd.isna(k) else k
+                    got = np.stack([there[at_k].T.astype(np.float64) @ w[at_k], np.nan_to_num(x[at_k]).T @ w[at_k]]).reshape(2, -1)
+                    sums[k] = got if k not in sums else sums[k] + got
+                if len(sums) > 256:
+                    yield flush()
+        if sums:
+            yield flush()
+
+    drawn = data.mapInPandas(add_up, f"k {kt}, w array<double>, s array<double>")
+    cells = drawn.select("k", F.posexplode(F.arrays_zip("w", "s")).alias("i", "z")).groupBy("k", "i").agg(F.sum("z.w").alias("w"), F.sum("z.s").alias("s"))
+    width = n_boot + 1
+    stat = F.when(F.col("w") > 0, F.col("s") / F.col("w"))
+    drawn_at = F.floor(F.col("i") / width).cast("int")
+    plain, size = F.col("i") % width == 0, F.size("l")
+    per = cells.groupBy("k", drawn_at.alias("v")).agg(
+        F.max(F.when(plain, stat)).alias("mean"), F.array_sort(F.collect_list(F.when(~plain, stat))).alias("l")
+    )
+    lo, hi = F.get("l", F.greatest(F.lit(0), F.floor(size * (alpha / 2)).cast("int") - 1)), F.get("l", F.greatest(F.lit(0), F.floor(size * (1 - alpha / 2)).cast("int") - 1))
+    box = per.select("k", "v", F.struct("mean", lo.alias("lo"), hi.alias("hi")).alias("b"))
+    wide = box.groupBy("k").agg(*[F.max(F.when(F.col("v") == i, F.col("b"))).alias(f"_{i}") for i in range(len(values))])
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    cols = [F.col(f"_{i}.{f}").alias(f"{v}_{f}") for i, v in enumerate(values) for f in ("mean", "lo", "hi")]
+    return counts.join(wide, F.col("_key").eqNullSafe(F.col("k"))).select(F.col("_key").alias(key), "n", *cols)
+
+
 def paired_permutation(df: DataFrame, key: str, diff: str, n_perm: int = 2000, seed: int = 42) -> DataFrame:
     """Two-sided p-value with add-one smoothing, per ``key``.
 

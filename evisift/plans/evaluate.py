@@ -183,6 +183,51 @@ def bootstrap_ci(spark, d):
     return b.select("lang", "n", F.round("mean", 6).alias("mean"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+def _weights_sql(scores: str, rounds: int = 1000, seed: int = 42) -> str:
+    """``scores(rid text, ...)`` x rounds with the Poisson weight ``w`` of each row and round."""
+    m = 2**32 - 1
+    x = f"""select s.*, b, ('0x' || substr(md5(rid), 9, 8))::ubigint as _c, xor(('0x' || substr(md5(rid), 1, 8))::ubigint, ((b * 2654435769 + {seed}) & {m})::ubigint) as _x
+      from {scores} s cross join (select unnest(range(1, {rounds + 1})) as b)"""
+    for word in ("_c", "0::ubigint"):
+        x = f"select * replace ((xor(_x, _x >> 16) * 2146121005::ubigint) & {m}::ubigint as _x) from ({x})"
+        x = f"select * replace ((xor(_x, _x >> 15) * 2221713035::ubigint) & {m}::ubigint as _x) from ({x})"
+        x = f"select * replace (xor(xor(_x, _x >> 16), {word}) as _x) from ({x})"
+    return f"select *, {' + '.join(f'(_x >= {c})::int' for c in E.poisson_cuts())} as w from ({x})"
+
+
+def method_turns(spark, d):
+    """Three methods of answering a turn: the whole reply, its first sentence, its last sentence."""
+    t = turns(spark, d)
+    parts = F.filter(F.transform(F.split("pred", r"\."), T.strip), lambda x: x != "")
+    sent = F.when(F.size(parts) == 0, F.array(F.lit(""))).otherwise(parts)
+    preds = F.create_map(F.lit("reply"), F.col("pred"), F.lit("first"), F.get("_s", F.lit(0)), F.lit("last"), F.element_at("_s", -1))
+    return t.withColumn("_s", sent).select("conv_id", "turn", "gold", F.explode(preds).alias("method", "pred"))
+
+
+@query(
+    "method_intervals", "A25,A26,E01,E04",
+    f"""with {TURNS}, p as (select *, list_filter(list_transform(string_split(pred, '.'), lambda x: {S.strip('x')}), lambda x: x <> '') as l from turns),
+    m as (select conv_id, turn, gold, 'reply' as method, pred from p union all select conv_id, turn, gold, 'first', coalesce(l[1], '') from p union all select conv_id, turn, gold, 'last', coalesce(l[-1], '') from p),
+    t as (select conv_id || '-' || turn as rid, method, string_split({SQUAD('pred')}, ' ') as p, string_split({SQUAD('gold')}, ' ') as g, {STRICT('pred')} as sp, {STRICT('gold')} as sg from m),
+    f as (select rid, method, (sp = sg)::int as em, list_filter(p, lambda x: x <> '') as p, list_filter(g, lambda x: x <> '') as g from t),
+    tp as (select rid, method, w, count(*) as c from (select rid, method, unnest(p) as w from f) group by all), tg as (select rid, method, w, count(*) as c from (select rid, method, unnest(g) as w from f) group by all),
+    o as (select rid, method, sum(least(tp.c, tg.c)) as o from tp join tg using (rid, method, w) group by all),
+    scores as materialized (select rid, method, em::double * 100 as em, coalesce(2 * o / (len(p) + len(g)), 0)::double as f1 from f left join o using (rid, method)),
+    r as (select method, b, sum(w * em) / sum(w) as em, sum(w * f1) / sum(w) as f1 from ({_weights_sql('scores')}) group by method, b having sum(w) > 0),
+    i as (select method, list_sort(list(em)) as e, list_sort(list(f1)) as f from r group by method),
+    h as (select method, count(*) as n, avg(em) as em, avg(f1) as f1 from scores group by method)
+    select method, n, round(h.em, 6) as em_mean, round(e[greatest(0, floor(len(e) * 0.025)::int - 1) + 1], 6) as em_lo, round(e[greatest(0, floor(len(e) * 0.975)::int - 1) + 1], 6) as em_hi,
+    round(h.f1, 6) as f1_mean, round(f[greatest(0, floor(len(f) * 0.025)::int - 1) + 1], 6) as f1_lo, round(f[greatest(0, floor(len(f) * 0.975)::int - 1) + 1], 6) as f1_hi from h join i using (method)""",
+)
+def method_intervals(spark, d):
+    """Exact match (percent) and F1 of each method with resampled intervals; a turn weighs alike under every method."""
+    p, g = F.col("pred"), F.col("gold")
+    em = E.exact_match(p, F.array(g)).cast("double") * 100
+    t = method_turns(spark, d).select("conv_id", "turn", "method", em.alias("em"), E.token_f1(p, g).alias("f1"))
+    out = E.poisson_intervals(t, "method", F.concat_ws("-", "conv_id", "turn"), ["em", "f1"])
+    return out.select("method", "n", *[F.round(c, 6).alias(c) for c in out.columns[2:]])
+
+
 @query("paired_permutation", "A27,T20")
 def paired_permutation(spark, d):
     o = outcomes(spark, d).withColumn("diff", F.col("quality") - F.col("toxic"))

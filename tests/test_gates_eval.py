@@ -66,6 +66,57 @@ def test_bootstrap_and_permutation(spark):
     assert p["a"] < 0.01 and p["b"] == 1.0
 
 
+def test_poisson_intervals_against_a_plain_loop(spark):
+    """Every sum of every round, for real-valued scores, a null score, a null key and a group of one row."""
+    import hashlib
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "big", float(rng.normal(5, 2)), float(i % 2)) for i in range(900)] + [(i, "one" if i == 3 else None, 0.25, None if i == 3 else 1.0) for i in range(3, 6)]
+    df = spark.createDataFrame(rows, "rid bigint, k string, x double, y double").repartition(5)
+    got = {r["k"]: r for r in E.poisson_intervals(df, "k", F.col("rid"), ["x", "y"], n_boot=200).collect()}
+
+    def weight(rid, b):
+        h = hashlib.md5(str(rid).encode()).hexdigest()
+        x = int(h[:8], 16) ^ ((b * 2654435769 + 42) % 2**32)
+        for word in (int(h[8:16], 16), 0):
+            x = (x ^ (x >> 16)) * 2146121005 % 2**32
+            x = (x ^ (x >> 15)) * 2221713035 % 2**32
+            x = x ^ (x >> 16) ^ word
+        return sum(x >= c for c in E.poisson_cuts())
+
+    for k in ("big", "one", None):
+        mine = [(rid, x, y) for rid, kk, x, y in rows if kk == k]
+        assert got[k]["n"] == len(mine)
+        for name, at in (("x", 1), ("y", 2)):
+            have = [(r[0], r[at]) for r in mine if r[at] is not None]
+            if not have:
+                assert got[k][f"{name}_mean"] is None and got[k][f"{name}_lo"] is None
+                continue
+            stats = []
+            for b in range(1, 201):
+                w = [weight(r, b) for r, _ in have]
+                if sum(w):
+                    stats.append(sum(a * v for a, (_, v) in zip(w, have)) / sum(w))
+            stats.sort()
+            assert got[k][f"{name}_mean"] == pytest.approx(np.mean([v for _, v in have]))
+            assert got[k][f"{name}_lo"] == pytest.approx(stats[max(0, int(len(stats) * 0.025) - 1)])
+            assert got[k][f"{name}_hi"] == pytest.approx(stats[max(0, int(len(stats) * 0.975) - 1)])
+    half = (got["big"]["x_hi"] - got["big"]["x_lo"]) / 2
+    assert 0.7 < half / (1.96 * 2 / 30) < 1.3
+
+
+def test_poisson_weights_are_poisson():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**32, (2, 2000)).astype(np.uint64)
+    w = E.poisson_weights(words[0], words[1], np.arange(1, 201, dtype=np.uint64), 42)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.08 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.25
+
+
 def test_gate_table(one):
     z, n, t, f = F.lit(0), F.lit(1), F.lit(True), F.lit(False)
     g = lambda style, mh, ms, al, ss, rs, rsoft, rhard: one(G.gate_decision(F.lit(style), mh, ms, al, ss, rs, rsoft, rhard))
