@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,44 +128,90 @@ def near_pairs(
     return found.distinct()
 
 
-def greedy_keep(pairs: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def _star_labels(edges: DataFrame) -> DataFrame:
+    """``(id, comp)``: smallest id of the connected component, for every id of ``edges(a, b)``.
+
+    Large-star and small-star steps in turn: every id moves its neighbours to its smallest one, so the depth of a
+    component halves about every step. A hub is a partial minimum matched back, never a collected group.
+    """
+    def step(links: DataFrame, large: bool) -> DataFrame:
+        # links(v, u) with u < v
+        if large:
+            both = links.select("v", "u").unionByName(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
+            least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+            moved = both.where("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
+        else:
+            least = links.groupBy("v").agg(F.min("u").alias("m"))
+            moved = links.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).unionByName(least.select("v", F.col("m").alias("u")))
+        return moved.where("u < v").distinct()
+
+    links, seen = edges.select(F.col("b").alias("v"), F.col("a").alias("u")), None
+    while True:
+        links = cut_lineage(step(step(links, True), False))
+        mark = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if mark == seen:
+            break
+        seen = mark
+    return links.select(F.col("v").alias("id"), F.col("u").alias("comp")).unionByName(links.select(F.col("u").alias("id"), F.col("u").alias("comp")).distinct())
+
+
+def _settle(edges: DataFrame, bins: int) -> DataFrame:
+    """Dropped ids of whole components ``edges(a, b, comp)``, several of them in a task, in order of the ids."""
+
+    def walk(pdf):
+        import pandas as pd
+
+        gone: set = set()
+        pdf = pdf.sort_values("b", kind="stable")
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            if a not in gone:  # every verdict below b has fallen, as a < b
+                gone.add(b)
+        return pd.DataFrame({"id": sorted(gone)}, dtype="int64" if not gone else None)
+
+    binned = edges.withColumn("bin", F.pmod(F.xxhash64("comp"), F.lit(bins)))
+    return binned.groupBy("bin").applyInPandas(walk, f"id {edges.schema['b'].dataType.simpleString()}")
+
+
+def greedy_keep(pairs: DataFrame, task_edges: int = 200_000, rounds: int = 2) -> DataFrame:
     """Ids dropped by "drop if near any earlier kept id", from ``(a, b)`` with ``a < b``.
 
-    Each round settles every id whose earlier neighbours are settled. Lineage is cut
-    in the checkpoint folder; the loop ends when no id is open.
+    A round keeps every id without an open earlier neighbour, drops the neighbours of these and takes both out; most
+    groups end there. What is left (long chains) is split into connected components: those of up to ``task_edges`` pairs
+    are settled whole, many in one task; larger ones go on in rounds. There is no limit on rounds and every round settles at
+    least the smallest open id of each component. All state is in written tables.
     """
     edges = cut_lineage(pairs.select("a", "b"))
-    state = cut_lineage(
-        edges.select(F.col("b").alias("id")).distinct().withColumn("status", F.lit("open"))
-    )
-    for _ in range(max_rounds):
-        # Ids that are never a ``b`` have no earlier neighbour: they are kept.
-        earlier = edges.join(state.withColumnRenamed("id", "a"), "a", "left").select(
-            F.col("b").alias("id"), F.coalesce("status", F.lit("kept")).alias("e")
-        )
-        verdict = earlier.groupBy("id").agg(
-            F.max((F.col("e") == "kept").cast("int")).alias("near_kept"),
-            F.max((F.col("e") == "open").cast("int")).alias("near_open"),
-        )
-        state = cut_lineage(
-            state.join(verdict, "id").select(
-                "id",
-                F.when(F.col("status") != "open", F.col("status"))
-                .when(F.col("near_kept") == 1, "dropped")
-                .when(F.col("near_open") == 0, "kept")
-                .otherwise("open")
-                .alias("status"),
+    parts = [edges.select(F.col("b").alias("id")).limit(0)]
+
+    def drop(ids: DataFrame) -> DataFrame:
+        parts.append(cut_lineage(ids))
+        if len(parts) > 16:
+            parts[:] = [cut_lineage(reduce(DataFrame.unionByName, parts[:-1])), parts[-1]]
+        return parts[-1]
+
+    while not edges.isEmpty():
+        for _ in range(rounds):
+            heads = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")), "a", "left_anti")
+            gone = drop(edges.join(heads, "a", "left_semi").select(F.col("b").alias("id")).distinct())
+            edges = cut_lineage(
+                edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b")
             )
-        )
-        if state.where("status = 'open'").isEmpty():
-            return state.where("status = 'dropped'").select("id")
-    raise RuntimeError("near-dedupe did not settle")
+            if edges.isEmpty():
+                return reduce(DataFrame.unionByName, parts)
+        labelled = cut_lineage(edges.join(_star_labels(edges).withColumnRenamed("id", "a"), "a"))
+        sizes = cut_lineage(labelled.groupBy("comp").agg(F.count(F.lit(1)).alias("m")))
+        small = sizes.where(F.col("m") <= task_edges)
+        total = small.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+        if total:
+            drop(_settle(labelled.join(small, "comp", "left_semi"), int(-(-total // task_edges))))
+        edges = cut_lineage(labelled.join(sizes.where(F.col("m") > task_edges), "comp", "left_semi").select("a", "b"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def near_dedupe(fps: DataFrame, threshold: int = 3, **kw) -> DataFrame:
     """A01 then A02 over ``(ord, fp hex)``: every row with ``status`` kept / exact_dup / near_dup."""
     reps = fps.groupBy("fp").agg(F.min("ord").alias("ord"))
-    reps = reps.select("ord", hex_to_bigint(F.col("fp")).alias("fp")).persist(StorageLevel.MEMORY_AND_DISK)
+    reps = cut_lineage(reps.select("ord", hex_to_bigint(F.col("fp")).alias("fp")))
     dropped = greedy_keep(near_pairs(reps, threshold, **kw)).select(
         F.col("id").alias("ord"), F.lit("near_dup").alias("verdict")
     )

@@ -242,7 +242,17 @@ def near_dup_pairs(spark, d):
     return D.near_pairs(reps.select("ord", T.hex_to_bigint(F.col("fp")).alias("fp")))
 
 
-@query("doc_near_dedupe", "A02,A03,T06")
+@query(
+    "doc_near_dedupe", "A02,A03,T06",
+    f"""with recursive s as materialized ({SIMHASH}), r as materialized (select fp, min(doc_id) as ord, ('0x' || fp)::ubigint as v from s group by fp),
+    p as materialized (select a.ord as a, b.ord as b from r a join r b on a.ord < b.ord where bit_count(xor(a.v, b.v)) <= 3),
+    e as materialized (select b, list(a) as near, row_number() over (order by b) as i from p group by b),
+    g as (select 0::bigint as i, []::bigint[] as gone union all
+      select e.i, case when len(list_filter(e.near, lambda x: not list_contains(g.gone, x))) > 0 then list_append(g.gone, e.b) else g.gone end from g join e on e.i = g.i + 1),
+    dropped as (select unnest(arg_max(gone, i)) as ord from g)
+    select s.doc_id, s.fp, case when r.ord <> s.doc_id then 'exact_dup' when d.ord is not null then 'near_dup' else 'kept' end as status
+    from s join r using (fp) left join dropped d on d.ord = s.doc_id""",
+)
 def doc_near_dedupe(spark, d):
     out = D.near_dedupe(doc_fps(spark, d).withColumnRenamed("doc_id", "ord"))
     return out.select(F.col("ord").alias("doc_id"), "fp", "status")

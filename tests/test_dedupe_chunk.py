@@ -54,6 +54,42 @@ def test_order_decides_chains(spark):
         assert {r["ord"] for r in D.near_dedupe(fps).where("status = 'kept'").collect()} == want
 
 
+def greedy_py(pairs):
+    gone = set()
+    for a, b in sorted(pairs, key=lambda p: p[1]):
+        if a not in gone:
+            gone.add(b)
+    return gone
+
+
+@pytest.mark.parametrize("task_edges", [200_000, 40, 3])
+def test_greedy_over_small_and_giant_components(spark, task_edges):
+    """Hubs, cliques, short chains and a tangle: whole components in tasks and giant ones in rounds agree."""
+    rng = random.Random(4)
+    pairs = {(0, b) for b in range(1, 60)} | {(a, b) for a in range(100, 110) for b in range(a + 1, 110)}
+    pairs |= {(a, a + 1) for a in range(200, 209)}
+    ids = rng.sample(range(1000, 5000), 60)
+    pairs |= {tuple(sorted(rng.sample(ids, 2))) for _ in range(90)}
+    df = spark.createDataFrame(sorted(pairs), "a bigint, b bigint").repartition(4)
+    got = [r["id"] for r in D.greedy_keep(df, task_edges=task_edges).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy_py(pairs)
+    assert D.greedy_keep(df.limit(0)).count() == 0
+
+
+def test_long_chain_settles_in_few_jobs(spark):
+    n = 5000
+    df = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    sc = spark.sparkContext
+    sc.setJobGroup("long chain", "greedy keep")
+    try:
+        got = {r["id"] for r in D.greedy_keep(df).collect()}
+        jobs = len(sc.statusTracker().getJobIdsForGroup("long chain"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == set(range(1, n, 2))
+    assert jobs < 400
+
+
 def test_exact_dedupe_keeps_first_with_a_hot_key(spark):
     df = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
     out = D.first_per_key(df, "k", "id")
