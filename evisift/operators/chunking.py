@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rows import explode_rows
-from ..functions.text import bind, squash
+from ..functions.text import bind, content_key, detect_lang_two_way, squash, strip
 
 
 def words(c: Column) -> Column:
@@ -72,6 +72,20 @@ def explode_windows(df: DataFrame, wins: Column, keys: list[str], prefix: str) -
     )
 
 
+def page_chunks(pages: DataFrame, min_chars: int = 50, target: int = 350, overlap_ratio: float = 0.15) -> DataFrame:
+    """Chunks of ``pages(doc_id, page_no, text)``, never across pages; pages under ``min_chars`` stripped characters have none.
+
+    ``chunk_id`` is ``{doc}_p{page}_c{chunk}`` with chunks numbered from 0 within the page. Null texts have no chunk.
+    """
+    rows = pages.select("doc_id", "page_no", strip(F.col("text")).alias("_t")).where(F.length("_t") >= min_chars)
+    cut = explode_windows(rows, word_chunks(F.col("_t"), target, overlap_ratio), ["doc_id", "page_no"], "chunk")
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("_p"), F.col("page_no").cast("string"), F.lit("_c"), F.col("chunk_no").cast("string"))
+    return cut.select(
+        "doc_id", name.alias("chunk_id"), "page_no", "chunk_no", "text",
+        detect_lang_two_way(F.col("text")).alias("lang"), content_key(F.col("text")).alias("dedupe_hash"),
+    )
+
+
 def two_level_blocks(df: DataFrame, tokens: Column, keys: list[str], chunk: int, block: int) -> DataFrame:
     """Non-overlapping chunks cut into non-overlapping blocks; ids carry offsets."""
     chunks = explode_rows(df, keys, windows(tokens, chunk, 0), "chunk_no", "c")

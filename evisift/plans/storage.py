@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import table_marker_ids
-from ..operators import graph as G
+from ..operators import chunking as K, graph as G
 from ..registry import query
 from ..session import spread
 from ..sources import bank as B, jsonl as J, pages as P
@@ -35,6 +35,28 @@ def html_text(spark, d):
     return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n_chars"))
 
 
+@query(
+    "page_chunks", "S06,S07,K06,C06,C09",
+    f"""with p as (select page_id, coalesce(regexp_extract(url, '//([^/]+)/', 1), '') || '-' || (page_id // 64) as doc_id, {HTML_TEXT} as t from pages),
+    n as (select doc_id, row_number() over (partition by doc_id order by page_id)::int as page_no, {S.strip('t')} as t from p),
+    w as (select doc_id, page_no, {S.words('t')} as w from n where length(t) >= 50),
+    s as (select *, unnest(range(0, len(w), 297)) as s from w),
+    c as (select doc_id, page_no, (s // 297)::int as chunk_no, array_to_string(w[s + 1:s + 350], ' ') as t from s where s = 0 or s - 297 + 350 < len(w)),
+    h as (select *, sha256(t) as h from c)
+    select doc_id, doc_id || '_p' || page_no || '_c' || chunk_no as chunk_id, page_no, chunk_no, case when regexp_matches(t, '[{S.CJK}]') then 'zh' else 'en' end as lang,
+    concat(h[15:16],h[13:14],h[11:12],h[9:10],h[7:8],h[5:6],h[3:4],h[1:2]) as dedupe_hash, length(t) as n_chars from h""",
+)
+def page_chunks(spark, d):
+    """Pages of a host (64 ids a file) written as document files, read back and chunked page by page."""
+    host = F.coalesce(F.regexp_extract("url", "//([^/]+)/", 1), F.lit(""))
+    doc = F.concat(host, F.lit("-"), F.expr("page_id div 64").cast("string"))
+    path = B.scratch_path(spark, "files")
+    P.write_page_files(pages(spark, d).withColumn("doc", doc), "doc", "page_id", "html", path)
+    files = P.read_page_files(spark, path, doc_id=F.regexp_extract("path", "/doc=([^/]+)/", 1)).where("error is null")
+    out = K.page_chunks(files.withColumn("text", P.html_text(F.col("text"))))
+    return out.select("doc_id", "chunk_id", "page_no", "chunk_no", "lang", "dedupe_hash", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("html_tables", "S09,S10,K07")
 def html_tables(spark, d):
     """Navigation lists are read as two-column tables next to real ones."""

@@ -1,4 +1,4 @@
-"""Page documents: discovery, text, scanned-document test, tables."""
+"""Page documents: discovery, text, scanned-document test, tables."""
 
 from __future__ import annotations
 
@@ -8,11 +8,43 @@ from pyspark.sql import functions as F
 from ..functions.text import squash, strip
 
 
+#: Between the pages of a written document; a form feed inside a page becomes a space.
+PAGE_BREAK = "\f"
+
+
 def scan_files(spark: SparkSession, path: str, pattern: str = "*.pdf") -> DataFrame:
-    """Recursive file scan; ``doc_id`` is the file stem, an empty folder raises on read."""
+    """Recursive scan of whole files; ``doc_id`` is the file stem, no matching file raises.
+
+    Rows are not sorted: the contents would be shuffled for it. ``path`` gives the order where one is wanted.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    if df.select("path").isEmpty():
+        raise FileNotFoundError(f"no {pattern} under {path}")
     name = F.element_at(F.split("path", "/"), -1)
-    return df.withColumn("doc_id", F.regexp_replace(name, r"\.[^.]+$", "")).orderBy("path")
+    return df.withColumn("doc_id", F.regexp_replace(name, r"\.[^.]+$", ""))
+
+
+def write_page_files(pages: DataFrame, doc: str, order: str, text: str, path: str) -> None:
+    """One file for each document in ``path/doc=<id>/``, its pages in order, parted by form feeds. Null text is an empty page."""
+    body = F.translate(F.coalesce(F.col(text), F.lit("")), PAGE_BREAK, " ").alias("value")
+    rows = pages.select(F.col(doc).alias("doc"), F.col(order).alias("_no"), body).repartition("doc").sortWithinPartitions("doc", "_no")
+    rows.select("doc", "value").write.partitionBy("doc").option("lineSep", PAGE_BREAK).text(path)
+
+
+def read_page_files(spark: SparkSession, path: str, pattern: str = "*.txt", doc_id: Column | None = None) -> DataFrame:
+    """``(doc_id, path, page_no, text, error)``, one row a page, numbered from 1.
+
+    A file that cannot be read as text is one row with its ``error`` and neither page nor text; it stops nothing else.
+    Files without a byte are left out by Spark's own listing.
+    ``doc_id`` may be derived from ``path`` (default: the file stem).
+    """
+    files = scan_files(spark, path, pattern)
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    files = files.select((F.col("doc_id") if doc_id is None else doc_id).alias("doc_id"), "path", text.alias("_t"))
+    error = F.when(F.col("_t").isNull(), "not UTF-8")
+    body = F.when(error.isNull(), F.split(F.regexp_replace("_t", PAGE_BREAK + r"\z", ""), PAGE_BREAK))
+    out = files.select("doc_id", "path", error.alias("error"), F.posexplode_outer(body).alias("_p", "text"))
+    return out.select("doc_id", "path", (F.col("_p") + 1).alias("page_no"), "text", "error")
 
 
 # Entities that are unescaped, the ampersand last.

@@ -114,3 +114,36 @@ def test_resume(spark):
     assert [r["id"] for r in L.resume(ex, ex.where("ord < 2").select("id")).orderBy("ord").collect()] == ["q2", "q3", "q4"]
     with pytest.raises(Exception, match="does not match"):
         L.resume(ex, ex.where("ord = 3").select("id")).collect()
+
+
+def test_page_files_with_failures_as_rows(spark, tmp_path):
+    """Stem ids, nested folders, pages by form feed, a file that is no text, one without a byte (not listed), no file at all."""
+    from evisift.operators import chunking as K
+    from evisift.sources import pages as P
+
+    long = "word " * 400
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "one.v2.txt").write_bytes(f"{long}\ftoo short\f  {'x' * 49}  \f{'y' * 50}\f".encode())
+    (tmp_path / "two.txt").write_bytes(b"\xff\xfe\x00bad")
+    (tmp_path / "none.txt").write_bytes(b"")
+    (tmp_path / "other.md").write_text(long)
+    rows = P.read_page_files(spark, str(tmp_path))
+    got = sorted((r["doc_id"], r["page_no"], r["error"]) for r in rows.collect() if r["error"])
+    assert got == [("two", None, "not UTF-8")]
+    assert [r["page_no"] for r in rows.where("doc_id = 'one.v2'").orderBy("page_no").collect()] == [1, 2, 3, 4]
+    chunks = {r["chunk_id"]: r["text"] for r in K.page_chunks(rows).collect()}
+    assert sorted(chunks) == ["one.v2_p1_c0", "one.v2_p1_c1", "one.v2_p4_c0"]
+    assert len(chunks["one.v2_p1_c0"].split()) == 350 and len(chunks["one.v2_p1_c1"].split()) == 400 - 297
+    with pytest.raises(FileNotFoundError):
+        P.scan_files(spark, str(tmp_path), "*.pdf")
+
+
+def test_page_files_keep_order_and_odd_pages(spark, tmp_path):
+    from evisift.sources import pages as P
+
+    rows = [("a", 3, "third"), ("a", 1, "first\nline\fsame page"), ("a", 2, None), ("b", 1, "only")]
+    path = str(tmp_path / "out")
+    P.write_page_files(spark.createDataFrame(rows, "doc string, no int, t string").repartition(3), "doc", "no", "t", path)
+    back = P.read_page_files(spark, path, doc_id=F.regexp_extract("path", "/doc=([^/]+)/", 1))
+    got = sorted((r["doc_id"], r["page_no"], r["text"]) for r in back.collect())
+    assert got == [("a", 1, "first\nline same page"), ("a", 2, ""), ("a", 3, "third"), ("b", 1, "only")]
