@@ -173,7 +173,7 @@ class InnerProduct:
 
     def __init__(self, qids: list, items: list[list[float]]):
         self.qids = qids
-        self.mat = np.array(items, dtype=np.float64).reshape(len(qids), -1)
+        self.mat = np.array(items, dtype=np.float64).reshape(len(qids), -1) if len(qids) else np.zeros((0, 0))
 
     def bars(self, min_score: float) -> np.ndarray:
         return np.full(len(self.qids), min_score, dtype=np.float64)
