@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import explode_rows
 from ..functions.text import bind, squash, strip
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 
 
 #: Characters of the grams that anchor a term, and the terms of one anchor from which on a second gram tells them apart.
@@ -148,7 +148,7 @@ def evidence_for_slots(evidence: DataFrame, slots: DataFrame) -> DataFrame:
     some = slots.where(F.size("wanted") > 0).select("slot", F.explode(F.transform("wanted", lambda x: F.lower(strip(x)))).alias("t"))
     typed = some.join(ev, "t").select("slot", "evidence_id").distinct()
     every = slots.where(F.size("wanted") == 0).select("slot", F.lit(1).alias("_a"))
-    return typed.unionByName(evidence.select("evidence_id", F.lit(1).alias("_a")).join(F.broadcast(every), "_a").select("slot", "evidence_id"))
+    return typed.unionByName(evidence.select("evidence_id", F.lit(1).alias("_a")).join(broadcast_if_small(cut_lineage(every)), "_a").select("slot", "evidence_id"))
 
 
 def unconsumed(evidence: DataFrame, consumed: DataFrame) -> DataFrame:

@@ -68,6 +68,9 @@ def chunk_filter(spark, d):
     return out.select("doc_id", "lang", "quality")
 
 
+_PARAS = f"""list_filter(list_transform(string_split_regex(text, {S.sql_str(f'{chr(92)}n[{S.WS}]*{chr(92)}n')}), lambda p: {S.strip('p')}), lambda p: length(p) >= 30)"""
+
+
 @query(
     "scalar_signals", "C12,C13,C14,C15,C16,C17,C18,S10",
     rf"""select doc_id, nullif(regexp_extract(text, '(?:^|[^{S.WORD}])(19\d{{2}}|20\d{{2}})(?:[^{S.WORD}]|$)', 1), '') as year,
@@ -75,6 +78,8 @@ def chunk_filter(spark, d):
       when contains(text,'传染病') then '传染病' when contains(text,'流感') then '流感' when contains(lower(text),'covid') then 'COVID' when contains(lower(text),'sars') then 'SARS' end as disease,
     case when contains(h,'abstract') then 'abstract' when contains(h,'introduction') then 'introduction' when contains(h,'method') then 'methods'
       when contains(h,'result') then 'results' when contains(h,'conclusion') then 'conclusion' else 'paragraph' end as para_type,
+    array_to_string(list_transform(list_transform({_PARAS}, lambda p: substr(lower(p), 1, 200)), lambda h: case when contains(h,'abstract') then 'abstract' when contains(h,'introduction') then 'introduction'
+      when contains(h,'method') then 'methods' when contains(h,'result') then 'results' when contains(h,'conclusion') then 'conclusion' else 'paragraph' end), ',') as para_types,
     len(regexp_extract_all(t, '[A-Za-z0-9]+|[{S.CJK}]', 0))::int as approx_tokens,
     round(length(regexp_replace(t, '[\x20-\x7e{S.CJK}\n\r\t]', '', 'g')) / greatest(1, length(t)), 6) as nonprintable,
     (regexp_matches(text, '(?i)<\s*!\s*-\s*-\s*table\s*:\s*\d+\s*-\s*-\s*>') or length(text) - length(replace(text, '|', '')) >= 8) as is_table,
@@ -89,6 +94,7 @@ def scalar_signals(spark, d):
         T.extract_year(c).alias("year"),
         T.disease_tag(c).alias("disease"),
         T.paragraph_type(c).alias("para_type"),
+        F.array_join(F.transform(T.paragraphs(c), T.paragraph_type), ",").alias("para_types"),
         T.approx_token_count(F.col("t")).alias("approx_tokens"),
         F.round(T.nonprintable_ratio(F.col("t")), 6).alias("nonprintable"),
         T.is_table_text(c).alias("is_table"),
@@ -118,9 +124,6 @@ def content_keys(spark, d):
     )
 
 
-_PARAS = f"""list_filter(list_transform(string_split_regex(text, {S.sql_str(f'{chr(92)}n[{S.WS}]*{chr(92)}n')}), lambda p: {S.strip('p')}), lambda p: length(p) >= 30)"""
-
-
 @query(
     "paragraphs", "C04",
     f"""select doc_id, (i - 1)::int as para_no, md5(ps[i]) as para_md5, length(ps[i])::int as para_len

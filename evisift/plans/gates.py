@@ -471,12 +471,16 @@ def doc_listing(spark, d):
 
 @query(
     "supporting_sentences", "J22",
-    f"""select conv_id, turn, md5(ss[1]) as s_md5 from (select conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda p: {S.strip('p')}), lambda p: true) as ss from conversations) where ss[1] <> ''""",
+    f"""select conv_id, turn, md5(unnest(list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda p: {S.strip('p')}), lambda p: p <> '')))) as s_md5 from conversations""",
 )
 def supporting_sentences(spark, d):
-    c = table(spark, d, "conversations")
-    ss = J.supporting_sentences(F.array("role", "role"), F.array(F.lit(0), F.lit(-1)), F.array("role"), F.array(F.split("text", "\n")))
-    return c.select("conv_id", "turn", F.explode(ss).alias("s")).select("conv_id", "turn", F.md5("s").alias("s_md5"))
+    """Every line of a turn is pointed at by its index; one index lies before the first."""
+    def all_lines(lines):
+        n = F.size(lines)
+        return J.supporting_sentences(F.array_repeat("role", n + 1), F.sequence(F.lit(-1), n - 1), F.array("role"), F.array(lines))
+
+    c = explode_rows(table(spark, d, "conversations"), ["conv_id", "turn"], T.bind(F.split("text", "\n"), all_lines), "s")
+    return c.select("conv_id", "turn", F.md5("s").alias("s_md5"))
 
 
 @query(
