@@ -639,6 +639,17 @@ def enumeration_tail(c: Column) -> Column:
     return symptom_items(F.filter(parts, lambda p: F.length(p).between(2, 60)))
 
 
+def symptom_table(df: DataFrame, key: str, text: str) -> DataFrame:
+    """X20, X21 by row: verdict with its items, number of sentences, and the symptoms enumerated in any sentence (repeats over sentences stay)."""
+    from ..functions.sentences import split_ascii
+
+    c = F.col(text)
+    each = bind(split_ascii(c), lambda s: F.struct(F.size(s).alias("n"), F.flatten(F.transform(s, enumeration_tail)).alias("tail")))
+    like = list_like_features(c)["list_like_items"]
+    r = df.select(key, bind(like, lambda a: symptom_filter(c, a, F.size(a) > 0)).alias("r"), each.alias("e"))
+    return r.select(key, "r.reason", "r.items", F.col("e.n").alias("n_sentences"), F.col("e.tail").alias("tail"))
+
+
 # --- Quotes, abbreviations in answers, nested annotations (X22, X24, X26) -------------------
 def valid_quote(quote: Column, source: Column, squashed: Column | None = None) -> Column:
     """Sentence-like, 20-800 characters, present verbatim or up to whitespace.

@@ -320,30 +320,61 @@ def quote_validation(spark, d):
     return r.select("doc_id", "r.valid", "r.n").where("n > 0")
 
 
-# Given columns stand in for prose about patients: one wording for each verdict, chosen by id, the source behind it.
+# The invented documents hold no prose about patients: one wording for each verdict, chosen by id, stands before the whole text.
 _SYMPTOM_TEXTS = [
     "Symptoms include fever, rash and bleeding.", "See table 3. Symptoms include fever, rash.", "Nothing listed.", "The drug presents with alpha, beta.",
     "Symptoms include alpha, beta.", "Patients present with fatigue; vomiting.",
 ]
+_SPLIT_F = split_sql("text", _F)
+
+
+def _sql_any(e: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains(lower({e}), '{w}')" for w in words) + ")"
+
+
+def _sql_symptom_items(parts: str) -> str:
+    cue = f"{_sql_any('x', X.SYMPTOM_CUES + X.SYMPTOM_TERMS)} or regexp_matches(lower(x), {S.sql_str(X.PATIENT_PATTERNS)})"
+    return f"list_filter(list_transform({parts}, lambda x: {S.strip('x')}), lambda x: x <> '' and ({cue}))"
+
+
+def _sql_conjunctions(e: str, to: str) -> str:
+    """Whole words and / or become ``to``; twice, as two of them may share a blank."""
+    for _ in range(2):
+        e = f"regexp_replace({e}, '(?i)(^|[^{S.WORD}])(?:and|or)([^{S.WORD}]|$)', '\\1{to}\\2', 'g')"
+    return e
+
+
+_FRAGMENTS = "list_concat(" + ", ".join(f"regexp_extract_all(text, {S.sql_str(rx)}, 2)" for rx in X.LIST_CUES) + ")"
+_LISTED = f"flatten(list_transform({_FRAGMENTS}, lambda f: string_split_regex({_sql_conjunctions(S.squash('f'), ',')}, '[，,、;；]+')))"
+_LISTED = f"list_distinct(list_filter(list_transform({_LISTED}, lambda x: {S.squash('x')}), lambda x: length(x) between 2 and 64))"
+_LEAD_WORDS = "with|including|include|present with|characterized by"
+_LEAD = S.strip(f"regexp_replace({S.strip('s')}, '(?i)^(?:.*?[^{S.WORD}\\n])??(?:{_LEAD_WORDS})([^{S.WORD}]|$)', '\\1')")
+_TAIL = f"list_filter(list_transform(list_filter(string_split_regex({_sql_conjunctions(_LEAD, ',')}, '[;,]'), lambda x: {S.strip('x')} <> ''), lambda x: trim(x, ' .;:,')), lambda x: length(x) between 2 and 60)"
+_WINDOW = "array_to_string(ss[greatest(i - 1, 1):i + 1], ' ')"
 
 
 @query(
     "symptom_lists", "X20,X21,W09",
-    """with r as (select ['ok', 'excluded:table', 'missing_structure', 'missing_symptom_cue', 'list_items_not_symptom', 'ok'][doc_id % 6 + 1] as reason,
-      [['fever', 'bleeding'], [], [], [], [], ['fatigue']][doc_id % 6 + 1] as items, [2, 1, 0, 0, 0, 2][doc_id % 6 + 1] as tail from documents)
-    select reason, count(*) as n, sum(len(items))::bigint as n_items, array_to_string(list_sort(list_distinct(flatten(list(items)))), ',') as items, sum(tail)::bigint as tail_items from r group by reason""",
+    f"""with d as (select doc_id, {_SYMPTOM_TEXTS}[doc_id % 6 + 1] || ' ' || text as text from documents),
+    p as (select doc_id, lower(text) as low, {_SPLIT_F} as ss, {_LISTED} as listed from d),
+    w as (select doc_id, low, listed, len(ss) as n_sentences, list_distinct({_sql_symptom_items('listed')}) as kept,
+      list_bool_or(list_transform(range(1, len(ss) + 1), lambda i: {_sql_any(_WINDOW, X.SYMPTOM_CUES)} or regexp_matches(lower({_WINDOW}), {S.sql_str(X.PATIENT_PATTERNS)}))) as cue,
+      list_sum(list_transform(ss, lambda s: len(list_distinct({_sql_symptom_items(_TAIL)})))) as tail from p),
+    r as (select *, case {" ".join(f"when contains(low, '{e}') then 'excluded:{e}'" for e in X.EXCLUDED)} when len(listed) = 0 then 'missing_structure'
+      when not cue then 'missing_symptom_cue' when len(kept) = 0 then 'list_items_not_symptom' else 'ok' end as reason from w)
+    select reason, count(*) as n, sum(n_sentences)::bigint as n_sentences, sum(case when reason = 'ok' then len(kept) else 0 end)::bigint as n_items,
+      array_to_string(list_sort(list_distinct(flatten(list(case when reason = 'ok' then kept else [] end)))), ',') as items, sum(tail)::bigint as tail_items from r group by reason""",
 )
 def symptom_lists(spark, d):
+    """Verdict and listed symptoms of every whole text; enumerations of each of its sentences."""
     texts = F.array(*[F.lit(t) for t in _SYMPTOM_TEXTS])
-    docs = documents(spark, d, "source").select("doc_id", F.concat_ws(" ", F.get(texts, (F.col("doc_id") % 6).cast("int")), "source").alias("text"))
-    c = F.col("text")
-    like = X.list_like_features(c)["list_like_items"]
-    r = docs.select("doc_id", X.symptom_filter(c, like, F.size(like) > 0).alias("r"), F.size(X.enumeration_tail(c)).alias("tail"))
-    # One partial count for each reason and item, not a list of a whole reason's items.
-    items = r.select("r.reason", F.explode("r.items").alias("item")).groupBy("reason", "item").agg(F.count(F.lit(1)).alias("k"))
-    shown = items.groupBy("reason").agg(F.sum("k").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items"))
-    counts = r.groupBy("r.reason").agg(F.count(F.lit(1)).alias("n"), F.sum("tail").alias("tail_items"))
-    return counts.join(shown, "reason", "left").select("reason", "n", F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items", F.lit("")).alias("items"), "tail_items")
+    docs = documents(spark, d).select("doc_id", F.concat_ws(" ", F.get(texts, (F.col("doc_id") % 6).cast("int")), "text").alias("text"))
+    r = X.symptom_table(docs, "doc_id", "text").select("reason", "n_sentences", F.size("tail").alias("tail"), F.posexplode_outer("items").alias("i", "item"))
+    # One partial count for each reason and item, not a list of a whole reason's items; a text counts at its first item (or none).
+    head = lambda v: F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, v).otherwise(0))
+    per = r.groupBy("reason", "item").agg(head(F.lit(1)).alias("n"), head(F.col("n_sentences")).alias("n_sentences"), F.count("item").alias("n_items"), head(F.col("tail")).alias("tail_items"))
+    items = F.array_join(F.array_sort(F.collect_list("item")), ",").alias("items")
+    return per.groupBy("reason").agg(*[F.sum(c).alias(c) for c in ("n", "n_sentences", "n_items", "tail_items")], items)
 
 
 _CLAIMS = split_sql("t", r"([.!?\x{3002}\x{ff01}\x{ff1f}])\s+|\n+")

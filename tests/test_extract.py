@@ -171,3 +171,17 @@ def test_sections_of_equal_paragraphs(spark):
     text = f"{p}\n\nMethods\n\n{p}\n\nResults\nof all\n\n{p}\n \n{p} And more."
     rows = Se.paragraph_sections(spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string"), "doc_id", "text", initial="intro").orderBy("para_no").collect()
     assert [r.section for r in rows] == ["intro", "methods", "results", "results"] and {r.doc_id for r in rows} == {1}
+
+
+def test_symptom_table_reads_whole_texts(spark):
+    """Cues, exclusions and enumerations far behind in a text count."""
+    pad = "Nothing of note here. " * 400
+    rows = [
+        (1, pad + "Symptoms include fever, rash and bleeding."), (2, pad + "Symptoms include fever. " + pad + "See table 3."), (3, pad), (4, pad + "The drug presents with alpha, beta."),
+        (5, pad + "Symptoms include alpha, beta."), (6, pad + "Patients present with fatigue; vomiting. " + pad + "Later with fever and fatigue, fever."), (7, ""), (8, None),
+    ]
+    got = {r.id: r for r in X.symptom_table(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()}
+    assert [got[i].reason for i in range(1, 8)] == ["ok", "excluded:table", "missing_structure", "missing_symptom_cue", "list_items_not_symptom", "ok", "missing_structure"]
+    assert got[1].items == ["fever", "bleeding"] and got[6].items == ["fatigue"] and got[2].items == []
+    assert got[1].n_sentences == 401 and got[1].tail == ["fever", "bleeding"] and got[6].tail == ["fatigue", "vomiting", "fever", "fatigue"]
+    assert got[8].items in ([], None)

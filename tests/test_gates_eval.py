@@ -218,7 +218,86 @@ def test_repeats_in_long_texts(spark):
     assert get([*own, own[0].upper()]) == own and get([own[0], near]) == [own[0]] and get([*own, near]) == [*own, near]
     assert get(None) == [] and get([]) == []
     many = " ".join(f"Sentence {i} has its own words about item {i * 7919}." for i in range(600))
-    assert get([many + " Sentence 3 has its own words about item 23757."])[0].count("item 23757.") == 1
+    twice = lambda i: get([many + f" Sentence {i} has its own words about item {i * 7919}."])[0].count(f"item {i * 7919}.")
+    assert twice(597) == 1 and twice(3) == 2, "only the last twelve kept sentences are remembered"
+
+
+def levenshtein_py(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(prev[j] + 1, row[-1] + 1, prev[j - 1] + (x != y)))
+    return row[-1]
+
+
+def key_py(t):
+    return re.sub(r"[ \t\f\v]+", " ", t.replace("\r\n", "\n").replace("\r", "\n")).strip(" ").lower().translate(str.maketrans("“”’‘", "\"\"''"))
+
+
+def near_py(a, b, share):
+    if a == b or min(len(a), len(b)) < 48:
+        return a == b
+    edits = int(max(len(a), len(b)) * (1 - share) + 1e-9)
+    return abs(len(a) - len(b)) <= edits and levenshtein_py(a, b) <= edits
+
+
+def share_py(t, p):
+    return 0.985 if len(t) <= 24 else 0.97 if len(t) <= 64 else 0.94 if len(t) > 140 and len(p) >= 240 else 0.96
+
+
+def sentences_py(p):
+    p = p.strip()
+    parts = re.findall(r"[^。！？!?.]+[。！？!?.]?", p)
+    if not re.search(r"[。！？!?.]", p):
+        return p
+    out, seen = [], []
+    for part in parts:
+        t = re.sub(r"[。！？!?.]$", "", part).strip()
+        if not t:
+            continue
+        if len(t) >= 6 and re.search("[A-Za-z0-9\u4e00-\u9fff]", t):
+            k = key_py(t)
+            if len(p) >= 240 and len(t) >= 12:
+                if any(near_py(k, v, share_py(t, p)) for v in seen[-12:]):
+                    continue
+            elif k in seen[-32:]:
+                continue
+            seen.append(k)
+        out.append(t + (part[-1] if part[-1] in "。！？!?." else ""))
+    return "".join(out)
+
+
+def paragraphs_py(ps):
+    """Plain loops over everything kept so far."""
+    kept = []
+    for p in ps:
+        k = key_py(p)
+        if k not in [v for v, _ in kept] and not any(near_py(k, v, 0.97) for v, _ in kept[-5:]):
+            kept.append((k, p))
+    return [sentences_py(p) for _, p in kept]
+
+
+def test_repeats_match_plain_loops(spark):
+    """Windows count what was kept: a repeat of a dropped near copy may stay once the window has moved on."""
+    rng = __import__("random").Random(5)
+    words = ["fever", "rash", "tick", "virus", "Signs", "“case”", "of", "blood", "a1"]
+    phrase = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = []
+    for _ in range(16):
+        pool = [phrase(rng.choice([1, 2, 9, 14])) for _ in range(rng.choice([2, 4, 9]))]
+        pool += [t + rng.choice(["s", "!x", ""]) for t in pool]
+        one = lambda: "".join(rng.choice(pool) + rng.choice([". ", "! ", "。", ".. "]) for _ in range(rng.choice([1, 2, 8])))
+        paras = [one() for _ in range(rng.choice([1, 3, 8]))] + [rng.choice(pool) for _ in range(rng.choice([0, 5, 70]))]
+        rng.shuffle(paras)
+        rows.append((paras,))
+    base = "word " * 20
+    late = [base + "a", base + "b", *[f"{i} other" for i in range(6)], base + "b", base + "b"]
+    rows += [(late,), ([],), ([""],)]
+    assert paragraphs_py(late) == [base.strip() + " a", *[f"{i} other" for i in range(6)], base.strip() + " b"]
+    got = spark.createDataFrame(rows, "ps array<string>").coalesce(1).select("ps", H.dedupe_paragraphs("ps").alias("v")).collect()
+    for r in got:
+        assert r.v == paragraphs_py(r.ps)
 
 
 def test_paragraph_and_sentence_repeats(spark):
