@@ -3,7 +3,8 @@
 Validated values (card numbers by check digit, IBANs by remainder, social security numbers by their ranges, IPv4
 addresses by octets, calendar dates, telephone numbers, e-mail local parts, quoted hexadecimal secrets) are read as
 one integer of a finite domain, permuted by a keyed Feistel network and written back in the same format; check digits
-are computed anew. Equal values get equal pseudonyms in every document. Numbers that fail validation stay as they are.
+are computed anew. Equal values get equal pseudonyms in every document and layout. Numbers that fail validation stay as they are,
+and so do dates with years of two digits or names of months, and telephone numbers without separators or +.
 """
 
 from __future__ import annotations
@@ -168,45 +169,57 @@ def _ipv4(s: str, key: bytes, undo: bool) -> str | None:
     return ".".join(map(str, (net.undo(x) if undo else net.apply(x)).to_bytes(4, "big")))
 
 
+# Country calling codes of one and two digits; all others have three.
+SHORT_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def calling_code(digits: str) -> str:
+    """The country calling code that ``digits`` of an international number begin with (codes are free of prefixes)."""
+    return next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3])
+
+
 def _phone(s: str, key: bytes, undo: bool) -> str | None:
-    """Country code (the digits after + up to the first separator) and layout stay."""
-    digits = re.sub(r"\D", "", s)
+    """The calling code, a trunk zero in brackets and the layout stay; the national number is permuted, alike in every layout.
+
+    A number of three, three and four digits without + is one of calling code 1.
+    """
+    shown = s.replace("(0)", "()")
+    digits = re.sub(r"\D", "", shown)
     if not 8 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+(\d{1,3})(?=\D)|\+(?=\d)", s)
-    keep = len(code[1] or "") if code else 0
-    return _refill(s, str.isdigit, digits[:keep] + _permute_chars(digits[keep:], key, f"phone{digits[:keep]}", undo))
+    code = calling_code(digits) if s[0] == "+" else "1"
+    keep = len(code) if s[0] == "+" else 0
+    new = _refill(shown, str.isdigit, digits[:keep] + _permute_chars(digits[keep:], key, f"phone{code}", undo))
+    return new.replace("()", "(0)")
 
 
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
-#: Dates that only day first can be meant when the year is last.
-LATE_DAYS = [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
+
+
+@lru_cache(maxsize=2)
+def _days(late: bool) -> list[int]:
+    """Days of the domain whose day of the month is above 12 (``late``), or not: only the former can be told day first by a slash or hyphen."""
+    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if (datetime.date.fromordinal(d).day > 12) == late]
 
 
 def _date(s: str, key: bytes, undo: bool) -> str | None:
     """Years first, or day first with dots, or month first with slashes or hyphens, and day first where that is no date.
 
-    Dates of the last kind are permuted among themselves, so that their pseudonyms are read day first again.
+    One date gets one pseudonym in every layout. Days of the month above 12 are permuted among themselves and so are the others, so
+    that a pseudonym is read in the order its value was read in.
     """
     parts = re.split(r"[-/.]", s)
-    order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0) if "." in s else (2, 0, 1)
-    swapped = order == (2, 0, 1) and int(parts[0]) > 12
-    if swapped:
-        order = (2, 1, 0)
+    order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0) if "." in s or int(parts[0]) > 12 else (2, 0, 1)
     try:
-        day = datetime.date(*(int(parts[i]) for i in order)).toordinal()
+        date = datetime.date(*(int(parts[i]) for i in order))
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    if not FIRST_DAY <= date.toordinal() <= LAST_DAY:
         return None
-    if swapped:
-        net = Feistel(len(LATE_DAYS), key, "late date")
-        at = bisect_left(LATE_DAYS, day)
-        day = LATE_DAYS[net.undo(at) if undo else net.apply(at)]
-    else:
-        net = Feistel(LAST_DAY - FIRST_DAY + 1, key, "date")
-        day = FIRST_DAY + (net.undo(day - FIRST_DAY) if undo else net.apply(day - FIRST_DAY))
-    new = datetime.date.fromordinal(day)
+    days = _days(date.day > 12)
+    at = bisect_left(days, date.toordinal())
+    net = Feistel(len(days), key, "late date" if date.day > 12 else "early date")
+    new = datetime.date.fromordinal(days[net.undo(at) if undo else net.apply(at)])
     fields = {order[0]: f"{new.year:04d}", order[1]: f"{new.month:02d}", order[2]: f"{new.day:02d}"}
     return re.sub(r"\d+", lambda m, it=iter(range(3)): fields[next(it)], s)
 
@@ -230,10 +243,10 @@ KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("email", r"(?<![\w.%+-])[\w.%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])", _email),
     ("secret", r"(?:(?<=[\"'=:])|(?<=[=:] ))[0-9A-Fa-f]{32,128}(?![A-Za-z0-9])", _secret),
     ("iban", r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
-    ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)", _phone),
+    ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w])|(?<![\w(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<![\w.+-])(?<!\) )[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?!\w|[.-][0-9])", _phone),
     ("ipv4", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])", _ipv4),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
-    ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?!\w|[./-][0-9])", _date),
+    ("date", r"(?<![\w./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?:(?=T[0-9]{2}:)|(?!\w|[./-][0-9]))", _date),
     ("card", r"(?<!\w)(?<![0-9]-)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?!\w|-[0-9])", _card),
 ]
 PATTERNS = [(kind, re.compile(pattern, 0 if kind == "email" else re.ASCII), change) for kind, pattern, change in KINDS]

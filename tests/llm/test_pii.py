@@ -1,3 +1,6 @@
+import datetime
+import ipaddress
+import random
 import re
 
 import pytest
@@ -31,9 +34,9 @@ CASES = {
     "iban": ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19"],
     "ssn": ["123-45-6789"],
     "ipv4": ["97.51.17.173", "0.0.0.0", "255.255.255.255"],
-    "phone": ["+1 (017) 555-7713", "(212) 555-0199", "+49 30 901820"],
+    "phone": ["+1 (017) 555-7713", "(212) 555-0199", "+49 30 901820", "+491701234567", "+44 (0)20 7946 0018", "212-555-0199", "212.555.0199"],
     "email": ["und.34@mail7.example.com", "A_b+c@x-y.org", "zú.34@mail.de"],
-    "date": ["2020-02-29", "31.12.1999", "12/31/1999"],
+    "date": ["2020-02-29", "31.12.1999", "12/31/1999", "05/12/1999"],
     "secret": ['"04dbebab91ab85687d33eeaaf9ac699e1188f962"'],
 }
 
@@ -121,3 +124,100 @@ def test_query_covers_every_document(spark):
         spans = find_values(r.old)
         assert r.n_replaced == len(spans) and all(r.old[s:e] not in r.text for s, e, _ in spans)
         assert pseudonymise(r.text, pii.DEMO_KEY, undo=True)[0] == r.old
+
+
+LAYOUTS = {
+    "phone": [
+        ["+49 170 1234567", "+491701234567", "+49 (0)170 1234567", "+49-170-123-4567", "+49 (170) 123 4567"],
+        ["+1 (212) 555-0199", "+12125550199", "(212) 555-0199", "212-555-0199", "212.555.0199", "+1 212 555 0199"],
+        ["+420 601 123 456", "+420601123456"],
+    ],
+    "date": [["31/12/1999", "12/31/1999", "1999-12-31", "31.12.1999", "1999/12/31", "31-12-1999"], ["05/04/2021", "2021-05-04", "04.05.2021", "5/4/2021"]],
+    "iban": [["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"]],
+    "card": [["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"]],
+}
+
+
+def plain_value(kind, text):
+    """The value behind a layout, by other means than the operator's."""
+    digits = "".join(c for c in text if c.isalnum())
+    if kind == "date":
+        a, b, c = re.findall("[0-9]+", text)
+        year, rest = (a, (b, c)) if len(a) == 4 else (c, (a, b))
+        day_first = len(a) < 4 and ("." in text or int(a) > 12)
+        return int(year), *(int(x) for x in (rest[::-1] if day_first else rest))
+    if kind == "phone":
+        digits = text.replace("(0)", "")
+        digits = "".join(c for c in digits if c.isdigit())
+        return digits if text[0] == "+" else "1" + digits
+    return digits
+
+
+@pytest.mark.parametrize("kind", LAYOUTS)
+def test_one_value_has_one_pseudonym_in_every_layout(kind):
+    for group in LAYOUTS[kind]:
+        assert len({plain_value(kind, t) for t in group}) == 1
+        new = [pseudonymise(f"see {t} now", KEY) for t in group]
+        assert all([k for _, _, k in spans] == [kind] for _, spans in new)
+        shown = [t.removeprefix("see ").removesuffix(" now") for t, _ in new]
+        values = {plain_value(kind, t) for t in shown}
+        assert len(values) == 1 and values != {plain_value(kind, group[0])}
+        for old, t in zip(group, shown):
+            assert kind == "date" or re.sub("[0-9]", "9", t) == re.sub("[0-9]", "9", old)
+            if old != "5/4/2021":  # written with two digits
+                assert pseudonymise(t, KEY, undo=True)[0] == old
+        if kind == "phone":
+            assert {t[:3] for t in shown if t[0] == "+" and group[0][:3] == "+49"} <= {"+49"}
+
+
+def test_times_and_what_is_no_telephone_number():
+    new, spans = pseudonymise("at 2021-02-03T10:00:00Z", KEY)
+    assert [k for _, _, k in spans] == ["date"] and new.endswith("T10:00:00Z") and "2021-02-03" not in new
+    for text in ("2021-02-03Tx", "1-212-555-01990", "212-555-0199-1", "x212-555-0199", "212-555.0199", "1.212.555.0199", "212-5555-0199", "31/12/99"):
+        assert pseudonymise(text, KEY) == (text, []), text
+
+
+def brute_values(text):
+    """Every substring of up to 40 characters with free ends, validated by the standard library; longest first at each place."""
+    free = lambda c: not (c.isalnum() or c == "_")
+
+    def kind(v):
+        flat = v.replace(" ", "")
+        if v.count(".") == 3:
+            try:
+                return "ipv4" if str(ipaddress.IPv4Address(v)) == v else None
+            except ValueError:
+                return None
+        if len(v) == 11 and v[3:7:3] == "--" and v.replace("-", "").isdigit():
+            a, g, s = map(int, v.split("-"))
+            return "ssn" if 0 < a < 900 and a != 666 and g and s else None
+        if v[:2].isalpha() and flat.isalnum() and flat.isascii() and len(flat) == pii.IBAN_LENGTHS.get(flat[:2].upper()):
+            return "iban" if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1 else None
+        for layout in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%d/%m/%Y"):
+            try:
+                if 1900 <= datetime.datetime.strptime(v, layout).year < 2100:
+                    return "date"
+            except ValueError:
+                pass
+        return None
+
+    out, i = [], 0
+    while i < len(text):
+        hit = None
+        if i == 0 or free(text[i - 1]) and text[i - 1] not in "./-":
+            for j in range(min(len(text), i + 40), i + 7, -1):
+                if text[j - 1].isalnum() and (j == len(text) or free(text[j]) and not (text[j] in "./-" and text[j + 1 : j + 2].isdigit())) and (hit := kind(text[i:j])):
+                    out.append((i, j, hit))
+                    i = j
+                    break
+        i += hit is None
+    return out
+
+
+def test_values_match_a_brute_force_search():
+    rng = random.Random(3)
+    good = ["97.51.17.173", "123-45-6789", "ES91 2100 0418 4502 0005 1332", "GB29NWBK60161331926819", "2020-02-29", "31.12.1999", "12/31/1999", "31/12/1999"]
+    bad = ["97.51.17.373", "000-45-6789", "ES92 2100 0418 4502 0005 1332", "2021-02-29", "1.2", "12", "word", "AB12", "31/31/1999", "x", "6789-1", "é"]
+    for _ in range(150):
+        text = "".join(rng.choice(good + bad) + rng.choice([" ", ", ", ". ", "\n", " and ", "; "]) for _ in range(rng.randrange(1, 14)))
+        assert find_values(text) == brute_values(text), text
