@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..functions import taxonomy as X
 from ..functions.text import squash, strip
 from ..session import cut_lineage
-from .joins import term_places
-from .ranking import global_position
+from .joins import range_join, term_places
+from .ranking import global_position, running_total
 
 
 def index_key(c: Column) -> Column:
@@ -389,6 +389,28 @@ def select_items(items: DataFrame, matched: DataFrame, allowed: DataFrame) -> Da
     return anchors.unionByName(chosen.select(*anchors.columns))
 
 
+def layer_prefix(selected: DataFrame, key: str, num_layers: int, usual: int = 8) -> DataFrame:
+    """Where each selected item lies in the prefix of each layer of its ``key`` (a question).
+
+    ``selected(key, item_id, ord, len, layer_start, layer_end)``, (key, ord) unique. An item fills ``len`` places in the layers of its range;
+    items follow each other by ``ord``. Layers are padded in front to the longest one of the question; a layer without an item
+    is all padding: one row with no item. Layers from ``num_layers`` on do not exist; a null length counts as 0; a null question, and
+    one none of whose items has a place, get no rows. Returns key, layer, item_id, start, len, pad, width.
+    """
+    layers = selected.sparkSession.range(num_layers).select(F.col("id").cast("int").alias("layer"))
+    spans = selected.where(F.col(key).isNotNull()).select(key, "item_id", "ord", F.coalesce("len", F.lit(0)).cast("long").alias("len"), "layer_start", "layer_end")
+    held = range_join(F.broadcast(layers), "layer", spans, "layer_start", "layer_end", usual)  # num_layers rows
+    held = cut_lineage(running_total(held, [key, "layer"], "ord", "len"))
+    # Sums by question and layer: at most num_layers rows a question, so a hot question is small from here on.
+    lengths = held.groupBy(key, "layer").agg(F.sum("len").alias("filled"))
+    one = lengths.groupBy(key).agg(F.max("filled").alias("width"), F.map_from_entries(F.collect_list(F.struct("layer", "filled"))).alias("by_layer"))
+    one = one.where("width > 0")
+    all_layers = one.select(key, "width", F.explode(F.sequence(F.lit(0), F.lit(num_layers - 1))).alias("layer"), "by_layer")
+    all_layers = all_layers.select(key, "layer", "width", (F.col("width") - F.coalesce(F.try_element_at("by_layer", F.col("layer")), F.lit(0))).alias("pad"))
+    placed = all_layers.join(held.select(key, "layer", "item_id", "len", (F.col("upto") - F.col("len")).alias("before")), [key, "layer"], "left")
+    return placed.select(key, "layer", "item_id", (F.col("pad") + F.col("before")).alias("start"), "len", "pad", "width")
+
+
 def relation_gating(scored: DataFrame, key: str, relation: str, score: str, ord_col: str, top: int = 2) -> DataFrame:
     """Rows of the ``top`` relations by summed score; ties go to the relation seen first."""
     g = scored.groupBy(key, relation).agg(F.round(F.sum(score), 6).alias("total"), F.min(ord_col).alias("seen"))

@@ -214,3 +214,14 @@ def win_cases(predictions: DataFrame, support: DataFrame) -> DataFrame:
     """Won predictions ``(id, win)`` beside the filled supporting sentences of ``(id, sentences)``."""
     kept = F.filter(F.transform("sentences", strip), lambda x: x != "")
     return predictions.where("win").join(support.select("id", kept.alias("support")), "id").select("id", "support")
+
+
+def range_join(points: DataFrame, p: str, spans: DataFrame, lo: str, hi: str, width: int) -> DataFrame:
+    """Each span with every integer point in [lo, hi]: both meet by equality of their bins of ``width``, then exactly.
+
+    A span is offered once for each bin it touches, so ``width`` should be near the usual length of a span. Nulls and empty spans meet nothing.
+    """
+    bin_of = lambda c: F.floor(F.col(c) / F.lit(width))
+    touched = F.explode(F.sequence(bin_of(lo), bin_of(hi)))
+    offered = spans.where(F.col(lo) <= F.col(hi)).withColumn("_bin", touched)
+    return points.withColumn("_bin", bin_of(p)).join(offered, "_bin").where(F.col(p).between(F.col(lo), F.col(hi))).drop("_bin")

@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import stable_id
 from ..functions.taxonomy import INTENT_KEYWORDS, LAYER_RANGES, RELATIONS, RELATION_VERBS
 from ..operators import graph as G
@@ -264,6 +265,33 @@ def q_layers(spark, d):
     return per.select(F.explode(F.sequence("a", "b")).alias("layer"), "n").groupBy("layer").agg(F.sum("n").alias("items"))
 
 
+_TOKENS = f"len(regexp_extract_all(text, '[A-Za-z0-9]+|[{S.CJK}]'))"
+
+
+@query(
+    "kg_layer_prefix", "V10,G14",
+    f"""with {TRIPLES}, ats as (select src, triple_id, min([rord, eord]) as p from eo group by 1, 2),
+    num as (select *, row_number() over (partition by src order by p) - 1 as no from ats),
+    it as (select s_suppkey as qid, 'anchor_' || replace(s_name, ' ', '_') as item_id, -1 as ord, s_name as text, 0 as layer_start, 3 as layer_end from supplier join nodes on name = s_name
+      union all select s_suppkey, 'triple_' || replace(s_name, ' ', '_') || '_' || no, no, rtrim(substr(subject || ' ' || {_VERB} || ' ' || object, 1, 45)), {_LAY[0]}, {_LAY[1]}
+      from supplier join nodes on name = s_name join num on src = node_id join tr using (triple_id)),
+    held as (select qid, layer::int as layer, item_id, ord, {_TOKENS} as len from it, range(0, 32) t(layer) where layer between layer_start and layer_end),
+    place as (select *, sum(len) over (partition by qid, layer order by ord) - len as before from held),
+    w as (select qid, max(filled) as width from (select qid, layer, sum(len) as filled from held group by 1, 2) group by 1 having max(filled) > 0),
+    al as (select qid, width, t.layer::int as layer, width - coalesce((select sum(len) from held h where h.qid = w.qid and h.layer = t.layer), 0) as pad from w, range(0, 32) t(layer))
+    select al.qid, al.layer, item_id, (pad + before)::bigint as start, len::bigint as len, pad::bigint as pad, width::bigint as width from al left join place on place.qid = al.qid and place.layer = al.layer""",
+)
+def q_prefix(spark, d):
+    """Layout of the prefix of each supplier's question over 32 layers: its anchor, then all triples at its node."""
+    t, nodes, edges = kg_tables(spark, d)
+    items = G.compile_items(t, nodes, edges)
+    matched = table(spark, d, "supplier").select(F.col("s_suppkey").alias("qid"), F.col("s_name").alias("entity_name"))
+    allowed = matched.join(t.select(F.col("subject").alias("entity_name"), "triple_id"), "entity_name").select("qid", "triple_id")
+    mine = G.select_items(items, matched, allowed)
+    no = F.when(F.col("item_type") == "triple", F.regexp_extract("item_id", r"_([0-9]+)$", 1).cast("int")).otherwise(-1)
+    return G.layer_prefix(mine.withColumns({"ord": no, "len": T.approx_token_count(F.col("text"))}), "qid", 32)
+
+
 @query(
     "alias_merge", "G02,G03,T11",
     f"""with {TRIPLES}, al as (select n_name as alias, 'NATION_' || n_regionkey as canonical from nation),

@@ -149,3 +149,39 @@ def test_render_and_layers(one):
     assert len(one(G.render_triple(F.lit("a" * 40), F.lit("causes"), F.lit("b" * 40)))) == 45
     assert one(G.classify_intent(F.lit("Which drug or therapy; any symptom?"))) == "drug"
     assert one(G.classify_intent(F.lit("nothing"))) == ""
+
+
+def test_layer_prefix_places_and_pads(spark):
+    rows = [  # question, item, order, length, first and last layer
+        (1, "a", 0, 3, 0, 3), (1, "t0", 1, 5, 2, 4), (1, "t1", 2, None, 2, 2), (1, "t2", 3, 2, 4, 99), (2, "far", 0, 4, 6, 9), (3, "empty", 0, 0, 0, 1), (4, "back", 0, 7, 3, 2),
+        (None, "null", 0, 1, 0, 0), (5, "n", 0, 1, None, 2),
+    ]
+    df = spark.createDataFrame(rows, "qid int, item_id string, ord int, len int, layer_start int, layer_end int")
+    got = G.layer_prefix(df, "qid", 6, usual=2).collect()
+    assert {r.qid for r in got} == {1} and all(r.width == 8 for r in got)
+    by = {(r.layer, r.item_id): (r.start, r.len, r.pad) for r in got}
+    assert by == {
+        (0, "a"): (5, 3, 5), (1, "a"): (5, 3, 5), (2, "a"): (0, 3, 0), (2, "t0"): (3, 5, 0), (2, "t1"): (8, 0, 0), (3, "a"): (0, 3, 0), (3, "t0"): (3, 5, 0),
+        (4, "t0"): (1, 5, 1), (4, "t2"): (6, 2, 1), (5, "t2"): (6, 2, 6),
+    }
+    late = G.layer_prefix(df.where("qid = 2"), "qid", 8).collect()
+    assert sorted((r.layer, r.item_id, r.start, r.pad) for r in late if r.layer > 5) == [(6, "far", 0, 0), (7, "far", 0, 0)]
+    assert [(r.item_id, r.start, r.pad) for r in late if r.layer <= 5] == [(None, None, 4)] * 6
+    assert G.layer_prefix(df.limit(0), "qid", 4).count() == 0
+
+
+def test_range_join_meets_by_bins(spark):
+    import random
+
+    from evisift.operators.joins import range_join
+
+    rng = random.Random(2)
+    spans = [(i, a, a + rng.randrange(-2, 30)) for i, a in enumerate(rng.randrange(-40, 90) for _ in range(200))] + [(900, None, 3), (901, 3, None)]
+    points = [rng.randrange(-50, 120) for _ in range(80)]
+    ps, ss = spark.createDataFrame([(p,) for p in points], "p int"), spark.createDataFrame(spans, "i int, lo int, hi int")
+    want = sorted((p, i) for p in points for i, a, b in spans if a is not None and b is not None and a <= p <= b)
+    for width in (1, 7, 1000):
+        out = range_join(ps, "p", ss, "lo", "hi", width)
+        assert sorted((r.p, r.i) for r in out.collect()) == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
