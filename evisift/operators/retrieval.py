@@ -106,10 +106,12 @@ def clause_boost(sentence_len: Column, overlap: Column, best_clause: Column) ->
 
 
 def answer_choice(cands: DataFrame, key: str) -> DataFrame:
-    """Q19: (overlap, shorter text, method order) decides; columns ``overlap, n_chars, prio, text``."""
-    return cands.groupBy(key).agg(
-        F.max_by(F.struct("text", "prio"), F.struct("overlap", (-F.col("n_chars")).alias("short"), (-F.col("prio")).alias("first"))).alias("b")
-    ).select(key, "b.text", "b.prio")
+    """Q19: (overlap, shorter text, method order) decides; columns ``overlap, n_chars, prio, ord, text``.
+
+    Of candidates equal in all three the first offered (least ``ord``) stays, as a running maximum keeps it.
+    """
+    better = F.struct("overlap", (-F.col("n_chars")).alias("short"), (-F.col("prio")).alias("first"), (-F.col("ord")).alias("earlier"))
+    return cands.groupBy(key).agg(F.max_by(F.struct("text", "prio"), better).alias("b")).select(key, "b.text", "b.prio")
 
 
 def drug_id_key(pred: Column, support: Column) -> Column:

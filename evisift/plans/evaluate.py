@@ -385,7 +385,7 @@ def answer_choice(spark, d):
 
     support = F.array(*[F.lit(x) for x in ("the", "que", "de", "la", "and", "of")])
     cand = c.select(
-        "conv_id", "text", F.size(F.array_intersect(overlap_tokens(F.col("text")), support)).alias("overlap"), F.length("text").alias("n_chars"),
+        "conv_id", F.col("turn").alias("ord"), "text", F.size(F.array_intersect(overlap_tokens(F.col("text")), support)).alias("overlap"), F.length("text").alias("n_chars"),
         F.when(F.col("role") == "assistant", 0).otherwise(1).alias("prio"),
     )
     return R.answer_choice(cand, "conv_id").select("conv_id", F.md5("text").alias("text_md5"))
