@@ -109,7 +109,7 @@ def build_edges(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     Incoming edges are the same table read from ``tgt``. A relation that is its own
     inverse stays one-way (T10). Triples whose ends have no node drop out (T11).
     """
-    n = nodes.select("name", "node_id")
+    n = nodes.select("name", "node_id").hint("merge")  # small as a file, large in the driver
     t = triples.select("triple_id", "ord", "subject", "predicate", "object")
     ends = (
         t.join(n.select(F.col("name").alias("subject"), F.col("node_id").alias("s")), "subject")
@@ -217,7 +217,7 @@ def recognise(queries: DataFrame, index: DataFrame) -> DataFrame:
     """
     keys = index.where("key <> ''")
     places = term_places(queries.select("qid", F.lower("text").alias("t")), keys.select("key").distinct())
-    hits = places.join(keys, "key").withColumn("n", F.length("key"))
+    hits = places.join(keys.hint("merge"), "key").withColumn("n", F.length("key"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), "key", "p", "n", "node_id")))
     zero = F.struct(
         F.array().cast("array<struct<p:int,e:int,node_id:string>>").alias("kept"), F.lit("").alias("key"), F.lit(0).alias("upto")
@@ -362,7 +362,7 @@ def compile_items(triples: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     e = relation_order(edges).groupBy("src", "triple_id").agg(F.min(F.struct("rord", "eord")).alias("at"))
     numbered = number_within(e, "src", "at")
     t = triples.select("triple_id", "subject", "predicate", "object")
-    items = numbered.join(nodes.select(F.col("node_id").alias("src"), "name"), "src").join(t, "triple_id").select(
+    items = numbered.join(nodes.select(F.col("node_id").alias("src"), "name").hint("merge"), "src").join(t, "triple_id").select(
         F.concat(F.lit("triple_"), safe, F.lit("_"), F.col("no").cast("string")).alias("item_id"), F.col("name").alias("entity_name"),
         F.lit("triple").alias("item_type"), render_triple(F.col("subject"), F.col("predicate"), F.col("object")).alias("text"),
         F.col("predicate").alias("relation"), _layer(F.col("predicate"), 0).alias("layer_start"), _layer(F.col("predicate"), 1).alias("layer_end"), "triple_id",

@@ -11,15 +11,24 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import explode_rows
 from ..functions.text import bind, squash, strip
-from ..session import broadcast_if_small, cut_lineage
+from ..session import BROADCAST_LIMIT_BYTES, broadcast_if_small, cut_lineage
 
 
 #: Characters of the grams that anchor a term, and the terms of one anchor from which on a second gram tells them apart.
 GRAM, SPLIT = 8, 16
 
+#: Characters up to which a text is cut at each place.
+SHORT = 256
+
+#: Bytes of a broadcast anchor besides its key, with the tables of the hash.
+ROW_BYTES = 320
+
 
 def _places(c: Column, lengths: list[int]) -> Column:
-    """(p, gram) of every run of each length in ``lengths``, p from 0 in code points; linear in the text."""
+    """(p, gram) of every run of each length in ``lengths``, p from 0 in code points; linear in the text.
+
+    Short texts are cut at each place, which costs less there than growing the runs by a character at a time.
+    """
 
     def of(chars: Column) -> Column:
         n = F.size(chars)
@@ -34,7 +43,13 @@ def _places(c: Column, lengths: list[int]) -> Column:
 
         return longer(chars, 1, [])
 
-    return bind(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), of)
+    def cut(k: int) -> Column:
+        starts = F.sequence(F.lit(0), F.length(c) - k)
+        runs = F.transform(starts, lambda p: F.struct(p.alias("p"), F.substring(c, p + 1, F.lit(k)).alias("gram")))
+        return F.when(F.length(c) >= k, runs).otherwise(F.array().cast("array<struct<p:int,gram:string>>"))
+
+    grown = bind(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), of)
+    return F.when(F.length(c) <= SHORT, F.flatten(F.array(*[cut(k) for k in lengths]))).otherwise(grown)
 
 
 def _key_places(keys: DataFrame, *carry: str) -> DataFrame:
@@ -49,11 +64,12 @@ def anchors(keys: DataFrame) -> DataFrame:
 
     Names of a family share their head; what tells them apart is rare, so it anchors them. Where more than SPLIT keys
     are left at one gram, each gets the gram (and its distance) that is rarest among those keys as well; it is null for the others.
+    Exploded grams are many times what Spark's estimate says, so their joins are sorted: a broadcast would pass them through the driver.
     """
     places = _key_places(keys)
     rare = places.groupBy("gram2").agg(F.count("*").alias("n"))
     best = lambda: F.min(F.struct("n", (-F.col("off2")).alias("back"), "gram2")).alias("b")
-    first = places.join(rare, "gram2").groupBy("key").agg(best()).select("key", F.col("b.gram2").alias("gram"), (-F.col("b.back")).alias("off"))
+    first = places.join(rare.hint("merge"), "gram2").groupBy("key").agg(best()).select("key", F.col("b.gram2").alias("gram"), (-F.col("b.back")).alias("off"))
     first = cut_lineage(first)
     hot = first.groupBy("gram").count().where(F.col("count") > SPLIT).select("gram")
     if hot.isEmpty():
@@ -61,7 +77,7 @@ def anchors(keys: DataFrame) -> DataFrame:
     crowded = first.join(hot, "gram", "left_semi")
     others = _key_places(crowded, "gram", "off").where("off2 <> off").withColumn("gap", F.col("off2") - F.col("off"))
     kinds = others.groupBy("gram", "gap", "gram2").agg(F.count("*").alias("n"))
-    second = others.join(kinds, ["gram", "gap", "gram2"]).groupBy("key").agg(F.min(F.struct("n", (-F.col("off2")).alias("back"), "gram2", "gap")).alias("b"))
+    second = others.join(kinds.hint("merge"), ["gram", "gap", "gram2"]).groupBy("key").agg(F.min(F.struct("n", (-F.col("off2")).alias("back"), "gram2", "gap")).alias("b"))
     return cut_lineage(first.join(second.select("key", "b.gap", "b.gram2"), "key", "left").select("key", "gram", "off", "gap", "gram2"))
 
 
@@ -70,17 +86,20 @@ def anchored(texts: DataFrame, at: DataFrame) -> DataFrame:
     lengths = sorted(r[0] for r in at.select(F.length("gram").alias("n")).distinct().collect())  # GRAM values at most
     if not lengths:
         return texts.select("qid", F.lit(0).alias("p"), F.lit("").alias("key")).limit(0)
+    n, held = at.agg(F.count(F.lit(1)), F.sum(F.octet_length("key"))).first()
+    few = n * ROW_BYTES + 2 * held <= BROADCAST_LIMIT_BYTES
+    meet = lambda side: F.broadcast(side) if few else side.hint("merge")  # noqa: E731  # the grams of the texts never pass through the driver
     grams = explode_rows(texts, ["qid"], _places(F.col("t"), lengths), "g").select("qid", "g.p", "g.gram")
-    met = grams.join(at.where("gap is null").select("key", "gram", "off"), "gram").select("qid", (F.col("p") - F.col("off")).alias("p"), "key")
+    met = grams.join(meet(at.where("gap is null").select("key", "gram", "off")), "gram").select("qid", (F.col("p") - F.col("off")).alias("p"), "key")
     crowded = at.where("gap is not null")
     if crowded.isEmpty():
         return met.where("p >= 0")
     # The distances of a crowded anchor's second grams: as many as a key has places.
     gaps = crowded.groupBy("gram").agg(F.collect_set("gap").alias("gaps"))
-    spots = grams.join(gaps, "gram").groupBy("qid").agg(F.collect_list(F.struct("p", "gram", "gaps")).alias("spots")).join(texts, "qid")
+    spots = grams.join(meet(gaps), "gram").groupBy("qid").agg(F.collect_list(F.struct("p", "gram", "gaps")).alias("spots")).join(texts, "qid")
     pairs = F.flatten(F.transform("spots", lambda s: F.transform(s["gaps"], lambda g: F.struct(s["p"].alias("p"), s["gram"].alias("gram"), g.alias("gap"), F.substring(F.col("t"), s["p"] + g + 1, F.lit(GRAM)).alias("gram2")))))
     told = explode_rows(spots, ["qid"], pairs, "g").where("g.p + g.gap >= 0").select("qid", "g.p", "g.gram", "g.gap", "g.gram2")
-    split = told.join(crowded, ["gram", "gap", "gram2"]).select("qid", (F.col("p") - F.col("off")).alias("p"), "key")
+    split = told.join(meet(crowded), ["gram", "gap", "gram2"]).select("qid", (F.col("p") - F.col("off")).alias("p"), "key")
     return met.unionByName(split).where("p >= 0")
 
 

@@ -247,7 +247,7 @@ def q_select(spark, d):
     t, nodes, edges = kg_tables(spark, d)
     items = G.compile_items(t, nodes, edges)
     qs = supplier_questions(spark, d)
-    m = G.recognise(qs, G.entity_index(nodes)).join(nodes.select("node_id", F.col("name").alias("entity_name")), "node_id")
+    m = G.recognise(qs, G.entity_index(nodes)).join(nodes.select("node_id", F.col("name").alias("entity_name")).hint("merge"), "node_id")
     ev = G.retrieve(qs, t, nodes, edges, max_hops=1).where("hop > 0").select("qid", "triple_id")
     return G.select_items(items, m.select("qid", "entity_name"), ev).select("qid", "item_id", "item_type", "layer_start", "layer_end")
 
