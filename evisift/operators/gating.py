@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.chars import CJK
 from ..functions.rows import explode_rows
 from ..functions.text import bind, strip
+from ..session import cut_lineage
 from .extract import BOUND_L, BOUND_R, any_contains
 from .joins import contained_terms, token_terms
 
@@ -174,8 +175,9 @@ def validate_contracts(contracts: DataFrame, signals: DataFrame) -> DataFrame:
     ``signals(qid, block_id, signal, info)``.
 
     A query's evidence is counted by partial aggregates: distinct informative signals
-    over twice the number of blocks, at most 1.
+    over twice the number of blocks, at most 1. Signals are written once, as both the counts and the contracts read them.
     """
+    signals = cut_lineage(signals)
     per_query = signals.groupBy("qid").agg(
         F.count_distinct(F.when(F.col("info"), F.col("signal"))).alias("n_info"), F.count_distinct("block_id").alias("n_blocks"),
         F.min((F.col("signal") == "block_type:general").cast("int")).alias("only_generic"),
