@@ -23,6 +23,9 @@ SHORT = 256
 #: Bytes of a broadcast anchor besides its key, with the tables of the hash.
 ROW_BYTES = 320
 
+#: Rows up to which slots are looked up in a map.
+MAP_ROWS = 1000
+
 
 def _places(c: Column, lengths: list[int]) -> Column:
     """(p, gram) of every run of each length in ``lengths``, p from 0 in code points; linear in the text.
@@ -162,11 +165,22 @@ def next_unused(ranked: DataFrame, used: DataFrame, k: int) -> DataFrame:
 
 
 def evidence_for_slots(evidence: DataFrame, slots: DataFrame) -> DataFrame:
-    """``slots(slot, wanted array)`` meets ``evidence(evidence_id, types array)``; an empty wanted list takes all."""
-    ev = evidence.select("evidence_id", F.explode(F.transform("types", F.lower)).alias("t"))
-    some = slots.where(F.size("wanted") > 0).select("slot", F.explode(F.transform("wanted", lambda x: F.lower(strip(x)))).alias("t"))
-    typed = some.join(ev, "t").select("slot", "evidence_id").distinct()
+    """``slots(slot, wanted array)`` meets ``evidence(evidence_id, types array)``; an empty wanted list takes all.
+
+    evidence_id is unique. The slots of each type are one small map (left to a join where they are not), so that a row finds
+    its distinct slots in place and the evidence is not shuffled.
+    """
+    some = slots.where(F.size("wanted") > 0).select("slot", F.explode(F.transform("wanted", lambda x: F.lower(strip(x)))).alias("t")).distinct()
+    some = cut_lineage(some)
     every = slots.where(F.size("wanted") == 0).select("slot", F.lit(1).alias("_a"))
+    if some.count() <= MAP_ROWS:
+        by_type = some.where("t is not null").groupBy("t").agg(F.collect_list("slot").alias("slots"))
+        named = by_type.agg(F.map_from_entries(F.collect_list(F.struct("t", "slots"))).alias("m"))  # one row
+        found = F.array_distinct(F.flatten(F.filter(F.transform("types", lambda t: F.try_element_at(F.col("m"), F.lower(t))), lambda s: s.isNotNull())))
+        typed = explode_rows(evidence.crossJoin(F.broadcast(named)), ["evidence_id"], found, "slot").select("slot", "evidence_id")
+    else:
+        ev = evidence.select("evidence_id", F.explode(F.transform("types", F.lower)).alias("t"))
+        typed = some.join(ev, "t").select("slot", "evidence_id").distinct()
     return typed.unionByName(evidence.select("evidence_id", F.lit(1).alias("_a")).join(broadcast_if_small(cut_lineage(every)), "_a").select("slot", "evidence_id"))
 
 
