@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.chars import CJK
+from ..functions.rows import explode_rows
 from ..functions.text import bind, strip
-from .extract import BOUND_L, BOUND_R, _split_in_order, any_contains, empty
+from .extract import BOUND_L, BOUND_R, _split_in_order, any_contains
 
 # Default cleaning rules per semantic type.
 VALUE_RULES = {
@@ -170,15 +171,29 @@ def clean_values(values: Column, semantic_type: str, rules: dict | None = None)
 
 
 def _cleaned(norm: Column, semantic_type: str, rules: dict) -> Column:
-    parts = _split_in_order(norm, rules.get("split", {}).get("connectors", []))
     deny = [t.lower() for t in rules.get("filter", {}).get("deny_terms", []) if t]
-    denied = (lambda v: any_contains(F.lower(v), deny)) if deny else (lambda v: F.lit(False))
-    passed = F.filter(parts, lambda v: ~denied(v))
-    guard = GUARDS.get(semantic_type)
-    kept = F.filter(passed, guard) if guard else passed
-    fallen = F.filter(passed, lambda v: ~guard(v)) if guard else empty()
-    return F.struct(
-        F.array_distinct(F.filter(kept, lambda v: v != "")).alias("cleaned_values"),
-        F.concat(F.filter(parts, denied), fallen).alias("removed_values"),
-        norm.alias("normalized"), parts.alias("split_values"),
-    )
+    accepts = GUARDS.get(semantic_type)
+
+    def judged(v: Column) -> Column:  # each part is split off and judged once
+        kept = F.when(accepts(v) if accepts else F.lit(True), "kept").otherwise("fallen")
+        return F.struct(v.alias("v"), (F.when(any_contains(F.lower(v), deny), "denied").otherwise(kept) if deny else kept).alias("as"))
+
+    def told(parts: Column) -> Column:
+        of = lambda kind: F.transform(F.filter(parts, lambda p: p["as"] == kind), lambda p: p["v"])
+        return F.struct(
+            F.array_distinct(F.filter(of("kept"), lambda v: v != "")).alias("cleaned_values"), F.concat(of("denied"), of("fallen")).alias("removed_values"),
+            norm.alias("normalized"), F.transform(parts, lambda p: p["v"]).alias("split_values"),
+        )
+
+    return bind(F.transform(_split_in_order(norm, rules.get("split", {}).get("connectors", [])), judged), told)
+
+
+def cleaned_counts(rows: DataFrame, values: str, types: tuple[str, ...]) -> DataFrame:
+    """(semantic_type, kept, removed) over all rows; the values of a row are made once and cleaned for every type."""
+
+    def counted(v: Column, kind: str) -> Column:
+        return bind(clean_values(v, kind), lambda r: F.struct(F.lit(kind).alias("semantic_type"), F.size(r["cleaned_values"]).alias("kept"), F.size(r["removed_values"]).alias("removed")))
+
+    cells = bind(F.col(values), lambda v: F.array(*[counted(v, kind) for kind in types]))
+    each = explode_rows(rows, [], cells, "c").select("c.*")
+    return each.groupBy("semantic_type").agg(F.sum("kept").alias("kept"), F.sum("removed").alias("removed"))

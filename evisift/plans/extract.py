@@ -304,14 +304,7 @@ def value_cleaning(spark, d):
     vals = X.entity_candidates(F.col("text"))
     rows = documents(spark, d).select("doc_id", vals.alias("v"))
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.array("p_name", "p_type").alias("v"))
-    both = rows.unionByName(parts)
-    out = None
-    for st in ("location", "symptom", "drug", "generic"):
-        r = both.select("doc_id", F.lit(st).alias("semantic_type"), V.clean_values(F.col("v"), st).alias("r"))
-        out = r if out is None else out.unionByName(r)
-    return out.groupBy("semantic_type").agg(
-        F.sum(F.size("r.cleaned_values")).alias("kept"), F.sum(F.size("r.removed_values")).alias("removed")
-    )
+    return V.cleaned_counts(rows.unionByName(parts), "v", ("location", "symptom", "drug", "generic"))
 
 
 @query("quote_validation", "X22")
