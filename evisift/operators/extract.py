@@ -658,9 +658,12 @@ def valid_quote(quote: Column, source: Column, squashed: Column | None = None) -
     """
     from ..functions.noise import is_low_value_sentence
 
-    q = strip(quote)
-    shape = F.length(q).between(20, 800) & (q.rlike(r"[.!?。！？]$") | (F.length(q) >= 80))
-    return (q != "") & ~is_low_value_sentence(q) & shape & (F.contains(source, q) | F.contains(squash(source) if squashed is None else squashed, squash(q)))
+
+    def of(q: Column) -> Column:  # the shape first: it is cheap and most pieces fail it
+        shape = F.length(q).between(20, 800) & (q.rlike(r"[.!?。！？]$") | (F.length(q) >= 80))
+        return (q != "") & shape & ~is_low_value_sentence(q) & (F.contains(source, q) | F.contains(squash(source) if squashed is None else squashed, squash(q)))
+
+    return bind(strip(quote), of)
 
 
 def plausible_expansion(full: Column, abbr: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import noise, sentences as N, slots as L, text as T
 from ..functions.rows import explode_rows
+from ..functions.text import bind
 from ..operators import extract as X
 from ..operators import values as V
 from ..registry import query
@@ -309,8 +310,10 @@ def value_cleaning(spark, d):
 
 @query("quote_validation", "X22")
 def quote_validation(spark, d):
-    r = documents(spark, d).select("doc_id", X.quote_counts(F.col("text"), N.split_ws(F.col("text"))).alias("r"))
-    return r.select("doc_id", "r.valid", "r.n").where("n > 0")
+    # Not a filter on the computed counts: that would be pushed below the spread and computed there a second time.
+    counts = X.quote_counts(F.col("text"), N.split_ws(F.col("text")))
+    some = bind(counts, lambda r: F.array(F.when(r["n"] > 0, r)))
+    return explode_rows(documents(spark, d), ["doc_id"], some, "r").select("doc_id", "r.valid", "r.n")
 
 
 # The invented documents hold no prose about patients: one wording for each verdict, chosen by id, stands before the whole text.
