@@ -97,33 +97,40 @@ def match_contracts(queries: DataFrame, contracts: list[dict]) -> DataFrame:
 def schema_scores(text: Column, pattern_ids: list[str], slot_names: dict[str, list[str]] | None = None) -> Column:
     """Q04: struct(schema_id, score) per candidate from question-structure signals."""
     # The cues of time, space, enumeration, definition and drugs, and the weights below.
-    low = F.lower(text)
-    has_time = text.rlike(f"{BOUND_L}(19|20)\\d{{2}}{BOUND_R}") & (text.rlike("[-–~—到至]") | low.rlike(f"{BOUND_L}to{BOUND_R}") | F.contains(low, F.lit("from")))
-    has_space = text.rlike("地区|区域|地域|省|市|我国|中国|国内|分布|流行") | low.rlike(f"{BOUND_L}(geographic|distribution|region|where){BOUND_R}")
-    is_enum = text.rlike("有哪些|哪里|哪些|分布|主要") | low.rlike(f"{BOUND_L}(which|where){BOUND_R}")
-    is_def = text.rlike("是什么|全称|意思") | low.rlike(f"{BOUND_L}(what is|stand for){BOUND_R}")
-    drug = text.rlike("药物|用药|治疗|疗法|用什么药|获批|批准|适应症") | low.rlike(f"{BOUND_L}(drug|treat|therapy|therapeutic|approved|approval|fda){BOUND_R}")
-    plus = lambda cond, v: F.when(cond, v).otherwise(0.0)
-    cells = []
-    for i, pid in enumerate(pattern_ids):
-        kind, _, slot = pid.partition(":")
-        if kind == "schema":
-            s = F.lit(0.6) + plus(has_time, 0.25) + plus(has_space, 0.25) + plus(is_enum, 0.15)
-            if slot == "treatment":
-                s = s + plus(drug, 0.45)
-            elif slot in ("clinical_features", "geographic_distribution", "epidemiology"):
-                s = s + plus(drug, -0.15)
-            if slot in ("geographic_distribution", "epidemiology"):
-                s = s + plus(has_time | has_space, 0.2)
-            names = [n.lower() for n in (slot_names or {}).get(pid, [slot]) if n]
-            s = s + plus(any_contains(low, names), 0.2)
-        elif kind == "abbr":
-            s = F.lit(0.15) + plus(is_def, 0.35) + plus(has_time | has_space | is_enum, -0.7)
-        else:
-            s = F.lit(0.3)
-        cells.append(F.struct((-F.round(s, 6)).alias("neg"), F.lit(i).alias("i"), F.lit(pid).alias("schema_id")))
-    order = F.array_sort(F.array(*cells))
-    return F.transform(order, lambda x: F.struct(x["schema_id"].alias("schema_id"), (-x["neg"]).alias("score")))
+    def told(low: Column) -> Column:
+        has_time = text.rlike(f"{BOUND_L}(19|20)\\d{{2}}{BOUND_R}") & (text.rlike("[-–~—到至]") | low.rlike(f"{BOUND_L}to{BOUND_R}") | F.contains(low, F.lit("from")))
+        has_space = text.rlike("地区|区域|地域|省|市|我国|中国|国内|分布|流行") | low.rlike(f"{BOUND_L}(geographic|distribution|region|where){BOUND_R}")
+        is_enum = text.rlike("有哪些|哪里|哪些|分布|主要") | low.rlike(f"{BOUND_L}(which|where){BOUND_R}")
+        is_def = text.rlike("是什么|全称|意思") | low.rlike(f"{BOUND_L}(what is|stand for){BOUND_R}")
+        drug = text.rlike("药物|用药|治疗|疗法|用什么药|获批|批准|适应症") | low.rlike(f"{BOUND_L}(drug|treat|therapy|therapeutic|approved|approval|fda){BOUND_R}")
+        return F.struct(low.alias("low"), *[c.alias(n) for n, c in (("has_time", has_time), ("has_space", has_space), ("is_enum", is_enum), ("is_def", is_def), ("drug", drug))])
+
+    def scored(cue: Column) -> Column:
+        low, has_time, has_space, is_enum, is_def, drug = (cue[n] for n in ("low", "has_time", "has_space", "is_enum", "is_def", "drug"))
+        plus = lambda cond, v: F.when(cond, v).otherwise(0.0)
+        cells = []
+        for i, pid in enumerate(pattern_ids):
+            kind, _, slot = pid.partition(":")
+            if kind == "schema":
+                s = F.lit(0.6) + plus(has_time, 0.25) + plus(has_space, 0.25) + plus(is_enum, 0.15)
+                if slot == "treatment":
+                    s = s + plus(drug, 0.45)
+                elif slot in ("clinical_features", "geographic_distribution", "epidemiology"):
+                    s = s + plus(drug, -0.15)
+                if slot in ("geographic_distribution", "epidemiology"):
+                    s = s + plus(has_time | has_space, 0.2)
+                names = [n.lower() for n in (slot_names or {}).get(pid, [slot]) if n]
+                s = s + plus(any_contains(low, names), 0.2)
+            elif kind == "abbr":
+                s = F.lit(0.15) + plus(is_def, 0.35) + plus(has_time | has_space | is_enum, -0.7)
+            else:
+                s = F.lit(0.3)
+            cells.append(F.struct((-F.round(s, 6)).alias("neg"), F.lit(i).alias("i"), F.lit(pid).alias("schema_id")))
+        order = F.array_sort(F.array(*cells))
+        return F.transform(order, lambda x: F.struct(x["schema_id"].alias("schema_id"), (-x["neg"]).alias("score")))
+
+    # Each cue is searched once, however many candidates weigh it.
+    return bind(bind(F.lower(text), told), scored)
 
 
 # --- Q05-Q07, A15, A16 -----------------------------------------------------------------------
