@@ -9,17 +9,17 @@ among *distinct* fingerprints only; exact copies never meet each other.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hash_tokens, hex_to_bigint
+from ..functions.text import hex_to_bigint
 from ..session import cut_lineage
 
 
@@ -29,42 +29,43 @@ def first_per_key(df: DataFrame, key: str, ord_col: str) -> DataFrame:
     return df.join(keep, ord_col, "left_semi")
 
 
+#: Tokens (C07) in lower-cased UTF-8: ASCII alphanumeric runs or single CJK characters.
+TOKEN = re.compile(rb"[a-z0-9]+|\xe4[\xb8-\xbf][\x80-\xbf]|[\xe5-\xe9][\x80-\xbf]{2}")
+
+
 def simhash(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, fp)`` with ``fp`` as 16 hex digits.
+    """``(id, fp)`` with ``fp`` as 16 hex digits; a null text has none.
 
-    Tokens are cut in the JVM; each Arrow batch hashes its distinct tokens once and adds
+    Texts travel whole, not as lists of tokens; each Arrow batch hashes its distinct tokens once and adds
     up the bits of a text in one vectorized pass. Nothing is shuffled.
     """
-    rows = df.select(id_col, hash_tokens(F.col(text_col)).alias("toks"), F.substring(F.sha2(text_col, 256), 1, 16).alias("blank"))
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = simhash_batch(batch.column("toks"), batch.column("blank").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.string())], [id_col, "fp"])
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(simhash_batch(texts), pa.string())], [id_col, "fp"])
 
-    return rows.mapInArrow(fingerprint, f"{id_col} {df.schema[id_col].dataType.simpleString()}, fp string")
+    return df.select(id_col, text_col).mapInArrow(fingerprint, f"{id_col} {df.schema[id_col].dataType.simpleString()}, fp string")
 
 
-def simhash_batch(tokens: pa.Array, blank: list[str]) -> list[str]:
-    """Fingerprints of a batch of token lists; a text without tokens takes its ``blank`` digest.
+def simhash_batch(texts: list[bytes | None]) -> list[str | None]:
+    """Fingerprints of a batch of UTF-8 texts; one without tokens has the head of its sha256.
 
     Bit b of byte j is set iff more than half of the tokens have it set in byte j of their md5.
     """
-    coded = pc.list_flatten(tokens).dictionary_encode()
-    vocab = np.frombuffer(b"".join(hashlib.md5(t.encode()).digest()[:8] for t in coded.dictionary.to_pylist()), np.uint8)
-    bits = np.unpackbits(vocab.reshape(-1, 8), axis=1)
-    codes = np.asarray(coded.indices)
-    sizes = np.asarray(pc.list_value_length(tokens))
-    ends = np.cumsum(sizes)
-    ones = np.zeros((len(sizes), 64), np.int64)
-    for at in range(0, len(codes), 1 << 18):  # bounded working set, however long a text is
-        part = bits[codes[at : at + (1 << 18)]]
-        lo, hi = np.searchsorted(ends, [at, at + len(part) - 1], side="right")
-        starts = np.maximum(ends[lo : hi + 1] - sizes[lo : hi + 1], at) - at
-        full = sizes[lo : hi + 1] > 0
-        ones[lo : hi + 1][full] += np.add.reduceat(part.astype(np.int32), starts[full], axis=0)
-    packed = np.packbits(2 * ones > sizes[:, None], axis=1)
-    return [p.tobytes().hex() if n else b for p, n, b in zip(packed, sizes, blank)]
+    known: dict[bytes, int] = {}
+    lists = [np.array([known.setdefault(t, len(known)) for t in TOKEN.findall(x.lower())], np.int32) if x else np.zeros(0, np.int32) for x in texts]
+    bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(t).digest()[:8] for t in known), np.uint8).reshape(-1, 8), axis=1)
+    out = []
+    for x, codes in zip(texts, lists, strict=True):
+        if x is None or not len(codes):
+            out.append(None if x is None else hashlib.sha256(x).hexdigest()[:16])
+            continue
+        # Distinct tokens with their number: the working set follows the vocabulary of a text.
+        seen, times = np.unique(codes, return_counts=True)
+        ones = times @ bits[seen]
+        out.append(np.packbits(2 * ones > len(codes)).tobytes().hex())
+    return out
 
 
 def _blocks(n_blocks: int) -> list[tuple[int, int]]:
@@ -210,6 +211,7 @@ def greedy_keep(pairs: DataFrame, task_edges: int = 200_000, rounds: int = 2) ->
 
 def near_dedupe(fps: DataFrame, threshold: int = 3, **kw) -> DataFrame:
     """A01 then A02 over ``(ord, fp hex)``: every row with ``status`` kept / exact_dup / near_dup."""
+    fps = cut_lineage(fps)  # asked for twice: the texts are fingerprinted once
     reps = fps.groupBy("fp").agg(F.min("ord").alias("ord"))
     reps = cut_lineage(reps.select("ord", hex_to_bigint(F.col("fp")).alias("fp")))
     dropped = greedy_keep(near_pairs(reps, threshold, **kw)).select(

@@ -68,6 +68,32 @@ def test_offsets_point_at_the_sentence(one):
         assert s[p["offset"] : p["offset"] + len(p["text"])] == p["text"]
 
 
+def test_simhash_of_bytes_is_simhash_of_tokens(spark, tmp_path, monkeypatch):
+    texts = ["", "a", "Ab cD-9 中文x 中", " ,.", "ÉaK9\u212a \n一鿿鿿", "b " * 9 + "c", "龥㐀ab", None]
+
+    def plain(t):
+        toks = [x.lower() for x in re.findall("[A-Za-z0-9]+|[\u4e00-\u9fff]", t)]
+        if not toks:
+            return hashlib.sha256(t.encode()).hexdigest()[:16]
+        bits = [bin(int.from_bytes(hashlib.md5(x.encode()).digest()[:8], "big"))[2:].zfill(64) for x in toks]
+        return f"{int(''.join('1' if 2 * sum(b[i] == '1' for b in bits) > len(bits) else '0' for i in range(64)), 2):016x}"
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: r["fp"] for r in D.simhash(df, "id", "t").collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    # near_dedupe asks for the fingerprints twice; before, it made them twice as well.
+    ran = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            ran.add(b.num_rows)
+            yield b
+
+    few = df.where("t is not null")
+    D.near_dedupe(D.simhash(few.mapInArrow(seen, few.schema), "id", "t").withColumnRenamed("id", "ord")).collect()
+    assert ran.value == len(texts) - 1
+
+
 def test_wrapped_lines_and_noise(one):
     raw = "This is a wrap-\nped line that\ngoes on.\nNext one\n\nTable 1. caption\nx = y + z * w ^ 2\nkept [1-3] text (Smith et al., 2020)\nReferences\nold stuff"
     assert one(T.clean_noise(C), c=raw) == "This is a wrapped line that goes on.\nNext one\n\nTable 1. caption x = y + z * w ^ 2 kept  text  References old stuff".replace(
