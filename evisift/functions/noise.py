@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .text import squash, strip
+from .text import bind, squash, strip
 
 # Bibliographic patterns, written without dialect-specific syntax.
 REF_HEADER = r"(?i)^\s*(references?|bibliography)\s*[:\x{ff1a}]?\s*$"
@@ -72,48 +72,75 @@ def heading_section(line: Column) -> Column:
 
 def split_sentences_seed(c: Column) -> Column:
     """C26 variant (b): needs whitespace after the stop, semicolons included."""
-    parts = F.split(squash(c), r"(?<=[.!?\x{3002}\x{ff01}\x{ff1f};\x{ff1b}])\s+")
+    return _seed_parts(squash(c))
+
+
+def _seed_parts(t: Column) -> Column:
+    parts = F.split(t, r"(?<=[.!?\x{3002}\x{ff01}\x{ff1f};\x{ff1b}])\s+")
     return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def abstract_window(c: Column) -> Column:
     """Text after the first 'abstract', cut before the next section marker."""
-    tail = strip(F.regexp_extract(c, r"(?is)\babstract\b(.*)$", 1))
     # A marker counts only past 120 characters, and only if it is the first marker.
-    first = F.regexp_instr(tail, F.lit(ABSTRACT_END))
-    cut = F.when(first > 121, F.substring(tail, F.lit(1), first - 1)).otherwise(tail)
-    return F.when(F.length(tail) < 40, "").otherwise(squash(cut))
+    def window(tail: Column) -> Column:
+        cut = lambda first: F.when(first > 121, F.substring(tail, F.lit(1), first - 1)).otherwise(tail)
+        return F.when(F.length(tail) < 40, "").otherwise(squash(bind(F.regexp_instr(tail, F.lit(ABSTRACT_END)), cut)))
+
+    return bind(strip(F.regexp_extract(c, r"(?is)\babstract\b(.*)$", 1)), window)
 
 
 def truncate_abstract_tail(c: Column) -> Column:
     """Drop a trailing section that starts past 120 characters."""
-    t = squash(c)
-    first = F.regexp_instr(t, F.lit(ABSTRACT_END))
-    return F.when(first > 121, strip(F.substring(t, F.lit(1), first - 1))).otherwise(t)
+    return bind(squash(c), _without_tail)
+
+
+def _without_tail(t: Column) -> Column:
+    cut = lambda first: F.when(first > 121, strip(F.substring(t, F.lit(1), first - 1))).otherwise(t)
+    return bind(F.regexp_instr(t, F.lit(ABSTRACT_END)), cut)
+
+
+def _first(s: Column, good) -> Column:
+    """The first element for which ``good`` holds; those after it are not tried."""
+    return F.aggregate(s, F.lit(None).cast("string"), lambda got, x: F.when(got.isNotNull(), got).when(good(x), x))
 
 
 def seed_sentence_abstract(c: Column) -> Column:
     """First complete, medium-length, non-method sentence; two fallbacks."""
-    s = split_sentences_seed(c)
-    good = F.filter(
-        s, lambda x: F.length(x).between(45, 420) & ~x.rlike(METHOD_SENTENCE) & x.rlike(SENTENCE_CLOSE)
-    )
-    complete = F.filter(s, lambda x: (F.length(x) >= 40) & x.rlike(SENTENCE_CLOSE))
-    return F.coalesce(F.get(good, 0), F.get(complete, 0), strip(F.substring(F.get(s, 0), 1, 420)), F.lit(""))
+    return bind(split_sentences_seed(c), _abstract_seed)
+
+
+def _abstract_seed(s: Column) -> Column:
+    good = _first(s, lambda x: F.length(x).between(45, 420) & x.rlike(SENTENCE_CLOSE) & ~x.rlike(METHOD_SENTENCE))
+    complete = _first(s, lambda x: (F.length(x) >= 40) & x.rlike(SENTENCE_CLOSE))
+    return F.coalesce(good, complete, strip(F.substring(F.get(s, 0), 1, 420)), F.lit(""))
 
 
 def seed_sentence_generic(c: Column) -> Column:
     """C25 without an abstract: medium-length sentence of at least eight words."""
-    s = split_sentences_seed(c)
-    good = F.filter(
-        s,
-        lambda x: F.length(x).between(55, 420)
-        & ~x.rlike(METHOD_SENTENCE)
-        & ~x.rlike(DOI)
-        & (F.size(F.split(x, r"\s+")) >= 8),
+    return bind(split_sentences_seed(c), _generic_seed)
+
+
+def _generic_seed(s: Column) -> Column:
+    good = _first(
+        s, lambda x: F.length(x).between(55, 420) & (F.size(F.split(x, r"\s+")) >= 8) & ~x.rlike(DOI) & ~x.rlike(METHOD_SENTENCE)
     )
-    longish = F.filter(s, lambda x: F.length(x) >= 45)
-    return F.coalesce(F.get(good, 0), strip(F.substring(F.get(longish, 0), 1, 420)), F.lit(""))
+    longish = _first(s, lambda x: F.length(x) >= 45)
+    return F.coalesce(good, strip(F.substring(longish, 1, 420)), F.lit(""))
+
+
+def seeds(c: Column) -> Column:
+    """struct(window, seed, abstract_seed) of a text whose white space is collapsed and which is cut into sentences once."""
+
+    def of(t: Column) -> Column:
+        # A text that loses no tail has the same sentences.
+        def both(b: Column) -> Column:
+            last = F.when(b["cut"] == t, _abstract_seed(b["s"])).otherwise(bind(_seed_parts(b["cut"]), _abstract_seed))
+            return F.struct(abstract_window(c).alias("window"), _generic_seed(b["s"]).alias("seed"), last.alias("abstract_seed"))
+
+        return bind(F.struct(_seed_parts(t).alias("s"), _without_tail(t).alias("cut")), both)
+
+    return bind(squash(c), of)
 
 
 def doc_meta(c: Column, source_uri: Column, doc_id: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocab
-from .chars import CJK, KANA, STRIP_CHARS, WORD, WS
+from .chars import CJK, KANA, LOOSE, STRIP_CHARS, WORD, WS
 
 
 def strip(c: Column) -> Column:
@@ -29,8 +29,8 @@ def bind(value: Column, body) -> Column:
 
 
 def squash(c: Column) -> Column:
-    """Collapse every whitespace run to one space and strip."""
-    return strip(F.regexp_replace(c, f"[{WS}]+", " "))
+    """Collapse every whitespace run to one space and strip. Single blanks, most of a text, are not rewritten."""
+    return strip(F.regexp_replace(c, LOOSE, " "))
 
 
 def normalize_text(c: Column) -> Column:

@@ -110,11 +110,7 @@ def section_of_paragraphs(spark, d):
 
 @query("abstract_seeds", "C25,S26")
 def abstract_seeds(spark, d):
-    c = F.col("text")
-    return documents(spark, d).select(
-        "doc_id", noise.abstract_window(c).alias("window"), noise.seed_sentence_generic(c).alias("seed"),
-        noise.seed_sentence_abstract(noise.truncate_abstract_tail(c)).alias("abstract_seed"),
-    )
+    return documents(spark, d).select("doc_id", noise.seeds(F.col("text")).alias("s")).select("doc_id", "s.window", "s.seed", "s.abstract_seed")
 
 
 _W = f"[^{S.WORD}]"

@@ -94,6 +94,24 @@ def test_simhash_of_bytes_is_simhash_of_tokens(spark, tmp_path, monkeypatch):
     assert ran.value == len(texts) - 1
 
 
+def test_squash_leaves_single_blanks(one):
+    ws = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    for s in ("a b", "a  b", "a" + ws + "b", *(f"a{w}b c{w}{w}d" for w in ws), "\u200bx\u3001 y"):
+        assert one(T.squash(C), c=s) == " ".join(re.split(f"[{ws}]+", s)).strip()
+    assert "[^ ]" in __import__("evisift.functions.chars", fromlist=["LOOSE"]).LOOSE  # single blanks were rewritten one by one before
+
+
+def test_seeds_cut_a_text_once(one, spark):
+    plan = lambda c: spark.range(1).select(F.col("id").cast("string").alias("c")).select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    for s in (None, "", "Abstract " + "word " * 30 + ". Methods follow here, " + "more words than before in this one sentence; " * 4, "Short. " + "A sentence of more than eight words which is long enough to be taken. " * 3,
+              "x" * 50 + ". " + "Mice were infected with the virus and samples were taken in the second week! " * 2 + "tail \n\n Introduction " + "z " * 90):
+        got = one(noise.seeds(C), c=s)
+        assert got["window"] == one(noise.abstract_window(C), c=s)
+        assert got["seed"] == one(noise.seed_sentence_generic(C), c=s)
+        assert got["abstract_seed"] == one(noise.seed_sentence_abstract(noise.truncate_abstract_tail(C)), c=s)
+    assert plan(noise.seed_sentence_generic(C)).count("split(") == 2  # sentences, and the words of one; four before
+
+
 def test_wrapped_lines_and_noise(one):
     raw = "This is a wrap-\nped line that\ngoes on.\nNext one\n\nTable 1. caption\nx = y + z * w ^ 2\nkept [1-3] text (Smith et al., 2020)\nReferences\nold stuff"
     assert one(T.clean_noise(C), c=raw) == "This is a wrapped line that goes on.\nNext one\n\nTable 1. caption x = y + z * w ^ 2 kept  text  References old stuff".replace(
