@@ -5,15 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squash, strip
+from .chars import STRIP_CHARS
+from .text import bind, squash, strip
 
 _MARK = "\x1e"
 
 
+# What ends a sentence of (a), and the noncharacter that is put behind it to cut there.
+_UNIT_END = rf"[.!?\x{{3002}}\x{{ff01}}\x{{ff1f}}]\s*|\n+|{_MARK}"
+_SEAM = "\uffff"
+#: Numbers (2 to the power 5) that a running total adds up one by one; whole blocks of them come before.
+_BLOCK = 32
+
+
 def _pieces(c: Column) -> Column:
     return F.filter(F.transform(c, strip), lambda p: p != "")
 
 
+def _totals_before(sizes: Column) -> Column:
+    """Sum of the numbers before each one, by blocks: nothing grows from step to step, as the state of a fold would."""
+    add = lambda a, start, n: F.aggregate(F.slice(a, start, n), F.lit(0), lambda x, y: x + y)
+
+    def of(s: Column) -> Column:
+        heads = F.sequence(F.lit(0), F.shiftright(F.size(s), 5))
+        blocks = F.transform(heads, lambda b: add(s, b * _BLOCK + 1, F.lit(_BLOCK)))
+        starts = bind(blocks, lambda bl: F.transform(heads, lambda b: add(bl, F.lit(1), b)))
+        return bind(starts, lambda st: F.transform(s, lambda _, i: F.get(st, F.shiftright(i, 5)) + add(s, F.shiftright(i, 5) * _BLOCK + 1, i % _BLOCK)))
+
+    return bind(sizes, of)
+
+
+def units_at(c: Column) -> Column:
+    """C27 for (a): struct(offset, text) of each sentence.
+
+    The text is cut into runs with all their white space, whose lengths tell the places: it is not searched from its start for each
+    sentence. Only a text that holds the seam itself is.
+    """
+
+    def place(raw: Column) -> Column:
+        ahead = lambda r: F.length(r) - F.length(F.ltrim(r, F.lit(STRIP_CHARS)))
+        at = lambda before: F.transform(raw, lambda r, i: F.struct((F.get(before, i) + ahead(r)).alias("offset"), strip(r).alias("text")))
+        return F.filter(bind(_totals_before(F.transform(raw, F.length)), at), lambda x: x["text"] != "")
+
+    runs = F.split(F.regexp_replace(c, _UNIT_END, f"$0{_SEAM}"), _SEAM)
+    return F.when(F.contains(c, F.lit(_SEAM)), with_offsets(c, split_units(c))).otherwise(bind(runs, place))
+
+
 def split_units(c: Column) -> Column:
     """(a) after any stop even without space, or at newlines."""
     return _pieces(F.split(F.regexp_replace(c, r"([.!?\x{3002}\x{ff01}\x{ff1f}])\s*|\n+", f"$1{_MARK}"), _MARK))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chars import CJK, WORD
 from ..functions.rows import explode_rows
-from ..functions.sentences import split_units, with_offsets
+from ..functions.sentences import split_units, units_at
 from ..functions.text import bind, squash, strip
 
 BOUND_L, BOUND_R = f"(?<![{WORD}])", f"(?![{WORD}])"
@@ -505,8 +505,7 @@ def simple_facts(units: Column) -> Column:
 
 def sentence_table(df: DataFrame, block_id: str, text: str) -> DataFrame:
     """``(block_id, sentence_id, offset, text)``."""
-    parts = with_offsets(F.col(text), split_units(F.col(text)))
-    out = explode_rows(df, [block_id], parts, "i", "s")
+    out = explode_rows(df, [block_id], units_at(F.col(text)), "i", "s")
     return out.select(
         block_id, F.concat(F.col(block_id).cast("string"), F.lit("#s"), F.col("i").cast("string")).alias("sentence_id"),
         F.col("s.offset").alias("offset"), F.col("s.text").alias("text"),

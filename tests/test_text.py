@@ -68,6 +68,19 @@ def test_offsets_point_at_the_sentence(one):
         assert s[p["offset"] : p["offset"] + len(p["text"])] == p["text"]
 
 
+def test_offsets_of_units_need_no_search(one):
+    import inspect
+
+    from evisift.operators import extract as X
+
+    for s in ("A b. A b. C\nA b.", "", " .", "\u3000x.  \n\ny\x1ez!\u00a0 w\u3002\u3002v", "a\uffffb. c\uffff d.\n", "é. 🙂! " * 700, None):
+        assert one(N.units_at(C), c=s) == one(N.with_offsets(C, N.split_units(C)), c=s)
+    assert "with_offsets" not in inspect.getsource(X.sentence_table)  # a search from the start of the text for each sentence
+    many = "A b. " * 100_000  # the time was quadratic in the text before
+    last = one(F.element_at(N.units_at(C), -1), c=many)
+    assert last["offset"] == 5 * 99_999 and last["text"] == "A b."
+
+
 def test_simhash_of_bytes_is_simhash_of_tokens(spark, tmp_path, monkeypatch):
     texts = ["", "a", "Ab cD-9 中文x 中", " ,.", "ÉaK9\u212a \n一鿿鿿", "b " * 9 + "c", "龥㐀ab", None]
 
