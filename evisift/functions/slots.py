@@ -72,9 +72,9 @@ def has_any(low: Column, alternatives: str) -> Column:
     return out
 
 
-def infer_slots(c: Column) -> Column:
-    """Union of question-word, concept and fallback slots, sorted."""
-    return bind(F.lower(strip(c)), _slots_of)
+def infer_slots(c: Column, low: Column | None = None) -> Column:
+    """Union of question-word, concept and fallback slots, sorted. ``low`` is the lower-cased text, where a caller has it."""
+    return bind(F.lower(strip(c)) if low is None else strip(low), _slots_of)
 
 
 def _slots_of(low: Column) -> Column:
@@ -96,9 +96,9 @@ def registered(found: Column) -> Column:
     return bind(found, lambda fs: F.filter(known, lambda s: F.array_contains(fs, s)))
 
 
-def registry_slots(c: Column) -> Column:
+def registry_slots(c: Column, low: Column | None = None) -> Column:
     """Inferred slots that are registered, in registry order."""
-    return registered(infer_slots(c))
+    return registered(infer_slots(c, low))
 
 
 def fact_types(c: Column) -> Column:

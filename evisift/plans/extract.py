@@ -215,8 +215,10 @@ def slot_inference(spark, d):
 @query("list_features", "X06,X07,X08,X13,X23,S18")
 def list_features(spark, d):
     c = F.col("text")
-    rows = documents(spark, d).select("doc_id", "text", L.registry_slots(c).alias("slots"), X.list_like_features(c).alias("like"))
-    out = X.list_features(rows, "text", "slots")
+    # Lower-casing long texts is the dearest step: once for all that ask for it.
+    docs = documents(spark, d).select("doc_id", "text", F.lower(c).alias("low"))
+    rows = docs.select("doc_id", "text", "low", L.registry_slots(c, F.col("low")).alias("slots"), X.list_like_features(c, low=F.col("low")).alias("like"))
+    out = X.list_features(rows, "text", "slots", low="low")
     return out.select(
         "doc_id", X.list_bank_meta(F.col("lf"), F.col("like"), F.col("slots")).alias("m"), F.size(X.bullet_items(c)).alias("n_bullets"),
         F.round("like.list_density", 6).alias("density"),
@@ -228,7 +230,7 @@ def list_features(spark, d):
 
 def unit_rows(spark, d):
     c = F.col("text")
-    rows = documents(spark, d).select("doc_id", "text", X.list_like_features(c)["list_like_items"].alias("items"))
+    rows = documents(spark, d).select("doc_id", "text", X.list_like_items(c).alias("items"))
     sec = X.section_type(c, F.lit(""), T.is_table_text(c))
     return rows.select("doc_id", X.evidence_units(F.col("doc_id").cast("string"), c, sec, F.col("items")).alias("units"))
 

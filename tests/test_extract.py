@@ -207,3 +207,31 @@ def test_quotes_are_counted_once(spark, tmp_path):
     out = quote_validation(spark, str(tmp_path))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 0 or "Filter" not in out._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1]
     assert [tuple(r) for r in out.collect()] == [(1, 1, 2)]
+
+
+def test_lists_are_read_alike_with_and_without_the_rest(one):
+    c = F.col("c")
+    for s in (None, "", "Symptoms include fever, RASH and bleeding; more. Presents with a, b.", "表现为发热、皮疹和出血。", "İSTANBUL features such as one, Two or three\nnext"):
+        like = one(X.list_like_features(c), c=s)
+        assert one(X.list_like_items(c), c=s) == like["list_like_items"] == one(X.list_like_items(c, F.lower(c)), c=s)
+        assert one(X.list_like_features(c, low=F.lower(c)), c=s) == like
+
+
+def test_long_texts_are_lowered_once(spark, tmp_path):
+    from evisift.plans import extract as P
+
+    spark.createDataFrame([(1, "Symptoms include fever, rash and bleeding.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = P.list_features(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(text#") == 1 and "lower(btrim(text#" not in plan  # each step lowered the text again before
+
+
+def test_cue_that_meets_between_sentences(one):
+    for s in ("clinical\x1efeature. x", "Alpha Including. beta fever.", "x. Patient y\x1e present with z.", "nothing. here"):
+        got = one(X.symptom_filter(F.col("c"), F.array(F.lit("fever")), F.lit(True)), c=s)["reason"]
+        assert got == ("missing_symptom_cue" if s.startswith("nothing") else "ok")
+
+
+def test_units_need_two_separators(one):
+    for s, kind in (("A, b.", "fragment"), ("fever, rash and cough.", "sentence_enumerative"), ("fever and rash OR cough.", "sentence_enumerative"), ("See also fever, rash, cough.", "fragment"),
+                    ("methods, fever, rash.", "fragment"), ("发热和皮疹以及出血。", "sentence_enumerative"), ("此外，发热和皮疹。", "fragment"), ("band, order", "fragment")):
+        assert one(X.sentence_unit(F.lit("s"), F.col("c")), c=s)["unit_type"] == kind, s
