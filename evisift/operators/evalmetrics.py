@@ -202,7 +202,10 @@ def pick_prediction(method: Column, raw: Column, grounded: Column, base: Column,
 
 def answer_quality(c: Column) -> Column:
     """Length band, markup penalties, reward for words."""
-    t = strip(c)
+    return bind(strip(c), _quality)
+
+
+def _quality(t: Column) -> Column:
     n = F.length(t)
     words = F.regexp_count(t, F.lit("[A-Za-z]{2,}"))
     cjk = F.regexp_count(t, F.lit(r"[\x{4e00}-\x{9fff}]"))
@@ -218,9 +221,9 @@ def answer_quality(c: Column) -> Column:
 
 def best_candidate(cands: Column) -> Column:
     """Highest quality, first wins ties; blanks do not compete."""
-    usable = F.filter(cands, lambda c: F.coalesce(strip(c), F.lit("")) != "")
-    scored = F.transform(usable, lambda c, i: F.struct((-answer_quality(c)).alias("neg"), i.alias("i"), c.alias("c")))
-    return F.array_min(scored)["c"]
+    # A blank has the quality -10000, which nothing else gets: each candidate is stripped once.
+    scored = F.transform(cands, lambda c, i: F.struct((-answer_quality(c)).alias("neg"), i.alias("i"), c.alias("c")))
+    return F.array_min(F.filter(scored, lambda x: x["neg"] < 10000))["c"]
 
 
 def bootstrap_ci(df: DataFrame, key: str, value: str, n_boot: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:

@@ -426,3 +426,11 @@ def test_cues_are_searched_once_for_all_candidates(spark):
     for r, t in zip(out.collect(), df.collect(), strict=True):
         one = [df.where(F.col("text").eqNullSafe(F.lit(t["text"]))).select(G.schema_scores(F.col("text"), [i])[0].alias("s")).first()["s"] for i in ids]
         assert sorted(r["s"]) == sorted(one)
+
+
+def test_candidates_are_stripped_once(spark):
+    from evisift.operators import evalmetrics as E
+
+    df = spark.createDataFrame([(["", " ", None, "!!", "A sentence of a fair length, with words."],), ([" ", None],), ([],), (["x", "y"],)], "c array<string>").select(E.best_candidate(F.col("c")).alias("b"))
+    assert [r.b for r in df.collect()] == ["A sentence of a fair length, with words.", None, None, "x"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("trim(") == 1  # eleven before
