@@ -122,7 +122,7 @@ def test_seeds_cut_a_text_once(one, spark):
         assert got["window"] == one(noise.abstract_window(C), c=s)
         assert got["seed"] == one(noise.seed_sentence_generic(C), c=s)
         assert got["abstract_seed"] == one(noise.seed_sentence_abstract(noise.truncate_abstract_tail(C)), c=s)
-    assert plan(noise.seed_sentence_generic(C)).count("split(") == 2  # sentences, and the words of one; four before
+    assert plan(noise.seed_sentence_generic(C)).count("split(") == 2  # sentences, and the words of one; three before
 
 
 def test_wrapped_lines_and_noise(one):
