@@ -47,12 +47,12 @@ def html_text(spark, d):
     concat(h[15:16],h[13:14],h[11:12],h[9:10],h[7:8],h[5:6],h[3:4],h[1:2]) as dedupe_hash, length(t) as n_chars from h""",
 )
 def page_chunks(spark, d):
-    """Pages of a host (64 ids a file) written as document files, read back and chunked page by page."""
+    """Pages of a host (64 ids a document) written to document files, read back and chunked page by page."""
     host = F.coalesce(F.regexp_extract("url", "//([^/]+)/", 1), F.lit(""))
     doc = F.concat(host, F.lit("-"), F.expr("page_id div 64").cast("string"))
     path = B.scratch_path(spark, "files")
-    P.write_page_files(pages(spark, d).withColumn("doc", doc), "doc", "page_id", "html", path)
-    files = P.read_page_files(spark, path, doc_id=F.regexp_extract("path", "/doc=([^/]+)/", 1)).where("error is null")
+    P.write_page_bundles(table(spark, d, "pages").select("page_id", "html", doc.alias("doc")), "doc", "page_id", "html", path)
+    files = P.read_page_bundles(spark, path).where("error is null")
     out = K.page_chunks(files.withColumn("text", P.html_text(F.col("text"))))
     return out.select("doc_id", "chunk_id", "page_no", "chunk_no", "lang", "dedupe_hash", F.length("text").cast("bigint").alias("n_chars"))
 

@@ -147,3 +147,27 @@ def test_page_files_keep_order_and_odd_pages(spark, tmp_path):
     back = P.read_page_files(spark, path, doc_id=F.regexp_extract("path", "/doc=([^/]+)/", 1))
     got = sorted((r["doc_id"], r["page_no"], r["text"]) for r in back.collect())
     assert got == [("a", 1, "first\nline same page"), ("a", 2, ""), ("a", 3, "third"), ("b", 1, "only")]
+
+
+def test_page_bundles_round_trip(spark, tmp_path):
+    rows = [("a b/c", 2, "two\n\nlines \f end\n"), ("a b/c", 1, None), ("", 7, "x"), (None, 3, "n"), ("?", 1, "q"), ("é+%20\f\n1", 5, " 中\r\n"), *((f"d{i}", 0, "p") for i in range(40))]
+    path = f"{tmp_path}/out"
+    P.write_page_bundles(spark.createDataFrame(rows, "doc string, no int, t string").repartition(3), "doc", "no", "t", path, per_file=20)
+    with open(f"{path}/part-bad.txt", "wb") as f:
+        f.write(b"1 z\n\xff\f")
+    back = P.read_page_bundles(spark, path).collect()
+    assert [(r.doc_id, r.page_no, r.text, r.error) for r in back if r.error] == [(None, None, None, "not UTF-8")]
+    want = [("a b/c", 1, ""), ("a b/c", 2, "two\n\nlines   end\n"), ("", 1, "x"), (None, 1, "n"), ("?", 1, "q"), ("é+%20\f\n1", 1, " 中\r\n"), *((f"d{i}", 1, "p") for i in range(40))]
+    key = lambda r: (r[0] or "", r[0] is None, r[1])
+    assert sorted([(r.doc_id, r.page_no, r.text) for r in back if not r.error], key=key) == sorted(want, key=key)
+
+
+def test_files_of_page_chunks_follow_the_text_not_the_documents(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from evisift.plans import storage as S
+
+    spark.createDataFrame([(64 * i, f"http://h{i}/x", "<p>" + "word " * 20) for i in range(200)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(S.B, "scratch_path", lambda *_: f"{tmp_path}/files")
+    assert S.page_chunks(spark, str(tmp_path)).count() == 200
+    assert len(list(Path(f"{tmp_path}/files").rglob("*.txt"))) < 50  # one for each of 200 documents before
