@@ -51,20 +51,19 @@ def weak_oracle(golds: DataFrame, sentences: DataFrame, k: int = 3, min_score: f
 
 
 def char_shingles(c: Column, k: int = 3) -> Column:
-    """Q18: distinct character k-grams of the text without whitespace; a shorter text is its own shingle."""
-    from ..functions.chars import WS
-    from ..functions.text import bind
+    """Q18: distinct character k-grams of the text without whitespace, in no particular order; a shorter text is its own shingle.
 
-    t = F.regexp_replace(c, f"[{WS}]+", "")
+    Cut out of the text in ``k`` passes, one for each place modulo ``k``; growing them by a character at a time makes every gram ``k`` times.
+    """
+    from ..functions.chars import WS_FAST
+    from ..functions.text import bind
 
-    def grams(chars: Column) -> Column:
-        out = chars
-        for i in range(1, k):
-            out = F.zip_with(out, F.slice(chars, i + 1, F.size(chars)), lambda a, b: F.concat(a, b))
-        return F.array_distinct(F.slice(out, F.lit(1), F.greatest(F.size(chars) - (k - 1), F.lit(0))))
+    def grams(t: Column) -> Column:
+        every = F.concat(*[F.regexp_extract_all(F.substring(t, F.lit(i + 1), F.length(t)), F.lit(f"(?s).{{{k}}}"), F.lit(0)) for i in range(k)])
+        one = F.when(t == "", F.array().cast("array<string>")).otherwise(F.array(t))
+        return F.when(F.length(t) < k, one).otherwise(F.array_distinct(every))
 
-    one = F.when(t == "", F.array().cast("array<string>")).otherwise(F.array(t))
-    return F.when(F.length(t) < k, one).otherwise(bind(F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0)), grams))
+    return bind(F.regexp_replace(c, f"[{WS_FAST}]+", ""), grams)
 
 
 def best_shingle_match(texts: DataFrame, evidence: DataFrame, k: int = 1, **kw) -> DataFrame:

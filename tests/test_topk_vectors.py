@@ -153,3 +153,17 @@ def test_topk_is_monotone_in_k(data):
     small = {(r["qid"], r["rid"]) for r in V.search(qd, bd.select("rid", "item"), 3).collect()}
     large = {(r["qid"], r["rid"]) for r in V.search(qd, bd.select("rid", "item"), 9).collect()}
     assert small <= large
+
+
+def test_shingles_of_any_text(one):
+    for s in ("", "a", "abc", "abcabcabd", "🙂é 中\u3000x\x1fy🙂é中", "aaaaaaa", None):
+        t = None if s is None else "".join(s.split())
+        for k in (1, 2, 3, 5):
+            want = None if s is None else ({t} - {""} if len(t) < k else {t[i : i + k] for i in range(len(t) - k + 1)})
+            got = one(R.char_shingles(F.col("c"), k), c=s)
+            assert got is None and want is None or (set(got) == want and len(got) == len(want))
+
+
+def test_shingles_are_cut_not_grown(spark):
+    plan = spark.range(1).select(R.char_shingles(F.col("id").cast("string")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan  # each gram was made three times before
