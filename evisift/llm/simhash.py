@@ -35,6 +35,8 @@ MOST_PIVOTS = 1 << 16
 COUNTERS, BLOCK = 1 << 18, 256
 #: Pairs that are verified together.
 PAIRS = 20_000
+#: Shingles of a block of texts, and of a part of the hash space, that are counted together; the nodes a block may span.
+TOGETHER, PART, SPAN = 1 << 21, 1 << 20, 1 << 16
 #: Rounds in which larger buckets offer their members to a head before all are offered to each other.
 STARS = 3
 
@@ -192,6 +194,78 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(t)) for t in zip(*(words[i:] for i in range(width)), strict=False)], np.uint32))
 
 
+def lone(sets: DataFrame) -> DataFrame:
+    """(node, lone): how many shingles of half of the hash space (the even ones) a set of ``sets(node, s)`` has that no other set has; sets with none are left out.
+
+    Blocks of texts send their shingles, sorted and packed, to the parts of the hash space, and get back the places of the lone
+    ones: about six bytes for each, and a shingle of many texts of a block is sent twice at most.
+    """
+    even = sets.agg(F.sum(F.octet_length("s")) / 8).first()[0] or 0
+    parts = max(1, -(-int(even) // PART))
+
+    def packed(nodes: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+        at = np.repeat(np.array(nodes) - nodes[0], [len(x) for x in held]).astype(np.uint16)
+        sh = np.concatenate(held)
+        order = np.argsort(sh, kind="stable")
+        sh, at = sh[order], at[order]
+        keep = np.ones(len(sh), bool)
+        keep[2:] = sh[2:] != sh[:-2]
+        sh, at = sh[keep], at[keep]
+        of = (sh.astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)  # rises with the shingle
+        used, cuts = np.unique(of, return_index=True)
+        cuts = [*cuts.tolist(), len(sh)]
+        pieces = list(zip(cuts[:-1], cuts[1:], strict=True))
+        columns = [used.astype(np.int32), np.full(len(used), nodes[0]), [sh[a:b].tobytes() for a, b in pieces], [at[a:b].tobytes() for a, b in pieces]]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "first", "sh", "at"])
+
+    def send(batches):
+        nodes, held, n = [], [], 0
+        for b in batches:
+            for node, s in zip(b.column("node").to_pylist(), b.column("s"), strict=True):
+                x = np.frombuffer(s.as_py(), np.uint32)
+                x = x[x % 2 == 0]
+                if nodes and (n + len(x) > TOGETHER or not 0 <= node - nodes[0] < SPAN):
+                    yield packed(nodes, held)
+                    nodes, held, n = [], [], 0
+                nodes.append(node)
+                held.append(x)
+                n += len(x)
+        if nodes:
+            yield packed(nodes, held)
+
+    def tell(part: pd.DataFrame) -> pd.DataFrame:
+        sh = np.concatenate([np.frombuffer(x, np.uint32) for x in part.sh])
+        order = np.argsort(sh, kind="stable")
+        same = sh[order][1:] == sh[order][:-1]
+        only = np.empty(len(sh), bool)
+        only[order] = ~(np.append(same, False) | np.insert(same, 0, False))
+        cuts = np.cumsum([len(x) // 4 for x in part.sh])[:-1]
+        places = [np.frombuffer(x, np.uint16)[o].tobytes() for x, o in zip(part["at"], np.split(only, cuts), strict=True)]
+        return pd.DataFrame({"first": part["first"], "at": places})
+
+    def count(block: pd.DataFrame) -> pd.DataFrame:
+        n = np.bincount(np.frombuffer(b"".join(block["at"]), np.uint16))
+        at = np.flatnonzero(n)
+        return pd.DataFrame({"node": block["first"].iloc[0] + at, "lone": n[at]})
+
+    told = sets.select("node", "s").mapInArrow(send, "part int, first long, sh binary, at binary").groupBy("part").applyInPandas(tell, "first long, at binary")
+    return told.groupBy("first").applyInPandas(count, "node long, lone long")
+
+
+def partnered(sets: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``sets(node, s, ...)`` that another set may reach at ``similarity``, stored.
+
+    Such a set shares that part of its shingles with its partner, so one with more lone shingles than the rest has no partner. Half of
+    the hash space tells it for most texts, which have a few shingles in common with others and no partner.
+    """
+    sizes = sets.select("node", (F.octet_length("s") / 4).alias("n"))
+    rest = F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - F.lit(1e-9))
+    some = stored(sizes.join(lone(sets), "node", "left").where(F.coalesce("lone", F.lit(0)) <= rest).select("node"), "some")
+    out = stored(sets.join(some, "node").select(*sets.columns), "partnered")
+    discard(some)
+    return out
+
+
 def heat(sets: DataFrame) -> np.ndarray:
     """How often shingles of the sets ``s`` fall on each of COUNTERS counters; 0 where no task found a counter far above its others.
 
@@ -294,6 +368,7 @@ def near_duplicate_groups(
 ) -> DataFrame:
     """(doc_id, carry, root, component_id) for every row: near-duplicates by Jaccard similarity of ``width``-word shingles.
 
+    Texts with too many shingles of their own for any partner stand alone (see ``partnered``); among the others
     SimHash proposes, shingles decide. Texts whose word fingerprints are at most ``radius`` bits apart (found by the pivot
     tables) are linked when the similarity of their whole shingle sets reaches ``similarity``: most groups become one root.
     Fingerprints of words, not of shingles, because a changed word moves few of them; nine in ten pairs at 0.8 meet this way. The
@@ -316,12 +391,15 @@ def near_duplicate_groups(
     texts = rows.groupBy("k1", "k2").agg(F.first("_text").alias("_text"))
     looked = map_rows(texts, "_text", [("fp", T.LongType()), ("s", T.BinaryType())], look).drop("_text")
     nodes = stored(looked.withColumn("node", F.monotonically_increasing_id()), "texts")
-    least = stored(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
-    same = nodes.select("node", "fp").join(least, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    sets = partnered(nodes.select("node", "fp", "s"), similarity)
+    keys = stored(nodes.select("k1", "k2", "node"), "keys")
+    discard(nodes)
+    least = stored(sets.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
+    same = sets.select("node", "fp").join(least, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     near = links(least, radius).join(least.toDF("a", "ra"), "a").join(least.toDF("b", "rb"), "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     seen = stored(same.unionByName(near).distinct().withColumn("by", F.col("a")), "candidates")
-    sure = similar(seen, nodes, similarity)
-    members = stored(shared(prefixes(nodes, similarity)), "members")
+    sure = similar(seen, sets, similarity)
+    members = stored(shared(prefixes(sets, similarity)), "members")
     roots = stored(components(sure), "roots")
     for step in range(STARS + 1):
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -344,13 +422,15 @@ def near_duplicate_groups(
             met = two.join(x, ["sh", "x"]).join(y, ["sh", "y"]).where(_reach("mx.", "my.", similarity)).select(F.least("mx.node", "my.node").alias("a"), F.greatest("mx.node", "my.node").alias("b"), F.col("sh").alias("by"))
         # A pair belongs to the least of its shared shingles: copies of one text have that in common.
         new = stored(met.groupBy("a", "b").agg(F.min("by").alias("by")).join(seen.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-        sure = sure.unionByName(similar(new, nodes, similarity))
+        sure = sure.unionByName(similar(new, sets, similarity))
         named = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stored(components(named.unionByName(sure)), "roots")
         if not star:
             break
         seen = seen.unionByName(new)
-    placed = nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+    discard(members)
+    discard(sets)
+    placed = keys.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
     out = rows.drop("_text").join(placed, ["k1", "k2"])
     first = out.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return out.join(first, "root").select("doc_id", *carry, "root", "component_id")

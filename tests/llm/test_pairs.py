@@ -186,6 +186,46 @@ def test_near_copies_in_a_crowd_of_like_texts_meet(spark, monkeypatch, make, blo
     assert [got[i] for i in range(len(texts))] == want
 
 
+def passages(r):
+    """Texts of own words around one of a few long passages; every tenth has a near copy."""
+    shared = [" ".join(f"p{r.integers(0, 10**9)}" for _ in range(60)) for _ in range(12)]
+    texts = []
+    for i in range(80):
+        own = [f"x{r.integers(0, 10**9)}" for _ in range(140)]
+        texts.append(" ".join([*own[:70], shared[i % 12], *own[70:]]))
+        if i % 10 == 0:
+            texts.append(" ".join(["new", *own[1:70], shared[i % 12], *own[70:]]))
+    return texts
+
+
+def test_texts_with_common_passages_are_not_compared(spark, monkeypatch):
+    """Texts that share a passage and cannot reach the similarity are no candidates; what can is all there."""
+    texts = passages(np.random.default_rng(3))
+    sure = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(sure) == 8
+    compared = []
+    monkeypatch.setattr(simhash, "similar", lambda pairs, sets, s, own=simhash.similar: (compared.append(pairs.count()), own(pairs, sets, s))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in near_duplicate_groups(df).collect()}
+    assert [got[i] for i in range(len(texts))] == roots(len(texts), sure)
+    assert 8 <= sum(compared) < 40, "only the sixteen texts with a partner meet"
+
+
+@pytest.mark.parametrize("together, part, span", [(1 << 21, 1 << 20, 1 << 16), (500, 300, 1 << 16), (1, 1 << 20, 3), (1 << 21, 64, 2)])
+def test_lone_shingles_against_brute_force(spark, monkeypatch, together, part, span):
+    for name, value in (("TOGETHER", together), ("PART", part), ("SPAN", span)):
+        monkeypatch.setattr(simhash, name, value)
+    texts = [*passages(np.random.default_rng(4)), "", "one two", "One  two"]
+    held = [(7 * i + (i % 3) * (1 << 40), shingle_set(t.encode(), 5)) for i, t in enumerate(texts)]
+    count = collections.Counter(x for _, s in held for x in s.tolist())
+    want = {n: sum(count[x] == 1 for x in s.tolist() if x % 2 == 0) for n, s in held}
+    df = spark.createDataFrame([(n, bytearray(s.tobytes())) for n, s in held], "node long, s binary").repartition(3)
+    assert {x.node: x.lone for x in simhash.lone(df).collect()} == {n: w for n, w in want.items() if w}
+    kept = {n for n, s in held if want[n] <= len(s) - np.ceil(0.8 * len(s) - 1e-9)}
+    assert {x.node for x in simhash.partnered(df, 0.8).collect()} == kept and 18 < len(kept) < 40
+    assert simhash.partnered(df.limit(0), 0.8).count() == 0
+
+
 def test_simhash_query(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     out = simhash.op10_simhash_groups(spark, "/root/testdata/sf0.001").collect()
