@@ -401,33 +401,40 @@ def near_duplicate_groups(
     sure = similar(seen, sets, similarity)
     members = stored(shared(prefixes(sets, similarity)), "members")
     roots = stored(components(sure), "roots")
+    star = True
     for step in range(STARS + 1):
-        now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        now = stored(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "now")
         kinds = now.groupBy("sh", "root").agg(F.count("*").alias("c"), F.min(F.struct("node", "n", "at")).alias("h"))
         open_ = kinds.groupBy("sh").agg(((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2).alias("cross"), F.min(F.struct("root", "h")).alias("first")).where("cross > 0")
         open_ = stored(open_.select("sh", "cross", "first.root", "first.h"), "open")
         most = open_.agg(F.max("cross")).first()[0]
         if most is None:
             break
-        star = step < STARS and most > BLOCK * BLOCK / 2
+        # Roots only merge: a bucket of one root stays one.
+        few = stored(now.join(open_.select("sh"), "sh", "left_semi"), "few")
+        discard(now)
+        members = few.drop("root")
+        star = star and step < STARS and most > BLOCK * BLOCK / 2
         if star:
             head = open_.select("sh", F.col("root").alias("head"), "h")
-            met = now.join(head, "sh").where("root <> head").where(_reach("", "h.", similarity)).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"), F.col("h.node").alias("by"))
+            met = few.join(head, "sh").where("root <> head").where(_reach("", "h.", similarity)).select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b"), F.col("h.node").alias("by"))
         else:
             # Pairs of roots first, so that members of one root do not meet.
-            few = stored(now.join(open_.select("sh"), "sh", "left_semi"), "now")
             kinds = few.select("sh", "root").distinct()
             two = kinds.toDF("sh", "x").join(kinds.toDF("sh", "y"), "sh").where("x < y")
             x, y = (few.select("sh", F.col("root").alias(c), F.struct("node", "n", "at").alias(f"m{c}")) for c in ("x", "y"))
             met = two.join(x, ["sh", "x"]).join(y, ["sh", "y"]).where(_reach("mx.", "my.", similarity)).select(F.least("mx.node", "my.node").alias("a"), F.greatest("mx.node", "my.node").alias("b"), F.col("sh").alias("by"))
         # A pair belongs to the least of its shared shingles: copies of one text have that in common.
         new = stored(met.groupBy("a", "b").agg(F.min("by").alias("by")).join(seen.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-        sure = sure.unionByName(similar(new, sets, similarity))
+        found = similar(new, sets, similarity)
+        sure = sure.unionByName(found)
         named = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stored(components(named.unionByName(sure)), "roots")
         if not star:
             break
         seen = seen.unionByName(new)
+        # Heads that meet few of their like join no more groups.
+        star = 10 * found.count() >= new.count()
     discard(members)
     discard(sets)
     placed = keys.join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
